@@ -162,7 +162,7 @@ def drift(notes: DataFrame, each: int = 50, strict: bool = False) -> DataFrame:
     """kind, doc_id, detail: links to no note, Markdown links to no file, and duplicate flags whose note still exists."""
     names = notes.select(F.lower(F.trim("title")).alias("name"))
     if not strict:
-        names = names.unionByName(notes.select(F.lower(F.trim(F.explode("aliases"))).alias("name")))
+        names = names.unionByName(notes.select(F.explode("aliases").alias("name")).select(F.lower(F.trim("name")).alias("name")))
     targets = notes.select("doc_id", F.explode("wikilinks").alias("detail")).withColumn("name", F.lower(F.trim("detail")))
     broken = targets.join(names, "name", "left_anti")
     broken = broken.withColumn("name", F.replace("name", F.lit("/"), F.lit("-"))).join(names, "name", "left_anti")
