@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import fold, hashed_share, table
+from lodestone.llm.shared import fold, hashed_share, map_batches, table
 
 BOUND = 3000
 FOLDS, HELD_OUT = 3, 1
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": np.where(none, 0.0, np.clip(top, 0, 1))})
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return picked.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_batches(picked, run, "doc_id long, lang_pred string, score double")
 
 
 def trained(spark: SparkSession, sf_dir: str, bound: int = BOUND) -> ByteGRU | None:

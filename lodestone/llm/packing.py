@@ -20,14 +20,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize, table
+from lodestone.llm.shared import map_batches, materialize, table
 
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Distinct text chunks whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -86,33 +86,54 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 def chunks(text: str, loose, split) -> list[str]:
     """Cut before every space that follows a non-space: a byte-level tokenizer never joins ids across these."""
-    return split(text) if loose(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else split(text)
+    return split(text) if "\0" in text or loose(text) else text.replace(" ", "\0 ").split("\0")
 
 
 def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
-    """A function from text to its ids as little-endian bytes; chunks already seen are not tokenised again."""
+    """A function from texts to their ids as little-endian bytes; chunks already seen are not tokenised again.
+
+    New chunks of a batch are tokenised together, with a special token between them: the tokenizer takes it
+    out of the text first, so nothing is joined across it. Chunks met in a second batch are remembered, up to
+    `cache_size` of them; those met once are forgotten after as many others, so rare words don't crowd out.
+    """
     import re
 
     import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    special = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}
+    between, between_id = next(iter(special.items()))
     loose, split = re.compile(r"\s ").search, re.compile(r"(?<=\S)(?= )").split
+    recent: dict[str, bytes] = {}
 
-    class Seen(dict):
+    class Kept(dict):
         def __missing__(self, chunk: str) -> bytes:
-            ids = np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if len(self) < cache_size and len(chunk) < 64:
-                self[chunk] = ids
-            return ids
-
-    seen = Seen()
-
-    def encode(text: str) -> bytes:
-        if any(x in text for x in special):
-            return seen.__missing__(text)
-        return b"".join(map(seen.__getitem__, chunks(text, loose, split)))
+            return recent[chunk]
+
+    kept = Kept()
+
+    def learn(unseen: list[str]) -> None:
+        for at in range(0, len(unseen), 1000):
+            part = unseen[at : at + 1000]
+            ids = np.asarray(tokenizer.encode(between.join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == between_id), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                recent[chunk] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(recent) > cache_size:
+            recent.clear()
+        parts = [None if any(x in t for x in special) else chunks(t, loose, split) for t in texts]
+        unseen = set().union(*(p for p in parts if p)) - kept.keys()
+        again = unseen & recent.keys()
+        if len(kept) < cache_size:
+            kept.update((c, recent.pop(c)) for c in again)
+        learn(list(unseen - again))
+        whole = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [whole(t) if p is None else b"".join(map(kept.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
 
     return encode
 
@@ -134,8 +155,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = encode(text or "") + end
+            coded = encode([t or "" for t in batch["text"].tolist()])
+            for doc_id, ids in zip(batch["doc_id"].tolist(), coded, strict=True):
+                ids += end
                 for piece, (start, length) in enumerate(cut(ids, capacity)):
                     rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -143,7 +165,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             yield out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import map_batches, table
 
 MARK = "▁"
 
@@ -159,7 +159,7 @@ def stretches(text: str, loose, split) -> list[str]:
     return text.replace(MARK, "\0" + MARK).split("\0")[1:] if "\0" not in text else split(text)
 
 
-def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 150_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text of every row; one narrow pass."""
 
     def run(batches: Iterator) -> Iterator:
@@ -191,7 +191,7 @@ def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 400_000
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": all_ids, "decoded": back, "text": batch["text"]})
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return picked.mapInPandas(run, "doc_id long, ids binary, decoded string, text string")
+    return map_batches(picked, run, "doc_id long, ids binary, decoded string, text string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hashed_share, table
+from lodestone.llm.shared import hashed_share, map_batches, table
 
 BOUND = 2000
 KINDS = ("email", "ip", "card", "phone")
@@ -333,7 +333,7 @@ def detect(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
             yield out
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def redacted(text: str, spans) -> str:
@@ -357,7 +357,7 @@ def redact(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
             batch["text"] = clean
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def trained(spark: SparkSession, sf_dir: str, bound: int = BOUND) -> SkipChainCRF:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import fold, labelled_sample, table
+from lodestone.llm.shared import fold, labelled_sample, map_batches, table
 
 BOUND = 4000
 FOLDS, HELD_OUT = 5, 0
@@ -145,7 +145,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 64, r
     return model
 
 
-def score(docs: DataFrame, model: FactorisationMachine, cache_size: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: FactorisationMachine, cache_size: int = 150_000) -> DataFrame:
     """doc_id, score and predicted of every row; one narrow pass over whole texts."""
 
     def run(batches: Iterator) -> Iterator:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: FactorisationMachine, cache_size: int = 400_00
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p})
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = picked.mapInPandas(run, "doc_id long, score double")
+    scored = map_batches(picked, run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

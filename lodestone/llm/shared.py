@@ -43,6 +43,14 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_batches(df: DataFrame, work: Callable, schema: str, rows: int = 500) -> DataFrame:
+    """mapInPandas in batches of few rows and bytes, so that whole texts of any length fit a worker's memory."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.mapInPandas(work, schema)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; a null key is in fold -1."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(-1))
@@ -86,7 +94,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minimum, written to the shared folder.
     """
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(flat.mapInPandas(_local_stars, "u long, v long").distinct())
+    now = materialize(map_batches(flat, _local_stars, "u long, v long", rows=65536).distinct())
     mark = _fingerprint(now)
     for _ in range(max_rounds):
         small = materialize(_small_star(_large_star(now)))
@@ -219,4 +227,4 @@ def by_sorted_key(df: DataFrame, key: str, work: Callable, schema: str) -> DataF
             if out is not None and len(out):
                 yield out
 
-    return df.repartition(parts, key).sortWithinPartitions(key).mapInPandas(run, schema)
+    return map_batches(df.repartition(parts, key).sortWithinPartitions(key), run, schema, rows=8192)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, materialize, run_pairs, stars, table
+from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, map_batches, materialize, run_pairs, stars, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED
                 out.append(int(np.packbits(bits, bitorder="little").view("<i8")[0]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(out, dtype=np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

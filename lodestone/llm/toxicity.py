@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import fold, labelled_sample, table
+from lodestone.llm.shared import fold, labelled_sample, map_batches, table
 
 BOUND = 8000
 FOLDS, HELD_OUT = 3, 1
@@ -156,7 +156,7 @@ def fit(
     return ToxicityModel(float(bias), {f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-4}, identity)
 
 
-def score(docs: DataFrame, model: ToxicityModel, cache_size: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, cache_size: int = 150_000) -> DataFrame:
     """`docs` with score and predicted added; one narrow pass, all columns kept."""
     held = [c for c in docs.columns if c not in ("score", "predicted")]
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: ToxicityModel, cache_size: int = 400_000) -> D
             yield batch.assign(score=1 / (1 + np.exp(-np.clip(np.asarray(z, dtype=float), -30, 30))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*held).schema)
-    scored = docs.select(*held).mapInPandas(run, f"{fields}, score double")
+    scored = map_batches(docs.select(*held), run, f"{fields}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
