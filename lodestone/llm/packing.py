@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Distinct text chunks whose ids a worker keeps.
-CACHE = 250_000
+CACHE = 500_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -89,12 +90,14 @@ def chunks(text: str, loose, split) -> list[str]:
     return split(text) if "\0" in text or loose(text) else text.replace(" ", "\0 ").split("\0")
 
 
+@lru_cache(maxsize=1)
 def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
     """A function from texts to their ids as little-endian bytes; chunks already seen are not tokenised again.
 
     New chunks of a batch are tokenised together, with a special token between them: the tokenizer takes it
     out of the text first, so nothing is joined across it. Chunks met in a second batch are remembered, up to
-    `cache_size` of them; those met once are forgotten after as many others, so rare words don't crowd out.
+    `cache_size` of them; those met once are forgotten after half as many others, so rare words don't crowd
+    out. A worker process keeps its encoder from task to task.
     """
     import re
 
@@ -124,7 +127,7 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
                 start = end + 1
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(recent) > cache_size:
+        if len(recent) > cache_size // 2:
             recent.clear()
         parts = [None if any(x in t for x in special) else chunks(t, loose, split) for t in texts]
         unseen = set().union(*(p for p in parts if p)) - kept.keys()
