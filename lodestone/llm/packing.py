@@ -28,7 +28,9 @@ END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Distinct text chunks whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 600_000
+#: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
+MARKS = frozenset(".,;:!?")
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -96,7 +98,7 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
 
     New chunks of a batch are tokenised together, with a special token between them: the tokenizer takes it
     out of the text first, so nothing is joined across it. Chunks met in a second batch are remembered, up to
-    `cache_size` of them; those met once are forgotten after half as many others, so rare words don't crowd
+    `cache_size` of them; those met once are forgotten after as many others, so rare words don't crowd
     out. A worker process keeps its encoder from task to task.
     """
     import re
@@ -127,14 +129,20 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
                 start = end + 1
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(recent) > cache_size // 2:
+        if len(recent) > cache_size:
             recent.clear()
         parts = [None if any(x in t for x in special) else chunks(t, loose, split) for t in texts]
         unseen = set().union(*(p for p in parts if p)) - kept.keys()
         again = unseen & recent.keys()
         if len(kept) < cache_size:
             kept.update((c, recent.pop(c)) for c in again)
-        learn(list(unseen - again))
+        fresh = unseen - again
+        # A mark behind a letter is a token of its own, so a word with it needs the ids of both only.
+        marked = [c for c in fresh if c[-1:] in MARKS and c[-2:-1].isalpha()]
+        fresh.difference_update(marked)
+        fresh.update(part for c in marked for part in (c[:-1], c[-1]) if part not in recent and dict.get(kept, part) is None)
+        learn(list(fresh))
+        recent.update((c, kept[c[:-1]] + kept[c[-1]]) for c in marked)
         whole = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [whole(t) if p is None else b"".join(map(kept.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
 
