@@ -3,7 +3,8 @@
 Per host, the pages that contain a line are divided by all pages of the host; lines above a ratio are
 boilerplate and are dropped from that host's pages. Counting is a map-side combined aggregation over
 (host, line hash); the boilerplate lines of a host number at most (mean distinct lines a page) / ratio and
-come back as one array a host, so the texts themselves are never shuffled or exploded twice.
+come back as one array a host. Where Spark cannot measure that side as small enough to broadcast, the texts
+are shuffled once by host for it, and splitting a hot host is left to Spark's skew join.
 
 Edge cases: a null text stays null and counts as a page without lines; blank lines are neither counted nor
 dropped; a line is compared without the white space around it and counts once a page, however often it is
