@@ -27,8 +27,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
-#: Distinct text chunks whose ids a worker keeps.
-CACHE = 600_000
+#: Distinct text chunks whose ids a worker keeps; as many again wait for a second batch (about 160 bytes each).
+CACHE = 150_000
 #: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
 MARKS = frozenset(".,;:!?")
 
@@ -96,19 +96,24 @@ def chunks(text: str, loose, split) -> list[str]:
 def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
     """A function from texts to their ids as little-endian bytes; chunks already seen are not tokenised again.
 
-    New chunks of a batch are tokenised together, with a special token between them: the tokenizer takes it
-    out of the text first, so nothing is joined across it. Chunks met in a second batch are remembered, up to
-    `cache_size` of them; those met once are forgotten after as many others, so rare words don't crowd
-    out. A worker process keeps its encoder from task to task.
+    New chunks of a batch are tokenised together. A chunk behind the first of a text holds one space, its
+    first character, and no id crosses into it, so the ids that start with a space show where each begins.
+    Chunks met in a second batch are remembered, up to `cache_size` of them; those met once are forgotten
+    after as many others, so rare words don't crowd out. A worker process keeps its encoder from task to task.
     """
+    import os
     import re
 
     import numpy as np
+
+    #: A task has one core; the library's thread pool would take those of its neighbours.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    special = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items() if x.special}
-    between, between_id = next(iter(special.items()))
+    special = [x.content for x in tokenizer.get_added_tokens_decoder().values() if x.special]
+    opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
     loose, split = re.compile(r"\s ").search, re.compile(r"(?<=\S)(?= )").split
     recent: dict[str, bytes] = {}
 
@@ -118,15 +123,19 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
 
     kept = Kept()
 
+    def ids_of(texts: list[str]) -> list:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(x.ids, dtype="<u4") for x in found]
+
     def learn(unseen: list[str]) -> None:
-        for at in range(0, len(unseen), 1000):
-            part = unseen[at : at + 1000]
-            ids = np.asarray(tokenizer.encode(between.join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == between_id), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                recent[chunk] = raw[4 * start : 4 * end]
-                start = end + 1
+        behind = [c for c in unseen if c[:1] == " " and c.count(" ") == 1]
+        other = [c for c in unseen if c[:1] != " " or c.count(" ") != 1]
+        recent.update(zip(other, (ids.tobytes() for ids in ids_of(other)), strict=True))
+        portions = [behind[at : at + 1000] for at in range(0, len(behind), 1000)]
+        for part, ids in zip(portions, ids_of(["".join(p) for p in portions]), strict=True):
+            starts = np.append(np.flatnonzero(opens[ids]), len(ids)) * 4
+            raw, starts = ids.tobytes(), starts.tolist()
+            recent.update((c, raw[i:j]) for c, i, j in zip(part, starts[:-1], starts[1:], strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(recent) > cache_size:
@@ -143,8 +152,10 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
         fresh.update(part for c in marked for part in (c[:-1], c[-1]) if part not in recent and dict.get(kept, part) is None)
         learn(list(fresh))
         recent.update((c, kept[c[:-1]] + kept[c[-1]]) for c in marked)
-        whole = lambda t: np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(kept.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
+        return [
+            ids_of([t])[0].tobytes() if p is None else b"".join(map(kept.__getitem__, p))
+            for t, p in zip(texts, parts, strict=True)
+        ]
 
     return encode
 
