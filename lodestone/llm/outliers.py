@@ -4,8 +4,9 @@ Five transformed statistics describe a text: log of the mean word length, and th
 of the shares of symbols, capitals, duplicate lines and repeated words. Per language and source a minimum
 covariance determinant estimate is made: from the coordinatewise medians and absolute deviations, then by
 concentration steps, each of which takes mean and covariance of the `SHARE` nearest by Mahalanobis distance.
-Texts beyond `CUTOFF` are rejected. Groups below `MIN_GROUP` texts are pooled over the sources of their
-language; if that is still too few there is no verdict and the base rules decide alone.
+Texts beyond `CUTOFF` are rejected. Texts of groups below `MIN_GROUP` are judged by an estimate over all texts of
+their language, those of smaller sources and of larger ones; texts of languages below it, by one over all texts,
+however few. So every text with a word gets a verdict.
 
 All moments and quantiles are map-side combined aggregates over a narrow table of statistics, so a source
 with a third of all rows costs no more than others; the estimates (one row a group) are joined back by the
@@ -33,6 +34,8 @@ STEPS = 3
 FLOOR = 0.15
 CUTOFF = 120.0
 MIN_GROUP = 40
+#: The group of all texts.
+ALL = "\x02"
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -119,14 +122,24 @@ def with_vector(stats: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Give every row its group: language and source, or the language alone where those are too few."""
+    """Give every row its group (language and source; the language where those are too few; else all) and the groups it `feeds`."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     rows = rows.withColumns({"_lang": lang, "_source": source})
-    own = rows.where("x_length is not null").groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    rows = rows.join(own, ["_lang", "_source"], "left")
-    return rows.withColumn(
-        "group", F.when(F.col("_n") >= MIN_GROUP, F.concat_ws("\x01", "_lang", "_source")).otherwise(F.col("_lang"))
-    ).drop("_lang", "_source", "_n")
+    own = materialize(rows.where("x_length is not null").groupBy("_lang", "_source").agg(F.count("*").alias("_n")).coalesce(1))
+    langs = materialize(own.groupBy("_lang").agg(F.sum("_n").alias("_of_lang"), F.min("_n").alias("_least")).coalesce(1))
+    smallest = langs.agg(F.min("_of_lang")).first()[0]
+    rows = rows.join(own, ["_lang", "_source"], "left").join(langs, "_lang", "left")
+    alone, whole = F.col("_n") >= MIN_GROUP, F.col("_of_lang") >= MIN_GROUP
+    own_key = F.concat_ws("\x01", "_lang", "_source")
+    feeds = F.array_compact(
+        F.array(
+            F.when(alone, own_key),
+            F.when(whole & (F.col("_least") < MIN_GROUP), F.col("_lang")),
+            F.when(F.lit(smallest is not None and smallest < MIN_GROUP), F.lit(ALL)),
+        )
+    )
+    group = F.when(alone, own_key).when(whole, F.col("_lang")).otherwise(F.lit(ALL))
+    return rows.withColumns({"group": group, "feeds": feeds}).drop("_lang", "_source", "_n", "_of_lang", "_least")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -167,10 +180,10 @@ def _nearest(rows: DataFrame) -> DataFrame:
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """The robust estimate of every group of at least MIN_GROUP rows, written to the shared folder."""
-    rows = rows.where("x_length is not null").select("group", *STATISTICS)
+    """The robust estimate of every group that rows feed, written to the shared folder."""
+    rows = rows.where("x_length is not null").select(F.explode("feeds").alias("group"), *STATISTICS)
     middle = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATISTICS)))
-    middle = materialize(middle.where(F.col("n") >= MIN_GROUP).coalesce(1))
+    middle = materialize(middle.coalesce(1))
     apart = rows.join(middle, "group")
     spread = apart.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(STATISTICS)))
     spread = materialize(spread.coalesce(1))
@@ -181,7 +194,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     start = apart.join(spread, "group").withColumn("d2", total).select("group", *STATISTICS, "d2")
     estimate = materialize(_moments(_nearest(start)).coalesce(1))
     for _ in range(STEPS):
-        estimate = materialize(_moments(_nearest(_distance(rows.join(middle.select("group"), "group", "left_semi"), estimate))).coalesce(1))
+        estimate = materialize(_moments(_nearest(_distance(rows, estimate))).coalesce(1))
     return estimate
 
 
