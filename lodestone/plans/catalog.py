@@ -311,11 +311,19 @@ def number_negation(spark, d):
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS d FROM lineitem), p AS (SELECT a.d AS src, b.d AS dst, count(*) AS shared FROM m a JOIN m b ON a.e = b.e AND a.d < b.d GROUP BY ALL HAVING count(*) >= 2)
 SELECT src, dst, shared, round(least(1.0, 0.4 + 0.15 * shared)::DOUBLE, 6) AS weight FROM p""")
 def co_mention_edges(spark, d):
-    """Parts that share orders."""
+    """Parts that share two orders or more; `co_mention_edges_all` has every pair."""
     out = graph.co_mention_edges(load(spark, d, "lineitem"), "l_orderkey", "l_partkey", least=2)
     return out.select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
 
 
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS d FROM lineitem), p AS (SELECT a.d AS src, b.d AS dst, count(*) AS shared FROM m a JOIN m b ON a.e = b.e AND a.d < b.d GROUP BY ALL)
+SELECT src, dst, shared, round(least(1.0, 0.4 + 0.15 * shared)::DOUBLE, 6) AS weight FROM p""")
+def co_mention_edges_all(spark, d):
+    """Parts that share orders, an edge for every pair that shares one."""
+    out = graph.co_mention_edges(load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+    return out.select("src", "dst", "shared", F.round("weight", 6).alias("weight"))
+
+
 def _edges(spark, d):
     return load(spark, d, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10_000_000_000).alias("dst"), F.lit(1.0).alias("weight"))
 
