@@ -15,3 +15,18 @@ def test_every_pair_that_shares_an_order_is_an_edge(spark):
         orders.setdefault(order, []).append(part)
     want = {pair for parts in orders.values() for pair in combinations(sorted(parts), 2)}
     assert {(r["src"], r["dst"]) for r in catalog.QUERIES["co_mention_edges_all"](spark, FOLDER).collect()} == want
+
+
+def test_recall_of_ann_topk_as_registered(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import similarity
+
+    folder = "/root/testdata/sf0.1"
+    assert catalog.ANN_PROBES < 16
+    v = catalog._vectors(spark, folder)
+    asked = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    exact = {tuple(r) for r in similarity.vector_topk(v, asked, 10).select("query_id", "chunk_id").collect()}
+    near = {tuple(r) for r in catalog.QUERIES["ann_topk"](spark, folder).select("query_id", "chunk_id").collect()}
+    print("recall", len(exact & near), "of", len(exact))
+    assert len(exact & near) >= 0.9 * len(exact)
