@@ -15,22 +15,23 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.chunks import ChunkEncoder
 from lodestone.llm.shared import map_batches, materialize, table
 
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
-#: Distinct text chunks whose ids a worker keeps; as many again wait for a second batch (about 160 bytes each).
-CACHE = 150_000
+#: Text chunks of one generation whose ids a worker keeps; there are two generations (about 160 bytes a chunk).
+CACHE = 200_000
 #: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?#*$%&|<>"
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -87,82 +88,99 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return segments, sequence
 
 
-def chunks(text: str, loose, split) -> list[str]:
-    """Cut before every space that follows a non-space: a byte-level tokenizer never joins ids across these."""
-    return split(text) if "\0" in text or loose(text) else text.replace(" ", "\0 ").split("\0")
+def byte_symbols() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or one from 256 on."""
+    printable = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
 
 
 @lru_cache(maxsize=1)
-def id_encoder(tokenizer_path: str, cache_size: int = CACHE):
-    """A function from texts to their ids as little-endian bytes; chunks already seen are not tokenised again.
-
-    New chunks of a batch are tokenised together. A chunk behind the first of a text holds one space, its
-    first character, and no id crosses into it, so the ids that start with a space show where each begins.
-    Chunks met in a second batch are remembered, up to `cache_size` of them; those met once are forgotten
-    after as many others, so rare words don't crowd out. A worker process keeps its encoder from task to task.
+def id_encoder(tokenizer_path: str, cache_size: int = CACHE) -> ChunkEncoder:
+    """An encoder of texts, kept by a worker process from task to task.
+
+    The byte-level tokenizer first cuts a text into words (an optional space and letters, digits or other signs) and
+    never joins ids across them. Texts are cut before spaces and line ends that follow anything but white space, and
+    before spaces only where chunks would end in white space. A chunk that is a space or line end, letters and then
+    marks is three words at most, so the letters are encoded together with other chunks', without a search for
+    words. A text that spells a special token is one chunk.
     """
     import os
     import re
 
     import numpy as np
+    import pyarrow.compute as pc
 
     #: A task has one core; the library's thread pool would take those of its neighbours.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     special = [x.content for x in tokenizer.get_added_tokens_decoder().values() if x.special]
+    #: Ids that start with a space.
     opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-    loose, split = re.compile(r"\s ").search, re.compile(r"(?<=\S)(?= )").split
-    recent: dict[str, bytes] = {}
-
-    class Kept(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            return recent[chunk]
+    cut_spaces = re.compile(r"(?<=\S)(?= )").split
+    #: The same model behind a split at line ends, for words that are written as byte-level symbols already.
+    by_word = Tokenizer.from_file(tokenizer_path)
+    by_word.pre_tokenizer = CharDelimiterSplit("\n")
+    symbols = byte_symbols() | {10: "\n"}
 
-    kept = Kept()
-
-    def ids_of(texts: list[str]) -> list:
+    def ids_of(texts: list[str], tokenizer=tokenizer) -> list:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4") for x in found]
 
-    def learn(unseen: list[str]) -> None:
-        behind = [c for c in unseen if c[:1] == " " and c.count(" ") == 1]
-        other = [c for c in unseen if c[:1] != " " or c.count(" ") != 1]
-        recent.update(zip(other, (ids.tobytes() for ids in ids_of(other)), strict=True))
-        portions = [behind[at : at + 1000] for at in range(0, len(behind), 1000)]
-        for part, ids in zip(portions, ids_of(["".join(p) for p in portions]), strict=True):
-            starts = np.append(np.flatnonzero(opens[ids]), len(ids)) * 4
-            raw, starts = ids.tobytes(), starts.tolist()
-            recent.update((c, raw[i:j]) for c, i, j in zip(part, starts[:-1], starts[1:], strict=True))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(recent) > cache_size:
-            recent.clear()
-        parts = [None if any(x in t for x in special) else chunks(t, loose, split) for t in texts]
-        unseen = set().union(*(p for p in parts if p)) - kept.keys()
-        again = unseen & recent.keys()
-        if len(kept) < cache_size:
-            kept.update((c, recent.pop(c)) for c in again)
-        fresh = unseen - again
-        # A mark behind a letter is a token of its own, so a word with it needs the ids of both only.
-        marked = [c for c in fresh if c[-1:] in MARKS and c[-2:-1].isalpha()]
-        fresh.difference_update(marked)
-        fresh.update(part for c in marked for part in (c[:-1], c[-1]) if part not in recent and dict.get(kept, part) is None)
-        learn(list(fresh))
-        recent.update((c, kept[c[:-1]] + kept[c[-1]]) for c in marked)
+    def learn_words(words: list[str], between: str, starts: Callable, skip: int) -> Iterator[bytes]:
+        """Ids of single words; `starts` marks the ids at which one begins, of which the first `skip` are no part of it."""
+        portions = [between.join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+        for ids in ids_of([p.encode().decode("latin-1").translate(symbols) for p in portions], by_word):
+            raw, at = ids.tobytes(), (np.flatnonzero(starts(ids)) * 4).tolist()
+            at = [-4, *at] if skip else at
+            yield from (raw[i + 4 * skip : j] for i, j in zip(at, [*at[1:], len(raw)], strict=True))
+
+    space = ids_of([" "])[0][0]
+    line_end = ids_of(["\n"])[0].tobytes()
+
+    def learn(unseen: list[str]) -> list[bytes]:
+        cores = [c.rstrip(MARKS) for c in unseen]
+        spaced, led, whole = set(), set(), set()
+        for c, core in zip(unseen, cores, strict=True):
+            word = core[1:]
+            if word.isalpha() and (core[0] == " " or core[0] == "\n"):
+                if core[0] == " ":
+                    spaced.add(core)
+                else:
+                    led.add(word)
+                if core is not c:
+                    whole.add(c[len(core) :])
+            else:
+                whole.add(c)
+        spaced, led, whole = list(spaced), list(led), list(whole)
+        got = dict(zip(spaced, learn_words(spaced, "\n", opens.__getitem__, 0), strict=True))
+        got.update(zip(("\n" + w for w in led), (line_end + ids for ids in learn_words(led, "\n \n", space.__eq__, 1)), strict=True))
+        rest = dict(zip(whole, (ids.tobytes() for ids in ids_of(whole)), strict=True))
+        known = map(got.get, cores)
         return [
-            ids_of([t])[0].tobytes() if p is None else b"".join(map(kept.__getitem__, p))
-            for t, p in zip(texts, parts, strict=True)
+            rest[c] if ids is None else ids if core is c else ids + rest[c[len(core) :]] for c, core, ids in zip(unseen, cores, known, strict=True)
         ]
 
-    return encode
+    def mark(text: str) -> str | None:
+        if "\0" in text or any(x in text for x in special):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n")
+
+    def split(text: str) -> list[str]:
+        return [text] if any(x in text for x in special) else cut_spaces(text)
 
+    def unsafe(chunks):
+        return pc.match_substring_regex(chunks, r"[\s\x1c-\x1f\x{85}\pZ]$")
 
-def cut(ids: bytes, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces: all full but the first, if there is more than one."""
-    n = len(ids) // 4
+    return ChunkEncoder(mark, unsafe, split, learn, cache_size)
+
+
+def cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n ids: all full but the first, if there is more than one."""
     first = n if n <= capacity else n % capacity or capacity
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
@@ -173,21 +191,20 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        encode = id_encoder(tokenizer_path)
+        encoder = id_encoder(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            coded = encode([t or "" for t in batch["text"].tolist()])
+            coded = encoder.encode([t or "" for t in batch["text"].tolist()])
             for doc_id, ids in zip(batch["doc_id"].tolist(), coded, strict=True):
-                ids += end
-                for piece, (start, length) in enumerate(cut(ids, capacity)):
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                raw = ids.tobytes() + end
+                for piece, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
+                    rows.append((doc_id, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, rows=2000)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -225,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out["offset"] = known[at, 4] + (inside % each) * length
             yield out
 
-    return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+    return map_batches(ranked, place, schema + ", sequence_id long, offset long", rows=65536)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

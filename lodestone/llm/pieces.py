@@ -11,20 +11,22 @@ segmentations the one whose last differing piece is longer wins. Spaces become U
 front, as the model asks for; nothing else is normalised, so decoding gives the text back, except that a
 U+2581 in the text itself comes back as a space.
 
-Edge cases: a null or empty text has no ids; texts of any length, with or without spaces, take memory for
-what is not yet committed only; repeated rows give repeated results; an empty table gives an empty result;
-further columns are ignored.
+Edge cases: a null or empty text has no ids; a row's whole text, ids and decoded text are held while it is worked
+on, the search itself holds what is not yet committed only, with or without spaces; null ids stay null and ids keep
+all their bits beside them; repeated rows give repeated results; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chunks import ChunkEncoder
 from lodestone.llm.shared import map_batches, table
 
 MARK = "▁"
@@ -32,8 +34,9 @@ MARK = "▁"
 
 @dataclass
 class Vocabulary:
-    pieces: dict[str, tuple[int, float]]
-    prefixes: frozenset[str]
+    """Pieces as a trie: a node maps a character to the next node, and "" to the (id, score) of the piece ending there."""
+
+    trie: dict
     longest: int
     byte_ids: list[int]
     fallback: float
@@ -45,7 +48,8 @@ class Vocabulary:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        pieces, text_of, byte_ids = {}, [], [0] * 256
+        trie, text_of, byte_ids = {}, [], [0] * 256
+        low, longest, inner = 0.0, 1, False
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -54,16 +58,36 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 text_of.append(b"")
             else:
-                pieces[piece] = (i, model.get_score(i))
+                node = trie
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = (i, model.get_score(i))
+                low, longest, inner = min(low, node[""][1]), max(longest, len(piece)), inner or MARK in piece.lstrip(MARK)
                 text_of.append(piece.replace(MARK, " ").encode())
-        prefixes = frozenset(p[:n] for p in pieces for n in range(1, len(p) + 1))
-        low = min((s for _, s in pieces.values()), default=0.0) - 10
-        inner = any(MARK in p.lstrip(MARK) for p in pieces)
-        return cls(pieces, prefixes, max(map(len, pieces), default=1), byte_ids, low, text_of, not inner)
+        return cls(trie, longest, byte_ids, low - 10, text_of, not inner)
+
+    def piece(self, text: str) -> tuple[int, float] | None:
+        node = self.trie
+        for c in text:
+            node = node.get(c)
+            if node is None:
+                return None
+        return node.get("")
+
+
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a model file; a worker process keeps it from task to task."""
+    return Vocabulary.load(path)
 
 
 class StreamingViterbi:
-    """Feed text in any portions; `feed` returns the ids that are settled, `finish` the rest."""
+    """Feed text in any portions; `feed` returns the ids that are settled, `finish` the rest.
+
+    What is held: the characters since the last committed boundary, and for each of their positions the best score
+    and the edge it came by. Positions before `done` have had their outgoing edges laid; a piece reaches at most
+    `longest` characters on, so paths survive in a window of that length only.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -75,35 +99,36 @@ class StreamingViterbi:
 
     def _lay(self, upto: int) -> None:
         """Extend every path from each position by all pieces that start there."""
-        text, v, best, back = self.text, self.v, self.best, self.back
-        while self.done < upto:
-            i = self.done
+        text, trie, best, back, end = self.text, self.v.trie, self.best, self.back, len(self.text)
+        best += [None] * (min(end, upto + self.v.longest) + 1 - len(best))
+        back += [None] * (len(best) - len(back))
+        for i in range(self.done, upto):
             here = best[i]
-            while len(best) < min(len(text), i + v.longest) + 1:
-                best.append(None)
-                back.append(None)
-            if here is not None:
-                single = False
-                for n in range(1, min(v.longest, len(text) - i) + 1):
-                    part = text[i : i + n]
-                    if part not in v.prefixes:
-                        break
-                    if (found := v.pieces.get(part)) is not None:
-                        single |= n == 1
-                        self._offer(i, i + n, here + found[1], found[0])
-                if not single:
-                    self._offer(i, i + 1, here + v.fallback, -1)
-            self.done += 1
-
-    def _offer(self, at: int, to: int, score: float, piece: int) -> None:
-        if self.best[to] is None or score > self.best[to]:
-            self.best[to], self.back[to] = score, (at, piece)
+            if here is None:
+                continue
+            node, to, single = trie, i, False
+            while to < end and (node := node.get(text[to])) is not None:
+                to += 1
+                if "" in node:
+                    piece, score = node[""]
+                    single |= to == i + 1
+                    score += here
+                    if best[to] is None or score > best[to]:
+                        best[to], back[to] = score, (i, piece)
+            if not single:
+                score = here + self.v.fallback
+                if best[i + 1] is None or score > best[i + 1]:
+                    best[i + 1], back[i + 1] = score, (i, -1)
+        self.done = max(self.done, upto)
 
     def _ids(self, at: int) -> list[int]:
         out: list[int] = []
         while at:
             start, piece = self.back[at]
-            out += reversed([self.v.byte_ids[b] for b in self.text[start:at].encode()]) if piece < 0 else (piece,)
+            if piece < 0:
+                out += reversed([self.v.byte_ids[b] for b in self.text[start:at].encode()])
+            else:
+                out.append(piece)
             at = start
         return out[::-1]
 
@@ -135,7 +160,7 @@ class StreamingViterbi:
     def finish(self) -> list[int]:
         self._lay(len(self.text))
         ids = self._ids(len(self.text))
-        self.__init__(self.v)
+        self.text, self.done, self.best, self.back = "", 0, [0.0], [None]
         return ids
 
 
@@ -152,46 +177,56 @@ def decode(ids: Iterable[int], v: Vocabulary) -> str:
     return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-def stretches(text: str, loose, split) -> list[str]:
-    """Cut a marked text before every mark that follows something else."""
-    if loose(text):
-        return split(text)
-    return text.replace(MARK, "\0" + MARK).split("\0")[1:] if "\0" not in text else split(text)
+@lru_cache(maxsize=1)
+def stretch_encoder(model_path: str, cache_size: int) -> ChunkEncoder:
+    """An encoder of texts by stretches, kept by a worker process from task to task.
 
+    In a vocabulary whose pieces hold marks at their start only, all paths run through the position before a mark
+    that follows something else: what lies between two of them is committed there, and can be remembered.
+    """
+    import re
 
-def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 150_000) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text of every row; one narrow pass."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def run(batches: Iterator) -> Iterator:
-        import re
+    v = vocabulary(model_path)
+    search, cut = StreamingViterbi(v), re.compile(f"(?<=[^{MARK}])(?={MARK})").split
 
-        import numpy as np
-        import pandas as pd
+    def learn(unseen: list[str]) -> list[bytes]:
+        return [np.asarray(search.feed(part) + search.finish(), dtype="<u4").tobytes() for part in unseen]
 
-        v = Vocabulary.load(model_path)
-        loose, split = re.compile(f"{MARK}{MARK}").search, re.compile(f"(?<=[^{MARK}])(?={MARK})").split
-        search = StreamingViterbi(v)
+    def mark(text: str) -> str | None:
+        if "\0" in text or MARK in text or not v.marks_only_first:
+            return None
+        return MARK + text.replace(" ", "\0" + MARK) if text else ""
 
-        class Seen(dict):
-            def __missing__(self, part: str) -> bytes:
-                ids = np.asarray(search.feed(part) + search.finish(), dtype="<u4").tobytes()
-                if len(self) < cache_size and len(part) < 64:
-                    self[part] = ids
-                return ids
+    def split(text: str) -> list[str]:
+        marked = MARK + text.replace(" ", MARK) if text else ""
+        return cut(marked) if v.marks_only_first else [marked]
+
+    def unsafe(parts):
+        return pc.ends_with(parts, MARK) if len(parts) else pa.array([], pa.bool_())
+
+    return ChunkEncoder(mark, unsafe, split, learn, cache_size)
+
+
+def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 200_000) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text of every row; one narrow pass."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
 
-        seen = Seen()
+        v, encoder = vocabulary(model_path), stretch_encoder(model_path, cache_size)
         for batch in batches:
             all_ids, back = [], []
-            for text in batch["text"].tolist():
-                marked = MARK + text.replace(" ", MARK) if text else ""
-                parts = (stretches(marked, loose, split) if v.marks_only_first else [marked]) if text else []
-                ids = b"".join(map(seen.__getitem__, parts))
-                all_ids.append(ids)
-                back.append(decode(np.frombuffer(ids, dtype="<u4").tolist(), v))
+            for ids in encoder.encode([t or "" for t in batch["text"].tolist()]):
+                all_ids.append(ids.tobytes())
+                back.append(decode(ids.tolist(), v))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": all_ids, "decoded": back, "text": batch["text"]})
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(picked, run, "doc_id long, ids binary, decoded string, text string")
+    return map_batches(picked, run, "doc_id long, ids binary, decoded string, text string", rows=2000)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

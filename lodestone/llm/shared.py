@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of one block when a bucket of similarity candidates is split.
 BLOCK = 1024
+#: Bytes of files up to which a measured side of a join is broadcast, and the salts of a hot key beyond.
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read.
+    """A new folder below spark.checkpoint.dir, which every executor can read, deleted when the driver ends.
 
-    Where that setting is missing (tests, a single machine) a local folder is set once for the session.
+    Where that setting is missing, a session on one machine (tests) gets a local folder; a cluster has no folder
+    that all executors can read, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = f"file://{tempfile.mkdtemp(prefix='lodestone-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and lost executors lose nothing."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,12 +56,63 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, work: Callable, schema: str, rows: int = 500) -> DataFrame:
-    """mapInPandas in batches of few rows and bytes, so that whole texts of any length fit a worker's memory."""
+def frame(batch):
+    """A pandas frame of an Arrow batch; integers beside nulls stay integers of 64 bits, with pandas' NA for null."""
+    import pandas as pd
+    import pyarrow as pa
+
+    whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
+    columns = (c.to_pandas(types_mapper=whole.get) if c.null_count else c.to_pandas() for c in batch.columns)
+    return pd.DataFrame(dict(zip(batch.schema.names, columns, strict=True)))
+
+
+def map_batches(df: DataFrame, work: Callable, schema: str | StructType, rows: int = 500) -> DataFrame:
+    """Stream pandas frames of at most `rows` rows through `work`, which yields frames with the columns of `schema`.
+
+    Ids keep all their 64 bits beside nulls (see `frame`). Where the session does not set the bytes of an Arrow
+    batch, 16 MB are set, so that whole texts of any length fit a worker's memory.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    written = to_arrow_schema(kind)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def frames() -> Iterator:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield frame(batch.slice(at, rows))
+
+        for out in work(frames()):
+            yield pa.RecordBatch.from_pandas(out, schema=written, preserve_index=False)
+
+    return df.mapInArrow(run, kind)
+
+
+def join_measured(rows: DataFrame, side: DataFrame, match: Column, how: str = "left", bound: int = BROADCAST_BYTES, salt: Column | None = None) -> DataFrame:
+    """Join `rows` with a written table `side` of distinct keys, whatever share of the rows one key holds.
+
+    `side` is broadcast if the bytes of its files, measured now, are within `bound`. Else it is repeated once for
+    each of `SALTS` salts, of which each row has one by its `salt` columns, so a key is dealt over as many tasks.
+    """
+    if stored_bytes(side) <= bound:
+        return rows.join(F.broadcast(side), match, how)
+    salted = rows.withColumn("_salt", F.pmod(salt if salt is not None else F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    spread = side.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, match & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a materialized table."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df.mapInPandas(work, schema)
+    hadoop, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(hadoop).getContentSummary(path).getLength()
+    return total
 
 
 def fold(key: str, folds: int) -> Column:
@@ -71,17 +135,24 @@ def hashed_share(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataFra
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 24)) < int((1 << 24) * bound / n))
 
 
+def sampled_ids(keys: DataFrame, bound: int, seed: int = 17) -> DataFrame:
+    """At most `bound` distinct ids of a table (doc_id, ...), the same ones on every run: those first by hash."""
+    picked = hashed_share(keys, "doc_id", bound, seed).dropDuplicates(["doc_id"])
+    return picked.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(bound)
+
+
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int, bound: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most about `bound` labelled documents outside the held-out fold, on the driver.
 
     The sampled ids number `bound` at most (that is what is broadcast), so the documents are scanned once
-    and never shuffled. Rows with a null id, a null text or a null label teach nothing.
+    and never shuffled. Rows with a null id, a null text or a null label teach nothing, nor do ids whose labels
+    contradict each other. Of equal texts under one id one is taken.
     """
     labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    labels = labels.where(fold("doc_id", folds) != held_out).select("doc_id", F.col(label).cast("int").alias("y"))
-    picked = hashed_share(labels, "doc_id", bound).dropDuplicates(["doc_id"]).limit(bound)
+    labels = labels.where(fold("doc_id", folds) != held_out).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("most"))
+    picked = sampled_ids(labels.where("y = most").select("doc_id", "y"), bound)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = docs.join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.join(F.broadcast(picked), "doc_id").toPandas().drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["y"].tolist()
 
 

@@ -260,8 +260,8 @@ def test_pieces(docs, none):
         text = pieces.MARK + text.replace(" ", pieces.MARK)
         best = [(0.0, 0, [])] + [None] * len(text)
         for i in range(len(text)):
-            edges = [(n, v.pieces[text[i : i + n]]) for n in range(1, v.longest + 1) if i + n <= len(text) and text[i : i + n] in v.pieces]
-            if text[i] not in v.pieces:
+            edges = [(n, v.piece(text[i : i + n])) for n in range(1, v.longest + 1) if i + n <= len(text) and v.piece(text[i : i + n])]
+            if not v.piece(text[i]):
                 edges.append((1, (-1, v.fallback)))
             for n, (piece, score) in edges:
                 if best[i + n] is None or best[i][0] + score > best[i + n][0]:
