@@ -8,8 +8,9 @@ in segments of `SEGMENT` bytes that start from a zero state; the positions of al
 Labels are learned from at most `bound` documents (a documented parameter).
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; a null or empty table of labels
-makes everything `und`; very long texts are read in slices of bounded memory; repeated rows get equal
-results; an empty table gives an empty result; further columns are ignored.
+makes everything `und`; very long texts are read in slices of bounded memory; of languages with equal probability
+the first by name is given; null ids stay null; repeated rows get equal results; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import fold, hashed_share, map_batches, table
+from lodestone.llm.shared import fold, map_batches, sampled_ids, table
 
 BOUND = 3000
 FOLDS, HELD_OUT = 3, 1
@@ -220,8 +221,9 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str, bound: int = BOUND) -> ByteGRU | None:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    ids = hashed_share(known.select("doc_id"), "doc_id", bound).dropDuplicates(["doc_id"]).limit(bound)
-    rows = known.where("text is not null").join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    ids = sampled_ids(known.select("doc_id"), bound)
+    rows = known.where("text is not null").join(F.broadcast(ids), "doc_id").toPandas()
+    rows = rows.drop_duplicates(["doc_id", "text", "lang"]).sort_values(["doc_id", "text", "lang"])
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 

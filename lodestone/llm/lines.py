@@ -1,16 +1,20 @@
 """Line dedup by site-relative frequency.
 
-Per host, the pages that contain a line are divided by all pages of the host; lines above a ratio are
-boilerplate and are dropped from that host's pages. Counting is a map-side combined aggregation over
-(host, line hash); the boilerplate lines of a host number at most (mean distinct lines a page) / ratio and
-come back as one array a host. Where Spark cannot measure that side as small enough to broadcast, the texts
-are shuffled once by host for it, and splitting a hot host is left to Spark's skew join.
+Per host, the pages that contain a line are divided by all pages of the host; lines above a ratio are boilerplate
+and are dropped from that host's pages. The ratio is that of the other pages, seen from a page that has the line:
+a line on k of n pages is dropped if (k - 1) > ratio * (n - 1 + prior). `prior` counts as pages without the line,
+so on hosts of few pages chance repeats don't decide, and a line on one page only is never dropped; with prior 0
+the rule is the plain ratio among the other pages. It is one formula for hosts of all sizes.
+
+Counting is a map-side combined aggregation over (host, line hash); the boilerplate lines of a host number at most
+(mean distinct lines a page) / ratio and come back as one array a host, whose measured size decides whether it is
+broadcast; beyond the bound hosts are salted, so a hot one is dealt over tasks. Lines are told apart by a 64-bit hash.
 
 Edge cases: a null text stays null and counts as a page without lines; blank lines are neither counted nor
 dropped; a line is compared without the white space around it and counts once a page, however often it is
-repeated there; hosts of fewer than `min_pages` pages keep all lines, as no ratio can be told; a null host
-is a host of its own; a page that is boilerplate throughout becomes an empty text; ids may repeat and
-every row counts as a page; an empty table gives an empty result; all other columns are kept.
+repeated there; a line at exactly the ratio stays; a null host is a host of its own; a page that is boilerplate
+throughout becomes an empty text; ids may repeat and every row counts as a page; an empty table gives an empty
+result; all other columns are kept, whatever their names, but for n_dropped, which is replaced.
 """
 
 from __future__ import annotations
@@ -18,11 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import table
+from lodestone.llm.shared import join_measured, materialize, table
 
 RATIO = 0.08
-MIN_PAGES = 20
-MIN_LINE_PAGES = 5
+PRIOR = 20
 _EDGES = " \t\r\x0b\x0c"
 
 
@@ -30,28 +33,35 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_EDGES)))
 
 
-def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_line_pages: int = MIN_LINE_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, prior: int = PRIOR) -> DataFrame:
     """One row per host that has boilerplate: host, drop (hashes of its boilerplate lines)."""
+    pages = pages.select(F.col(_quoted(host)).alias("host"), F.col("text").cast("string").alias("text"))
     lines = F.array_distinct(F.transform(F.split("text", "\n"), _key))
-    found = pages.select(F.col(host).alias("host"), F.explode(lines).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
-    per_line = found.groupBy("host", "line").agg(F.count("*").alias("on_pages")).where(F.col("on_pages") >= min_line_pages)
-    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    common = per_line.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    common = common.where(F.col("on_pages") > ratio * F.col("pages"))
+    found = pages.select("host", F.explode(lines).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
+    per_line = found.groupBy("host", "line").agg(F.count("*").alias("on_pages")).where("on_pages > 1")
+    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
+    common = per_line.join(totals, F.col("host").eqNullSafe(F.col("of")))
+    common = common.where(F.col("on_pages") - 1 > ratio * (F.col("pages") - 1 + prior))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, **parameters) -> DataFrame:
     """`pages` with boilerplate lines taken out of `text`, and n_dropped added."""
-    known = boilerplate(pages, host, **parameters).withColumnsRenamed({"host": "_host", "drop": "_drop"})
-    joined = pages.join(known, F.col(host).eqNullSafe(F.col("_host")), "left")
+    held = [c for c in pages.columns if c not in ("text", "n_dropped")]
+    packed = pages.select(F.struct(*(F.col(_quoted(c)) for c in held)).alias("row"), F.col("text").cast("string").alias("text"))
+    known = materialize(boilerplate(pages, host, **parameters))
+    match = F.col("row")[host].eqNullSafe(F.col("host"))
+    joined = join_measured(packed, known, match, salt=F.xxhash64("text"))
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _key(line)))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
-    return joined.withColumns({"_text": text, "n_dropped": dropped.cast("long")}).select(
-        *(F.col("_text").alias("text") if c == "text" else F.col(c) for c in pages.columns if c != "n_dropped"), "n_dropped"
-    )
+    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("drop"), _key(line)))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
+    out = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in pages.columns if c != "n_dropped"]
+    return joined.select(*out, dropped.cast("long").alias("n_dropped"))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +74,12 @@ WITH lines AS (
   SELECT DISTINCT rid, source, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
   FROM (SELECT row_number() OVER () AS rid, source, unnest(string_split(text, chr(10))) AS line FROM documents)
 ), totals AS (
-  SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= {MIN_PAGES}
+  SELECT source, count(*) AS pages FROM documents GROUP BY source
 ), common AS (
   SELECT l.source, l.line
   FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
   WHERE l.line <> '' GROUP BY l.source, l.line, t.pages
-  HAVING count(*) >= {MIN_LINE_PAGES} AND count(*) > {RATIO}::DOUBLE * t.pages
+  HAVING count(*) - 1 > {RATIO}::DOUBLE * (t.pages - 1 + {PRIOR})
 ), gone AS (SELECT source, list(line) AS lines FROM common GROUP BY source),
 parts AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS all_lines, coalesce(g.lines, []) AS gone

@@ -1,41 +1,74 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
-Five transformed statistics describe a text: log of the mean word length, and the inverse hyperbolic sines
-of the shares of symbols, capitals, duplicate lines and repeated words. Per language and source a minimum
-covariance determinant estimate is made: from the coordinatewise medians and absolute deviations, then by
-concentration steps, each of which takes mean and covariance of the `SHARE` nearest by Mahalanobis distance.
-Texts beyond `CUTOFF` are rejected. Texts of groups below `MIN_GROUP` are judged by an estimate over all texts of
-their language, those of smaller sources and of larger ones; texts of languages below it, by one over all texts,
-however few. So every text with a word gets a verdict.
-
-All moments and quantiles are map-side combined aggregates over a narrow table of statistics, so a source
-with a third of all rows costs no more than others; the estimates (one row a group) are joined back by the
-plain plan, which broadcasts them only if their measured size allows.
-
-Edge cases: a null text has no words and fails the base rules; null languages and sources are groups of
-their own; statistics without spread get a floor on their deviation; texts of any length are taken whole;
-repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
+Five transformed statistics describe a text: log of the mean word length, and the inverse hyperbolic sines of the
+shares of symbols, capitals, duplicate lines and repeated words. Per language and source a minimum covariance
+determinant estimate is made: from several starts (the texts nearest to the coordinatewise medians, and two draws of
+about `DRAWN` texts by hash) concentration steps take mean and covariance of the `SHARE` nearest by Mahalanobis
+distance until no determinant falls any more, and the start of least determinant is kept. The covariance is scaled by
+the consistency factor of that share at the normal law. Texts beyond the chi-square quantile of tail `TAIL` on five
+degrees are rejected; the tail is that small because the statistics have heavier tails than a normal law.
+
+The same is done per language and over all texts, and each estimate is drawn to the next wider one as by `PRIOR`
+texts of it against the group's own beyond `NEEDED` (fewer don't make a robust estimate): in a group of thousands this
+does nothing, a small one is judged by its language, a small language by all texts, and the weight passes without a
+jump from the one to the other. Every text with a word gets a verdict.
+
+All moments and quantiles are map-side combined aggregates over a narrow table of statistics, so a source with a third
+of all rows costs no more than others. The estimates (one row a group) are joined back by broadcast if their measured
+size allows, else on a salt too (see `join_measured`).
+
+Edge cases: a null text has no words and fails the base rules; null languages and sources are groups of their own;
+statistics without spread get a floor on their deviation; texts of any length are taken whole; repeated rows are
+judged alike; a text at exactly the cutoff is kept; null ids stay null; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize, table
+from lodestone.llm.shared import join_measured, materialize, table
 
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 STATISTICS = ("x_length", "x_symbols", "x_capitals", "x_lines", "x_repeats")
-#: Share of a group that a concentration step keeps, and how many steps are made.
+#: Share of a group that a concentration step keeps, texts of a drawn start, and the most steps that are made.
 SHARE = 0.75
-STEPS = 3
-#: Least standard deviation of a statistic, and the squared distance beyond which a text is rejected.
+DRAWN = 12
+STARTS = (0, 1, 2)
+STEPS = 10
+#: An estimate counts by its texts beyond five a statistic, against `PRIOR` texts of the next wider group.
+NEEDED, PRIOR = 25, 40
+#: Least standard deviation of a statistic, and the chi-square tail beyond which a text is rejected.
 FLOOR = 0.15
-CUTOFF = 120.0
-MIN_GROUP = 40
-#: The group of all texts.
-ALL = "\x02"
+TAIL = 1e-16
+#: Level 2 is a language and source, 1 a language, 0 all texts.
+GROUP = ["level", "lang_key", "source_key"]
+RUN = [*GROUP, "start"]
+
+
+def chi_square_tail(x: float, degrees: int) -> float:
+    """Upper tail of the chi-square law of odd degrees."""
+    tail, half = math.erfc(math.sqrt(x / 2)), x / 2
+    for k in range(1, degrees, 2):
+        tail += half ** (k / 2) * math.exp(-half) / math.gamma(k / 2 + 1)
+    return tail
+
+
+def chi_square_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_tail(mid, degrees) > tail else (low, mid)
+    return high
+
+
+#: What the covariance of the nearest `SHARE` of a normal law is to be multiplied by.
+CONSISTENCY = SHARE / (1 - chi_square_tail(chi_square_quantile(1 - SHARE, len(STATISTICS)), len(STATISTICS) + 2))
+CUTOFF = chi_square_quantile(TAIL, len(STATISTICS))
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -121,33 +154,21 @@ def with_vector(stats: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Give every row its group (language and source; the language where those are too few; else all) and the groups it `feeds`."""
-    lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
-    rows = rows.withColumns({"_lang": lang, "_source": source})
-    own = materialize(rows.where("x_length is not null").groupBy("_lang", "_source").agg(F.count("*").alias("_n")).coalesce(1))
-    langs = materialize(own.groupBy("_lang").agg(F.sum("_n").alias("_of_lang"), F.min("_n").alias("_least")).coalesce(1))
-    smallest = langs.agg(F.min("_of_lang")).first()[0]
-    rows = rows.join(own, ["_lang", "_source"], "left").join(langs, "_lang", "left")
-    alone, whole = F.col("_n") >= MIN_GROUP, F.col("_of_lang") >= MIN_GROUP
-    own_key = F.concat_ws("\x01", "_lang", "_source")
-    feeds = F.array_compact(
-        F.array(
-            F.when(alone, own_key),
-            F.when(whole & (F.col("_least") < MIN_GROUP), F.col("_lang")),
-            F.when(F.lit(smallest is not None and smallest < MIN_GROUP), F.lit(ALL)),
-        )
-    )
-    group = F.when(alone, own_key).when(whole, F.col("_lang")).otherwise(F.lit(ALL))
-    return rows.withColumns({"group": group, "feeds": feeds}).drop("_lang", "_source", "_n", "_of_lang", "_least")
+def _sums() -> list[Column]:
+    """Number, means m_i and second moments q_ij of the statistics."""
+    d = len(STATISTICS)
+    sums = [F.count("*").alias("n")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
+    return sums + [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """One row a group: n, means m_i and the rows of the inverse Cholesky factor of the covariance, by forward elimination."""
+def _moment_names() -> list[str]:
     d = len(STATISTICS)
-    sums = [F.count("*").alias("n")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
-    sums += [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = rows.groupBy("group").agg(*sums)
+    return [f"m{i}" for i in range(d)] + [f"q{i}{j}" for i in range(d) for j in range(i + 1)]
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """Add the Cholesky factor c_ij of the covariance, floor included, and its log determinant."""
+    d, out = len(STATISTICS), moments
     for i in range(d):
         for j in range(i + 1):
             cov = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
@@ -155,15 +176,14 @@ def _moments(rows: DataFrame) -> DataFrame:
                 cov = F.greatest(cov, F.lit(0.0)) + FLOOR * FLOOR
             for k in range(j):
                 cov = cov - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
-            value = F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"c{j}{j}")
-            out = out.withColumn(f"c{i}{j}", value)
-    return out.select("group", "n", *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i in range(d) for j in range(i + 1)))
+            out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"c{j}{j}"))
+    return out.withColumn("logdet", 2 * sum((F.log(f"c{i}{i}") for i in range(1, d)), F.log("c00")))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distances by forward substitution; null where a group has no estimate."""
+def _distance(rows: DataFrame, estimate: DataFrame, key: list[str]) -> DataFrame:
+    """Squared Mahalanobis distances by forward substitution to written estimates; null where there is none."""
     d = len(STATISTICS)
-    out = rows.join(estimate, "group", "left")
+    out = join_measured(rows, estimate.select(*key, *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i in range(d) for j in range(i + 1))), key)
     for i, x in enumerate(STATISTICS):
         y = F.col(x) - F.col(f"m{i}")
         for k in range(i):
@@ -173,36 +193,74 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """The share of every group that lies nearest."""
-    limits = rows.groupBy("group").agg(F.percentile_approx("d2", SHARE).alias("limit"))
-    return rows.join(limits, "group").where("d2 <= limit")
+def _moments_of_nearest(rows: DataFrame) -> DataFrame:
+    """Moments and factors of the share of every run that lies nearest, written to the shared folder."""
+    limits = materialize(rows.groupBy(*RUN).agg(F.percentile_approx("d2", SHARE, 1000).alias("limit")))
+    near = join_measured(rows, limits, RUN, "inner").where("d2 <= limit")
+    return materialize(_factored(near.groupBy(*RUN).agg(*_sums())))
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """The robust estimate of every group that rows feed, written to the shared folder."""
-    rows = rows.where("x_length is not null").select(F.explode("feeds").alias("group"), *STATISTICS)
-    middle = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATISTICS)))
-    middle = materialize(middle.coalesce(1))
-    apart = rows.join(middle, "group")
-    spread = apart.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(STATISTICS)))
-    spread = materialize(spread.coalesce(1))
+def _starts(members: DataFrame) -> DataFrame:
+    """The first estimate of every run."""
+    middle = [F.percentile_approx(x, 0.5).alias(f"p{i}") for i, x in enumerate(STATISTICS)]
+    middle = materialize(members.groupBy(*GROUP).agg(F.count("*").alias("size"), *middle))
+    apart = join_measured(members, middle, GROUP)
+    spread = [F.percentile_approx(F.abs(F.col(x) - F.col(f"p{i}")), 0.5).alias(f"s{i}") for i, x in enumerate(STATISTICS)]
+    spread = materialize(apart.groupBy(*GROUP).agg(*spread))
     total = F.lit(0.0)
     for i, x in enumerate(STATISTICS):
-        z = (F.col(x) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOOR))
+        z = (F.col(x) - F.col(f"p{i}")) / F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOOR))
         total = total + z * z
-    start = apart.join(spread, "group").withColumn("d2", total).select("group", *STATISTICS, "d2")
-    estimate = materialize(_moments(_nearest(start)).coalesce(1))
+    first = join_measured(apart, spread, GROUP).withColumns({"d2": total, "start": F.lit(STARTS[0])}).select(*RUN, *STATISTICS, "d2")
+    draw = F.pmod(F.xxhash64("start", "doc_id", *STATISTICS), F.lit(1 << 30)) * F.col("size") < DRAWN * (1 << 30)
+    drawn = apart.withColumn("start", F.explode(F.array(*map(F.lit, STARTS[1:])))).where(draw)
+    return _moments_of_nearest(first).unionByName(materialize(_factored(drawn.groupBy(*RUN).agg(*_sums()))))
+
+
+def minimum_covariance(rows: DataFrame) -> DataFrame:
+    """The estimate of least determinant of every group that rows (lang_key, source_key, statistics) belong to."""
+    none = F.lit("")
+    levels = F.array(
+        F.struct(F.lit(0).alias("level"), none.alias("lang_key"), none.alias("source_key")),
+        F.struct(F.lit(1).alias("level"), F.col("lang_key"), none.alias("source_key")),
+        F.struct(F.lit(2).alias("level"), F.col("lang_key"), F.col("source_key")),
+    )
+    members = rows.where("x_length is not null").select(F.explode(levels).alias("g"), "doc_id", *STATISTICS).select("g.*", "doc_id", *STATISTICS)
+    now = materialize(_starts(members))
+    runs = members.withColumn("start", F.explode(F.array(*map(F.lit, STARTS))))
+    held = [c for c in now.columns if c not in RUN]
     for _ in range(STEPS):
-        estimate = materialize(_moments(_nearest(_distance(rows, estimate))).coalesce(1))
-    return estimate
+        fresh = _moments_of_nearest(_distance(runs, now, RUN).where("d2 is not null"))
+        both = now.withColumn("new", F.lit(0)).unionByName(fresh.withColumn("new", F.lit(1)))
+        # Steps can't raise a determinant but for the rounding of quantiles; a run that does not fall has converged.
+        best = both.groupBy(*RUN).agg(F.min_by(F.struct(*held), F.struct(F.round("logdet", 9), "new")).alias("b"), (F.max_by("logdet", F.lit(0) - F.col("new")) - F.min("logdet")).alias("fell"))
+        best = materialize(best)
+        now = best.select(*RUN, "b.*")
+        if not best.where("fell > 1e-6").head(1):
+            break
+    return materialize(now.groupBy(*GROUP).agg(F.min_by(F.struct(*held), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*"))
+
+
+def _drawn_to_wider(estimates: DataFrame) -> DataFrame:
+    """Estimates of languages and sources, drawn to those of the language and of all texts; scaled for consistency."""
+    names = _moment_names()
+    beyond = F.greatest(F.col("n") - NEEDED, F.lit(0))
+    share = beyond / (beyond + PRIOR)
+    mixed = [(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in names]
+    wide = lambda df, *key: df.select(*key, *(F.col(c).alias(f"w_{c}") for c in names))
+    level = lambda i: estimates.where(F.col("level") == i).select("lang_key", "source_key", "n", *names)
+    whole = materialize(wide(level(0), F.lit(1).alias("one")))
+    langs = materialize(join_measured(level(1).withColumn("one", F.lit(1)), whole, ["one"]).select("lang_key", *mixed))
+    own = join_measured(level(2), wide(langs, "lang_key"), ["lang_key"])
+    return materialize(_factored(own.select("lang_key", "source_key", *mixed)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Base statistics, squared distance and verdict of every row of `docs`."""
+    """Base statistics, squared distance (consistent at the normal law) and verdict of every row of `docs`."""
     stats = materialize(base_statistics(docs))
-    rows = _grouped(with_vector(stats))
-    judged = _distance(rows, minimum_covariance(rows))
+    rows = with_vector(stats).withColumns({"lang_key": F.coalesce("lang", F.lit("\x00")), "source_key": F.coalesce("source", F.lit("\x00"))})
+    estimate = _drawn_to_wider(minimum_covariance(rows))
+    judged = _distance(rows, estimate, ["lang_key", "source_key"]).withColumn("d2", F.col("d2") / CONSISTENCY)
     outlier = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 

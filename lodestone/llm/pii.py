@@ -14,8 +14,9 @@ base spans as labels, so no hand labelling is needed.
 
 Edge cases: a null text counts as empty and has no spans; skip edges join consecutive mentions only, so
 very long texts cost linear time; all searches are linear, also in runs of digits; repeated rows give
-repeated results; an empty table gives an empty result; further columns are ignored by the query and kept
-by `redact`.
+repeated results; null ids stay null; an added span that would touch a base one is left out, and of two labels
+with equal marginals the first in the order of kinds is taken; an empty table gives an empty result; further
+columns are ignored by the query and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hashed_share, map_batches, table
+from lodestone.llm.shared import map_batches, sampled_ids, table
 
 BOUND = 2000
 KINDS = ("email", "ip", "card", "phone")
@@ -168,12 +169,17 @@ def graph(found: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], lis
 
 
 def token_labels(found, spans) -> list[int]:
-    """0 for other, else 1 + the kind whose base span covers the token."""
+    """0 for other, else 1 + the kind whose base span covers the token; tokens and spans of a kind are in order."""
+    from bisect import bisect_right
+
     out = [0] * len(found)
+    ends = [b for _, b, _ in found]
     for kind, start, end in spans:
-        for i, (a, b, _) in enumerate(found):
-            if a < end and b > start and (a >= start - 1 and b <= end + 1):
+        i = bisect_right(ends, start)
+        while i < len(found) and found[i][0] < end:
+            if found[i][0] >= start - 1 and ends[i] <= end + 1:
                 out[i] = 1 + KINDS.index(kind)
+            i += 1
     return out
 
 
@@ -218,8 +224,8 @@ class SkipChainCRF:
 def fit(texts: list[str], rounds: int = 300, rate: float = 1.0, l2: float = 1e-3) -> SkipChainCRF:
     """Pseudo-likelihood by gradient ascent in numpy, the base spans as labels.
 
-    Part of the labelled spans are hidden behind their last token (as if only that part were written), so
-    the skip edges have something to learn: the token alone is undecided, its fuller mention is not.
+    Every labelled span is mentioned again behind its text, phones by their last token only (as if the prefix were
+    not written), so the skip edges learn that repeated and similar tokens have one label, of every kind.
     """
     import numpy as np
 
@@ -227,14 +233,14 @@ def fit(texts: list[str], rounds: int = 300, rate: float = 1.0, l2: float = 1e-3
     rows, cols, labels, chain, skip = [], [], [], [], []
     for text in texts:
         spans = base_spans(text, p)
-        tail = [text[a:b].split()[-1] for k, a, b in spans if k == "phone"]
-        whole = text + "".join(f" … {t}" for t in tail)
+        again, whole = [], text
+        for kind, a, b in spans:
+            mention = text[a:b].split()[-1] if kind == "phone" else text[a:b]
+            again.append((kind, len(whole) + 3, len(whole) + 3 + len(mention)))
+            whole += f" … {mention}"
         found = tokens(whole, find)
-        y = token_labels(found, spans)
+        y = token_labels(found, spans + again)
         at = len(labels)
-        if tail:
-            for i in range(len(found) - len(tail), len(found)):
-                y[i] = 1 + KINDS.index("phone")
         for i, (start, _, word) in enumerate(found):
             f = token_features(whole, start, word)
             rows += [at + i] * len(f)
@@ -329,8 +335,7 @@ def detect(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
                 digest = hashlib.sha256(written(base).encode()).hexdigest()
                 rows.append((doc_id, *(kinds.count(k) for k in KINDS), digest, written([*base, *more]), len(more)))
             out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
@@ -363,8 +368,9 @@ def redact(docs: DataFrame, model: SkipChainCRF) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str, bound: int = BOUND) -> SkipChainCRF:
     """Fit on a bounded sample of the documents that hold a digit or an @."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null and doc_id is not null")
-    ids = hashed_share(docs.select("doc_id"), "doc_id", bound).dropDuplicates(["doc_id"]).limit(bound)
-    rows = docs.join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9@]")).toPandas().sort_values(["doc_id", "text"])
+    ids = sampled_ids(docs.select("doc_id"), bound)
+    rows = docs.join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9@]")).toPandas()
+    rows = rows.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist())
 
 

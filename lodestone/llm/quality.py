@@ -9,8 +9,9 @@ Labels are learned from at most `bound` labelled documents (a documented paramet
 ids are no inputs; every whole text is scored.
 
 Edge cases: null and empty texts are scored from their (empty) statistics; very long texts are scored
-whole; repeated rows get equal scores; without any labelled row every score is 0.5; an empty table gives
-an empty result; further columns are ignored.
+whole; repeated rows and equal texts get equal scores; ids with contradicting labels are not learned from; null ids
+stay null; without any labelled row every score is 0.5; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations

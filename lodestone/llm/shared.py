@@ -17,6 +17,8 @@ BLOCK = 1024
 #: Bytes of files up to which a measured side of a join is broadcast, and the salts of a hot key beyond.
 BROADCAST_BYTES = 16 << 20
 SALTS = 32
+#: Rows of one class up to which they may meet in one task.
+HOT_ROWS = 50_000
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -92,17 +94,41 @@ def map_batches(df: DataFrame, work: Callable, schema: str | StructType, rows: i
     return df.mapInArrow(run, kind)
 
 
-def join_measured(rows: DataFrame, side: DataFrame, match: Column, how: str = "left", bound: int = BROADCAST_BYTES, salt: Column | None = None) -> DataFrame:
+def join_measured(rows: DataFrame, side: DataFrame, match: Column | list[str], how: str = "left", bound: int = BROADCAST_BYTES, salt: Column | None = None) -> DataFrame:
     """Join `rows` with a written table `side` of distinct keys, whatever share of the rows one key holds.
 
     `side` is broadcast if the bytes of its files, measured now, are within `bound`. Else it is repeated once for
-    each of `SALTS` salts, of which each row has one by its `salt` columns, so a key is dealt over as many tasks.
+    each of `SALTS` salts, of which each row has one by `salt` (all its columns), so a key is dealt over as many tasks.
     """
     if stored_bytes(side) <= bound:
         return rows.join(F.broadcast(side), match, how)
     salted = rows.withColumn("_salt", F.pmod(salt if salt is not None else F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    spread = side.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, match & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
+    of = "_salt" if isinstance(match, list) else "_salt_of"
+    spread = side.withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = [*match, of] if isinstance(match, list) else match & (F.col("_salt") == F.col(of))
+    return salted.join(spread, match, how).drop("_salt", of)
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, copies: str, same: Column | None = None, hot: int = HOT_ROWS) -> DataFrame:
+    """Left join of `rows` with one row a class on `key` (and `same`), where `copies` rows of a class may be any share of all.
+
+    Classes of more than `hot` rows are at most 1 in `hot` of the rows. They are joined on a salt too, so the rows of
+    each meet in several tasks; the others shuffle by key. The columns of `classes` other than the key are added.
+    """
+    split = F.col(copies) > hot
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    big = materialize(classes.where(split).select(key).distinct())
+    few = big.count()
+    match = F.col(key) == F.col("_key")
+    match = match if same is None else match & same
+    side = classes.withColumnRenamed(key, "_key").drop(copies)
+    if not few:
+        return rows.join(side, match, "left").drop("_key")
+    marked = join_measured(rows, big.select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot")), F.col(key) == F.col("_hot")).drop("_hot")
+    marked = marked.withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(F.lit(0)))
+    spread = F.when(split, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    side = classes.withColumn("_salt_of", F.explode(spread)).withColumnRenamed(key, "_key").drop(copies)
+    return marked.join(side, match & (F.col("_salt") == F.col("_salt_of")), "left").drop("_key", "_salt", "_salt_of", "_is_hot")
 
 
 def stored_bytes(df: DataFrame) -> int:

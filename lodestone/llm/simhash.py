@@ -8,9 +8,9 @@ rest of the chain prunes them before the full Hamming check. Equal fingerprints
 candidate is looked for; buckets are compared in blocks and give back spanning links only.
 
 Edge cases: a null text counts as empty; texts without a word have fingerprint zero and link like any
-other; texts of one or two words use the whole sequence as their only shingle; repeated rows are kept;
-null ids get a component only through their fingerprint; an empty table gives an empty result; further
-columns are ignored.
+other; texts of one or two words use the whole sequence as their only shingle; a bit set in exactly half the
+shingles is 0; repeated rows are kept; null ids get a component only through their fingerprint, and ids keep all 64
+bits beside them; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, map_batches, materialize, run_pairs, stars, table
+from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, join_hot, map_batches, materialize, run_pairs, stars, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -30,6 +30,59 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 
+def shingle_hashes(text: str | None, shingle: int, seed: int):
+    """XXH64 of every shingle of a text in order, repeats included; of the whole sequence where words are fewer."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    #: On bytes, lower() touches A-Z only and split() knows just the space and tab to carriage return.
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, dtype="<u8")
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter((xxh64_intdigest(p, seed) for p in parts), dtype="<u8")
+
+
+def majority(hashes):
+    """The bits set in over half the rows of a matrix of 64-bit numbers, as an array of zeros and ones."""
+    import numpy as np
+
+    bits = 64 * hashes.shape[1]
+    counts = np.zeros(bits, dtype=np.int64)
+    for at in range(0, len(hashes), 65536 // hashes.shape[1]):
+        part = np.ascontiguousarray(hashes[at : at + 65536 // hashes.shape[1]]).view(np.uint8).reshape(-1, bits // 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (2 * counts > len(hashes)).astype(np.uint8)
+
+
+def within_ring(differ, first, max_bits: int):
+    """Which rows of a matrix of segment differences keep the chain from the ring's segment `first` within budget.
+
+    Every run of l segments from there may differ in at most max_bits * l / (segments) bits; over the whole ring
+    that is the Hamming distance.
+    """
+    import numpy as np
+
+    n = differ.shape[1]
+    turned = differ[np.arange(len(differ))[:, None], (np.asarray(first)[:, None] + np.arange(n)) % n]
+    return (np.cumsum(turned, axis=1) * n <= max_bits * np.arange(1, n + 1)).all(axis=1)
+
+
+def some_ring(differ, max_bits: int):
+    """Which rows have a chain within budget from at least one segment: none that is within max_bits lacks one."""
+    import numpy as np
+
+    good = differ.sum(axis=1) <= max_bits
+    for first in range(differ.shape[1] if good.any() else 0):
+        open_rows = np.flatnonzero(good) if first == 0 else missing
+        ok = within_ring(differ[open_rows], np.full(len(open_rows), first), max_bits)
+        missing = open_rows[~ok]
+        if not len(missing):
+            return good
+    if good.any():
+        good[missing] = False
+    return good
+
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id and fingerprint (a signed long holding the 64 bits); one narrow pass over whole texts."""
@@ -37,27 +90,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
-        from xxhash import xxh64_intdigest
 
         for batch in batches:
             out = []
             for text in batch["text"].tolist():
-                #: On bytes, lower() touches A-Z only and split() knows just the space and tab to carriage return.
-                words = (text or "").encode().lower().split()
-                if not words:
-                    out.append(0)
-                    continue
-                if len(words) < shingle:
-                    parts = [b" ".join(words)]
-                else:
-                    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-                h = np.fromiter((xxh64_intdigest(p, seed) for p in parts), dtype="<u8")
-                set_bits = np.zeros(64, dtype=np.int64)
-                for at in range(0, len(h), 65536):
-                    part = h[at : at + 65536].view(np.uint8).reshape(-1, 8)
-                    set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                bits = (2 * set_bits > len(h)).astype(np.uint8)
-                out.append(int(np.packbits(bits, bitorder="little").view("<i8")[0]))
+                h = shingle_hashes(text, shingle, seed)
+                out.append(int(np.packbits(majority(h[:, None]), bitorder="little").view("<i8")[0]) if len(h) else 0)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(out, dtype=np.int64)})
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
@@ -92,11 +130,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         a, b = [], []
         for i, j in run_pairs(*(rows[c].to_numpy() for c in ("task", "mine", "other"))):
             apart = fp[i] ^ fp[j]
-            differ = np.zeros(len(i), dtype=np.int64)
-            good = np.ones(len(i), dtype=bool)
-            for length in range(1, 6):
-                differ += np.bitwise_count(apart & ring[(start[i] + length - 1) % 5])
-                good &= differ * 5 <= 2 * length
+            good = within_ring(np.bitwise_count(apart[:, None] & ring).astype(np.int64), start[i], max_bits)
             good &= np.bitwise_count(apart) <= max_bits
             a.append(rep[i[good]])
             b.append(rep[j[good]])
@@ -111,10 +145,10 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row of `docs`."""
     prints = materialize(fingerprints(docs))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     parts = connected_components(links(classes.where("rep is not null")))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp")
+    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    return join_hot(prints, named, "fp", "copies")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

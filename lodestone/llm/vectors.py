@@ -10,9 +10,8 @@ together only; what comes back is a count per vector and spanning links, never a
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label
 or id, link with nothing and keep themselves; vectors of different lengths never link; equal vectors link;
-equal rows count as separate vectors of one component, while different vectors are
-expected to have different ids; an empty table gives an empty result; further
-columns are ignored.
+equal rows count as separate vectors of one component, while different vectors are expected to have different ids;
+a pair at exactly the threshold links; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, materialize, run_pairs, stars, table
+from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, join_hot, map_batches, materialize, run_pairs, stars, table
 
 COSINE = 0.98
 TABLES = 20
@@ -66,7 +65,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "sig": list(bucket_ids(x))})
 
-    return classes.select("rep", "embedding").mapInPandas(run, "rep long, sig array<long>")
+    return map_batches(classes.select("rep", "embedding"), run, "rep long, sig array<long>", rows=8192)
 
 
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -77,13 +76,24 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     signed = materialize(_hashed(classes))
     members = classes.select("rep", "label", F.size("embedding").alias("dims")).join(signed, "rep")
     members = members.select("rep", "label", "dims", F.posexplode("sig").alias("table", "cell"))
-    dealt = blocked_buckets(members, ["label", "dims", "table", "cell"], "rep").select("rep", "table", "task", "mine", "other")
+    dealt = blocked_buckets(members, ["label", "dims", "table", "cell"], "rep").select("rep", "label", "dims", "table", "task", "mine", "other")
     full = dealt.join(classes.select("rep", "embedding", "copies").join(signed, "rep"), "rep")
 
     def compare(rows):
+        import pandas as pd
+
+        # Tasks are named by a hash; rows that only share the name differ in label or length.
+        rows = rows.assign(kind=pd.factorize(rows["label"])[0])
+        found = [compare_kind(part) for _, part in rows.groupby(["dims", "kind"], sort=True)]
+        found = [f for f in found if f is not None]
+        return pd.concat(found, ignore_index=True) if found else None
+
+    def compare_kind(rows):
         import numpy as np
         import pandas as pd
 
+        if len(rows) < 2:
+            return None
         rows = rows.sort_values("task", kind="stable")
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -140,12 +150,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             "class_key",
             F.col("label").alias("_label"),
             F.col("embedding").alias("_embedding"),
+            "copies",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    same = (F.col("r.class_key") == F.col("c.class_key")) & (F.col("label") == F.col("_label")) & (F.col("r.embedding") == F.col("_embedding"))
-    out = rows.alias("r").join(named.alias("c"), same, "left")
+    same = (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))
+    out = join_hot(rows, named, "class_key", "copies", same)
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -290,8 +290,8 @@ def test_lines(spark, docs, none):
     from lodestone.llm import lines
 
     rows = [(i, f"head\nown {i}\n\n head \nfoot", "en", "h" if i < 30 else None) for i in range(40)] + [(99, None, "en", "h"), (98, "head\nx", "en", "other")]
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "source", min_pages=20).collect()}
-    assert got[0] == ("own 0\n", 3) and got[35] == (rows[35][1], 0) and got[99] == (None, 0) and got[98] == ("head\nx", 0)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "source").collect()}
+    assert got[0] == ("own 0\n", 3) and got[35] == ("own 35\n", 3) and got[99] == (None, 0) and got[98] == ("head\nx", 0)
     assert lines.drop_boilerplate(none, "source").count() == 0
     assert lines.drop_boilerplate(docs, "source").count() == len(TEXTS)
 
