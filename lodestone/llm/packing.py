@@ -29,7 +29,7 @@ END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Text chunks of one generation whose ids a worker keeps; there are two generations (about 160 bytes a chunk).
-CACHE = 200_000
+CACHE = 120_000
 #: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
 MARKS = ".,;:!?#*$%&|<>"
 
@@ -122,19 +122,19 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE) -> ChunkEncoder:
     opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
     cut_spaces = re.compile(r"(?<=\S)(?= )").split
-    #: The same model behind a split at line ends, for words that are written as byte-level symbols already.
-    by_word = Tokenizer.from_file(tokenizer_path)
-    by_word.pre_tokenizer = CharDelimiterSplit("\n")
+    #: Words that are written as byte-level symbols already are split at line ends instead.
+    search_words, split_lines = tokenizer.pre_tokenizer, CharDelimiterSplit("\n")
     symbols = byte_symbols() | {10: "\n"}
 
-    def ids_of(texts: list[str], tokenizer=tokenizer) -> list:
+    def ids_of(texts: list[str], splitter=search_words) -> list:
+        tokenizer.pre_tokenizer = splitter
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4") for x in found]
 
     def learn_words(words: list[str], between: str, starts: Callable, skip: int) -> Iterator[bytes]:
         """Ids of single words; `starts` marks the ids at which one begins, of which the first `skip` are no part of it."""
         portions = [between.join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
-        for ids in ids_of([p.encode().decode("latin-1").translate(symbols) for p in portions], by_word):
+        for ids in ids_of([p.encode().decode("latin-1").translate(symbols) for p in portions], split_lines):
             raw, at = ids.tobytes(), (np.flatnonzero(starts(ids)) * 4).tolist()
             at = [-4, *at] if skip else at
             yield from (raw[i + 4 * skip : j] for i, j in zip(at, [*at[1:], len(raw)], strict=True))
@@ -204,7 +204,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, rows=2000)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, rows=1000)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -211,7 +211,7 @@ def stretch_encoder(model_path: str, cache_size: int) -> ChunkEncoder:
     return ChunkEncoder(mark, unsafe, split, learn, cache_size)
 
 
-def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 200_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 120_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text of every row; one narrow pass."""
 
     def run(batches: Iterator) -> Iterator:
@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 200_000
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": all_ids, "decoded": back, "text": batch["text"]})
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(picked, run, "doc_id long, ids binary, decoded string, text string", rows=2000)
+    return map_batches(picked, run, "doc_id long, ids binary, decoded string, text string", rows=1000)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,15 +68,28 @@ def frame(batch):
     return pd.DataFrame(dict(zip(batch.schema.names, columns, strict=True)))
 
 
+def give_back() -> None:
+    """Return memory that a finished task no longer uses from the worker process to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library: nothing to trim
+        return
+
+
 def map_batches(df: DataFrame, work: Callable, schema: str | StructType, rows: int = 500) -> DataFrame:
     """Stream pandas frames of at most `rows` rows through `work`, which yields frames with the columns of `schema`.
 
     Ids keep all their 64 bits beside nulls (see `frame`). Where the session does not set the bytes of an Arrow
-    batch, 16 MB are set, so that whole texts of any length fit a worker's memory.
+    batch, 4 MB are set, so that whole texts of any length fit a worker's memory.
     """
     spark = df.sparkSession
     if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, str(16 << 20))
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     written = to_arrow_schema(kind)
 
@@ -88,8 +101,11 @@ def map_batches(df: DataFrame, work: Callable, schema: str | StructType, rows: i
                 for at in range(0, batch.num_rows, rows):
                     yield frame(batch.slice(at, rows))
 
-        for out in work(frames()):
-            yield pa.RecordBatch.from_pandas(out, schema=written, preserve_index=False)
+        try:
+            for out in work(frames()):
+                yield pa.RecordBatch.from_pandas(out, schema=written, preserve_index=False)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, kind)
 
