@@ -8,11 +8,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import context, filters, fusion, graph, memory
+from lodestone.functions import text as tx
+from lodestone.functions import vector as vx
+from lodestone.operators import context, filters, graph, memory, similarity, states
+from lodestone.operators import search as sr
 from lodestone.sources import notes as nt
 from lodestone.streaming import sync
 
 
+#: Chunks up to which maintenance compares each with all.
+EXACT_CHUNKS = 50_000
+
+
 @dataclass
 class Engine:
     """`embed` maps a DataFrame with text to one with vec; `generate` maps prompts to answers and may be missing."""
@@ -21,10 +28,13 @@ class Engine:
     vault: str
     store: str
     dims: int = 64
+    model: str = "hashed"
     embed: object = None
     generate: object = None
     clock: object = time.time
     kinds: tuple[str, ...] = ("md",)
+    settings: sr.Settings = field(default_factory=sr.Settings)
+    stem: bool = False
     _snapshots: sync.Snapshots = field(init=False)
 
     def __post_init__(self):
@@ -48,34 +58,62 @@ class Engine:
         return sync.plan(sync.changes(seen.limit(0) if stored is None else stored, seen))
 
     def index(self, full: bool = False) -> dict[str, int]:
-        """Parse, chunk and embed what changed; write notes, chunks, links and the embedding cache as a new version."""
-        seen = self._seen()
+        """Parse, chunk and embed what changed; write notes, chunks, links, the embedding cache and the search index as a new version.
+
+        Files are parsed once. Where no path, title or body changed nothing is written.
+        """
+        seen = self._snapshots.staged(self._seen())
         stored = None if full else self._snapshots.read("notes")
         empty = seen.limit(0)
-        changed = sync.changes(empty if stored is None else stored, seen)
+        changed = self._snapshots.staged(sync.changes(empty if stored is None else stored, seen))
+        counts = sync.plan(changed).first().asDict()
+        if stored is not None and not any(counts[c] for c in ("added", "updated", "removed")):
+            return counts
         fresh = seen.join(changed.where("change in ('added', 'updated')").select("path"), "path", "left_semi").select(*seen.columns)
         notes = seen if stored is None else sync.merged(stored, fresh, stored.join(changed.where("change = 'removed'").select("path"), "path", "left_semi"), "doc_id")
-        cuts = nt.chunk_notes(fresh)
+        cuts = nt.chunk_notes(fresh).join(fresh.select("doc_id", "doc_date"), "doc_id")
         cache = self._snapshots.read("cache")
         cache = self.spark.createDataFrame([], "key string, vec array<double>") if cache is None else cache
-        embedded, new = nt.with_cached_embeddings(cuts, cache, "hashed", self.dims, self.embed)
+        embedded, new = nt.with_cached_embeddings(cuts, cache, self.model, self.dims, self.embed)
         if stored is not None:
             gone = stored.join(changed.where("change <> 'unchanged'").select("path"), "path", "left_semi").select("doc_id")
             embedded = self.table("chunks").join(gone, "doc_id", "left_anti").unionByName(embedded)
-        counts = sync.plan(changed).first().asDict()
-        self._snapshots.write({"notes": notes, "chunks": embedded, "links": graph.links(notes), "cache": cache.unionByName(new)}, {"counts": counts})
+        chunks = self._snapshots.staged(embedded)
+        version = self._snapshots.write({"notes": notes, "chunks": chunks, "links": graph.links(notes), "cache": cache.unionByName(new)}, {"counts": counts, "model": self.model, "dims": self.dims})
+        sr.SearchIndex.build(self.spark, self._snapshots.folder(version, "index"), chunks, stem=self.stem)
+        self._snapshots.unstage()
         return counts
 
+    def reindex_if_model_changed(self) -> bool:
+        """Embed everything anew if the stored vectors are another model's or of another length; the cache keeps old keys."""
+        meta = self._snapshots.meta()
+        if meta is None or (meta.get("model"), meta.get("dims")) == (self.model, self.dims):
+            return False
+        self.index(full=True)
+        return True
+
     # -- retrieval
-    def search(self, queries: DataFrame, k: int = 8, mode: str = "hybrid") -> DataFrame:
-        """Hits of every query (query_id, text): operators in the text scope the notes before ranking."""
-        parsed = queries.withColumn("scope", filters.parse_operators(F.col("text")))
-        notes, chunks = self.table("notes"), self.table("chunks")
-        asked = self.embed(parsed.select("query_id", F.col("scope.clean").alias("text"), "scope"))
-        pairs = notes.join(F.broadcast(asked.select("query_id", "scope")), filters.in_scope(F.col("scope"), F.col("tags"), F.col("path"), F.col("frontmatter"), F.col("doc_date")))
-        wide = fusion.hybrid_search(chunks, asked.select("query_id", "text", "vec"), k=8 * k, mode=mode, leg_k=192)
-        scoped = wide.drop("rank").join(pairs.select("query_id", "doc_id", "path", "doc_date", "mtime"), ["query_id", "doc_id"])
-        return fusion.capped_top_k(scoped, k)
+    def _index(self) -> sr.SearchIndex:
+        known = self._snapshots.versions()
+        if not known:
+            raise ValueError("nothing is indexed yet")
+        return sr.SearchIndex(self.spark, self._snapshots.folder(known[-1], "index"))
+
+    def search(self, queries: DataFrame, k: int = 8, mode: str = "hybrid", **more) -> DataFrame:
+        """Hits of every query (query_id, text) with the note's path, date, title and text.
+
+        Operators in the text scope the notes before ranking; a query of operators only lists its scope.
+        """
+        notes = self.table("notes").where(~F.col("path").startswith(states.TRASH) & ~F.col("path").startswith(states.PENDING))
+        index = self._index()
+        hits = sr.search(index, queries, k, mode, notes=notes, edges=self.table("links"), embed=self.embed, now=self.clock(), settings=self.settings, **more)
+        return hits.join(notes.select("doc_id", "path", "doc_date", "mtime"), "doc_id").join(index.chunks.select("chunk_id", "title", "heading", "text"), "chunk_id")
+
+    def adaptive_search(self, queries: DataFrame, k: int = 8) -> DataFrame:
+        """Like `search`, with more hits for questions that ask for lists and counts."""
+        wide = queries.withColumn("k", tx.adaptive_k(F.col("text"), k))
+        most = wide.agg(F.max("k")).first()[0] or k
+        return self.search(queries, most).join(wide.select("query_id", "k"), "query_id").where(F.col("rank") < F.col("k")).drop("k")
 
     def ask(self, queries: DataFrame, k: int = 8) -> DataFrame:
         """query_id, prompt (and answer, if a generator is given)."""
@@ -83,16 +121,18 @@ class Engine:
         made = context.prompts(blocks, queries)
         return self.generate(made) if self.generate else made
 
-    def related(self, k: int = 8) -> DataFrame:
-        from lodestone.functions import vector as vx
-        from lodestone.operators import similarity
+    def _lists(self, chunks: DataFrame) -> similarity.InvertedLists | None:
+        """Inverted lists over the chunks' vectors, where there are too many to compare each with all."""
+        return similarity.InvertedLists(chunks) if chunks.count() > EXACT_CHUNKS else None
 
+    def related(self, k: int = 8) -> DataFrame:
         chunks = self.table("chunks")
-        return similarity.related(chunks, vx.mean_vectors(chunks, "doc_id", "vec"), k, self.table("links"))
+        return similarity.related(chunks, vx.mean_vectors(chunks, "doc_id", "vec"), k, self.table("links"), index=self._lists(chunks))
 
     # -- maintenance
-    def conflicts(self, threshold: float = 0.80, limit: int = 50) -> DataFrame:
-        return memory.conflicts(self.table("chunks"), threshold, limit)
+    def conflicts(self, threshold: float = 0.80, limit: int | None = 50) -> DataFrame:
+        chunks = self.table("chunks")
+        return memory.conflicts(chunks, threshold, limit, self._lists(chunks))
 
     def drift(self) -> DataFrame:
         return memory.drift(self.table("notes"))
@@ -103,5 +143,19 @@ class Engine:
     def tree(self) -> DataFrame:
         return context.tree(self.table("notes"))
 
+    # -- memory writes, as new versions of the table of memory notes
+    def _memory(self) -> DataFrame:
+        found = self._snapshots.read("memory")
+        return states.empty(self.spark) if found is None else found
+
+    def _put(self, memory_notes: DataFrame) -> None:
+        self._snapshots.write({"memory": memory_notes, **{n: self.table(n) for n in ("notes", "chunks", "links", "cache") if self._snapshots.read(n) is not None}})
+
+    def remember(self, rows: DataFrame, approval: bool = False) -> DataFrame:
+        """Typed fragments (type, content, case, status, confidence, title) saved as notes; their paths."""
+        saved = states.save(self._memory(), memory.remember(rows), self.clock(), approval)
+        self._put(saved)
+        return saved
+
     def status(self) -> dict[str, int]:
         return {name: self.table(name).count() for name in ("notes", "chunks", "links", "cache")}

@@ -90,6 +90,15 @@ def tree(notes: DataFrame, each: int = 8) -> DataFrame:
     return out.select("dir", "n", F.transform("t", lambda r: r["title"]).alias("listed"), F.greatest(F.col("n") - each, F.lit(0)).alias("more"))
 
 
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: the number of rows of every table, in one plan."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def abstract(title, body, length: int = 200):
     """Title and the start of the first paragraph."""
     return F.concat(title, F.lit(" — "), tx.snippet(body, length))
@@ -119,10 +128,17 @@ def overview(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
-def contextual_queries(turns: DataFrame, tail: int = 160, short: int = 4) -> DataFrame:
-    """Every user turn (conv_id, turn, role, text); short or anaphoric ones with the two turns before in front."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    asked = turns.withColumns({"one": F.lag("text", 1).over(w), "two": F.lag("text", 2).over(w)})
-    vague = (F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")) <= short) | F.col("text").rlike(r"(?i)^(it|that|this|they|he|she|then|and|그거|그건|그럼|그게)\b")
+# Words that point back to what was said, at the start of a turn or behind a space.
+ANAPHORA = ("그거", "그건", "그때", "그게", "그 ", "이거", "이건", "아까", "방금", "걔", "쟤", "거기", "it ", "that ", "this ")
+
+
+def contextual_queries(turns: DataFrame, tail: int = 160, short: int = 16) -> DataFrame:
+    """Every user turn (conv_id, turn, role, text); short or anaphoric ones with the last user and assistant turns in front."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda role: F.last(F.when(F.col("role") == role, F.col("text")), ignorenulls=True).over(w)
+    asked = turns.withColumns({"user": before("user"), "assistant": before("assistant")})
+    bare = F.trim("text")
+    vague = (F.length(bare) <= short) | F.exists(F.array(*map(F.lit, ANAPHORA)), lambda a: bare.startswith(a) | F.contains(F.concat(F.lit(" "), bare), F.concat(F.lit(" "), a)))
     near = lambda c: F.left(F.col(c), F.lit(tail))
-    return asked.where("role = 'user'").select("conv_id", "turn", F.when(vague, F.concat_ws(" ", near("two"), near("one"), "text")).otherwise(F.col("text")).alias("query"))
+    known = F.col("user").isNotNull() | F.col("assistant").isNotNull()
+    return asked.where("role = 'user'").select("conv_id", "turn", F.when(vague & known, F.concat_ws(" ", near("user"), near("assistant"), "text")).otherwise(F.col("text")).alias("query"))

@@ -41,6 +41,14 @@ def parse_operators(query: Column) -> Column:
     )
 
 
+def is_scoped(scope: Column) -> Column:
+    """Whether any operator restricts the documents."""
+    some = scope["lo"].isNotNull() | scope["hi"].isNotNull()
+    for name in ("tags", "folders", *FIELD_OPERATORS):
+        some |= F.size(scope[name]) > 0
+    return some
+
+
 def in_scope(scope: Column, tags: Column, path: Column, fields: Column | None = None, date: Column | None = None) -> Column:
     """Whether a document is selected: all tags, any folder at any depth, any value of every field, lo <= date < hi."""
     lowered = F.transform(tags, lambda t: F.lower(t))
@@ -72,7 +80,13 @@ def recent(notes: DataFrame, now: float, days: float, k: int, date: str = "doc_d
 
 
 def window_leg(notes: DataFrame, windows: DataFrame, k: int, date: str = "doc_date") -> DataFrame:
-    """query_id, doc_id, rank: the newest max(8, 2k) documents in each query's half-open window."""
-    inside = windows.join(notes, (F.col(date) >= F.col("lo")) & (F.col(date) < F.col("hi")))
+    """query_id, doc_id, ..., rank: the newest max(8, 2k) documents in each query's half-open window (query_id, lo, hi).
+
+    A window is spread over the days it touches and joined to the documents of those days, so no document meets a
+    window elsewhere.
+    """
+    day = lambda c: F.floor(c / tm.DAY).cast("long")
+    spread = windows.where("lo < hi").withColumn("day", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))))
+    inside = spread.join(notes.withColumn("day", day(F.col(date))), "day").where((F.col(date) >= F.col("lo")) & (F.col(date) < F.col("hi"))).drop("day")
     order = Window.partitionBy("query_id").orderBy(F.desc(date), F.asc("doc_id"))
     return inside.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < max(8, 2 * k))

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import lexical, similarity
 
 RRF_K = 60
-WEIGHTS = {"vector": 1.0, "bm25": 0.8, "temporal": 0.35}
 PER_DOC = 3
 
 
@@ -48,11 +46,12 @@ def usage_factor(hits: Column, most: Column, prior: float) -> Column:
 
 
 def informativeness(hits: DataFrame, df: DataFrame, n_chunks: int, prior: float = 0.6, score: str = "score") -> DataFrame:
-    """Vector hits (with `text`) reweighted by the share of rare content tokens, ranked anew."""
+    """Vector hits (with `text`) reweighted by the share of rare content tokens, ranked anew; where `gate` is false, left as they are."""
     ceiling = max(2.0, 0.008 * n_chunks)
-    tokens = hits.select("query_id", "chunk_id", F.explode_outer(tx.content_tokens(F.col("text"))).alias("term")).join(df, "term", "left")
+    gate = F.col("gate") if "gate" in hits.columns else F.lit(True)
+    tokens = hits.where(gate).select("query_id", "chunk_id", F.explode_outer(tx.content_tokens(F.col("text"))).alias("term")).join(df, "term", "left")
     rare = tokens.groupBy("query_id", "chunk_id").agg((F.count_if(F.col("df") <= ceiling) / F.greatest(F.count("term"), F.lit(1))).alias("rare"))
-    again = hits.drop("rank").join(rare, ["query_id", "chunk_id"]).withColumn(score, F.col(score) * (1 + prior * F.col("rare")))
+    again = hits.drop("rank").join(rare, ["query_id", "chunk_id"], "left").withColumn(score, F.round(F.col(score) * (1 + prior * F.coalesce("rare", F.lit(0.0))), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("chunk_id"))
     return again.withColumn("rank", F.row_number().over(order) - 1)
 
@@ -66,6 +65,8 @@ def coverage(queries: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame
     """
     tokens = queries.select("query_id", F.explode(tx.coverage_tokens(F.col("text"))).alias("token"), F.size(tx.coverage_tokens(F.col("text"))).alias("n"), F.col("text").rlike("[가-힣]").alias("hangul"))
     tokens = tokens.where((F.col("n") >= 4) | (F.col("hangul") & (F.col("n") >= 2)))
+    # The lexicon is reduced to the queries' tokens before anything else.
+    terms = terms.join(tokens.select(F.col("token").alias("term")).distinct(), "term", "left_semi")
     weighed = tokens.join(terms.withColumnRenamed("term", "token").withColumnRenamed("n", "seen"), "token", "left").withColumn("w", 1 / (1 + F.log1p(F.coalesce("seen", F.lit(3)))))
     both = weighed.select("query_id", "token", "w").join(hits.select("query_id", "chunk_id", F.lower(F.concat_ws(" ", "text", "title")).alias("body")), "query_id")
     inside = F.contains("body", "token")
@@ -82,51 +83,19 @@ def nested_alias(chunks: DataFrame) -> DataFrame:
     return bursts.select("chunk_id").join(found, "chunk_id", "left").withColumn("alias", F.coalesce("alias", "chunk_id"))
 
 
-def hybrid_search(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = 8,
-    mode: str = "hybrid",
-    leg_k: int = 48,
-    per_doc: int = PER_DOC,
-    keyword_boost: float = 2.4,
-    verbatim_gate: float = 0.60,
-    pin_gate: float = 0.65,
-    pin_head: int = 3,
-    title_boost: float = 0.12,
-) -> DataFrame:
-    """Ranked hits of every query (query_id, text, vec) over chunks (chunk_id, doc_id, text, title, heading, vec).
-
-    Modes: `vector` and `bm25` are one leg by rank alone; `fast` is the lexical leg without weights by coverage;
-    `hybrid` fuses both, raises the lexical leg for keyword queries and covered texts, pins verbatim hits, adds
-    the title bonus, and caps chunks per document.
+def final_hits(rows: DataFrame, k: int, per_doc: int = PER_DOC) -> DataFrame:
+    """The k best rows (query_id, chunk_id, doc_id, kind, text, fused), at most `per_doc` a document.
+
+    A focused chunk whose text lies in a better one of its document, or the other way round, takes no place of its
+    own. Only documents with a focused chunk among the hits are compared, hit by hit within the document.
     """
-    legs = []
-    bm25 = lexical.bm25_topk(chunks, queries, leg_k) if mode != "vector" else None
-    if mode in ("vector", "hybrid"):
-        found = similarity.vector_topk(chunks, queries, leg_k)
-        legs.append(found.select("query_id", "chunk_id", "rank", F.lit(WEIGHTS["vector"] if mode == "hybrid" else 1.0).alias("weight")))
-    if mode in ("bm25", "fast"):
-        legs.append(bm25.select("query_id", "chunk_id", "rank", F.lit(WEIGHTS["bm25"] if mode == "fast" else 1.0).alias("weight")))
-    pins = None
-    if mode == "hybrid":
-        top = bm25.where("rank < 8").join(chunks.select("chunk_id", "text", "title"), "chunk_id")
-        cover = coverage(queries, top, lexical.lexicon(chunks))
-        covered = cover.groupBy("query_id").agg(F.max("cover").alias("best"))
-        floor = F.least(0.8 * F.col("best"), F.lit(pin_gate))
-        choice = cover.join(covered, "query_id").where(F.col("cover") >= floor).groupBy("query_id").agg(F.max_by("chunk_id", F.struct("cover", -F.col("chunk_id"))).alias("pinned"))
-        flags = queries.select("query_id", tx.is_keyword_query(F.col("text")).alias("keyword")).join(covered, "query_id", "left").join(choice, "query_id", "left")
-        boost = F.when(F.col("keyword") | (F.col("best") >= verbatim_gate), F.lit(keyword_boost)).otherwise(F.lit(1.0))
-        legs.append(bm25.join(flags, "query_id").select("query_id", "chunk_id", "rank", (WEIGHTS["bm25"] * boost).alias("weight")))
-        sure = flags.where(~F.col("keyword") & (F.col("best") >= pin_gate))
-        head = bm25.join(sure, "query_id").where(F.col("rank") < pin_head).select("query_id", "chunk_id", (2 + 1 / (1 + F.col("rank"))).alias("pin"))
-        pins = head.unionByName(sure.select("query_id", F.col("pinned").alias("chunk_id"), F.lit(3.5).alias("pin"))).groupBy("query_id", "chunk_id").agg(F.max("pin").alias("pin"))
-    fused = rrf(legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1]))
-    if pins is not None:
-        fused = fused.join(pins, ["query_id", "chunk_id"], "left").withColumn("fused", F.coalesce("pin", "fused")).drop("pin")
-    hits = fused.join(chunks.drop("vec"), "chunk_id")
-    if mode in ("hybrid", "fast"):
-        hits = hits.join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
-        hits = hits.withColumn("fused", F.col("fused") + title_bonus(F.col("title"), F.col("asked"), title_boost)).drop("asked")
-        return capped_top_k(hits, k, per_doc)
-    return capped_top_k(hits, k, per_doc=1 << 30)
+    if "kind" in rows.columns:
+        part = tx.squash(F.col("text"))
+        burst = rows.where("kind = 'burst'").select("query_id", "doc_id").distinct()
+        near = rows.join(burst, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "chunk_id", "kind", "fused", part.alias("part"))
+        better = near.select("query_id", "doc_id", F.col("chunk_id").alias("other"), F.col("kind").alias("other_kind"), F.col("fused").alias("other_fused"), F.col("part").alias("whole"))
+        both = near.join(better, ["query_id", "doc_id"]).where((F.col("kind") == "burst") | (F.col("other_kind") == "burst"))
+        ahead = (F.col("other_fused") > F.col("fused")) | ((F.col("other_fused") == F.col("fused")) & (F.col("other") < F.col("chunk_id")))
+        nested = both.where(ahead & (F.contains("whole", "part") | F.contains("part", "whole"))).select("query_id", "chunk_id").distinct()
+        rows = rows.join(nested, ["query_id", "chunk_id"], "left_anti")
+    return capped_top_k(rows, k, per_doc)

@@ -96,6 +96,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("doc_id").agg(F.count("*").alias("degree"))
 
 
+def hubs(edges: DataFrame, k: int = 6) -> DataFrame:
+    """The k documents of highest degree."""
+    return degrees(edges).orderBy(F.desc("degree"), "doc_id").limit(k)
+
+
+def linked_notes(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """doc_id, direction (out, in), other, title, kind: the notes at the other ends of a note's links."""
+    ends = lambda a, b, way: edges.select(F.col(a).alias("doc_id"), F.lit(way).alias("direction"), F.col(b).alias("other"), "kind")
+    both = ends("src", "dst", "out").unionByName(ends("dst", "src", "in"))
+    return both.join(notes.select(F.col("doc_id").alias("other"), "title"), "other").select("doc_id", "direction", "other", "title", "kind")
+
+
+def link_counts(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, links_out, links_in of every note; one aggregation over the ends of all links."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("doc_id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("doc_id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    counted = ends.groupBy("doc_id").agg(F.count_if(F.col("out") == 1).alias("links_out"), F.count_if(F.col("out") == 0).alias("links_in"))
+    return notes.select("doc_id").join(counted, "doc_id", "left").fillna(0, ["links_out", "links_in"])
+
+
 def co_mention_edges(mentions: DataFrame, entity: str, doc: str, least: int = 1, max_docs: int | None = None) -> DataFrame:
     """src < dst, shared, weight = min(1, 0.4 + 0.15 shared) for documents that share entities.
 
@@ -109,11 +128,15 @@ def co_mention_edges(mentions: DataFrame, entity: str, doc: str, least: int = 1,
     return out.withColumn("weight", F.least(F.lit(1.0), 0.4 + 0.15 * F.col("shared")))
 
 
-def semantic_edges(vectors: DataFrame, edges: DataFrame, k: int = 3, floor: float = 0.55, factor: float = 0.6) -> DataFrame:
-    """For documents without any outgoing edge: the k nearest centroids above a floor, weight = factor times similarity."""
+def semantic_edges(vectors: DataFrame, edges: DataFrame, k: int = 3, floor: float = 0.55, factor: float = 0.6, index: similarity.InvertedLists | None = None, probes: int = 32) -> DataFrame:
+    """For documents without any outgoing edge: the k nearest centroids above a floor, weight = factor times similarity.
+
+    With an `index` over the centroids (chunk_id is their doc_id) only its nearest lists are searched.
+    """
     centers = vx.mean_vectors(vectors, "doc_id", "vec").withColumn("vec", vx.normalized(F.col("centroid")))
     lonely = centers.join(edges.select(F.col("src").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    found = similarity.vector_topk(centers.select(F.col("doc_id").alias("chunk_id"), "vec"), lonely.select(F.col("doc_id").alias("query_id"), "vec"), k + 1)
+    asked = lonely.select(F.col("doc_id").alias("query_id"), "vec")
+    found = similarity.vector_topk(centers.select(F.col("doc_id").alias("chunk_id"), "vec"), asked, k + 1) if index is None else index.search(asked, k + 1, probes)
     near = found.where((F.col("query_id") != F.col("chunk_id")) & (F.col("score") >= floor))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)

@@ -16,25 +16,33 @@ DIGITS = 9
 
 def field_tokens(chunks: DataFrame, field: str) -> Column:
     value = F.coalesce(F.col(field), F.lit(""))
-    return F.concat(tx.all_tokens(value), tx.index_grams(value))
+    words = tx.all_tokens(value)
+    # Grams need a scan of their own; texts without CJK characters are spared it.
+    return F.when(value.rlike(tx.CJK_RUN), F.concat(words, tx.index_grams(value))).otherwise(words)
 
 
 def _weighted_terms(fields: dict[str, float]) -> Column:
     """All terms of the fields, each with its field's weight."""
 
     def of(field: str, weight: float) -> Column:
-        return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+        return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"), F.lit(field == "text").alias("in_text")))
 
     return F.flatten(F.array(*(of(f, w) for f, w in fields.items())))
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", fields: dict[str, float] | None = None) -> DataFrame:
-    """term, chunk, weighted tf and weighted length of the chunk; one explode per field, aggregated map-side."""
+def postings(chunks: DataFrame, key: str = "chunk_id", fields: dict[str, float] | None = None, stem: bool = False) -> DataFrame:
+    """term, chunk, weighted tf, weighted length of the chunk, and whether the term is in its text.
+
+    Grouped by chunk first, so chunks that are dealt by id are counted where they lie. With `stem`, English words
+    are reduced to their stems here and in queries.
+    """
     fields = {f: w for f, w in (fields or FIELDS).items() if f in chunks.columns}
     tokens = chunks.select(key, *(field_tokens(chunks, f).alias(f) for f in fields))
     length = sum((w * F.size(f) for f, w in fields.items()), F.lit(0.0))
-    tagged = tokens.select(key, length.alias("len"), F.explode(_weighted_terms(fields)).alias("p"))
-    return tagged.groupBy(F.col("p.term").alias("term"), key).agg(F.sum("p.w").alias("tf"), F.first("len").alias("len"))
+    tagged = tokens.select(key, length.alias("len"), F.explode(_weighted_terms(fields)).alias("p")).select(key, "len", "p.*")
+    if stem:
+        tagged = tagged.withColumn("term", tx.stemmed(F.col("term")))
+    return tagged.groupBy(key, "term").agg(F.sum("w").alias("tf"), F.first("len").alias("len"), F.bool_or("in_text").alias("in_text"))
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -48,8 +56,17 @@ def chunk_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tx.all_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
-    return queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tx.query_terms(F.col(text)))).alias("term"))
+def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text", stem: bool = False) -> DataFrame:
+    terms = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tx.query_terms(F.col(text)))).alias("term"))
+    return terms.withColumn("term", tx.stemmed(F.col("term"))).distinct() if stem else terms
+
+
+def full_matches(scored: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Scores (query_id, matched, ...) of the chunks with all terms, for queries of two terms and more that have k of them."""
+    asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
+    scored = scored.join(asked, "query_id").withColumn("all_in", F.col("matched") == F.col("asked"))
+    scored = scored.withColumn("and_n", F.count_if("all_in").over(Window.partitionBy("query_id")))
+    return scored.where((F.col("and_n") < k) | (F.col("asked") < 2) | F.col("all_in")).drop("asked", "all_in", "and_n")
 
 
 def bm25_scores(chunks: DataFrame, terms: DataFrame, key: str = "chunk_id", fields: dict[str, float] | None = None) -> DataFrame:
@@ -86,10 +103,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 48, key: str = "ch
     terms = query_terms(queries, **names)
     scored = bm25_scores(chunks, terms, key)
     if two_phase:
-        asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-        scored = scored.join(asked, "query_id").withColumn("all_in", F.col("matched") == F.col("asked"))
-        full = F.count_if("all_in").over(Window.partitionBy("query_id"))
-        scored = scored.withColumn("and_n", full).where((F.col("and_n") < k) | (F.col("asked") < 2) | F.col("all_in")).drop("asked", "all_in", "and_n")
+        scored = full_matches(scored, terms, k)
     return top_k(scored, k, key)
 
 

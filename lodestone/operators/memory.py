@@ -23,16 +23,22 @@ def remember(rows: DataFrame) -> DataFrame:
     return good.withColumns({"status": status, "confidence": sure, "case": F.trim(F.regexp_replace(F.regexp_replace("case", r"[\[\]]", ""), r"\s+", " "))})
 
 
-def belief_trail(rows: DataFrame) -> DataFrame:
-    """title, statement, confidence and the last 50 changes (before, delta) of every belief (title, statement, confidence, ts)."""
-    w = Window.partitionBy("title").orderBy("ts")
-    steps = rows.withColumns({"before": F.lag("statement").over(w), "delta": F.col("confidence") - F.lag("confidence").over(w)})
-    out = steps.groupBy("title").agg(
-        F.max_by("statement", "ts").alias("statement"),
-        F.max_by("confidence", "ts").alias("confidence"),
-        F.sort_array(F.collect_list(F.when(F.col("before").isNotNull(), F.struct("ts", "before", "delta")))).alias("trail"),
+def belief_trail(rows: DataFrame, most: int = TRAIL) -> DataFrame:
+    """title, statement, confidence and the last 50 changes (ts, before, delta) of every belief (title, statement, confidence, ts).
+
+    Changes are ranked before they are collected, so a belief of any history holds `most` of them.
+    """
+    w = Window.partitionBy("title").orderBy("ts", "statement")
+    last = Window.partitionBy("title").orderBy(F.desc("ts"), F.desc("statement"))
+    steps = rows.withColumns({"before": F.lag("statement").over(w), "delta": F.col("confidence") - F.lag("confidence").over(w), "n": F.row_number().over(last)})
+    return steps.where(F.col("n") <= most).groupBy("title").agg(
+        F.max_by("statement", -F.col("n")).alias("statement"),
+        F.max_by("confidence", -F.col("n")).alias("confidence"),
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("before").isNotNull(), F.struct((-F.col("n")).alias("o"), "ts", "before", "delta")))),
+            lambda x: F.struct(x["ts"].alias("ts"), x["before"].alias("before"), x["delta"].alias("delta")),
+        ).alias("trail"),
     )
-    return out.withColumn("trail", F.expr(f"slice(trail, -least({TRAIL}, greatest(size(trail), 1)), {TRAIL})") if TRAIL else F.col("trail"))
 
 
 def case_rollup(fragments: DataFrame) -> DataFrame:
@@ -48,16 +54,20 @@ def case_rollup(fragments: DataFrame) -> DataFrame:
 
 
 def resume_case(fragments: DataFrame, timeline: int = 12) -> DataFrame:
-    """case with its last entries, open errors, decisions in order, and the next steps of the newest episode that has any."""
+    """case with its last entries, open errors, decisions in order, and the next steps of the newest episode that has any.
+
+    Entries are ranked first, so the timeline of a case of any length collects its last ones only.
+    """
     entry = F.struct("ts", "doc_id", "content")
     still = (F.col("type") == "error") & (F.coalesce("status", F.lit("")) != "resolved")
-    out = fragments.groupBy("case").agg(
-        F.sort_array(F.collect_list(entry)).alias("timeline"),
+    last = Window.partitionBy("case").orderBy(F.desc("ts"), F.desc("doc_id"))
+    steps = F.when((F.col("type") == "episode") & (F.size("next_steps") > 0), F.struct("ts", "doc_id"))
+    return fragments.withColumn("n", F.row_number().over(last)).groupBy("case").agg(
+        F.sort_array(F.collect_list(F.when(F.col("n") <= timeline, entry))).alias("timeline"),
         F.sort_array(F.collect_list(F.when(still, entry))).alias("errors"),
         F.sort_array(F.collect_list(F.when(F.col("type") == "decision", entry))).alias("decisions"),
-        F.max_by("next_steps", F.when((F.col("type") == "episode") & (F.size("next_steps") > 0), F.struct("ts", "doc_id"))).alias("next_steps"),
+        F.max_by("next_steps", steps).alias("next_steps"),
     )
-    return out.withColumn("timeline", F.expr(f"slice(timeline, greatest(size(timeline) - {timeline - 1}, 1), {timeline})"))
 
 
 def collect_atoms(notes: DataFrame, cursor: float) -> DataFrame:
@@ -72,31 +82,20 @@ def collect_atoms(notes: DataFrame, cursor: float) -> DataFrame:
 def assign_scenes(groups: DataFrame, scenes: DataFrame, cap: int = SCENES) -> DataFrame:
     """group, scene, created: groups in order find their scene, open one while fewer than `cap` exist, else join the coldest.
 
-    Which scene absorbs depends on the order, so this is a fold over group names in one task; scenes number
-    at most `cap` and groups are one row each, which the count below checks.
+    Of the groups without a scene the first by name open those that are free; what is left joins the coldest of all,
+    which assigning does not heat. So no group has to wait for another: the scenes (`cap` at most, or those that are
+    known) are a small side, and groups are ranked only as far as there are free places.
     """
     names, known = groups.select("group").distinct(), scenes.select("group", "heat", "mtime")
-    if known.count() > 10_000:
-        raise ValueError("too many scenes for an ordered fold")
-    held = [(r["group"], r["heat"], r["mtime"]) for r in known.orderBy("group").collect()]
-
-    def fold(batches):
-        import pandas as pd
-
-        have = {g: (h, m) for g, h, m in held}
-        for batch in batches:
-            rows = []
-            for g in batch["group"]:
-                if g in have:
-                    rows.append((g, g, False))
-                elif len(have) < cap:
-                    have[g] = (1, float("inf"))
-                    rows.append((g, g, True))
-                else:
-                    rows.append((g, min(have, key=lambda s: (*have[s], s)), False))
-            yield pd.DataFrame(rows, columns=["group", "scene", "created"])
-
-    return names.repartition(1).sortWithinPartitions("group").mapInPandas(fold, "group string, scene string, created boolean")
+    free = max(0, cap - known.count())
+    fresh = names.join(known.select("group"), "group", "left_anti")
+    opened = fresh.orderBy("group").limit(free).withColumn("opens", F.lit(True)) if free else fresh.limit(0).withColumn("opens", F.lit(True))
+    new = opened.select("group", F.lit(1).cast("long").alias("heat"), F.lit(float("inf")).alias("mtime"))
+    all_scenes = known.select("group", F.col("heat").cast("long").alias("heat"), F.col("mtime").cast("double").alias("mtime")).unionByName(new)
+    coldest = all_scenes.agg(F.min_by("group", F.struct("heat", "mtime", "group")).alias("coldest"))
+    rows = names.join(known.select("group", F.lit(True).alias("has")), "group", "left").join(opened, "group", "left").crossJoin(coldest)  # one row
+    own = F.coalesce("has", F.lit(False)) | F.coalesce("opens", F.lit(False))
+    return rows.select("group", F.when(own, F.col("group")).otherwise(F.col("coldest")).alias("scene"), F.coalesce("opens", F.lit(False)).alias("created"))
 
 
 def scene_bodies(atoms: DataFrame, scenes: DataFrame, each: int = 12, trail: int = 8) -> DataFrame:
@@ -116,8 +115,11 @@ def scene_bodies(atoms: DataFrame, scenes: DataFrame, each: int = 12, trail: int
 
 
 def persona(lines: DataFrame, chars: int = 2000) -> DataFrame:
-    """One row: distinct lines (line, ord) in first-seen order, cut at a number of characters."""
-    first = lines.groupBy("line").agg(F.min("ord").alias("ord"))
+    """One row: distinct lines (line, ord) in first-seen order, cut at a number of characters.
+
+    A line is a character and a line end at least, so no more than `chars` lines are collected.
+    """
+    first = lines.where("line <> ''").groupBy("line").agg(F.min("ord").alias("ord")).orderBy("ord", "line").limit(chars)
     joined = first.agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("x"))
     return joined.select(F.left(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit(chars)).alias("persona"))
 
@@ -139,13 +141,14 @@ def related_memories(new: DataFrame, found: DataFrame, least: float = 0.60, dupl
     return both.withColumns({"duplicate": same, "n": F.row_number().over(order)}).where(F.col("n") <= k).select("query_id", "doc_id", "score", "duplicate")
 
 
-def conflicts(chunks: DataFrame, threshold: float = 0.80, limit: int = 50) -> DataFrame:
+def conflicts(chunks: DataFrame, threshold: float = 0.80, limit: int | None = 50, index: similarity.InvertedLists | None = None) -> DataFrame:
     """a, b, score, kind: the most similar chunk pair of each document pair, told apart as number, negation or duplicate.
 
-    All pairs above the threshold are found (exactly), then ordered; there is no early stop.
+    All pairs above the threshold are found (exactly, but with an `index` over the chunks' vectors), then the `limit`
+    most similar are ordered by kind; None keeps all.
     """
     body = chunks.where("kind = 'body' and vec is not null") if "kind" in chunks.columns else chunks.where("vec is not null")
-    pairs = similarity.similar_pairs(body, threshold)
+    pairs = similarity.similar_pairs(body, threshold, index=index)
     side = lambda s: body.select(F.col("chunk_id").alias(s), F.col("doc_id").alias(f"{s}_doc"), F.col("text").alias(f"{s}_text"))
     told = pairs.join(side("a"), "a").join(side("b"), "b")
     na, nb = tx.numbers(F.col("a_text")), tx.numbers(F.col("b_text"))
@@ -153,13 +156,14 @@ def conflicts(chunks: DataFrame, threshold: float = 0.80, limit: int = 50) -> Da
     flip = tx.has_negation(F.col("a_text")) != tx.has_negation(F.col("b_text"))
     kind = F.when(differ, "number").when(flip, "negation").otherwise("duplicate")
     pair = Window.partitionBy(F.least("a_doc", "b_doc"), F.greatest("a_doc", "b_doc")).orderBy(F.desc("score"), "a", "b")
-    first = told.withColumns({"kind": kind, "n": F.row_number().over(pair)}).where("n = 1").orderBy(F.desc("score"), "a", "b").limit(limit)
+    first = told.withColumns({"kind": kind, "n": F.row_number().over(pair)}).where("n = 1")
+    first = first if limit is None else first.orderBy(F.desc("score"), "a", "b").limit(limit)
     rank = F.when(F.col("kind") == "number", 0).when(F.col("kind") == "negation", 1).otherwise(2)
     return first.select("a", "b", "score", "kind").orderBy(rank, F.desc("score"), "a", "b")
 
 
-def drift(notes: DataFrame, each: int = 50, strict: bool = False) -> DataFrame:
-    """kind, doc_id, detail: links to no note, Markdown links to no file, and duplicate flags whose note still exists."""
+def drift(notes: DataFrame, each: int | None = 50, strict: bool = False) -> DataFrame:
+    """At most `each` (None: all) of every kind: kind, doc_id, detail: links to no note, Markdown links to no file, and duplicate flags whose note still exists."""
     names = notes.select(F.lower(F.trim("title")).alias("name"))
     if not strict:
         names = names.unionByName(notes.select(F.explode("aliases").alias("name")).select(F.lower(F.trim("name")).alias("name")))
@@ -174,6 +178,8 @@ def drift(notes: DataFrame, each: int = 50, strict: bool = False) -> DataFrame:
     flagged = flagged.withColumn("name", F.lower(F.trim(F.regexp_replace("detail", r"[\[\]]", "")))).join(names, "name", "left_semi")
     out = broken.select(F.lit("broken_link").alias("kind"), "doc_id", "detail")
     out = out.unionByName(missing.select(F.lit("missing_file").alias("kind"), "doc_id", "detail")).unionByName(flagged.select(F.lit("duplicate").alias("kind"), "doc_id", "detail"))
+    if each is None:
+        return out.distinct()
     order = Window.partitionBy("kind").orderBy("doc_id", "detail")
     return out.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).drop("n")
 
@@ -183,15 +189,24 @@ def eligible_skills(fragments: DataFrame, least: int = 2) -> DataFrame:
     return case_rollup(fragments).where((F.col("fragments") >= least) & (F.col("open_errors") == 0))
 
 
-def distill_batches(notes: DataFrame, chars: int = 12_000) -> DataFrame:
-    """group, batch, text: chat notes by folder and month, split into batches by a running count of characters."""
+def _in_batches(notes: DataFrame, chars: int) -> DataFrame:
     month = F.coalesce(F.nullif(F.regexp_extract(F.concat_ws(" ", "path", "title"), r"((?:19|20)\d{2}-(?:0[1-9]|1[0-2]))", 1), F.lit("")), F.lit("undated"))
     rows = notes.withColumn("group", F.concat_ws("/", F.regexp_replace("path", "/[^/]*$", ""), month))
     run = F.sum(F.length("body")).over(Window.partitionBy("group").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("batch", F.floor(F.coalesce(run, F.lit(0)) / chars).cast("int"))
+    return rows.withColumn("batch", F.floor(F.coalesce(run, F.lit(0)) / chars).cast("int"))
+
+
+def distill_batches(notes: DataFrame, chars: int = 12_000) -> DataFrame:
+    """group, batch, text: chat notes by folder and month, split into batches by a running count of characters."""
+    rows = _in_batches(notes, chars)
     return rows.groupBy("group", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "body"))), lambda r: r["body"]), "\n\n").alias("text"))
 
 
+def distill_sizes(notes: DataFrame, chars: int = 12_000) -> DataFrame:
+    """group, batch, notes, chars: what each batch holds."""
+    return _in_batches(notes, chars).groupBy("group", "batch").agg(F.count("*").alias("notes"), F.sum(F.length("body")).alias("chars"))
+
+
 def hit_stats(hits: DataFrame) -> DataFrame:
     """doc_id, hits, last_hit."""
     return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.max("ts").alias("last_hit"))

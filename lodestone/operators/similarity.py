@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -12,56 +13,90 @@ from pyspark.sql import functions as F
 from lodestone.functions import vector as vx
 from lodestone.operators.lexical import top_k
 
-#: Most bytes of query vectors that go to every task in one piece; larger sets are answered in slices.
-QUERY_BYTES = 32 << 20
+#: Most bytes of query vectors that go to every task in one piece; larger sets are dealt into blocks.
+QUERY_BYTES = 16 << 20
+#: Bytes of the vectors of one block, of queries or of what is searched.
+BLOCK_BYTES = 32 << 20
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, key: str = "chunk_id", vec: str = "vec") -> DataFrame:
     """query_id, key, score, rank of the k nearest by dot product (cosine on unit vectors), exact.
 
-    The query vectors (query_id, vec) go to the tasks, in slices of a checked size; every batch of vectors is
-    one matrix product from which only each query's k best leave the task, then a window keeps k overall.
-    Null vectors and vectors of another length are not searched.
+    Query vectors (query_id, vec) of a checked size go to the tasks, and every batch of vectors is one matrix
+    product from which only each query's k best leave. A larger set never comes to the driver: queries and vectors are
+    dealt into blocks, each pair of blocks a task. A window keeps k overall. Null vectors and vectors of another
+    length are not searched.
     """
-    rows = [(r["query_id"], r["vec"]) for r in queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).where("vec is not null").toLocalIterator()]
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
-    each = max(1, QUERY_BYTES // (8 * max(len(v) for _, v in rows)))
-    out = None
-    for at in range(0, len(rows), each):
-        found = _slice_topk(vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")), rows[at : at + each], k)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k, "key").withColumnRenamed("key", key)
-
-
-def _slice_topk(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+    asked = queries.select("query_id", F.col(vec if vec in queries.columns else "vec").cast("array<double>").alias("vec")).where("vec is not null")
+    held = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dims")).first()
+    if size["n"] * size["dims"] * 8 <= QUERY_BYTES:
+        rows = [(r["query_id"], r["vec"]) for r in asked.collect()]
+        if not rows:
+            return vectors.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
+        found = held.mapInPandas(_sent(rows, k), "query_id long, key long, score double")
+    else:
+        found = _blocked(held, asked, k, size["dims"], size["n"])
+    return top_k(found, k, "key").withColumnRenamed("key", key)
+
+
+def _best(ids, matrix, keys, x, k: int):
+    """Scores of the k best of a batch for every query; ties at the cut are all kept, a window after this decides by key."""
+    import numpy as np
+    import pandas as pd
+
+    scores = matrix @ x.T
+    floor = np.partition(scores, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(ids), -np.inf)
+    q, c = np.nonzero(scores >= floor[:, None])
+    return pd.DataFrame({"query_id": ids[q], "key": keys[c], "score": np.round(scores[q, c], 9)})
+
+
+def _sent(rows: list, k: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
-        ids = np.array([i for i, _ in rows])
-        matrix = np.array([v for _, v in rows], dtype=np.float64)
+        sizes: dict[int, list] = {}
+        for i, v in rows:
+            sizes.setdefault(len(v), []).append((i, v))
+        sets = {n: (np.array([i for i, _ in part]), np.array([v for _, v in part], dtype=np.float64)) for n, part in sizes.items()}
         for batch in batches:
-            batch = batch[batch["vec"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-            if not len(batch):
-                continue
-            keys = batch["key"].to_numpy()
-            scores = matrix @ np.stack(batch["vec"].to_numpy()).T
-            # Ties at the cut are all kept: the window after this decides by key.
-            floor = np.partition(scores, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(ids), -np.inf)
-            q, c = np.nonzero(scores >= floor[:, None])
-            yield pd.DataFrame({"query_id": ids[q], "key": keys[c], "score": np.round(scores[q, c], 9)})
+            lengths = batch["vec"].map(len)
+            for n, (ids, matrix) in sets.items():
+                part = batch[lengths == n]
+                if len(part):
+                    yield _best(ids, matrix, part["key"].to_numpy(), np.stack(part["vec"].to_numpy()), k)
+
+    return run
+
+
+def _blocked(held: DataFrame, asked: DataFrame, k: int, dims: int, n_asked: int) -> DataFrame:
+    each = max(1, BLOCK_BYTES // (8 * dims))
+    of_queries, of_vectors = -(-n_asked // each), max(1, -(-held.count() // each))
+    deal = lambda c, n: F.pmod(F.xxhash64(F.lit("block"), F.col(c)), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.withColumn("v", deal("key", of_vectors)).withColumn("q", all_of(of_queries))
+    right = asked.withColumn("q", deal("query_id", of_queries)).withColumn("v", all_of(of_vectors))
+
+    def run(here, there):
+        import pandas as pd
+
+        if not len(here) or not len(there):
+            return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64", "score": "float64"})
+        rows = list(zip(there["query_id"].tolist(), there["vec"], strict=True))
+        return pd.concat(list(_sent(rows, k)([here])) or [pd.DataFrame({"query_id": [], "key": [], "score": []})])
 
-    return vectors.mapInPandas(run, "query_id long, key long, score double")
+    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(run, "query_id long, key long, score double")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "doc_id", vec: str = "vec", block: int = 512) -> DataFrame:
-    """a, b, score: exact pairs a < b of different groups with dot product of at least the threshold.
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "doc_id", vec: str = "vec", block: int = 512, index: InvertedLists | None = None, probes: int = 8) -> DataFrame:
+    """a, b, score: pairs a < b of different groups with dot product of at least the threshold.
 
-    Vectors are dealt into blocks by hash; each pair of blocks is one task whose product is filtered before it
-    leaves. The number of block pairs grows with the square of the table, which is what exactness costs; for
-    large tables search approximately with `InvertedLists`.
+    Exact without an `index`: vectors are dealt into blocks by hash, and each pair of blocks is one task whose product
+    is filtered before it leaves; block pairs grow with the square of the table. With inverted lists over the same
+    vectors each vector meets those of its nearest `probes` lists only, which misses some pairs.
     """
+    if index is not None:
+        return index.pairs(vectors.select(F.col(key).alias("key"), F.col(group).alias("grp")), threshold, probes)
     n = vectors.count()
     blocks = max(1, -(-n // block))
     dealt = vectors.select(F.col(key).alias("id"), F.col(group).alias("grp"), vx.as_double(F.col(vec)).alias("v")).where("v is not null")
@@ -85,13 +120,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
     return dealt.groupBy("lo", "hi").applyInPandas(pairs, "a long, b long, score double")
 
 
-def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame | None = None, bonus: float = 0.05) -> DataFrame:
-    """query_id, doc_id, score: documents by their best chunk against each document's centroid, plus a bonus if linked."""
-    found = vector_topk(vectors, centroids.select(F.col("doc_id").alias("query_id"), F.col("centroid").alias("vec")), 4 * k + 64)
+def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame | None = None, bonus: float = 0.05, index: InvertedLists | None = None, probes: int = 32, wide: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: documents by their best chunk against each document's centroid, plus a bonus if linked.
+
+    Candidates are the max(48, 6k) nearest chunks of a centroid (`wide` of them where given), from inverted lists if an `index` is given.
+    """
+    asked = centroids.select(F.col("doc_id").alias("query_id"), vx.normalized(F.col("centroid")).alias("vec"))
+    wide = wide or max(48, 6 * k)
+    found = vector_topk(vectors, asked, wide) if index is None else index.search(asked, wide, probes)
     best = found.join(vectors.select("chunk_id", "doc_id"), "chunk_id").where("doc_id <> query_id")
     best = best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     if linked is not None:
-        best = best.join(linked.select(F.col("src").alias("query_id"), F.col("dst").alias("doc_id"), F.lit(bonus).alias("bonus")).distinct(), ["query_id", "doc_id"], "left")
+        ends = linked.select("src", "dst").unionByName(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        best = best.join(ends.select(F.col("src").alias("query_id"), F.col("dst").alias("doc_id"), F.lit(bonus).alias("bonus")), ["query_id", "doc_id"], "left")
         best = best.withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     return top_k(best, k, "doc_id")
 
@@ -112,18 +153,36 @@ class InvertedLists:
         self.rows = assigned.select("key", "list", "v", vx.quantized(F.col("v"), scale).alias("code"))
         self.key = key
 
+    def _nearest(self, queries: DataFrame, probes: int) -> DataFrame:
+        """query_id, list, q: the lists to search for every query; only the centres go to the tasks."""
+        centers = [[float(x) for x in c] for c in self.model.clusterCenters()]
+
+        @F.pandas_udf("array<int>")
+        def places(vectors: pd.Series) -> pd.Series:
+            import numpy as np
+
+            c = np.array(centers)
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+            scores = np.stack(vectors.to_numpy()) @ c.T
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype("int32")))
+
+        asked = queries.select("query_id", vx.normalized(vx.as_double(F.col("vec"))).alias("q")).where("q is not null")
+        return asked.withColumn("list", F.explode(places("q")))
+
     def search(self, queries: DataFrame, k: int, probes: int = 256) -> DataFrame:
         """query_id, key, score, rank; byte codes pick max(k + 16, 2k) candidates, doubles decide."""
-        spark = queries.sparkSession
-        centers = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
-        lists = spark.createDataFrame(centers, "list int, center array<double>")
-        near = vector_topk(lists.select(F.col("list").cast("long").alias("chunk_id"), vx.normalized(F.col("center")).alias("vec")), queries, min(probes, self.lists))
-        probe = near.select("query_id", F.col("chunk_id").cast("int").alias("list")).join(queries.select("query_id", vx.normalized(vx.as_double(F.col("vec"))).alias("q")), "query_id")
-        scan = self.rows.join(probe, "list").withColumn("score", vx.dot(F.col("q"), vx.as_double(F.col("code"))))
+        scan = self.rows.join(self._nearest(queries, min(probes, self.lists)), "list").withColumn("score", vx.dot(F.col("q"), vx.as_double(F.col("code"))))
         rough = top_k(scan, max(k + 16, 2 * k), "key")
         exact = rough.withColumn("score", F.round(vx.dot(F.col("q"), F.col("v")), 9)).select("query_id", "key", "score")
         return top_k(exact, k, "key").withColumnRenamed("key", self.key)
 
+    def pairs(self, groups: DataFrame, threshold: float, probes: int) -> DataFrame:
+        """a, b, score: pairs of different groups (key, grp) at the threshold or above, met in a list near either of them."""
+        rows = self.rows.join(groups, "key")
+        asked = self._nearest(rows.select(F.col("key").alias("query_id"), F.col("v").alias("vec")), min(probes, self.lists)).join(groups.withColumnsRenamed({"key": "query_id", "grp": "own"}), "query_id")
+        met = rows.join(asked, "list").where("key <> query_id and grp <> own").withColumn("score", F.round(vx.dot(F.col("q"), F.col("v")), 9)).where(F.col("score") >= threshold)
+        return met.groupBy(F.least("key", "query_id").alias("a"), F.greatest("key", "query_id").alias("b")).agg(F.max("score").alias("score"))
+
 
 def path_smoothness(ordered: DataFrame) -> DataFrame:
     """query_id, smoothness: mean cosine of successive hits (query_id, position, vec)."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import temporal as tm
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
-from lodestone.operators import context, evaluation, fusion, graph, lexical, memory, similarity
+from lodestone.operators import context, evaluation, fusion, graph, lexical, memory, search, similarity
+from lodestone.plans.store import index_of
 from lodestone.sources.tables import load
 from lodestone.streaming import sync
 
@@ -55,8 +56,8 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(r - 1 AS INTEGER) AS ran
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM scored) WHERE r <= 8""")
 def bm25_topk(spark, d):
     """The eight best documents of every benchmark item by BM25."""
-    found = lexical.bm25_topk(_docs(spark, d).select("doc_id", "text"), _asked(spark, d), 8, key="doc_id", two_phase=False)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    found = index_of(spark, d).bm25(_asked(spark, d), 8, two_phase=False)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {_TERMS}, n_asked AS (SELECT query_id, count(*) AS asked FROM asked GROUP BY query_id),
@@ -65,8 +66,8 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(r - 1 AS INTEGER) AS ran
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM flagged WHERE full_n < 2 OR asked < 2 OR full_match) WHERE r <= 2""")
 def bm25_and_or(spark, d):
     """K5: all terms first, any term where that does not fill the list."""
-    found = lexical.bm25_topk(_docs(spark, d).select("doc_id", "text"), _asked(spark, d), 2, key="doc_id")
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    found = index_of(spark, d).bm25(_asked(spark, d), 2)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[가-힣]{2,}')) AS term FROM documents) GROUP BY term")
@@ -122,17 +123,20 @@ def doc_centroids(spark, d):
     return c.select("doc_id", F.posexplode("centroid").alias("dim", "mean")).select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("mean", 5).alias("mean"))
 
 
+#: Chunks of each centroid's neighbourhood from which related documents are taken.
+RELATED_WIDE = 200
+
+
 @query(f"""WITH {_E}, m AS (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS dim, unnest(v) AS x FROM e) GROUP BY label, dim),
 c AS (SELECT label, list(x ORDER BY dim) AS v FROM m GROUP BY label),
-s AS (SELECT c.label::BIGINT AS query_id, e.label::BIGINT AS doc_id, max(round(list_dot_product(c.v, e.v), 9)) AS score FROM c JOIN e ON c.label <> e.label GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 3""")
+s AS (SELECT c.label::BIGINT AS query_id, e.label::BIGINT AS doc_id, round(list_dot_product(c.v, e.v) / sqrt(list_dot_product(c.v, c.v)), 9) AS score, e.vec_id FROM c, e),
+near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {RELATED_WIDE})
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, max(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, doc_id) AS r FROM near WHERE doc_id <> query_id GROUP BY query_id, doc_id) WHERE r <= 3""")
 def related_docs(spark, d):
-    """Documents by their best chunk against each centroid."""
+    """Documents by their best chunk in the neighbourhood of each centroid."""
     v = _vectors(spark, d)
-    c = vx.mean_vectors(v, "doc_id", "vec").select(F.col("doc_id").alias("query_id"), F.col("centroid").alias("vec"))
-    best = similarity.vector_topk(v, c, v.count()).join(v.select("chunk_id", "doc_id"), "chunk_id").where("doc_id <> query_id")
-    best = best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return lexical.top_k(best, 3, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    out = similarity.related(v, vx.mean_vectors(v, "doc_id", "vec"), 3, wide=RELATED_WIDE)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 _LEGS = f"""{_TERMS}, bm AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored QUALIFY rank < 48),
@@ -143,7 +147,8 @@ fused AS (SELECT query_id, doc_id, round(sum(weight / (61 + rank)), 12) AS fused
 
 def _fused(spark, d):
     docs = _docs(spark, d)
-    bm = lexical.bm25_topk(docs.select("chunk_id", "text"), _asked(spark, d), 48, two_phase=False)
+    # A few rows a query, which both legs start from.
+    bm = index_of(spark, d).bm25(_asked(spark, d), 48, two_phase=False).cache()
     long = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), F.asc("chunk_id"))
     other = bm.join(docs.select("chunk_id", "n_chars"), "chunk_id").select("query_id", "chunk_id", (F.row_number().over(long) - 1).alias("rank"), F.lit(1.0).alias("weight"))
     return fusion.rrf(other.unionByName(bm.select("query_id", "chunk_id", "rank", F.lit(0.8).alias("weight"))))
@@ -186,10 +191,10 @@ SELECT query_id, doc_id, round(sum(CASE WHEN contains(body, token) OR (length(to
 FROM w JOIN body USING (query_id) GROUP BY query_id, doc_id""")
 def coverage_gate(spark, d):
     """Weighted share of a query's tokens in its best documents."""
-    docs = _docs(spark, d)
-    top = lexical.bm25_topk(docs.select("chunk_id", "text"), _asked(spark, d), 8, two_phase=False)
-    hits = top.join(docs.select("chunk_id", "text", F.col("source").alias("title")), "chunk_id")
-    return fusion.coverage(_asked(spark, d), hits, lexical.lexicon(docs)).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("cover", 6).alias("cover"))
+    index = index_of(spark, d)
+    top = index.bm25(_asked(spark, d), 8, two_phase=False)
+    hits = top.join(index.chunks.select("chunk_id", "text", "title"), "chunk_id")
+    return fusion.coverage(_asked(spark, d), hits, index.lexicon).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("cover", 6).alias("cover"))
 
 
 @query("SELECT doc_id, source, CAST(r AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE source IN ('src1', 'src2')) WHERE r <= 5")
@@ -265,11 +270,15 @@ def adjacent_turns(spark, d):
     return context.adjacent(turns).select("chunk_id.conv_id", "chunk_id.turn", "before", "after")
 
 
-@query("""WITH a AS (SELECT *, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, CASE WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 4 OR regexp_matches(text, '(?i)^(it|that|this|they|he|she|then|and|그거|그건|그럼|그게)\\b') THEN concat_ws(' ', left(two, 160), left(one, 160), text) ELSE text END AS query
-FROM a WHERE role = 'user'""")
+_ANAPHORA = ", ".join(f"'{w}'" for w in context.ANAPHORA)
+
+
+@query(f"""WITH a AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS u, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS s
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN (length(trim(text)) <= 16 OR list_bool_or(list_transform([{_ANAPHORA}], lambda x: starts_with(trim(text), x) OR contains(' ' || trim(text), ' ' || x)))) AND (u IS NOT NULL OR s IS NOT NULL)
+THEN concat_ws(' ', left(u, 160), left(s, 160), text) ELSE text END AS query FROM a WHERE role = 'user'""")
 def contextual_query(spark, d):
-    """Short turns with what was said before."""
+    """Short or pointing turns with the last user and assistant turns in front."""
     return context.contextual_queries(load(spark, d, "conversations"))
 
 
@@ -447,10 +456,19 @@ def text_measures(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.length(tx.squash(t)).cast("long").alias("squashed"), F.round(tx.approx_model_tokens(t), 6).alias("tokens"))
 
 
-@query()
+_TYPO = """
+  lexi AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[가-힣]{2,}')) AS term FROM documents) GROUP BY term),
+  parts AS (SELECT query_id, unnest(l) AS part, generate_subscripts(l, 1) AS pos FROM (SELECT item_id AS query_id, regexp_extract_all(text, '[A-Za-z]+|[가-힣]+|[^A-Za-z가-힣]+') AS l FROM benchmark)),
+  unk AS (SELECT DISTINCT lower(part) AS word FROM parts WHERE regexp_matches(part, '^[A-Za-z]{4,}$') AND lower(part) NOT IN (SELECT term FROM lexi)),
+  near AS (SELECT word, term, n, levenshtein(word, term) AS dist, CASE WHEN length(word) <= 5 THEN 1 ELSE 2 END AS cap FROM unk JOIN lexi ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= 2),
+  fix AS (SELECT word, term AS fixed FROM near WHERE dist <= cap QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, n DESC, term) = 1),
+  mended AS (SELECT query_id, string_agg(coalesce(fixed, part), '' ORDER BY pos) AS corrected FROM parts LEFT JOIN fix ON fix.word = lower(part) GROUP BY query_id)"""
+
+
+@query(f"WITH {_TYPO} SELECT item_id AS query_id, text, corrected FROM benchmark JOIN mended ON item_id = query_id")
 def typo_fix(spark, d):
-    """Benchmark items with unknown words replaced by the nearest known ones."""
-    return lexical.correct_typos(_asked(spark, d), lexical.lexicon(load(spark, d, "documents")))
+    """Benchmark items with unknown words replaced by the nearest known ones."""
+    return lexical.correct_typos(_asked(spark, d), index_of(spark, d).lexicon)
 
 
 @query()
@@ -481,20 +499,47 @@ def curriculum(spark, d):
     return context.curriculum(hits)
 
 
-@query()
+_DIM = "(('0x' || substr(md5(term), 1, 4))::INTEGER % 64)"
+_SIGN = "(CASE WHEN substr(md5(term), 5, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"
+_QWORDS = ", ".join(f"'{w}'" for w in tx.QUESTION_WORDS)
+_SEARCH = f"""{_TYPO},
+  q AS (SELECT query_id, trim(text) AS text, corrected AS lex, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) <= 4 AND NOT list_bool_or(list_transform([{_QWORDS}], lambda w: contains(lower(text), w))) AS keyword FROM mended JOIN benchmark ON item_id = query_id),
+  v AS (SELECT query_id, 0 AS v, text AS t FROM q UNION ALL SELECT query_id, 1, lex FROM q WHERE lex <> text),
+  asked AS (SELECT DISTINCT query_id, v, unnest(flatten(list_transform(list_filter(string_split_regex(replace(t, '"', ''), '\\s+'), lambda w: w <> '')[1:16], lambda w: {_TOK.format("w")}))) AS term FROM v),
+  toks AS (SELECT doc_id, coalesce({_TOK.format("text")}, []) AS ts FROM documents),
+  stats AS (SELECT count(*) AS n, avg(len(ts)) AS mean_len, greatest(0.05 * count(*), 4) AS floor, greatest(2.0, 0.008 * count(*)) AS ceiling FROM toks),
+  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM toks) GROUP BY ALL),
+  tdf AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  raw AS (SELECT query_id, v, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 9) AS score, count(*) AS matched FROM asked JOIN tf USING (term) JOIN tdf USING (term), stats GROUP BY query_id, v, doc_id),
+  n_asked AS (SELECT query_id, v, count(*) AS wanted FROM asked GROUP BY query_id, v),
+  flagged AS (SELECT raw.*, wanted, matched = wanted AS full_match, count(*) FILTER (matched = wanted) OVER (PARTITION BY query_id, v) AS full_n FROM raw JOIN n_asked USING (query_id, v)),
+  bm AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, doc_id) - 1 AS rank FROM flagged WHERE full_n < 48 OR wanted < 2 OR full_match QUALIFY rank < 48),
+  qt AS (SELECT query_id, {_CONTENT.format('lex')} AS ts FROM q),
+  cut AS (SELECT query_id, token, c AS cut, left(token, length(token) - c::INTEGER) AS term FROM (SELECT query_id, unnest(ts) AS token FROM qt), range(3) r(c) WHERE length(token) >= c + 2),
+  per AS (SELECT query_id, token, max(CASE WHEN cut < 2 THEN coalesce(df, 0) END) AS short, max(coalesce(df, 0)) AS long FROM cut LEFT JOIN tdf USING (term) GROUP BY query_id, token),
+  flags AS (SELECT q.query_id, coalesce(bool_and(short > floor), false) AS all_common, coalesce(bool_and(long > floor) FILTER (long > 0), false) AS none_telling FROM q LEFT JOIN per USING (query_id), stats GROUP BY q.query_id),
+  dv AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, {_DIM} AS dim, sum(tf * {_SIGN}) AS x FROM tf GROUP BY ALL)),
+  qv AS (SELECT query_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM (SELECT query_id, {_DIM} AS dim, sum({_SIGN}) AS x FROM (SELECT query_id, unnest({_TOK.format('text')}) AS term FROM q) GROUP BY ALL)),
+  near0 AS (SELECT query_id, doc_id, round(sum(qv.x * dv.x), 9) AS score FROM qv JOIN dv USING (dim) GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 48),
+  rare AS (SELECT doc_id, count(*) FILTER (df <= ceiling) / count(*)::DOUBLE AS rare FROM (SELECT doc_id, unnest({_CONTENT.format('text')}) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM near0)) JOIN tdf USING (term), stats GROUP BY doc_id),
+  vec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN all_common OR none_telling THEN round(score * (1 + 0.6::DOUBLE * coalesce(rare, 0)), 9) ELSE score END DESC, doc_id) - 1 AS rank FROM near0 JOIN flags USING (query_id) LEFT JOIN rare USING (doc_id)),
+  w AS (SELECT query_id, token, 1 / (1 + ln(1 + coalesce(lexi.n, 3))) AS w FROM (SELECT query_id, unnest(ts) AS token FROM qt WHERE len(ts) >= 4) JOIN q USING (query_id) JOIN flags USING (query_id) LEFT JOIN lexi ON lexi.term = token WHERE NOT keyword AND NOT all_common),
+  body AS (SELECT query_id, doc_id, rank, lower(concat_ws(' ', text, source)) AS body FROM bm JOIN documents USING (doc_id) WHERE v = 0 AND rank < 8),
+  cover AS (SELECT query_id, doc_id, rank, sum(CASE WHEN contains(body, token) OR (length(token) >= 3 AND contains(body, left(token, length(token) - 1))) OR (length(token) >= 5 AND contains(body, left(token, length(token) - 2))) THEN w ELSE 0 END) / sum(w) AS cover FROM w JOIN body USING (query_id) GROUP BY query_id, doc_id, rank),
+  best AS (SELECT query_id, max(cover) AS best FROM cover GROUP BY query_id HAVING max(cover) > 0),
+  pinned AS (SELECT query_id, doc_id, best FROM cover JOIN best USING (query_id) WHERE cover >= least(0.8 * best, 0.65::DOUBLE) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cover, 12) DESC, rank) = 1),
+  lean AS (SELECT query_id, CASE WHEN keyword OR best >= 0.6 THEN 2.4::DOUBLE WHEN all_common THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS factor, best FROM q JOIN flags USING (query_id) LEFT JOIN pinned USING (query_id)),
+  tickets AS (SELECT query_id, doc_id, rank, 0.8::DOUBLE * CASE WHEN v = 1 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * factor AS weight FROM bm JOIN lean USING (query_id) UNION ALL SELECT query_id, doc_id, rank, 1.0::DOUBLE FROM vec),
+  pins AS (SELECT query_id, doc_id, max(pin) AS pin FROM (SELECT query_id, doc_id, 3.5::DOUBLE AS pin FROM pinned WHERE best >= 0.65 UNION ALL SELECT query_id, bm.doc_id, 2 + 1.0::DOUBLE / (1 + rank) FROM bm JOIN lean USING (query_id) WHERE v = 0 AND rank < 3 AND best >= 0.65) GROUP BY ALL),
+  summed AS (SELECT query_id, doc_id, round(sum(weight / (61 + rank)), 12) AS s FROM tickets GROUP BY query_id, doc_id),
+  fused AS (SELECT query_id, doc_id, round(coalesce(pin, s) + CASE WHEN len(list_filter(ts, lambda t: t = source OR (starts_with(t, source) AND length(t) <= length(source) + 2))) > 0 THEN 0.12::DOUBLE / len(ts) ELSE 0 END, 12) AS fused, source FROM summed LEFT JOIN pins USING (query_id, doc_id) JOIN qt USING (query_id) JOIN documents USING (doc_id))"""
+
+
+@query(f"""WITH {_SEARCH}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY fused DESC, doc_id) AS nth FROM fused)
+SELECT query_id, doc_id AS chunk_id, source AS doc_id, round(fused, 6) AS fused, CAST(r - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS r FROM s WHERE nth <= 3) WHERE r <= 8""")
 def hybrid_search(spark, d):
-    """K1: the whole pipeline over documents with a hashed embedding."""
+    """The whole search over documents with a hashed embedding."""
     from lodestone.sources import notes
 
-    docs = _docs(spark, d).select("chunk_id", F.col("source").alias("doc_id"), "text", F.col("source").alias("title"), F.lit("").alias("heading"))
     asked = notes.hashed_embedding(_asked(spark, d), "text")
-    found = fusion.hybrid_search(notes.hashed_embedding(docs, "text"), asked)
-    return found.select("query_id", "chunk_id", "doc_id", F.round("fused", 6).alias("fused"), "rank")
-
-
-@query()
-def scenes(spark, d):
-    """M7, M8: customers' segments and nations as groups assigned to at most twelve scenes."""
-    groups = load(spark, d, "customer").select(F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("group")).distinct()
-    known = spark.createDataFrame([], "group string, heat long, mtime double")
-    return memory.assign_scenes(groups, known)
+    return search.search(index_of(spark, d), asked).select("query_id", "chunk_id", "doc_id", F.round("fused", 6).alias("fused"), "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,52 @@ class Snapshots:
         fs.create(p, True).close()
         return version
 
+    def folder(self, version: int, name: str) -> str:
+        return f"{self.root}/v={version}/{name}"
+
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table of the newest version or of one; None where that has no such table."""
+        known = self.versions()
+        if not known:
+            return None
+        folder = self.folder(version or known[-1], name)
+        fs, p = self._fs(folder)
+        return self.spark.read.parquet(folder) if fs.exists(p) else None
+
+    def meta(self) -> dict | None:
+        """What was noted with the newest version."""
+        known = self.versions()
+        if not known:
+            return None
+        return json.loads(self.spark.read.text(self.folder(known[-1], "_meta_text")).first()["value"])
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """A table of a version in the making, written once so that it is not computed for every use."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def unstage(self) -> None:
+        fs, p = self._fs(f"{self.root}/_staged")
+        fs.delete(p, True)
+
+    def backup(self, target: str) -> int:
+        """Copy the newest version to another folder; its number there."""
         known = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v={version or known[-1]}/{name}") if known else None
+        tables = [t for t in self._names(known[-1]) if not t.startswith("_") and t != "index"] if known else []
+        return Snapshots(self.spark, target).write({t: self.read(t) for t in tables}, {"backup_of": known[-1]}) if tables else 0
+
+    def restore(self, source: str) -> int:
+        """Make the newest version of a backup the newest version here."""
+        other = Snapshots(self.spark, source)
+        known = other.versions()
+        if not known:
+            raise ValueError("the backup is empty")
+        return self.write({t: other.read(t) for t in other._names(known[-1]) if not t.startswith("_") and t != "index"}, {"restored": source})
+
+    def _names(self, version: int) -> list[str]:
+        fs, p = self._fs(f"{self.root}/v={version}")
+        return [s.getPath().getName() for s in fs.listStatus(p)]
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply, every: str | None = "2 seconds", schema: str = "path string, modificationTime timestamp, length long, content binary"):
