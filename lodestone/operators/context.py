@@ -99,6 +99,11 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def body_lengths(chunks: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
+    """by, chars, docs: characters and rows, map-side combined."""
+    return chunks.groupBy(by).agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("docs"))
+
+
 def abstract(title, body, length: int = 200):
     """Title and the start of the first paragraph."""
     return F.concat(title, F.lit(" — "), tx.snippet(body, length))

@@ -90,3 +90,8 @@ def window_leg(notes: DataFrame, windows: DataFrame, k: int, date: str = "doc_da
     inside = spread.join(notes.withColumn("day", day(F.col(date))), "day").where((F.col(date) >= F.col("lo")) & (F.col(date) < F.col("hi"))).drop("day")
     order = Window.partitionBy("query_id").orderBy(F.desc(date), F.asc("doc_id"))
     return inside.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < max(8, 2 * k))
+
+
+def tag_counts(notes: DataFrame, tags: str = "tags") -> DataFrame:
+    """tag, n: notes per tag, the most frequent first."""
+    return notes.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")

@@ -85,13 +85,15 @@ def chunk_df(spark, d):
 @query("SELECT lang AS tag, count(*) AS n FROM documents GROUP BY lang")
 def tag_counts(spark, d):
     """tags by documents."""
-    return load(spark, d, "documents").select(F.explode(F.array("lang")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    from lodestone.operators import filters
+
+    return filters.tag_counts(load(spark, d, "documents").select(F.array("lang").alias("tags")))
 
 
 @query("SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS docs FROM documents GROUP BY source")
 def body_length(spark, d):
     """characters per source."""
-    return load(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs"))
+    return context.body_lengths(load(spark, d, "documents"), "source")
 
 
 _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -175,11 +177,10 @@ n AS (SELECT greatest(2.0, 0.008 * count(*)) AS ceiling FROM documents)
 SELECT doc_id, round(count(*) FILTER (df <= ceiling) / count(*)::DOUBLE, 6) AS rare FROM t JOIN df USING (term), n GROUP BY doc_id""")
 def rarity_rerank(spark, d):
     """Share of rare content tokens per document."""
-    docs = _docs(spark, d)
-    tokens = docs.select("doc_id", F.explode(tx.content_tokens(F.col("text"))).alias("term"))
-    ceiling = max(2.0, 0.008 * docs.count())
-    df = tokens.groupBy("term").agg(F.count("*").alias("df"))
-    return tokens.join(df, "term").groupBy("doc_id").agg(F.round(F.count_if(F.col("df") <= ceiling) / F.count("*"), 6).alias("rare"))
+    index = index_of(spark, d)
+    df = index.frequencies.where("text_df > 0").select("term", F.col("text_df").alias("df"))
+    docs = _docs(spark, d).where(F.size(tx.content_tokens(F.col("text"))) > 0)
+    return fusion.rare_share(docs, df, index.n, ["doc_id"]).select("doc_id", F.round("rare", 6).alias("rare"))
 
 
 @query(f"""WITH {_TERMS}, top AS (SELECT query_id, doc_id FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 8),
@@ -229,7 +230,7 @@ def temporal_window_leg(spark, d):
     """Events inside a half-open window from the first one."""
     ev = load(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     rows = ev.crossJoin(ev.agg(F.min("s").alias("first")))  # one row
-    inside = (F.col("s") >= F.col("first")) & (F.col("s") < F.col("first") + 604800)
+    inside = sync.within("s", F.col("first"), F.col("first") + 604800)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(inside).alias("first_week"))
 
 
@@ -257,10 +258,7 @@ r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n FROM r GROUP BY user_id, run""")
 def activity_runs(spark, d):
     """Runs of equal events per user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.when(F.col("event_type") == F.lag("event_type").over(w), 0).otherwise(1)
-    rows = load(spark, d, "events").withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    return rows.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+    return sync.runs(load(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
 @query("SELECT conv_id, turn, lag(text) OVER w AS before, lead(text) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -439,7 +437,7 @@ def full_support(spark, d):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def props_json(spark, d):
     """A field of the event details."""
-    return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return load(spark, d, "events").select("event_id", sync.detail("k").try_cast("long").alias("k"))
 
 
 @query("""SELECT source, count(*) AS n, CAST(greatest(count(*) - 8, 0) AS BIGINT) AS more FROM documents GROUP BY source""")

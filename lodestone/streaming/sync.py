@@ -6,7 +6,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RING = 1000
@@ -122,6 +122,24 @@ def ring(events: DataFrame, size: int = RING, key: str = "event_id") -> DataFram
     return events.orderBy(F.desc(key)).limit(size)
 
 
+def runs(events: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
+    """by, run, value, n: stretches of successive rows with one value, numbered from 1."""
+    w = Window.partitionBy(by).orderBy(*order)
+    fresh = F.when(F.col(value) == F.lag(value).over(w), 0).otherwise(1)
+    rows = events.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w))
+    return rows.groupBy(by, "run").agg(F.min(value).alias(value), F.count("*").alias("n"))
+
+
+def detail(name: str, column: str = "props") -> Column:
+    """A field of an event's JSON details; null where they cannot be read."""
+    return F.get_json_object(column, f"$.{name}")
+
+
+def within(at: str, lo: Column, hi: Column) -> Column:
+    """Whether a time lies in a half-open window."""
+    return (F.col(at) >= lo) & (F.col(at) < hi)
+
+
 def idle_sessions(atoms: DataFrame, late: str = "10 minutes", gap: str = "180 seconds") -> DataFrame:
     """Sessions of atoms that end after three idle minutes (an event-time extension for streams and tables alike)."""
     rows = atoms.withWatermark("ts", late) if atoms.isStreaming else atoms

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from helpers import rows
-from lodestone.plans import catalog, vault  # noqa: F401
+from lodestone.plans import agents, catalog, vault  # noqa: F401
 from lodestone.sources.tables import NAMES
 
 FOLDER = "/root/testdata/sf0.001"
