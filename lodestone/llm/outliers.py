@@ -4,7 +4,7 @@ Five transformed statistics describe a text: log of the mean word length, and th
 shares of symbols, capitals, duplicate lines and repeated words. Per language and source a minimum covariance
 determinant estimate is made: from several starts (the texts nearest to the coordinatewise medians, and two draws of
 about `DRAWN` texts by hash) concentration steps take mean and covariance of the `SHARE` nearest by Mahalanobis
-distance until no determinant falls any more, and the start of least determinant is kept. The covariance is scaled by
+distance; after two steps the start of least determinant is kept and goes on until no determinant falls any more. The covariance is scaled by
 the consistency factor of that share at the normal law. Texts beyond the chi-square quantile of tail `TAIL` on five
 degrees are rejected; the tail is that small because the statistics have heavier tails than a normal law.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import join_measured, materialize, table
@@ -35,11 +35,12 @@ from lodestone.llm.shared import join_measured, materialize, table
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 STATISTICS = ("x_length", "x_symbols", "x_capitals", "x_lines", "x_repeats")
-#: Share of a group that a concentration step keeps, texts of a drawn start, and the most steps that are made.
+#: Share of a group that a concentration step keeps, and texts of a drawn start.
 SHARE = 0.75
 DRAWN = 12
 STARTS = (0, 1, 2)
-STEPS = 10
+#: Steps of all starts, the most steps that are made, and the fall of a log determinant that calls for another.
+FIRST_STEPS, STEPS, FALL = 2, 10, 0.01
 #: An estimate counts by its texts beyond five a statistic, against `PRIOR` texts of the next wider group.
 NEEDED, PRIOR = 25, 40
 #: Least standard deviation of a statistic, and the chi-square tail beyond which a text is rejected.
@@ -167,7 +168,7 @@ def _moment_names() -> list[str]:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Add the Cholesky factor c_ij of the covariance, floor included, and its log determinant."""
+    """Add the log determinant of the covariance, floor included, and its inverse p_ij, by way of the Cholesky factor."""
     d, out = len(STATISTICS), moments
     for i in range(d):
         for j in range(i + 1):
@@ -177,27 +178,48 @@ def _factored(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 cov = cov - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
             out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"c{j}{j}"))
-    return out.withColumn("logdet", 2 * sum((F.log(f"c{i}{i}") for i in range(1, d)), F.log("c00")))
+    out = out.withColumn("logdet", 2 * sum((F.log(f"c{i}{i}") for i in range(1, d)), F.log("c00")))
+    for i in range(d):
+        out = out.withColumn(f"l{i}{i}", 1 / F.col(f"c{i}{i}"))
+        for j in range(i - 1, -1, -1):
+            out = out.withColumn(f"l{i}{j}", -sum((F.col(f"c{i}{k}") * F.col(f"l{k}{j}") for k in range(j + 1, i)), F.col(f"c{i}{j}") * F.col(f"l{j}{j}")) / F.col(f"c{i}{i}"))
+    for i in range(d):
+        for j in range(i + 1):
+            out = out.withColumn(f"p{i}{j}", sum((F.col(f"l{k}{i}") * F.col(f"l{k}{j}") for k in range(i + 1, d)), F.col(f"l{i}{i}") * F.col(f"l{i}{j}")))
+    return out.select(*moments.columns, "logdet", *_inverse_names())
+
 
+def _inverse_names() -> list[str]:
+    return [f"p{i}{j}" for i in range(len(STATISTICS)) for j in range(i + 1)]
 
-def _distance(rows: DataFrame, estimate: DataFrame, key: list[str]) -> DataFrame:
-    """Squared Mahalanobis distances by forward substitution to written estimates; null where there is none."""
+
+def _distance(rows: DataFrame, estimate: DataFrame, key: list[str], how: str = "left") -> DataFrame:
+    """Squared Mahalanobis distances to written estimates; null where there is none."""
     d = len(STATISTICS)
-    out = join_measured(rows, estimate.select(*key, *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i in range(d) for j in range(i + 1))), key)
-    for i, x in enumerate(STATISTICS):
-        y = F.col(x) - F.col(f"m{i}")
-        for k in range(i):
-            y = y - F.col(f"c{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", y / F.col(f"c{i}{i}"))
-    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, d)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", total).select(*rows.columns, "d2")
+    out = join_measured(rows, estimate.select(*key, *(f"m{i}" for i in range(d)), *_inverse_names()), key, how)
+    z = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(STATISTICS)]
+    total = z[0] * z[0] * F.col("p00")
+    for i in range(1, d):
+        total = total + z[i] * z[i] * F.col(f"p{i}{i}")
+        for j in range(i):
+            total = total + 2 * z[i] * z[j] * F.col(f"p{i}{j}")
+    return out.withColumn("d2", F.greatest(total, F.lit(0.0))).select(*rows.columns, "d2")
 
 
 def _moments_of_nearest(rows: DataFrame) -> DataFrame:
-    """Moments and factors of the share of every run that lies nearest, written to the shared folder."""
-    limits = materialize(rows.groupBy(*RUN).agg(F.percentile_approx("d2", SHARE, 1000).alias("limit")))
-    near = join_measured(rows, limits, RUN, "inner").where("d2 <= limit")
-    return materialize(_factored(near.groupBy(*RUN).agg(*_sums())))
+    """Moments and factors of the share of every run that lies nearest, written to the shared folder.
+
+    One pass: moments are summed by rings of equal distance (3 % wide), and the inner rings are added up until they hold the share.
+    """
+    d = len(STATISTICS)
+    ring = F.floor(F.log(F.col("d2") + 1e-6) * 32).cast("int")
+    parts = [F.count("*").alias("n")] + [F.sum(x).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
+    parts += [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
+    rings = materialize(rows.groupBy(*RUN, ring.alias("ring")).agg(*parts))
+    inner = Window.partitionBy(*RUN).orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
+    near = rings.withColumns({"inside": F.coalesce(F.sum("n").over(inner), F.lit(0)), "size": F.sum("n").over(Window.partitionBy(*RUN))})
+    near = near.where(F.col("inside") < SHARE * F.col("size")).groupBy(*RUN).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _moment_names()))
+    return materialize(_factored(near.select(*RUN, "n", *((F.col(c) / F.col("n")).alias(c) for c in _moment_names()))))
 
 
 def _starts(members: DataFrame) -> DataFrame:
@@ -226,19 +248,23 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
         F.struct(F.lit(2).alias("level"), F.col("lang_key"), F.col("source_key")),
     )
     members = rows.where("x_length is not null").select(F.explode(levels).alias("g"), "doc_id", *STATISTICS).select("g.*", "doc_id", *STATISTICS)
+    members = materialize(members)
     now = materialize(_starts(members))
-    runs = members.withColumn("start", F.explode(F.array(*map(F.lit, STARTS))))
     held = [c for c in now.columns if c not in RUN]
-    for _ in range(STEPS):
-        fresh = _moments_of_nearest(_distance(runs, now, RUN).where("d2 is not null"))
+    for step in range(STEPS):
+        if step == FIRST_STEPS:
+            # Only the best start of a group goes on.
+            now = materialize(now.groupBy(*GROUP).agg(F.min_by(F.struct("start", *held), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*"))
+        runs = members.withColumn("start", F.explode(F.array(*map(F.lit, STARTS)))) if step < FIRST_STEPS else join_measured(members, now.select(*RUN), GROUP)
+        fresh = _moments_of_nearest(_distance(runs, now, RUN, "inner"))
         both = now.withColumn("new", F.lit(0)).unionByName(fresh.withColumn("new", F.lit(1)))
-        # Steps can't raise a determinant but for the rounding of quantiles; a run that does not fall has converged.
+        # Steps can't raise a determinant but for the width of the rings; a run that does not fall has converged.
         best = both.groupBy(*RUN).agg(F.min_by(F.struct(*held), F.struct(F.round("logdet", 9), "new")).alias("b"), (F.max_by("logdet", F.lit(0) - F.col("new")) - F.min("logdet")).alias("fell"))
         best = materialize(best)
         now = best.select(*RUN, "b.*")
-        if not best.where("fell > 1e-6").head(1):
+        if step >= FIRST_STEPS and not best.where(F.col("fell") > FALL).head(1):
             break
-    return materialize(now.groupBy(*GROUP).agg(F.min_by(F.struct(*held), F.struct("logdet", "start")).alias("b")).select(*GROUP, "b.*"))
+    return materialize(now.select(*GROUP, *held))
 
 
 def _drawn_to_wider(estimates: DataFrame) -> DataFrame:
