@@ -56,8 +56,9 @@ def drop_boilerplate(pages: DataFrame, host: str, **parameters) -> DataFrame:
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col("drop"), _key(line)))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
-    out = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in pages.columns if c != "n_dropped"]
-    return joined.select(*out, dropped.cast("long").alias("n_dropped"))
+    done = joined.select("row", text.alias("text"), dropped.cast("long").alias("n_dropped"))
+    # The names of the pages' own columns come back last, when no other name is in use any more.
+    return done.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in pages.columns if c != "n_dropped"), "n_dropped")
 
 
 def _quoted(name: str) -> str:
