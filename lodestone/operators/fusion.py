@@ -64,9 +64,10 @@ def informativeness(hits: DataFrame, df: DataFrame, n_chunks: int, prior: float
 def coverage(queries: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, cover: the weighted share of a query's tokens found in each hit (query_id, chunk_id, text, title).
 
-    A token weighs 1 / (1 + ln(1 + occurrences)), with three occurrences assumed for unknown ones; it is found
-    as it is, or without its last character (three and longer) or its last two (five and longer). Queries of
-    fewer than four tokens (two with Hangul) get no cover.
+    A token weighs 1 / (1 + ln(1 + occurrences)), with three occurrences assumed for unknown ones. It is found as it
+    is; a Hangul token also without its last character (three and longer), without its last two (five and longer), or
+    by its letters without the last final consonant (four letters and more). Queries of fewer than four tokens (two
+    with Hangul) get no cover.
     """
     tokens = queries.select("query_id", F.explode(tx.coverage_tokens(F.col("text"))).alias("token"), F.size(tx.coverage_tokens(F.col("text"))).alias("n"), F.col("text").rlike("[가-힣]").alias("hangul"))
     tokens = tokens.where((F.col("n") >= 4) | (F.col("hangul") & (F.col("n") >= 2)))
@@ -74,10 +75,19 @@ def coverage(queries: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame
     terms = terms.join(tokens.select(F.col("token").alias("term")).distinct(), "term", "left_semi")
     weighed = tokens.join(terms.withColumnRenamed("term", "token").withColumnRenamed("n", "seen"), "token", "left").withColumn("w", 1 / (1 + F.log1p(F.coalesce("seen", F.lit(3)))))
     both = weighed.select("query_id", "token", "w").join(hits.select("query_id", "chunk_id", F.lower(F.concat_ws(" ", "text", "title")).alias("body")), "query_id")
+    plain = both.where(~F.col("token").rlike("[가-힣]")).select("query_id", "chunk_id", "w", F.contains("body", "token").alias("inside"))
+    korean = both.where(F.col("token").rlike("[가-힣]"))
     inside = F.contains("body", "token")
     for cut, least in ((1, 3), (2, 5)):
         inside |= (F.length("token") >= least) & F.contains(F.col("body"), F.expr(f"left(token, greatest(length(token) - {cut}, 1))"))
-    return both.groupBy("query_id", "chunk_id").agg((F.sum(F.when(inside, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("cover"))
+    # Letters are taken apart in Python, so only for tokens that are not found without.
+    found = korean.withColumn("inside", inside)
+    stem = tx.letters("token", F.lit(True))
+    rest = found.where(~F.col("inside")).withColumn("stem", stem).withColumn("letters", tx.letters("body", F.lit(False)))
+    rest = rest.withColumn("inside", (F.length("token") >= 2) & (F.length("stem") >= 4) & F.contains("letters", "stem"))
+    columns = ["query_id", "chunk_id", "w", "inside"]
+    rows = plain.unionByName(found.where("inside").select(columns)).unionByName(rest.select(columns))
+    return rows.groupBy("query_id", "chunk_id").agg((F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("cover"))
 
 
 def nested_alias(chunks: DataFrame) -> DataFrame:

@@ -123,9 +123,10 @@ def typo_candidates(words: DataFrame, terms: DataFrame) -> DataFrame:
     asked = asked.withColumn("cap", F.when(F.col("b.at") == 2, 1).otherwise(F.col("cap")))
     spots = F.array(F.struct(F.lit(1).alias("at"), F.substring("term", 1, 1).alias("c")), F.struct(F.lit(2).alias("at"), F.substring("term", 2, 1).alias("c")))
     pool = terms.withColumn("b", F.explode(spots))
-    near = asked.join(pool, "b").where(F.abs(F.length("word") - F.length("term")) <= F.col("cap"))
-    latin_d = F.levenshtein("word", "term", 2)
-    near = near.withColumn("d", F.when(F.col("word").rlike("^[a-z]"), F.when(latin_d < 0, 99).otherwise(latin_d)).otherwise(tx.osa("word", "term", "cap")))
+    near = asked.join(pool, "b").where(F.abs(F.length("word") - F.length("term")) <= F.col("cap")).select("word", "term", "n", "cap")
+    # Two branches: in one expression the Python distance would be worked out for Latin words too.
+    latin, latin_d = near.where(F.col("word").rlike("^[a-z]")), F.levenshtein("word", "term", 2)
+    near = latin.withColumn("d", F.when(latin_d < 0, 99).otherwise(latin_d)).unionByName(near.where(F.col("word").rlike("^[^a-z]")).withColumn("d", tx.osa("word", "term", "cap")))
     near = near.where(F.col("d") <= F.col("cap"))
     return near.groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("n"), "term")).alias("fix"))
 

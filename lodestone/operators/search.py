@@ -285,7 +285,7 @@ def search(
     pins = None
     newest = min(now, index.newest) if index.newest and now else (index.newest or now)
     if mode == "hybrid":
-        meta = found.where("rank < 24").join(index.chunks.select("chunk_id", "text", "title", "doc_date"), "chunk_id")
+        meta = found.where(F.col("rank") < (8 if timed is None else 24)).join(index.chunks.select("chunk_id", "text", "title", "doc_date"), "chunk_id")
         recent = timed.where("lo is null").select("query_id", "recent") if timed is not None else asked.limit(0).select("query_id", F.lit(True).alias("recent"))
         meta = meta.join(recent, "query_id", "left")
         unsure = asked.where("not all_common").select("query_id", F.col("lexical").alias("text"), tx.is_keyword_query(F.col("text")).alias("keyword")).where("not keyword")

@@ -188,7 +188,7 @@ lex AS (SELECT term AS token, count(*) AS seen FROM (SELECT unnest(regexp_extrac
 qt AS (SELECT item_id AS query_id, {_CONTENT.format('text')} AS ts FROM benchmark),
 w AS (SELECT query_id, token, 1 / (1 + ln(1 + coalesce(seen, 3))) AS w FROM (SELECT query_id, unnest(ts) AS token FROM qt WHERE len(ts) >= 4) LEFT JOIN lex USING (token)),
 body AS (SELECT query_id, doc_id, lower(text || ' ' || source) AS body FROM top JOIN documents USING (doc_id))
-SELECT query_id, doc_id, round(sum(CASE WHEN contains(body, token) OR (length(token) >= 3 AND contains(body, left(token, length(token) - 1))) OR (length(token) >= 5 AND contains(body, left(token, length(token) - 2))) THEN w ELSE 0 END) / sum(w), 6) AS cover
+SELECT query_id, doc_id, round(sum(CASE WHEN contains(body, token) OR (regexp_matches(token, '[가-힣]') AND ((length(token) >= 3 AND contains(body, left(token, length(token) - 1))) OR (length(token) >= 5 AND contains(body, left(token, length(token) - 2))))) THEN w ELSE 0 END) / sum(w), 6) AS cover
 FROM w JOIN body USING (query_id) GROUP BY query_id, doc_id""")
 def coverage_gate(spark, d):
     """Weighted share of a query's tokens in its best documents."""
@@ -523,7 +523,7 @@ _SEARCH = f"""{_TYPO},
   vec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN all_common OR none_telling THEN round(score * (1 + 0.6::DOUBLE * coalesce(rare, 0)), 9) ELSE score END DESC, doc_id) - 1 AS rank FROM near0 JOIN flags USING (query_id) LEFT JOIN rare USING (doc_id)),
   w AS (SELECT query_id, token, 1 / (1 + ln(1 + coalesce(lexi.n, 3))) AS w FROM (SELECT query_id, unnest(ts) AS token FROM qt WHERE len(ts) >= 4) JOIN q USING (query_id) JOIN flags USING (query_id) LEFT JOIN lexi ON lexi.term = token WHERE NOT keyword AND NOT all_common),
   body AS (SELECT query_id, doc_id, rank, lower(concat_ws(' ', text, source)) AS body FROM bm JOIN documents USING (doc_id) WHERE v = 0 AND rank < 8),
-  cover AS (SELECT query_id, doc_id, rank, sum(CASE WHEN contains(body, token) OR (length(token) >= 3 AND contains(body, left(token, length(token) - 1))) OR (length(token) >= 5 AND contains(body, left(token, length(token) - 2))) THEN w ELSE 0 END) / sum(w) AS cover FROM w JOIN body USING (query_id) GROUP BY query_id, doc_id, rank),
+  cover AS (SELECT query_id, doc_id, rank, sum(CASE WHEN contains(body, token) OR (regexp_matches(token, '[가-힣]') AND ((length(token) >= 3 AND contains(body, left(token, length(token) - 1))) OR (length(token) >= 5 AND contains(body, left(token, length(token) - 2))))) THEN w ELSE 0 END) / sum(w) AS cover FROM w JOIN body USING (query_id) GROUP BY query_id, doc_id, rank),
   best AS (SELECT query_id, max(cover) AS best FROM cover GROUP BY query_id HAVING max(cover) > 0),
   pinned AS (SELECT query_id, doc_id, best FROM cover JOIN best USING (query_id) WHERE cover >= least(0.8 * best, 0.65::DOUBLE) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(cover, 12) DESC, rank) = 1),
   lean AS (SELECT query_id, CASE WHEN keyword OR best >= 0.6 THEN 2.4::DOUBLE WHEN all_common THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS factor, best FROM q JOIN flags USING (query_id) LEFT JOIN pinned USING (query_id)),

@@ -248,6 +248,15 @@ def embedding_keys(spark, d):
     return docs.select("doc_id", tx.cache_key("hashed", 64, "document", text).alias("key"))
 
 
+@query("""SELECT * FROM (VALUES (0, 0, true), (0, 1, false), (1, 0, false), (1, 1, true)) v(query_id, chunk_id, whole)""")
+def korean_coverage(spark, d):
+    """Korean tokens are found by their stems and letters."""
+    asked = spark.createDataFrame([(0, "환불은 큐로 만든 것"), (1, "회의는 월요일에 만든 자료")], "query_id long, text string")
+    hits = spark.createDataFrame([(q, c, t) for q in (0, 1) for c, t in enumerate(["환불이 큐로 만들었다 것이다", "회의가 월요일이다 만들었다 자료도"])], "query_id long, chunk_id long, text string")
+    cover = fusion.coverage(asked, hits.withColumn("title", F.lit("")), index_of(spark, d).lexicon)
+    return cover.select(F.col("query_id").cast("int").alias("query_id"), F.col("chunk_id").cast("int").alias("chunk_id"), (F.col("cover") > 0.99).alias("whole"))
+
+
 # -- vectors
 
 
