@@ -1,6 +1,6 @@
 """A search index as Parquet tables, and the whole search over it for batches of queries.
 
-The index holds what a query would otherwise count again: postings with weighted frequencies, sorted by term; the
+The index holds what a query would otherwise count again: postings with weighted frequencies, in buckets of terms; the
 document frequency of every term; the lexicon; unit vectors; and the chunks with the chunk that stands for them.
 Searching touches the postings of the queries' terms, and from there on tables of a few rows a query.
 """
@@ -21,6 +21,8 @@ from lodestone.operators import filters, fusion, graph, lexical, similarity
 
 #: Query rows that are compared with every note in one nested loop; more are answered in slices.
 SCOPED_QUERIES = 2000
+#: Folders of postings by hashed term: one for so many chunks, within bounds.
+CHUNKS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 16, 4096
 
 
 @dataclass
@@ -61,14 +63,15 @@ class SearchIndex:
         for name in self.NAMES:
             setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
         row = self.sizes.first()
-        self.n, self.mean_len, self.newest = row["n"], row["mean_len"] or 0.0, row["newest"]
+        self.n, self.mean_len, self.newest, self.buckets = row["n"], row["mean_len"] or 0.0, row["newest"], row["buckets"]
 
     @classmethod
     def build(cls, spark: SparkSession, folder: str, chunks: DataFrame, embed: Callable | None = None, stem: bool = False, fields: dict[str, float] | None = None) -> SearchIndex:
         """Index chunks (chunk_id, doc_id, text, title and where known ord, kind, heading, doc_date, vec).
 
         `fields` weighs the indexed fields. `embed` gives a table with text a column vec; without it and without a column vec there is no vector leg.
-        The chunks are dealt by id once; terms are then counted where they are and shuffled by term when counted.
+        The chunks are dealt by id once; terms are then counted where they are, and shuffled into buckets of terms when
+        counted. A bucket with a very frequent term is split over tasks by Spark's rebalancing.
         """
         given = {"ord": F.lit(0), "kind": F.lit("body"), "heading": F.lit(""), "doc_date": F.lit(None).cast("double")}
         chunks = chunks.withColumns({c: v for c, v in given.items() if c not in chunks.columns})
@@ -85,13 +88,15 @@ class SearchIndex:
         else:
             write(stored.select("chunk_id", "doc_id", F.lit(None).cast("array<double>").alias("vec")).limit(0), "vectors")
         counted = lexical.postings(stored.repartition("chunk_id"), stem=stem, fields=fields)
-        write(counted.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
+        buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, stored.count() // CHUNKS_A_BUCKET))
+        dealt = counted.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         postings = spark.read.parquet(f"{folder}/postings")
         write(postings.groupBy("term").agg(F.count("*").alias("df"), F.count_if("in_text").alias("text_df")), "frequencies")
         write(lexical.lexicon(stored), "lexicon")
         lengths = postings.groupBy("chunk_id").agg(F.first("len").alias("len"))
         sizes = stored.select("chunk_id", "doc_date").join(lengths, "chunk_id", "left")
-        write(sizes.agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0.0))).alias("mean_len"), F.max("doc_date").alias("newest")).coalesce(1), "sizes")
+        write(sizes.agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0.0))).alias("mean_len"), F.max("doc_date").alias("newest"), F.lit(buckets).alias("buckets")).coalesce(1), "sizes")
         return cls(spark, folder)
 
     def settle(self, df: DataFrame) -> DataFrame:
@@ -108,11 +113,13 @@ class SearchIndex:
     def bm25(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, two_phase: bool = True, stem: bool = False) -> DataFrame:
         """query_id, chunk_id, doc_id, score, rank of the k best chunks, of the allowed documents where a query has a scope."""
         terms = lexical.query_terms(queries, stem=stem)
+        # Buckets without a term of these queries are not read.
+        asked = [r["bucket"] for r in terms.select(_bucket(self.buckets).alias("bucket")).distinct().collect()]
         weight = F.greatest(F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         weighed = terms.join(self.frequencies.select("term", "df"), "term").select("query_id", "term", weight.alias("idf"))
         long = lexical.K1 * (1 - lexical.B + lexical.B * F.col("len") / F.lit(self.mean_len or 1.0))
         part = F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + long)
-        hits = self.postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), lexical.DIGITS).alias("score"), F.count("*").alias("matched"))
+        hits = self.postings.where(F.col("bucket").isin(asked)).join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), lexical.DIGITS).alias("score"), F.count("*").alias("matched"))
         if allowed is not None:
             hits = _inside(hits.join(self.chunks.select("chunk_id", "doc_id"), "chunk_id"), allowed).drop("doc_id")
         if two_phase:
@@ -120,6 +127,10 @@ class SearchIndex:
         return lexical.top_k(hits, k, "chunk_id").select("query_id", "chunk_id", "score", "rank")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 def _inside(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows (query_id, doc_id, ...) of queries without a scope, and of those with one the rows inside it.
 
