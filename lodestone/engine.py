@@ -104,7 +104,7 @@ class Engine:
 
         Operators in the text scope the notes before ranking; a query of operators only lists its scope.
         """
-        notes = self.table("notes").where(~F.col("path").startswith(states.TRASH) & ~F.col("path").startswith(states.PENDING))
+        notes = self.table("notes").where(~F.col("path").startswith(states.TRASH))
         index = self._index()
         hits = sr.search(index, queries, k, mode, notes=notes, edges=self.table("links"), embed=self.embed, now=self.clock(), settings=self.settings, **more)
         return hits.join(notes.select("doc_id", "path", "doc_date", "mtime"), "doc_id").join(index.chunks.select("chunk_id", "title", "heading", "text"), "chunk_id")

@@ -1,4 +1,4 @@
-"""Postings, document frequencies, BM25 over batches of queries, and typo repair."""
+"""Postings, document frequencies, the terms of queries, ranking, and typo repair."""
 
 from __future__ import annotations
 
@@ -69,27 +69,16 @@ def full_matches(scored: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     return scored.where((F.col("and_n") < k) | (F.col("asked") < 2) | F.col("all_in")).drop("asked", "all_in", "and_n")
 
 
-def bm25_scores(chunks: DataFrame, terms: DataFrame, key: str = "chunk_id", fields: dict[str, float] | None = None) -> DataFrame:
-    """query_id, chunk, score and number of the query's terms in it.
+def overlapping(items: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """a, b, jaccard of the pairs a < b that share a content token: joined on their tokens, so no other pair is met.
 
-    Tokens are reduced to the terms that occur in any query before they are counted, so the exchange carries
-    matches only. The query terms stay a plain join side: Spark broadcasts them if their measured size allows.
+    A token of n items brings n (n - 1) / 2 pairs together; for large tables give items whose common tokens are left out.
     """
-    fields = {f: w for f, w in (fields or FIELDS).items() if f in chunks.columns}
-    sized = chunks.select(key, *(field_tokens(chunks, f).alias(f) for f in fields))
-    length = sum((w * F.size(f) for f, w in fields.items()), F.lit(0.0))
-    sized = sized.withColumn("len", length)
-    parts = _weighted_terms(fields)
-    wanted = terms.select("term").distinct()
-    hits = sized.select(key, "len", F.explode(parts).alias("p")).select(key, "len", "p.term", "p.w").join(wanted, "term", "left_semi")
-    tf = hits.groupBy("term", key).agg(F.sum("w").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    # One row: this cross join only attaches two numbers.
-    weight = df.crossJoin(whole).select("term", "mean_len", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = terms.join(tf.join(weight, "term"), "term")
-    return scored.groupBy("query_id", key).agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("matched"))
+    sets = items.select(F.col(key).alias("id"), tx.content_tokens(F.col(text)).alias("ts"))
+    tokens = sets.select("id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
+    left, right = tokens.withColumnsRenamed({"id": "a", "n": "na"}), tokens.withColumnsRenamed({"id": "b", "n": "nb"})
+    shared = left.join(right, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return shared.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
 def top_k(scored: DataFrame, k: int, key: str, by: str = "score", per: str = "query_id") -> DataFrame:
@@ -98,15 +87,6 @@ def top_k(scored: DataFrame, k: int, key: str, by: str = "score", per: str = "qu
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 48, key: str = "chunk_id", two_phase: bool = True, **names) -> DataFrame:
-    """Batch BM25. With `two_phase`, a query whose terms all occur in k chunks or more is answered from those alone."""
-    terms = query_terms(queries, **names)
-    scored = bm25_scores(chunks, terms, key)
-    if two_phase:
-        scored = full_matches(scored, terms, k)
-    return top_k(scored, k, key)
-
-
 def typo_candidates(words: DataFrame, terms: DataFrame) -> DataFrame:
     """word, fix: for words unknown to `terms` (term, n) the nearest term, by distance, count, then order.
 

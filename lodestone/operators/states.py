@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 
 TRASH = ".trash/"
-PENDING = ".pending/"
 SCHEMA = "path string, content string, state string, generated boolean, original string, mtime double"
 COLUMNS = ["path", "content", "state", "generated", "original", "mtime"]
 

@@ -226,3 +226,12 @@ def memory_conflicts(spark, d):
     v = _vectors(spark, d)
     text = F.concat(F.lit("the value is "), (F.col("chunk_id") % 5).cast("string"), F.when(F.col("chunk_id") % 7 == 0, " not kept").otherwise(" kept"))
     return memory.conflicts(v.withColumns({"text": text, "kind": F.lit("body")}), 0.4, None).select("a", "b", F.round("score", 6).alias("score"), "kind")
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 3 END AS n, CASE WHEN item_id % 2 = 0 THEN 'be kind' || chr(10) || chr(10) || 'memory' ELSE 'memory' END AS first FROM benchmark""")
+def injected_memory(spark, d):
+    """A memory text put into chat messages."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    own = F.when(F.col("item_id") % 2 == 0, F.array(message("system", F.lit("be kind")), message("user", F.col("text")))).otherwise(F.array(message("user", F.col("text")), message("assistant", F.lit("ok"))))
+    out = load(spark, d, "benchmark").withColumn("m", agent.injected(own, F.lit("memory")))
+    return out.select("item_id", F.size("m").cast("int").alias("n"), F.get("m", 0)["content"].alias("first"))

@@ -300,12 +300,11 @@ def case_resume(spark, d):
 
 
 @query(f"""WITH t AS (SELECT item_id, {_CONTENT.format('text')} AS ts FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts)))::DOUBLE, 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id""")
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts)))::DOUBLE, 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.ts, b.ts)) > 0""")
 def jaccard_pairs(spark, d):
-    """Token overlap of every two benchmark items (a stated query set)."""
-    t = load(spark, d, "benchmark").select("item_id", tx.content_tokens(F.col("text")).alias("ts"))
-    both = t.alias("a").join(t.alias("b"), F.col("a.item_id") < F.col("b.item_id"))
-    return both.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(tx.jaccard(F.col("a.ts"), F.col("b.ts")), 6).alias("jaccard"))
+    """Token overlap of the benchmark items that share a token."""
+    out = lexical.overlapping(load(spark, d, "benchmark"), "item_id")
+    return out.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(r"""SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '\d{4}[-./년]\s?\d{1,2}[-./월]\s?\d{1,2}일?|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}년', ' ', 'g'), '\d+(?:[.,]\d+)*'), lambda n: replace(n, ',', '')))) AS BIGINT) AS n_numbers,

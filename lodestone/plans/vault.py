@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import temporal as tm
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
-from lodestone.operators import context, evaluation, filters, fusion, graph, lexical, memory, search, similarity, states
+from lodestone.operators import context, filters, fusion, graph, memory, search, similarity, states
 from lodestone.plans.catalog import _CONTENT, _E, _TERMS, _asked, _vectors, query
 from lodestone.plans.store import index_of
 from lodestone.sources.tables import load
@@ -534,6 +534,13 @@ def idle_sessions(spark, d):
     return sync.idle_sessions(rows).select("user_id", F.floor(F.unix_micros("session.start") / 1_000_000).cast("long").alias("began"), "n")
 
 
+@query("SELECT user_id, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS n FROM events GROUP BY ALL")
+def client_weeks(spark, d):
+    """Events per client and week."""
+    rows = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sync.client_windows(rows).select("user_id", F.floor(F.unix_seconds("w.start") / 604800).cast("long").alias("week"), "n")
+
+
 @query(f"""WITH {_NOTES}, t AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(left(body, 80)), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM notes)
 SELECT a.doc_id, a.ws = b.ws AS exact FROM t a JOIN t b ON b.doc_id = a.doc_id - a.doc_id % 2""")
 def exact_answers(spark, d):
