@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
-from lodestone.operators import context, filters, graph, memory, similarity, states
+from lodestone.operators import agent, context, filters, graph, memory, similarity, states
 from lodestone.operators import search as sr
 from lodestone.sources import notes as nt
 from lodestone.streaming import sync
@@ -79,8 +79,9 @@ class Engine:
             gone = stored.join(changed.where("change <> 'unchanged'").select("path"), "path", "left_semi").select("doc_id")
             embedded = self.table("chunks").join(gone, "doc_id", "left_anti").unionByName(embedded)
         chunks = self._snapshots.staged(embedded)
-        version = self._snapshots.write({"notes": notes, "chunks": chunks, "links": graph.links(notes), "cache": cache.unionByName(new)}, {"counts": counts, "model": self.model, "dims": self.dims})
-        sr.SearchIndex.build(self.spark, self._snapshots.folder(version, "index"), chunks, stem=self.stem)
+        sr.SearchIndex.build(self.spark, self._snapshots.folder(self._snapshots.next_version(), "index"), chunks, stem=self.stem)
+        tables = {"notes": notes, "chunks": chunks, "links": graph.links(notes), "cache": cache.unionByName(new)}
+        self._snapshots.write(tables, {"counts": counts, "model": self.model, "dims": self.dims}, built=["index"])
         self._snapshots.unstage()
         return counts
 
@@ -94,10 +95,10 @@ class Engine:
 
     # -- retrieval
     def _index(self) -> sr.SearchIndex:
-        known = self._snapshots.versions()
-        if not known:
+        place = self._snapshots.place("index")
+        if place is None:
             raise ValueError("nothing is indexed yet")
-        return sr.SearchIndex(self.spark, self._snapshots.folder(known[-1], "index"))
+        return sr.SearchIndex(self.spark, place)
 
     def search(self, queries: DataFrame, k: int = 8, mode: str = "hybrid", **more) -> DataFrame:
         """Hits of every query (query_id, text) with the note's path, date, title and text.
@@ -148,14 +149,48 @@ class Engine:
         found = self._snapshots.read("memory")
         return states.empty(self.spark) if found is None else found
 
-    def _put(self, memory_notes: DataFrame) -> None:
-        self._snapshots.write({"memory": memory_notes, **{n: self.table(n) for n in ("notes", "chunks", "links", "cache") if self._snapshots.read(n) is not None}})
-
-    def remember(self, rows: DataFrame, approval: bool = False) -> DataFrame:
-        """Typed fragments (type, content, case, status, confidence, title) saved as notes; their paths."""
-        saved = states.save(self._memory(), memory.remember(rows), self.clock(), approval)
-        self._put(saved)
-        return saved
+    def remember(self, rows: DataFrame, approval: bool = False) -> None:
+        """Typed fragments (type, content, case, status, confidence, title) saved as notes."""
+        self._snapshots.write({"memory": states.save(self._memory(), memory.remember(rows), self.clock(), approval)})
+
+    def change(self, verb: str, requests: DataFrame, human: bool = False) -> DataFrame:
+        """Apply a verb (trash, restore, purge, approve, write, append, rename) to memory notes; what became of each request."""
+        notes = self._memory()
+        if verb == "append":
+            told = requests.withColumn("outcome", F.lit("done"))
+            after = states.append(notes, requests, self.clock())
+        else:
+            told = self._snapshots.staged(states.outcomes(notes, requests, verb, human))
+            move = {
+                "trash": lambda: states.trash(notes, requests, human),
+                "restore": lambda: states.restore(notes, requests),
+                "purge": lambda: states.purge(notes, requests),
+                "approve": lambda: states.approve(notes, requests),
+                "write": lambda: states.write(notes, requests, self.clock()),
+                "rename": lambda: states.rename(notes, requests),
+            }
+            after = move[verb]()
+        self._snapshots.write({"memory": after})
+        return told
+
+    def memory_notes(self, state: str = "live") -> DataFrame:
+        return states.listing(self._memory(), state)
+
+    def anchors(self, k: int = 12) -> DataFrame:
+        return agent.anchored(self.table("notes"), k)
+
+    def context(self, chars: int = 2400) -> DataFrame:
+        """One row, block: what an agent reads before anything else."""
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        scenes, persona = self._snapshots.read("scenes"), self._snapshots.read("persona")
+        scenes = empty("path string, title string, heat long, mtime double, summary string") if scenes is None else scenes
+        persona = self.spark.createDataFrame([("",)], "persona string") if persona is None else persona
+        cases = empty("`case` string, open_errors long, last_touched double")
+        sections = agent.boot_sections(self.table("notes"), self.table("links"), empty("doc_id long, hits long"), scenes, cases, persona, self.clock())
+        return agent.context_block(sections, chars)
+
+    def repair_prompt(self) -> str:
+        return agent.repair_prompt(memory.drift(self.table("notes"), each=None), self.table("notes"), self.vault).first()["prompt"]
 
     def status(self) -> dict[str, int]:
         return {name: self.table(name).count() for name in ("notes", "chunks", "links", "cache")}

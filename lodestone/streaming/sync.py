@@ -36,10 +36,15 @@ def merged(stored: DataFrame, fresh: DataFrame, gone: DataFrame, key: str) -> Da
 
 
 class Snapshots:
-    """Versioned table folders with a pointer file: a reader sees a whole version or the one before."""
+    """Versioned table folders: a reader sees a whole version or the one before.
+
+    A version notes in which version's folder each of its tables lies, so tables that a write doesn't touch are
+    carried along without being copied.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._notes: dict[int, dict] = {}
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,34 +56,50 @@ class Snapshots:
             return []
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=") and fs.exists(s.getPath().suffix("/_DONE")))
 
-    def write(self, tables: dict[str, DataFrame], meta: dict | None = None) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
-        note = json.dumps({"at": time.time(), **(meta or {})})
-        self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/v={version}/_meta_text")
-        fs, p = self._fs(f"{self.root}/v={version}/_DONE")
-        fs.create(p, True).close()
-        return version
+    def next_version(self) -> int:
+        return (self.versions() or [0])[-1] + 1
 
     def folder(self, version: int, name: str) -> str:
         return f"{self.root}/v={version}/{name}"
 
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        """The table of the newest version or of one; None where that has no such table."""
-        known = self.versions()
-        if not known:
-            return None
-        folder = self.folder(version or known[-1], name)
-        fs, p = self._fs(folder)
-        return self.spark.read.parquet(folder) if fs.exists(p) else None
+    def write(self, tables: dict[str, DataFrame], meta: dict | None = None, built: list[str] | None = None) -> int:
+        """A new version with these tables and those of the version before; `built` names folders that are there already."""
+        known, version = self.versions(), self.next_version()
+        held = dict(self.meta(known[-1])["tables"]) if known else {}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(self.folder(version, name))
+        held |= dict.fromkeys([*tables, *(built or [])], version)
+        before = self.meta(known[-1]) if known else {}
+        note = {**before, "at": time.time(), **(meta or {}), "tables": held}
+        fs, p = self._fs(self.folder(version, "_DONE"))
+        out = fs.create(p, True)
+        out.writeBytes(json.dumps(note))
+        out.close()
+        return version
 
-    def meta(self) -> dict | None:
-        """What was noted with the newest version."""
+    def meta(self, version: int | None = None) -> dict | None:
+        """What was noted with a version, the newest by default."""
         known = self.versions()
-        if not known:
+        version = version or (known[-1] if known else None)
+        if version is None:
             return None
-        return json.loads(self.spark.read.text(self.folder(known[-1], "_meta_text")).first()["value"])
+        if version not in self._notes:
+            fs, p = self._fs(self.folder(version, "_DONE"))
+            stream = fs.open(p)
+            self._notes[version] = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+        return self._notes[version]
+
+    def place(self, name: str, version: int | None = None) -> str | None:
+        """The folder of a table in a version; None where that has no such table."""
+        note = self.meta(version)
+        at = None if note is None else note["tables"].get(name)
+        return None if at is None else self.folder(at, name)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table of the newest version or of one; None where that has no such table."""
+        place = self.place(name, version)
+        return None if place is None else self.spark.read.parquet(place)
 
     def staged(self, df: DataFrame) -> DataFrame:
         """A table of a version in the making, written once so that it is not computed for every use."""
@@ -91,22 +112,18 @@ class Snapshots:
         fs.delete(p, True)
 
     def backup(self, target: str) -> int:
-        """Copy the newest version to another folder; its number there."""
-        known = self.versions()
-        tables = [t for t in self._names(known[-1]) if not t.startswith("_") and t != "index"] if known else []
-        return Snapshots(self.spark, target).write({t: self.read(t) for t in tables}, {"backup_of": known[-1]}) if tables else 0
+        """Copy the tables of the newest version to another folder; its number there, 0 if there is nothing to copy."""
+        note = self.meta()
+        tables = [] if note is None else [t for t in note["tables"] if t != "index"]
+        return Snapshots(self.spark, target).write({t: self.read(t) for t in tables}) if tables else 0
 
     def restore(self, source: str) -> int:
         """Make the newest version of a backup the newest version here."""
         other = Snapshots(self.spark, source)
-        known = other.versions()
-        if not known:
+        note = other.meta()
+        if note is None:
             raise ValueError("the backup is empty")
-        return self.write({t: other.read(t) for t in other._names(known[-1]) if not t.startswith("_") and t != "index"}, {"restored": source})
-
-    def _names(self, version: int) -> list[str]:
-        fs, p = self._fs(f"{self.root}/v={version}")
-        return [s.getPath().getName() for s in fs.listStatus(p)]
+        return self.write({t: other.read(t) for t in note["tables"] if t != "index"}, {"restored": source})
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply, every: str | None = "2 seconds", schema: str = "path string, modificationTime timestamp, length long, content binary"):

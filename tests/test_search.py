@@ -85,6 +85,22 @@ def test_backup_and_restore(spark, engine, tmp_path):
     assert other.read("notes").count() == engine.table("notes").count()
 
 
+def test_memory_notes_outlive_an_index(spark, engine):
+    rows = spark.createDataFrame([("fact", "The pier opens in May", "Pier"), ("fact", "It closes in June", "Pier"), ("rumour", "left out", "X")], "type string, content string, title string")
+    rows = rows.selectExpr("*", "cast(null as string) status", "cast(null as double) confidence", "cast(null as string) case")
+    engine.remember(rows)
+    assert [r["path"] for r in engine.memory_notes().collect()] == ["memories/Pier 2.md", "memories/Pier.md"]
+    (engine.root / "daily/2023-11-14.md").write_text("A new day.")
+    assert engine.index()["added"] == 1 and engine.memory_notes().count() == 2
+    asked = spark.createDataFrame([("memories/Pier.md",), ("nowhere.md",)], "path string")
+    assert {r["path"]: r["outcome"] for r in engine.change("trash", asked).collect()} == {"memories/Pier.md": "done", "nowhere.md": "missing"}
+    assert [r["original"] for r in engine.memory_notes("trash").collect()] == ["memories/Pier.md"]
+    engine.change("restore", spark.createDataFrame([(".trash/Pier.md",)], "path string"))
+    assert engine.memory_notes().count() == 2 and engine.memory_notes("trash").count() == 0
+    block = engine.context().first()["block"]
+    assert "5 notes" in block and "## Recent notes" in block and engine.repair_prompt() == "Nothing has drifted."
+
+
 def test_blocked_vector_search_equals_the_direct_one(spark, monkeypatch):
     import numpy as np
 
