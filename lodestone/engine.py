@@ -18,6 +18,7 @@ from lodestone.streaming import sync
 
 #: Chunks up to which maintenance compares each with all.
 EXACT_CHUNKS = 50_000
+SCENES = "path string, title string, heat long, mtime double, summary string, body string"
 
 
 @dataclass
@@ -176,6 +177,43 @@ class Engine:
     def memory_notes(self, state: str = "live") -> DataFrame:
         return states.listing(self._memory(), state)
 
+    def consolidate(self, force: bool = False, idle: float = 180.0) -> int:
+        """Turn what is new since the cursor into scenes and the persona; the number of atoms taken up.
+
+        Nothing happens while the newest atom is younger than `idle` seconds, unless forced. The cursor moves to the
+        newest atom taken up, in the same version as the scenes, so an interrupted run repeats and never skips.
+        """
+        front = {c: agent.field(c) for c in ("type", "topic", "case")}
+        notes = self.table("notes").withColumns(front)
+        cursor = (self._snapshots.meta() or {}).get("cursor", 0.0)
+        atoms = self._snapshots.staged(memory.collect_atoms(notes, cursor))
+        due = memory.consolidation_due(atoms, self.clock(), idle).first()["due"]
+        if not (due or (force and atoms.head(1))):
+            return 0
+        known = self._snapshots.read("scenes")
+        known = self.spark.createDataFrame([], SCENES) if known is None else known
+        placed = self._snapshots.staged(memory.assign_scenes(atoms.select("group"), known.select(F.col("title").alias("group"), "heat", "mtime")))
+        fresh = atoms.join(placed, "group").groupBy(F.col("scene").alias("title")).agg(F.count("*").alias("more"), F.max("mtime").alias("at"))
+        bodies = memory.scene_bodies(atoms, placed).withColumnsRenamed({"scene": "title", "body": "fresh"})
+        rows = known.join(fresh, "title", "full").join(bodies, "title", "left")
+        scenes = rows.select(
+            F.concat(F.lit("scenes/"), agent.safe_file(F.col("title")), F.lit(".md")).alias("path"),
+            "title",
+            (F.coalesce("heat", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("heat"),
+            F.greatest(F.coalesce("mtime", F.lit(0.0)), F.coalesce("at", F.lit(0.0))).alias("mtime"),
+            tx.snippet(F.coalesce("fresh", "body"), 80).alias("summary"),
+            F.coalesce("fresh", "body").alias("body"),
+        )
+        before = self._snapshots.read("persona")
+        lines = atoms.where("type in ('preference', 'digest')").select(F.col("text").alias("line"), F.struct(F.lit(1).alias("new"), "mtime", "doc_id").alias("ord"))
+        if before is not None:
+            old = before.select(F.posexplode(F.split("persona", "\n")).alias("at", "line"))
+            lines = old.select("line", F.struct(F.lit(0).alias("new"), F.col("at").cast("double").alias("mtime"), F.lit(0).cast("long").alias("doc_id")).alias("ord")).unionByName(lines)
+        taken = atoms.agg(F.count("*").alias("n"), F.max("mtime").alias("newest")).first()
+        self._snapshots.write({"scenes": scenes, "persona": memory.persona(lines)}, {"cursor": taken["newest"]})
+        self._snapshots.unstage()
+        return taken["n"]
+
     def anchors(self, k: int = 12) -> DataFrame:
         return agent.anchored(self.table("notes"), k)
 
@@ -183,7 +221,7 @@ class Engine:
         """One row, block: what an agent reads before anything else."""
         empty = lambda schema: self.spark.createDataFrame([], schema)
         scenes, persona = self._snapshots.read("scenes"), self._snapshots.read("persona")
-        scenes = empty("path string, title string, heat long, mtime double, summary string") if scenes is None else scenes
+        scenes = empty(SCENES) if scenes is None else scenes
         persona = self.spark.createDataFrame([("",)], "persona string") if persona is None else persona
         cases = empty("`case` string, open_errors long, last_touched double")
         sections = agent.boot_sections(self.table("notes"), self.table("links"), empty("doc_id long, hits long"), scenes, cases, persona, self.clock())

@@ -101,6 +101,20 @@ def test_memory_notes_outlive_an_index(spark, engine):
     assert "5 notes" in block and "## Recent notes" in block and engine.repair_prompt() == "Nothing has drifted."
 
 
+def test_consolidation_moves_its_cursor(spark, engine):
+    (engine.root / "memories").mkdir(exist_ok=True)
+    for i, (kind, topic) in enumerate([("preference", "tea"), ("fact", "tea"), ("decision", "pier")]):
+        (engine.root / f"memories/m{i}.md").write_text(f"---\ntype: {kind}\ntopic: {topic}\n---\nAtom number {i}.")
+    engine.index()
+    old, engine.clock = engine.clock, lambda: 4e9
+    assert engine.consolidate() == 3 and engine.consolidate() == 0
+    scenes = {r["title"]: (r["heat"], r["body"]) for r in engine._snapshots.read("scenes").collect()}
+    assert scenes["tea"][0] == 2 and "## Preferences" in scenes["tea"][1] and scenes["pier"][0] == 1
+    assert engine._snapshots.read("persona").first()["persona"] == "Atom number 0."
+    assert "## Scenes" in engine.context().first()["block"]
+    engine.clock = old
+
+
 def test_blocked_vector_search_equals_the_direct_one(spark, monkeypatch):
     import numpy as np
 
