@@ -9,17 +9,32 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 #: Characters of the texts that are worked on at once; a longer text is worked on alone.
-PORTION = 2_000_000
+PORTION = 6_000_000
 #: Chunks longer than this are not remembered.
 LONGEST_KEPT = 64
 
 
+def joined(batches: Iterator, column: str = "text") -> Iterator:
+    """Small frames put together to about a portion each, so that more equal chunks meet."""
+    import pandas as pd
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(len(t) for t in batch[column] if t)
+        if size >= PORTION:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class ChunkEncoder:
     """Cuts texts into chunks, has unseen chunks encoded by `learn`, and remembers those that are likely to come again.
 
     `mark` gives a text with a NUL character at each cut; where that is None, or one of the chunks is `unsafe` (cut
     off where it must not be; told for an Arrow array of chunks), the text is cut by `split`. `learn` gives the ids
-    of a list of chunks, each as bytes. Chunks met twice in a portion are remembered, in two generations: chunks
+    of a list of chunks, end to end, and how many each has. Chunks met twice in a portion are remembered, in two generations: chunks
     met again move to the younger one, and when that holds `size` chunks the older one is forgotten.
     """
 
@@ -48,10 +63,11 @@ class ChunkEncoder:
         marked = [self.mark(t) for t in texts]
         lists = pc.split_pattern(pa.array(["" if m is None else m for m in marked], pa.large_string()), "\0")
         coded = lists.flatten().dictionary_encode()
-        names, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        ends = lists.offsets.to_numpy()[1:]
+        dictionary, numbers = coded.dictionary, coded.indices.to_numpy()
+        names, ends = dictionary.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy()[1:]
         again = {i for i, m in enumerate(marked) if m is None}
-        bad = self.unsafe(coded.dictionary).to_numpy(zero_copy_only=False)
+        del coded, marked[:]
+        bad = self.unsafe(dictionary).to_numpy(zero_copy_only=False)
         if bad.any():
             again.update(np.searchsorted(ends, np.flatnonzero(bad[numbers]), side="right").tolist())
         if not again:
@@ -70,26 +86,39 @@ class ChunkEncoder:
 
         names, numbers, ends = self._chunks(texts)
         found = list(map(self.young.get, names))
-        missing = [n for n, blob in zip(names, found, strict=True) if blob is None]
+        missing = [i for i, blob in enumerate(found) if blob is None]
+        if missing and self.old:
+            again = {i: blob for i in missing if (blob := self.old.get(names[i])) is not None}
+            for i, blob in again.items():
+                found[i] = self.young[names[i]] = blob
+            missing = [i for i in missing if i not in again]
+        known = b"".join(blob for blob in found if blob is not None)
+        flat = np.frombuffer(known, dtype="<u4")
+        sizes = np.fromiter((0 if blob is None else len(blob) for blob in found), dtype=np.int32, count=len(found)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         if missing:
-            kept = {n: blob for n, blob in zip(missing, map(self.old.get, missing), strict=True) if blob is not None} if self.old else {}
-            unseen = [n for n in missing if n not in kept] if kept else missing
-            new = dict(zip(unseen, self.learn(unseen), strict=True))
-            new.update(kept)
-            found = [new[n] if blob is None else blob for n, blob in zip(names, found, strict=True)]
+            new, lengths = self.learn([names[i] for i in missing])
+            at = np.cumsum(lengths, dtype=np.int32) - lengths
             if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
-            often = np.flatnonzero(np.bincount(numbers, minlength=len(names)) > 1).tolist()
-            self.young.update((names[i], found[i]) for i in often if names[i] in new and len(names[i]) <= LONGEST_KEPT)
-            self.young.update(kept)
-        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        each = sizes[numbers]
-        upto = np.cumsum(each, dtype=np.int64)
-        place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
-        place += np.repeat(starts[numbers] - (upto - each).astype(np.int32), each)
-        ids = flat[place]
+            often = np.bincount(numbers, minlength=len(names))[missing] > 1
+            for k in np.flatnonzero(often).tolist():
+                name = names[missing[k]]
+                if len(name) <= LONGEST_KEPT:
+                    self.young[name] = new[at[k] : at[k] + lengths[k]].tobytes()
+            sizes[missing], starts[missing] = lengths, at + len(flat)
+            flat = np.concatenate([flat, new])
+        ids, upto = spread(flat, starts[numbers], sizes[numbers])
         upto = np.concatenate([[0], upto])
         for a, b in zip(upto[np.concatenate([[0], ends[:-1]])].tolist(), upto[ends].tolist(), strict=True):
             yield ids[a:b]
+
+
+def spread(flat, starts, sizes):
+    """The stretches of `flat` with these starts and sizes, end to end, and where each ends."""
+    import numpy as np
+
+    upto = np.cumsum(sizes, dtype=np.int64)
+    place = np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)
+    place += np.repeat(starts - (upto - sizes).astype(np.int32), sizes)
+    return flat[place], upto

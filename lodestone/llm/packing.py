@@ -15,13 +15,13 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import ChunkEncoder
+from lodestone.llm.chunks import ChunkEncoder, joined, spread
 from lodestone.llm.shared import map_batches, materialize, table
 
 CAPACITY = 1024
@@ -29,7 +29,7 @@ END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Text chunks of one generation whose ids a worker keeps; there are two generations (about 160 bytes a chunk).
-CACHE = 120_000
+CACHE = 160_000
 #: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
 MARKS = ".,;:!?#*$%&|<>"
 
@@ -109,6 +109,7 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE) -> ChunkEncoder:
     import re
 
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     #: A task has one core; the library's thread pool would take those of its neighbours.
@@ -124,46 +125,55 @@ def id_encoder(tokenizer_path: str, cache_size: int = CACHE) -> ChunkEncoder:
     cut_spaces = re.compile(r"(?<=\S)(?= )").split
     #: Words that are written as byte-level symbols already are split at line ends instead.
     search_words, split_lines = tokenizer.pre_tokenizer, CharDelimiterSplit("\n")
-    symbols = byte_symbols() | {10: "\n"}
+    symbols = byte_symbols() | {10: "\n", 256: byte_symbols()[10]}
 
     def ids_of(texts: list[str], splitter=search_words) -> list:
         tokenizer.pre_tokenizer = splitter
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4") for x in found]
 
-    def learn_words(words: list[str], between: str, starts: Callable, skip: int) -> Iterator[bytes]:
-        """Ids of single words; `starts` marks the ids at which one begins, of which the first `skip` are no part of it."""
-        portions = [between.join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
-        for ids in ids_of([p.encode().decode("latin-1").translate(symbols) for p in portions], split_lines):
-            raw, at = ids.tobytes(), (np.flatnonzero(starts(ids)) * 4).tolist()
-            at = [-4, *at] if skip else at
-            yield from (raw[i + 4 * skip : j] for i, j in zip(at, [*at[1:], len(raw)], strict=True))
-
-    space = ids_of([" "])[0][0]
-    line_end = ids_of(["\n"])[0].tobytes()
-
-    def learn(unseen: list[str]) -> list[bytes]:
-        cores = [c.rstrip(MARKS) for c in unseen]
-        spaced, led, whole = set(), set(), set()
-        for c, core in zip(unseen, cores, strict=True):
-            word = core[1:]
-            if word.isalpha() and (core[0] == " " or core[0] == "\n"):
-                if core[0] == " ":
-                    spaced.add(core)
-                else:
-                    led.add(word)
-                if core is not c:
-                    whole.add(c[len(core) :])
-            else:
-                whole.add(c)
-        spaced, led, whole = list(spaced), list(led), list(whole)
-        got = dict(zip(spaced, learn_words(spaced, "\n", opens.__getitem__, 0), strict=True))
-        got.update(zip(("\n" + w for w in led), (line_end + ids for ids in learn_words(led, "\n \n", space.__eq__, 1)), strict=True))
-        rest = dict(zip(whole, (ids.tobytes() for ids in ids_of(whole)), strict=True))
-        known = map(got.get, cores)
-        return [
-            rest[c] if ids is None else ids if core is c else ids + rest[c[len(core) :]] for c, core, ids in zip(unseen, cores, known, strict=True)
-        ]
+    line_end = int(ids_of(["\n"])[0][0])
+
+    def encoded(texts: list[str]) -> tuple:
+        """Ids of single texts, end to end, and how many each has."""
+        parts = ids_of(texts)
+        return np.concatenate([*parts, np.empty(0, "<u4")]), np.fromiter(map(len, parts), dtype=np.int32, count=len(parts))
+
+    def encoded_words(words: list[str], led: bool) -> tuple:
+        """The same of words that start with a space, or with a line end that stands before each as a word of its own."""
+        lines = ("\n".join(words[at : at + 1000]).encode().decode("latin-1").translate(symbols) for at in range(0, len(words), 1000))
+        lines = [f"{symbols[256]}\n" + x.replace("\n", f"\n{symbols[256]}\n") if led else x for x in lines]
+        ids = np.concatenate([*ids_of(lines, split_lines), np.empty(0, "<u4")])
+        first = np.flatnonzero(ids == line_end if led else opens[ids])
+        return ids, np.diff(np.append(first, len(ids))).astype(np.int32)
+
+    def learn(unseen: list[str]) -> tuple:
+        chunks = pa.array(unseen, pa.large_string())
+        cores = pc.utf8_rtrim(chunks, MARKS)
+        worded = pc.match_substring_regex(cores, r"^[ \n]\pL+$").to_numpy(zero_copy_only=False)
+        coded = cores.filter(pa.array(worded)).dictionary_encode()
+        spaced = pc.starts_with(coded.dictionary, " ").to_numpy(zero_copy_only=False)
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        tailed = worded & pc.not_equal(pc.binary_length(cores), pc.binary_length(chunks)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(tailed).tolist()
+        kept = pc.utf8_length(cores).to_numpy(zero_copy_only=False)[tailed].tolist()
+        tails = [unseen[i][n:] for i, n in zip(at, kept, strict=True)]
+        marks = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        odd = np.flatnonzero(~worded).tolist()
+        parts = [encoded_words(words[spaced].tolist(), False), encoded_words([w[1:] for w in words[~spaced].tolist()], True), encoded([unseen[i] for i in odd]), encoded(list(marks))]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        # Places among the parts: of a word, of a whole chunk, of the marks behind a word.
+        of_word = np.empty(len(words), dtype=np.int32)
+        of_word[spaced], of_word[~spaced] = np.arange(spaced.sum()), spaced.sum() + np.arange((~spaced).sum())
+        body = np.empty(len(unseen), dtype=np.int32)
+        body[worded], body[~worded] = of_word[coded.indices.to_numpy()], len(words) + np.arange(len(odd))
+        pair = np.full((len(unseen), 2), -1, dtype=np.int32)
+        pair[:, 0] = body
+        pair[tailed, 1] = len(words) + len(odd) + np.fromiter(map(marks.__getitem__, tails), dtype=np.int32, count=len(tails))
+        lengths = np.where(pair < 0, 0, sizes[pair]).astype(np.int32)
+        ids, _ = spread(flat, np.where(pair < 0, 0, starts[pair]).astype(np.int32).ravel(), lengths.ravel())
+        return ids, lengths.sum(axis=1, dtype=np.int32)
 
     def mark(text: str) -> str | None:
         if "\0" in text or any(x in text for x in special):
@@ -193,7 +203,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
         encoder = id_encoder(tokenizer_path)
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in joined(batches):
             rows = []
             coded = encoder.encode([t or "" for t in batch["text"].tolist()])
             for doc_id, ids in zip(batch["doc_id"].tolist(), coded, strict=True):

@@ -22,11 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import ChunkEncoder
+from lodestone.llm.chunks import ChunkEncoder, joined
 from lodestone.llm.shared import map_batches, table
 
 MARK = "▁"
@@ -193,8 +194,10 @@ def stretch_encoder(model_path: str, cache_size: int) -> ChunkEncoder:
     v = vocabulary(model_path)
     search, cut = StreamingViterbi(v), re.compile(f"(?<=[^{MARK}])(?={MARK})").split
 
-    def learn(unseen: list[str]) -> list[bytes]:
-        return [np.asarray(search.feed(part) + search.finish(), dtype="<u4").tobytes() for part in unseen]
+    def learn(unseen: list[str]) -> tuple:
+        parts = [search.feed(part) + search.finish() for part in unseen]
+        sizes = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts))
+        return np.fromiter(chain.from_iterable(parts), dtype="<u4", count=int(sizes.sum())), sizes
 
     def mark(text: str) -> str | None:
         if "\0" in text or MARK in text or not v.marks_only_first:
@@ -211,14 +214,14 @@ def stretch_encoder(model_path: str, cache_size: int) -> ChunkEncoder:
     return ChunkEncoder(mark, unsafe, split, learn, cache_size)
 
 
-def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 120_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, cache_size: int = 160_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text of every row; one narrow pass."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         v, encoder = vocabulary(model_path), stretch_encoder(model_path, cache_size)
-        for batch in batches:
+        for batch in joined(batches):
             all_ids, back = [], []
             for ids in encoder.encode([t or "" for t in batch["text"].tolist()]):
                 all_ids.append(ids.tobytes())

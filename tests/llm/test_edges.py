@@ -287,3 +287,20 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert cp.run(spark, f"file://{empty}").count() == 0
+
+
+def test_chunk_encoder_equals_the_tokenizer():
+    """Random texts of spaces, line ends, marks, letters of several scripts and the special token."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import packing
+
+    path, draw = P.path("byte_bpe_50k.json"), random.Random(3)
+    tokenizer, encoder = Tokenizer.from_file(path), packing.id_encoder(path, 1000)
+    parts = [*"ab é\n\n  \t'.,;#%1_-", "the", " word", " ", " ", "東京", "ß", "'s", "\r", "<|endoftext|>", "\x85", "​", "K", "İ", "ﬁ", "²", "Ⅷ", "\x1c", "\0"]
+    for _ in range(60):
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(50)]
+        want = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == want
