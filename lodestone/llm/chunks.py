@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 #: Characters of the texts that are worked on at once; a longer text is worked on alone.
-PORTION = 6_000_000
+PORTION = 2_500_000
 #: Chunks longer than this are not remembered.
 LONGEST_KEPT = 64
 

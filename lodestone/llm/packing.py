@@ -29,7 +29,7 @@ END_ID = 2
 #: Rows of one salted bucket of a length, on average.
 BUCKET_ROWS = 4096
 #: Text chunks of one generation whose ids a worker keeps; there are two generations (about 160 bytes a chunk).
-CACHE = 160_000
+CACHE = 120_000
 #: Marks of the tokenizer's class of neither letters, digits nor spaces; no apostrophe, which can start a contraction.
 MARKS = ".,;:!?#*$%&|<>"
 
