@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import langid, lines, outliers, packing, pieces, pii, quality, simhash, toxicity, vectors
+from lodestone.llm import collocations, langid, lines, outliers, packing, pieces, pii, quality, simhash, spelling, topk, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_topk_search": topk.op11_topk_search,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.OP9_SQL}
+    return {"op9_line_dedup": lines.OP9_SQL, "op11_topk_search": topk.OP11_SQL, "op12_collocations": collocations.OP12_SQL}

@@ -103,7 +103,7 @@ def map_batches(df: DataFrame, work: Callable, schema: str | StructType, rows: i
 
         try:
             for out in work(frames()):
-                yield pa.RecordBatch.from_pandas(out, schema=written, preserve_index=False)
+                yield from pa.Table.from_pandas(out, schema=written, preserve_index=False).combine_chunks().to_batches()
         finally:
             give_back()
 
