@@ -290,8 +290,11 @@ def blocked_buckets(members: DataFrame, key: list[str], order: str, block: int =
     )
 
 
-def run_pairs(task, mine, other) -> Iterator:
-    """Pairs of positions to compare within the runs of a sorted task column, a slice of them at a time."""
+def run_pairs(task, mine, other, heads=None) -> Iterator:
+    """Pairs of positions to compare within the runs of a sorted task column, a slice of them at a time.
+
+    With `heads`, the positions that may come first in a pair, only pairs that begin with one of them.
+    """
     import numpy as np
 
     n = len(task)
@@ -299,7 +302,7 @@ def run_pairs(task, mine, other) -> Iterator:
         return
     last = np.flatnonzero(np.append(task[1:] != task[:-1], True))
     ends = last[np.searchsorted(last, np.arange(n))]
-    alive, step = np.arange(n), 1
+    alive, step = np.arange(n) if heads is None else np.asarray(heads), 1
     while True:
         alive = alive[alive + step <= ends[alive]]
         if not len(alive):

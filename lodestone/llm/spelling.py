@@ -128,17 +128,21 @@ def near_pairs(words: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        # Tasks are named by a hash; what only shares the name is not near, or is so truly.
-        rows = rows.sort_values("task", kind="stable")
+        # Tasks are named by a hash; what only shares the name is not near, or is so truly. Owners come first in a
+        # task, so that pairs of guests, which another key brings together, are never met.
+        rows = rows.assign(guest=rows["size"] != rows["long"]).sort_values(["task", "guest"], kind="stable")
         number, names = pd.factorize(rows["word"].to_numpy(dtype=object))
         size = np.array([len(w) for w in names], dtype=np.int64)
         start = np.cumsum(size) - size
         codes = np.frombuffer("".join(names).encode("utf-32-le", errors="surrogatepass"), dtype="<u4")
-        owns = (rows["size"] == rows["long"]).to_numpy()
+        # One edit adds and takes one letter at most: which letters (modulo 64) a word holds differs in two bits at most.
+        held = np.bitwise_or.reduceat(np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), start)
         a, b = [], []
-        for i, j in run_pairs(*(rows[c].to_numpy() for c in ("task", "mine", "other"))):
-            use = owns[i] | owns[j]
-            i, j = number[i[use]], number[j[use]]
+        owners = np.flatnonzero(~rows["guest"].to_numpy())
+        for i, j in run_pairs(*(rows[c].to_numpy() for c in ("task", "mine", "other")), heads=owners):
+            i, j = number[i], number[j]
+            alike = np.bitwise_count(held[i] ^ held[j]) <= 2
+            i, j = i[alike], j[alike]
             near = one_apart(codes, start, size, i, j)
             a.append(i[near])
             b.append(j[near])
