@@ -16,8 +16,6 @@ from lodestone.sources import notes as nt
 from lodestone.streaming import sync
 
 
-#: Chunks up to which maintenance compares each with all.
-EXACT_CHUNKS = 50_000
 SCENES = "path string, title string, heat long, mtime double, summary string, body string"
 
 
@@ -35,7 +33,7 @@ class Engine:
     clock: object = time.time
     kinds: tuple[str, ...] = ("md",)
     settings: sr.Settings = field(default_factory=sr.Settings)
-    stem: bool = False
+    stem: bool = True
     _snapshots: sync.Snapshots = field(init=False)
 
     def __post_init__(self):
@@ -48,7 +46,8 @@ class Engine:
         return filters.visible(nt.parse_notes(nt.read_files(self.spark, self.vault, self.kinds)))
 
     def table(self, name: str) -> DataFrame:
-        found = self._snapshots.read(name)
+        """A table of the newest version; the chunks with their vectors lie in the search index."""
+        found = self._index().chunks if name == "chunks" else self._snapshots.read(name)
         if found is None:
             raise ValueError("nothing is indexed yet")
         return found
@@ -59,30 +58,46 @@ class Engine:
         return sync.plan(sync.changes(seen.limit(0) if stored is None else stored, seen))
 
     def index(self, full: bool = False) -> dict[str, int]:
-        """Parse, chunk and embed what changed; write notes, chunks, links, the embedding cache and the search index as a new version.
+        """Parse, chunk and embed what changed; write notes, links and a new version of the search index.
 
-        Files are parsed once. Where no path, title or body changed nothing is written.
+        Files are parsed once. Of a later version only the chunks of changed notes are indexed, as a further segment, and
+        only their vectors join the cache. Where no path, title or body changed nothing is written.
         """
-        seen = self._snapshots.staged(self._seen())
+        return self._apply(self._snapshots.staged(self._seen()), full)
+
+    def sync_paths(self, paths: list[str], gone: list[str] = ()) -> dict[str, int]:
+        """Index these note files and take away those that are gone; no other note is read or touched."""
+        seen = filters.visible(nt.parse_notes(nt.read_paths(self.spark, self.vault, paths)))
+        return self._apply(self._snapshots.staged(seen), False, gone)
+
+    def _apply(self, seen: DataFrame, full: bool, gone: list[str] | None = None) -> dict[str, int]:
         stored = None if full else self._snapshots.read("notes")
         empty = seen.limit(0)
-        changed = self._snapshots.staged(sync.changes(empty if stored is None else stored, seen))
+        changed = sync.changes(empty if stored is None else stored, seen, complete=gone is None)
+        if gone:
+            missing = self.spark.createDataFrame([(p, "removed") for p in gone], "path string, change string")
+            changed = changed.join(missing, "path", "left_anti").unionByName(missing.join(empty.select("path") if stored is None else stored.select("path"), "path", "left_semi"))
+        changed = self._snapshots.staged(changed)
         counts = sync.plan(changed).first().asDict()
         if stored is not None and not any(counts[c] for c in ("added", "updated", "removed")):
             return counts
         fresh = seen.join(changed.where("change in ('added', 'updated')").select("path"), "path", "left_semi").select(*seen.columns)
         notes = seen if stored is None else sync.merged(stored, fresh, stored.join(changed.where("change = 'removed'").select("path"), "path", "left_semi"), "doc_id")
+        notes = self._snapshots.staged(notes)
         cuts = nt.chunk_notes(fresh).join(fresh.select("doc_id", "doc_date"), "doc_id")
         cache = self._snapshots.read("cache")
-        cache = self.spark.createDataFrame([], "key string, vec array<double>") if cache is None else cache
-        embedded, new = nt.with_cached_embeddings(cuts, cache, self.model, self.dims, self.embed)
-        if stored is not None:
-            gone = stored.join(changed.where("change <> 'unchanged'").select("path"), "path", "left_semi").select("doc_id")
-            embedded = self.table("chunks").join(gone, "doc_id", "left_anti").unionByName(embedded)
-        chunks = self._snapshots.staged(embedded)
-        sr.SearchIndex.build(self.spark, self._snapshots.folder(self._snapshots.next_version(), "index"), chunks, stem=self.stem)
-        tables = {"notes": notes, "chunks": chunks, "links": graph.links(notes), "cache": cache.unionByName(new)}
-        self._snapshots.write(tables, {"counts": counts, "model": self.model, "dims": self.dims}, built=["index"])
+        none = self.spark.createDataFrame([], "key string, vec array<double>")
+        embedded, new = nt.with_cached_embeddings(cuts, none if cache is None else cache, self.model, self.dims, self.embed)
+        embedded = self._snapshots.staged(embedded)
+        version = self._snapshots.reserve()
+        place = self._snapshots.folder(version, "index")
+        if stored is None or self._snapshots.place("index") is None:
+            sr.SearchIndex.build(self.spark, place, embedded, stem=self.stem)
+        else:
+            away = stored.join(changed.where("change <> 'unchanged'").select("path"), "path", "left_semi").select("doc_id")
+            self._index().extended(place, embedded, away)
+        tables = {"notes": notes, "links": graph.links(notes)}
+        self._snapshots.write(tables, {"counts": counts, "model": self.model, "dims": self.dims}, built=["index"], more={"cache": new}, version=version)
         self._snapshots.unstage()
         return counts
 
@@ -123,21 +138,42 @@ class Engine:
         made = context.prompts(blocks, queries)
         return self.generate(made) if self.generate else made
 
-    def _lists(self, chunks: DataFrame) -> similarity.InvertedLists | None:
-        """Inverted lists over the chunks' vectors, where there are too many to compare each with all."""
-        return similarity.InvertedLists(chunks) if chunks.count() > EXACT_CHUNKS else None
-
-    def related(self, k: int = 8) -> DataFrame:
+    def related(self, k: int = 8, index: similarity.InvertedLists | None = None) -> DataFrame:
+        """Documents near each document; exact, or from the lists of an `index`, which miss some."""
         chunks = self.table("chunks")
-        return similarity.related(chunks, vx.mean_vectors(chunks, "doc_id", "vec"), k, self.table("links"), index=self._lists(chunks))
+        return similarity.related(chunks, vx.mean_vectors(chunks, "doc_id", "vec"), k, self.table("links"), index=index)
+
+    def backup(self, target: str) -> int:
+        return self._snapshots.backup(target)
+
+    def restore(self, source: str) -> int:
+        """Make a backup the newest version here, with an index of its notes."""
+        version = self._snapshots.restore(source)
+        self.rebuild_index()
+        return version
+
+    def rebuild_index(self) -> None:
+        """Index the notes of the newest version anew; vectors come from the cache where it has them."""
+        notes = self._snapshots.read("notes")
+        if notes is None:
+            return
+        cuts = nt.chunk_notes(notes).join(notes.select("doc_id", "doc_date"), "doc_id")
+        cache = self._snapshots.read("cache")
+        none = self.spark.createDataFrame([], "key string, vec array<double>")
+        embedded, new = nt.with_cached_embeddings(cuts, none if cache is None else cache, self.model, self.dims, self.embed)
+        version = self._snapshots.reserve()
+        sr.SearchIndex.build(self.spark, self._snapshots.folder(version, "index"), self._snapshots.staged(embedded), stem=self.stem)
+        self._snapshots.write({}, {"model": self.model, "dims": self.dims}, built=["index"], more={"cache": new}, version=version)
+        self._snapshots.unstage()
 
     # -- maintenance
-    def conflicts(self, threshold: float = 0.80, limit: int | None = 50) -> DataFrame:
-        chunks = self.table("chunks")
-        return memory.conflicts(chunks, threshold, limit, self._lists(chunks))
+    def conflicts(self, threshold: float = 0.80, limit: int | None = 50, index: similarity.InvertedLists | None = None) -> DataFrame:
+        """Pairs of memories that contradict each other; all near pairs are met, or those that share lists of an `index`."""
+        return memory.conflicts(self.table("chunks"), threshold, limit, index)
 
-    def drift(self) -> DataFrame:
-        return memory.drift(self.table("notes"))
+    def drift(self, each: int | None = 50) -> DataFrame:
+        """Findings of each kind, at most `each` of them; None for all."""
+        return memory.drift(self.table("notes"), each=each)
 
     def link_suggestions(self) -> DataFrame:
         return graph.suggestions(self.table("notes"), self.table("links"))

@@ -258,10 +258,22 @@ def stemmed(words: pd.Series) -> pd.Series:
     return pd.Series([english_stem(w) for w in distinct], dtype=object).take(codes).reset_index(drop=True)
 
 
+def _kinds(stem: str) -> str:
+    """v for vowels and for y behind a consonant, c for everything else."""
+    kinds = ""
+    for c in stem:
+        kinds += "v" if c in "aeiou" or (c == "y" and kinds.endswith("c")) else "c"
+    return kinds
+
+
 def _measure(stem: str) -> int:
     """How often a run of vowels is followed by a run of consonants."""
-    kinds = re.sub("[^v]+", "c", re.sub("[aeiou]+|(?<=[^aeiou])y", "v", stem))
-    return len(re.findall("vc", kinds))
+    return _kinds(stem).count("vc")
+
+
+def _is_short(stem: str) -> bool:
+    """Whether a word ends in a consonant, a vowel and a consonant other than w, x and y."""
+    return _kinds(stem).endswith("cvc") and stem[-1] not in "wxy"
 
 
 _STEP_TWO = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -278,10 +290,10 @@ def _swap(word: str, endings: dict[str, str], least: int) -> str:
 
 
 def english_stem(word: str) -> str:
-    """Porter's suffix stripping (1980) for lower-case Latin words of three letters and more."""
-    if not re.fullmatch("[a-z]{3,}", word):
+    """Porter's suffix stripping (1980) for lower-case words of three letters and more; other scripts have no such suffixes."""
+    if len(word) < 3 or not "a" <= word[-1] <= "z":
         return word
-    vowel = re.compile("[aeiou]|(?<=[^aeiou])y").search
+    vowel = lambda stem: "v" in _kinds(stem)
     for end, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(end):
             word = word[: len(word) - len(end)] + to
@@ -296,7 +308,7 @@ def english_stem(word: str) -> str:
                     word = stem + "e"
                 elif re.search(r"([^aeioulsz])\1$", stem):
                     word = stem[:-1]
-                elif _measure(stem) == 1 and re.search("[^aeiou][aeiouy][^aeiouwxy]$", stem):
+                elif _measure(stem) == 1 and _is_short(stem):
                     word = stem + "e"
                 else:
                     word = stem
@@ -313,7 +325,6 @@ def english_stem(word: str) -> str:
             word = word[:-3]
     if word.endswith("e"):
         stem = word[:-1]
-        short = re.search("[^aeiou][aeiouy][^aeiouwxy]$", stem)
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not short):
+        if _measure(stem) > 1 or (_measure(stem) == 1 and not _is_short(stem)):
             word = stem
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word

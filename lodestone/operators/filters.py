@@ -82,11 +82,14 @@ def recent(notes: DataFrame, now: float, days: float, k: int, date: str = "doc_d
 def window_leg(notes: DataFrame, windows: DataFrame, k: int, date: str = "doc_date") -> DataFrame:
     """query_id, doc_id, ..., rank: the newest max(8, 2k) documents in each query's half-open window (query_id, lo, hi).
 
-    A window is spread over the days it touches and joined to the documents of those days, so no document meets a
-    window elsewhere.
+    A window is spread over the days it touches, from the first document's day to the last one's, and joined to the
+    documents of those days, so no document meets a window elsewhere.
     """
     day = lambda c: F.floor(c / tm.DAY).cast("long")
-    spread = windows.where("lo < hi").withColumn("day", F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")))))
+    ends = notes.agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    cut = windows.where("lo < hi").crossJoin(F.broadcast(ends))  # one row
+    first, last = F.greatest("lo", "_first"), F.least("hi", "_last")
+    spread = cut.where(first <= last).withColumn("day", F.explode(F.sequence(day(first), day(last)))).drop("_first", "_last")
     inside = spread.join(notes.withColumn("day", day(F.col(date))), "day").where((F.col(date) >= F.col("lo")) & (F.col(date) < F.col("hi"))).drop("day")
     order = Window.partitionBy("query_id").orderBy(F.desc(date), F.asc("doc_id"))
     return inside.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < max(8, 2 * k))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +47,20 @@ def usage_factor(hits: Column, most: Column, prior: float) -> Column:
     return F.when(most > 0, 1 + prior * F.log1p(F.coalesce(hits, F.lit(0))) / F.log1p(most)).otherwise(F.lit(1.0))
 
 
-def rare_share(hits: DataFrame, df: DataFrame, n_chunks: int, keys: list[str]) -> DataFrame:
-    """keys, rare: the share of a text's distinct content tokens that are in at most 0.8 % of chunks (two at least)."""
+def rare_share(hits: DataFrame, frequencies: Callable, n_chunks: int, keys: list[str]) -> DataFrame:
+    """keys, rare: the share of a text's distinct content tokens that are in at most 0.8 % of chunks (two at least).
+
+    `frequencies` gives a table with the named column of tokens a column df; tokens in no chunk are rare too.
+    """
     ceiling = max(2.0, 0.008 * n_chunks)
-    tokens = hits.select(*keys, F.explode_outer(tx.content_tokens(F.col("text"))).alias("term")).join(df, "term", "left")
-    return tokens.groupBy(*keys).agg((F.count_if(F.col("df") <= ceiling) / F.greatest(F.count("term"), F.lit(1))).alias("rare"))
+    tokens = frequencies(hits.select(*keys, F.explode_outer(tx.content_tokens(F.col("text"))).alias("term")), "term")
+    return tokens.groupBy(*keys).agg((F.count_if(F.col("term").isNotNull() & (F.col("df") <= ceiling)) / F.greatest(F.count("term"), F.lit(1))).alias("rare"))
 
 
-def informativeness(hits: DataFrame, df: DataFrame, n_chunks: int, prior: float = 0.6, score: str = "score") -> DataFrame:
+def informativeness(hits: DataFrame, frequencies: Callable, n_chunks: int, prior: float = 0.6, score: str = "score") -> DataFrame:
     """Vector hits (with `text`) reweighted by the share of rare content tokens, ranked anew; where `gate` is false, left as they are."""
     gate = F.col("gate") if "gate" in hits.columns else F.lit(True)
-    rare = rare_share(hits.where(gate), df, n_chunks, ["query_id", "chunk_id"])
+    rare = rare_share(hits.where(gate), frequencies, n_chunks, ["query_id", "chunk_id"])
     again = hits.drop("rank").join(rare, ["query_id", "chunk_id"], "left").withColumn(score, F.round(F.col(score) * (1 + prior * F.coalesce("rare", F.lit(0.0))), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("chunk_id"))
     return again.withColumn("rank", F.row_number().over(order) - 1)

@@ -1,48 +1,16 @@
-"""Postings, document frequencies, the terms of queries, ranking, and typo repair."""
+"""Document frequencies, the lexicon, token overlap, ranking, and typo repair."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 
-K1, B = 1.2, 0.75
 #: Weights of the fields of a chunk.
 FIELDS = {"text": 1.0, "title": 0.6, "heading": 0.4}
-#: Decimals to which scores are rounded before ranking, so that summation order cannot decide a tie.
-DIGITS = 9
-
-
-def field_tokens(chunks: DataFrame, field: str) -> Column:
-    value = F.coalesce(F.col(field), F.lit(""))
-    words = tx.all_tokens(value)
-    # Grams need a scan of their own; texts without CJK characters are spared it.
-    return F.when(value.rlike(tx.CJK_RUN), F.concat(words, tx.index_grams(value))).otherwise(words)
-
-
-def _weighted_terms(fields: dict[str, float]) -> Column:
-    """All terms of the fields, each with its field's weight."""
-
-    def of(field: str, weight: float) -> Column:
-        return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"), F.lit(field == "text").alias("in_text")))
-
-    return F.flatten(F.array(*(of(f, w) for f, w in fields.items())))
-
-
-def postings(chunks: DataFrame, key: str = "chunk_id", fields: dict[str, float] | None = None, stem: bool = False) -> DataFrame:
-    """term, chunk, weighted tf, weighted length of the chunk, and whether the term is in its text.
-
-    Grouped by chunk first, so chunks that are dealt by id are counted where they lie. With `stem`, English words
-    are reduced to their stems here and in queries.
-    """
-    fields = {f: w for f, w in (fields or FIELDS).items() if f in chunks.columns}
-    tokens = chunks.select(key, *(field_tokens(chunks, f).alias(f) for f in fields))
-    length = sum((w * F.size(f) for f, w in fields.items()), F.lit(0.0))
-    tagged = tokens.select(key, length.alias("len"), F.explode(_weighted_terms(fields)).alias("p")).select(key, "len", "p.*")
-    if stem:
-        tagged = tagged.withColumn("term", tx.stemmed(F.col("term")))
-    return tagged.groupBy(key, "term").agg(F.sum("w").alias("tf"), F.first("len").alias("len"), F.bool_or("in_text").alias("in_text"))
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,19 +24,6 @@ def chunk_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tx.all_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text", stem: bool = False) -> DataFrame:
-    terms = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tx.query_terms(F.col(text)))).alias("term"))
-    return terms.withColumn("term", tx.stemmed(F.col("term"))).distinct() if stem else terms
-
-
-def full_matches(scored: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """Scores (query_id, matched, ...) of the chunks with all terms, for queries of two terms and more that have k of them."""
-    asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
-    scored = scored.join(asked, "query_id").withColumn("all_in", F.col("matched") == F.col("asked"))
-    scored = scored.withColumn("and_n", F.count_if("all_in").over(Window.partitionBy("query_id")))
-    return scored.where((F.col("and_n") < k) | (F.col("asked") < 2) | F.col("all_in")).drop("asked", "all_in", "and_n")
-
-
 def overlapping(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """a, b, jaccard of the pairs a < b that share a content token: joined on their tokens, so no other pair is met.
 
@@ -122,13 +77,16 @@ def correct_typos(queries: DataFrame, terms: DataFrame, qid: str = "query_id", t
     return joined.select("query_id", "text", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("corrected"))
 
 
-def all_tokens_common(queries: DataFrame, df: DataFrame, n_chunks: int, qid: str = "query_id", text: str = "text") -> DataFrame:
-    """query_id, all_common (every token is in more than 5 % of chunks, and more than 4) and none_telling (of indexed ones)."""
+def all_tokens_common(queries: DataFrame, frequencies: Callable, n_chunks: int, qid: str = "query_id", text: str = "text") -> DataFrame:
+    """query_id, all_common (every token is in more than 5 % of chunks, and more than 4) and none_telling (of indexed ones).
+
+    `frequencies` gives a table with the named column of tokens a column df (see SearchIndex.term_frequencies).
+    """
     floor = max(0.05 * n_chunks, 4)
     tokens = queries.select(F.col(qid).alias("query_id"), F.explode_outer(tx.content_tokens(F.col(text))).alias("token"))
     cuts = F.array(F.struct(F.lit(0).alias("cut"), F.col("token").alias("term")), F.struct(F.lit(1).alias("cut"), F.expr("left(token, length(token) - 1)").alias("term")), F.struct(F.lit(2).alias("cut"), F.expr("left(token, length(token) - 2)").alias("term")))
     spread = tokens.withColumn("c", F.explode_outer(cuts)).where(F.col("token").isNull() | (F.length("token") >= F.col("c.cut") + 2)).select("query_id", "token", "c.*")
-    known = spread.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = frequencies(spread, "term")
     per = known.groupBy("query_id", "token").agg(F.max(F.when(F.col("cut") < 2, F.col("df"))).alias("short"), F.max("df").alias("long"))
     return per.groupBy("query_id").agg(
         F.coalesce(F.bool_and(F.col("token").isNotNull() & (F.col("short") > floor)), F.lit(False)).alias("all_common"),

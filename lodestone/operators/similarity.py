@@ -19,19 +19,22 @@ QUERY_BYTES = 16 << 20
 BLOCK_BYTES = 32 << 20
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, key: str = "chunk_id", vec: str = "vec") -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, key: str = "chunk_id", vec: str = "vec", scopes: str | None = None) -> DataFrame:
     """query_id, key, score, rank of the k nearest by dot product (cosine on unit vectors), exact.
 
     Query vectors (query_id, vec) of a checked size go to the tasks, and every batch of vectors is one matrix
     product from which only each query's k best leave. A larger set never comes to the driver: queries and vectors are
     dealt into blocks, each pair of blocks a task. A window keeps k overall. Null vectors and vectors of another
-    length are not searched.
+    length are not searched. With `scopes`, a column of the scopes each vector is in, queries have a scope_id, and one that is not null
+    meets only the vectors in it.
     """
-    asked = queries.select("query_id", F.col(vec if vec in queries.columns else "vec").cast("array<double>").alias("vec")).where("vec is not null")
-    held = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null")
+    scope = F.col("scope_id") if scopes else F.lit(None)
+    inside = F.col(scopes) if scopes else F.lit(None)
+    asked = queries.select("query_id", F.col(vec if vec in queries.columns else "vec").cast("array<double>").alias("vec"), scope.cast("long").alias("scope")).where("vec is not null")
+    held = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"), inside.cast("array<long>").alias("scopes")).where("vec is not null")
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dims")).first()
     if size["n"] * size["dims"] * 8 <= QUERY_BYTES:
-        rows = [(r["query_id"], r["vec"]) for r in asked.collect()]
+        rows = [(r["query_id"], r["vec"], r["scope"]) for r in asked.collect()]
         if not rows:
             return vectors.sparkSession.createDataFrame([], f"query_id long, `{key}` long, score double, rank int")
         found = held.mapInPandas(_sent(rows, k), "query_id long, key long, score double")
@@ -40,14 +43,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 48, key: str =
     return top_k(found, k, "key").withColumnRenamed("key", key)
 
 
-def _best(ids, matrix, keys, x, k: int):
+def _best(ids, matrix, scopes, keys, x, inside, k: int):
     """Scores of the k best of a batch for every query; ties at the cut are all kept, a window after this decides by key."""
     import numpy as np
     import pandas as pd
 
     scores = matrix @ x.T
+    for scope in {s for s in scopes if s is not None}:
+        out = np.array([i is None or scope not in i for i in inside])
+        scores[np.ix_([s == scope for s in scopes], out)] = -np.inf
     floor = np.partition(scores, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(ids), -np.inf)
-    q, c = np.nonzero(scores >= floor[:, None])
+    q, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
     return pd.DataFrame({"query_id": ids[q], "key": keys[c], "score": np.round(scores[q, c], 9)})
 
 
@@ -56,15 +62,15 @@ def _sent(rows: list, k: int):
         import numpy as np
 
         sizes: dict[int, list] = {}
-        for i, v in rows:
-            sizes.setdefault(len(v), []).append((i, v))
-        sets = {n: (np.array([i for i, _ in part]), np.array([v for _, v in part], dtype=np.float64)) for n, part in sizes.items()}
+        for row in rows:
+            sizes.setdefault(len(row[1]), []).append(row)
+        sets = {n: (np.array([i for i, _, _ in part]), np.array([v for _, v, _ in part], dtype=np.float64), [None if s is None or s != s else int(s) for _, _, s in part]) for n, part in sizes.items()}
         for batch in batches:
             lengths = batch["vec"].map(len)
-            for n, (ids, matrix) in sets.items():
+            for n, (ids, matrix, scopes) in sets.items():
                 part = batch[lengths == n]
                 if len(part):
-                    yield _best(ids, matrix, part["key"].to_numpy(), np.stack(part["vec"].to_numpy()), k)
+                    yield _best(ids, matrix, scopes, part["key"].to_numpy(), np.stack(part["vec"].to_numpy()), part["scopes"], k)
 
     return run
 
@@ -82,7 +88,7 @@ def _blocked(held: DataFrame, asked: DataFrame, k: int, dims: int, n_asked: int)
 
         if not len(here) or not len(there):
             return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64", "score": "float64"})
-        rows = list(zip(there["query_id"].tolist(), there["vec"], strict=True))
+        rows = list(zip(there["query_id"].tolist(), there["vec"], there["scope"].astype(object), strict=True))
         return pd.concat(list(_sent(rows, k)([here])) or [pd.DataFrame({"query_id": [], "key": [], "score": []})])
 
     return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(run, "query_id long, key long, score double")

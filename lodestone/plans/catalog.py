@@ -11,6 +11,7 @@ from lodestone.functions import temporal as tm
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
 from lodestone.operators import context, evaluation, fusion, graph, lexical, memory, search, similarity
+from lodestone.plans.stems import stem_ctes
 from lodestone.plans.store import index_of
 from lodestone.sources.tables import load
 from lodestone.streaming import sync
@@ -41,14 +42,34 @@ def _asked(spark, d) -> DataFrame:
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9가-힣]+')"
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _CONTENT = f"list_distinct(list_filter({_TOK}, lambda t: length(t) > 1 AND t NOT IN ({_STOPS})))"
-_TERMS = f"""
-  asked AS (SELECT DISTINCT item_id AS query_id, unnest(flatten(list_transform(list_filter(string_split_regex(replace(text, '"', ''), '\\s+'), lambda w: w <> '')[1:16], lambda w: {_TOK.format("w")}))) AS term FROM benchmark),
-  toks AS (SELECT doc_id, {_TOK.format("text")} AS ts FROM documents),
-  stats AS (SELECT count(*) AS n, avg(len(ts)) AS mean_len FROM toks),
-  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+#: Tokens of full text: no marks, any script. Stems are stated apart from the library (see `stems`).
+_FOLD = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _ranking(src: str, more: str = "SELECT NULL::VARCHAR AS w WHERE false") -> str:
+    """CTEs up to `scored` (query_id, v, doc_id, score, matched) for texts t of `src` (query_id, v, t); `more` adds words with stems."""
+    return f"""
+  src AS ({src}),
+  parts0 AS (SELECT query_id, v, unnest(ws) AS word, generate_subscripts(ws, 1) AS nth FROM (SELECT query_id, v, list_filter(string_split_regex(replace(t, '"', ''), '\\s+'), lambda w: w <> '')[1:16] AS ws FROM src)),
+  parts1 AS (SELECT query_id, v, nth, unnest(ts) AS w, generate_subscripts(ts, 1) AS j FROM (SELECT *, {_FOLD.format("word")} AS ts FROM parts0)),
+  toks0 AS (SELECT doc_id, {_FOLD.format("text")} AS ts FROM documents),
+  flat AS (SELECT doc_id, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM toks0),
+  words AS (SELECT w FROM flat UNION SELECT w FROM parts1 UNION {more}),
+  {stem_ctes("words")},
+  pos AS (SELECT doc_id, i, stem AS term FROM flat JOIN stems USING (w)),
+  lens AS (SELECT doc_id, count(*) AS len, list(term ORDER BY i) AS ts FROM pos GROUP BY doc_id),
+  stats AS (SELECT n, total / n::DOUBLE AS mean_len, greatest(0.05 * n, 4) AS floor, greatest(2.0, 0.008 * n) AS ceiling FROM (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM flat) AS total)),
+  asked AS (SELECT DISTINCT query_id, v, term, m, first FROM (SELECT query_id, v, nth, string_agg(stem, ' ' ORDER BY j) AS term, count(*) AS m, arg_min(stem, j) AS first FROM parts1 JOIN stems USING (w) GROUP BY ALL)),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM pos WHERE term IN (SELECT term FROM asked WHERE m = 1) GROUP BY ALL
+    UNION ALL SELECT doc_id, a.term, count(*) FROM (SELECT DISTINCT term, m, first FROM asked WHERE m > 1) a JOIN pos ON pos.term = a.first JOIN lens USING (doc_id) WHERE array_to_string(ts[i : i + m - 1], ' ') = a.term GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  scored AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 9) AS score, count(*) AS matched
-    FROM asked JOIN tf USING (term) JOIN df USING (term), stats GROUP BY query_id, doc_id)"""
+  scored AS (SELECT query_id, v, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 9) AS score, count(*) AS matched
+    FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY query_id, v, doc_id)"""
+
+
+_TERMS = _ranking("SELECT item_id AS query_id, 0 AS v, text AS t FROM benchmark")
+_WITH_DF = "coalesce(greatest(a.df, b.df), 0) AS df FROM {0} x LEFT JOIN stems s ON s.w = x.term LEFT JOIN vdf a ON a.term = x.term LEFT JOIN vdf b ON b.term = s.stem"
+_VDF = "vdf AS (SELECT term, count(DISTINCT doc_id) AS df FROM pos GROUP BY term)"
 
 
 @query(f"""WITH {_TERMS}
@@ -150,7 +171,8 @@ fused AS (SELECT query_id, doc_id, round(sum(weight / (61 + rank)), 12) AS fused
 def _fused(spark, d):
     docs = _docs(spark, d)
     # A few rows a query, which both legs start from.
-    bm = index_of(spark, d).bm25(_asked(spark, d), 48, two_phase=False).cache()
+    index = index_of(spark, d)
+    bm = index.settle(index.bm25(_asked(spark, d), 48, two_phase=False))
     long = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), F.asc("chunk_id"))
     other = bm.join(docs.select("chunk_id", "n_chars"), "chunk_id").select("query_id", "chunk_id", (F.row_number().over(long) - 1).alias("rank"), F.lit(1.0).alias("weight"))
     return fusion.rrf(other.unionByName(bm.select("query_id", "chunk_id", "rank", F.lit(0.8).alias("weight"))))
@@ -172,15 +194,14 @@ def rrf_capped(spark, d):
     return fusion.capped_top_k(hits, 8).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("source"), "rank")
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_CONTENT.format('text')}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
-n AS (SELECT greatest(2.0, 0.008 * count(*)) AS ceiling FROM documents)
-SELECT doc_id, round(count(*) FILTER (df <= ceiling) / count(*)::DOUBLE, 6) AS rare FROM t JOIN df USING (term), n GROUP BY doc_id""")
+@query(f"""WITH {_ranking("SELECT 0 AS query_id, 0 AS v, '' AS t", f"SELECT unnest({_CONTENT.format('text')}) FROM documents")}, {_VDF},
+t AS (SELECT doc_id, unnest({_CONTENT.format('text')}) AS term FROM documents), k AS (SELECT x.doc_id, {_WITH_DF.format("t")})
+SELECT doc_id, round(count(*) FILTER (df <= ceiling) / count(*)::DOUBLE, 6) AS rare FROM k, stats GROUP BY doc_id""")
 def rarity_rerank(spark, d):
     """Share of rare content tokens per document."""
     index = index_of(spark, d)
-    df = index.frequencies.where("text_df > 0").select("term", F.col("text_df").alias("df"))
     docs = _docs(spark, d).where(F.size(tx.content_tokens(F.col("text"))) > 0)
-    return fusion.rare_share(docs, df, index.n, ["doc_id"]).select("doc_id", F.round("rare", 6).alias("rare"))
+    return fusion.rare_share(docs, index.term_frequencies, index.n, ["doc_id"]).select("doc_id", F.round("rare", 6).alias("rare"))
 
 
 @query(f"""WITH {_TERMS}, top AS (SELECT query_id, doc_id FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 8),
@@ -499,26 +520,21 @@ def curriculum(spark, d):
 _DIM = "(('0x' || substr(md5(term), 1, 4))::INTEGER % 64)"
 _SIGN = "(CASE WHEN substr(md5(term), 5, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"
 _QWORDS = ", ".join(f"'{w}'" for w in tx.QUESTION_WORDS)
+_V = "SELECT query_id, 0 AS v, text AS t FROM q UNION ALL SELECT query_id, 1, lex FROM q WHERE lex <> text"
 _SEARCH = f"""{_TYPO},
   q AS (SELECT query_id, trim(text) AS text, corrected AS lex, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) <= 4 AND NOT list_bool_or(list_transform([{_QWORDS}], lambda w: contains(lower(text), w))) AS keyword FROM mended JOIN benchmark ON item_id = query_id),
-  v AS (SELECT query_id, 0 AS v, text AS t FROM q UNION ALL SELECT query_id, 1, lex FROM q WHERE lex <> text),
-  asked AS (SELECT DISTINCT query_id, v, unnest(flatten(list_transform(list_filter(string_split_regex(replace(t, '"', ''), '\\s+'), lambda w: w <> '')[1:16], lambda w: {_TOK.format("w")}))) AS term FROM v),
-  toks AS (SELECT doc_id, coalesce({_TOK.format("text")}, []) AS ts FROM documents),
-  stats AS (SELECT count(*) AS n, avg(len(ts)) AS mean_len, greatest(0.05 * count(*), 4) AS floor, greatest(2.0, 0.008 * count(*)) AS ceiling FROM toks),
-  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM toks) GROUP BY ALL),
-  tdf AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  raw AS (SELECT query_id, v, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 9) AS score, count(*) AS matched FROM asked JOIN tf USING (term) JOIN tdf USING (term), stats GROUP BY query_id, v, doc_id),
-  n_asked AS (SELECT query_id, v, count(*) AS wanted FROM asked GROUP BY query_id, v),
-  flagged AS (SELECT raw.*, wanted, matched = wanted AS full_match, count(*) FILTER (matched = wanted) OVER (PARTITION BY query_id, v) AS full_n FROM raw JOIN n_asked USING (query_id, v)),
-  bm AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, doc_id) - 1 AS rank FROM flagged WHERE full_n < 48 OR wanted < 2 OR full_match QUALIFY rank < 48),
   qt AS (SELECT query_id, {_CONTENT.format('lex')} AS ts FROM q),
   cut AS (SELECT query_id, token, c AS cut, left(token, length(token) - c::INTEGER) AS term FROM (SELECT query_id, unnest(ts) AS token FROM qt), range(3) r(c) WHERE length(token) >= c + 2),
-  per AS (SELECT query_id, token, max(CASE WHEN cut < 2 THEN coalesce(df, 0) END) AS short, max(coalesce(df, 0)) AS long FROM cut LEFT JOIN tdf USING (term) GROUP BY query_id, token),
+  {_ranking(_V, f"SELECT term FROM cut UNION SELECT unnest({_CONTENT.format('text')}) FROM documents")}, {_VDF},
+  n_asked AS (SELECT query_id, v, count(*) AS wanted FROM asked GROUP BY query_id, v),
+  flagged AS (SELECT scored.*, wanted, matched = wanted AS full_match, count(*) FILTER (matched = wanted) OVER (PARTITION BY query_id, v) AS full_n FROM scored JOIN n_asked USING (query_id, v)),
+  bm AS (SELECT query_id, v, doc_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, doc_id) - 1 AS rank FROM flagged WHERE full_n < 48 OR wanted < 2 OR full_match QUALIFY rank < 48),
+  per AS (SELECT query_id, token, max(CASE WHEN cut < 2 THEN coalesce(df, 0) END) AS short, max(coalesce(df, 0)) AS long FROM (SELECT x.query_id, x.token, x.cut, {_WITH_DF.format('cut')}) GROUP BY query_id, token),
   flags AS (SELECT q.query_id, coalesce(bool_and(short > floor), false) AS all_common, coalesce(bool_and(long > floor) FILTER (long > 0), false) AS none_telling FROM q LEFT JOIN per USING (query_id), stats GROUP BY q.query_id),
-  dv AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, {_DIM} AS dim, sum(tf * {_SIGN}) AS x FROM tf GROUP BY ALL)),
-  qv AS (SELECT query_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM (SELECT query_id, {_DIM} AS dim, sum({_SIGN}) AS x FROM (SELECT query_id, unnest({_TOK.format('text')}) AS term FROM q) GROUP BY ALL)),
+  dv AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, {_DIM} AS dim, sum({_SIGN}) AS x FROM (SELECT doc_id, w AS term FROM flat) GROUP BY ALL)),
+  qv AS (SELECT query_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM (SELECT query_id, {_DIM} AS dim, sum({_SIGN}) AS x FROM (SELECT query_id, unnest({_FOLD.format('text')}) AS term FROM q) GROUP BY ALL)),
   near0 AS (SELECT query_id, doc_id, round(sum(qv.x * dv.x), 9) AS score FROM qv JOIN dv USING (dim) GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 48),
-  rare AS (SELECT doc_id, count(*) FILTER (df <= ceiling) / count(*)::DOUBLE AS rare FROM (SELECT doc_id, unnest({_CONTENT.format('text')}) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM near0)) JOIN tdf USING (term), stats GROUP BY doc_id),
+  rare AS (SELECT doc_id, count(*) FILTER (df <= ceiling) / count(*)::DOUBLE AS rare FROM (SELECT x.doc_id, {_WITH_DF.format('(SELECT doc_id, unnest(' + _CONTENT.format('text') + ') AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM near0))')}), stats GROUP BY doc_id),
   vec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN all_common OR none_telling THEN round(score * (1 + 0.6::DOUBLE * coalesce(rare, 0)), 9) ELSE score END DESC, doc_id) - 1 AS rank FROM near0 JOIN flags USING (query_id) LEFT JOIN rare USING (doc_id)),
   w AS (SELECT query_id, token, 1 / (1 + ln(1 + coalesce(lexi.n, 3))) AS w FROM (SELECT query_id, unnest(ts) AS token FROM qt WHERE len(ts) >= 4) JOIN q USING (query_id) JOIN flags USING (query_id) LEFT JOIN lexi ON lexi.term = token WHERE NOT keyword AND NOT all_common),
   body AS (SELECT query_id, doc_id, rank, lower(concat_ws(' ', text, source)) AS body FROM bm JOIN documents USING (doc_id) WHERE v = 0 AND rank < 8),

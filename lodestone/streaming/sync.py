@@ -56,24 +56,44 @@ class Snapshots:
             return []
         return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=") and fs.exists(s.getPath().suffix("/_DONE")))
 
-    def next_version(self) -> int:
-        return (self.versions() or [0])[-1] + 1
+    def reserve(self) -> int:
+        """The number of a new version, its folder made for this writer alone; another writer gets another number."""
+        fs, root = self._fs(self.root)
+        taken = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")] if fs.exists(root) else []
+        version = max(taken, default=0) + 1
+        while True:
+            fs, p = self._fs(f"{self.root}/v={version}/_TAKEN")
+            try:
+                fs.create(p, False).close()
+                return version
+            except Exception as e:  # the file system's own error for a file that exists
+                if not fs.exists(p):
+                    raise RuntimeError(f"no version can be written below {self.root}") from e
+                version += 1
 
     def folder(self, version: int, name: str) -> str:
         return f"{self.root}/v={version}/{name}"
 
-    def write(self, tables: dict[str, DataFrame], meta: dict | None = None, built: list[str] | None = None) -> int:
-        """A new version with these tables and those of the version before; `built` names folders that are there already."""
-        known, version = self.versions(), self.next_version()
+    def write(self, tables: dict[str, DataFrame], meta: dict | None = None, built: list[str] | None = None, more: dict[str, DataFrame] | None = None, version: int | None = None) -> int:
+        """A new version with these tables and those of the version before.
+
+        `built` names folders of a reserved `version` that are there already; `more` are rows that join a table, of which
+        what was there before is not copied.
+        """
+        known = self.versions()
+        version = self.reserve() if version is None else version
         held = dict(self.meta(known[-1])["tables"]) if known else {}
-        for name, df in tables.items():
+        for name, df in (tables | (more or {})).items():
             df.write.mode("overwrite").parquet(self.folder(version, name))
         held |= dict.fromkeys([*tables, *(built or [])], version)
+        for name in more or {}:
+            before = held.get(name, [])
+            held[name] = [*(before if isinstance(before, list) else [before]), version]
         before = self.meta(known[-1]) if known else {}
         note = {**before, "at": time.time(), **(meta or {}), "tables": held}
         fs, p = self._fs(self.folder(version, "_DONE"))
-        out = fs.create(p, True)
-        out.writeBytes(json.dumps(note))
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(note).encode()))
         out.close()
         return version
 
@@ -90,16 +110,20 @@ class Snapshots:
             stream.close()
         return self._notes[version]
 
-    def place(self, name: str, version: int | None = None) -> str | None:
-        """The folder of a table in a version; None where that has no such table."""
+    def places(self, name: str, version: int | None = None) -> list[str]:
+        """The folders of a table in a version, several where rows have joined it; none where that has no such table."""
         note = self.meta(version)
-        at = None if note is None else note["tables"].get(name)
-        return None if at is None else self.folder(at, name)
+        at = [] if note is None else note["tables"].get(name, [])
+        return [self.folder(v, name) for v in (at if isinstance(at, list) else [at])]
+
+    def place(self, name: str, version: int | None = None) -> str | None:
+        """The only or the newest folder of a table in a version; None where that has no such table."""
+        return (self.places(name, version) or [None])[-1]
 
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
         """The table of the newest version or of one; None where that has no such table."""
-        place = self.place(name, version)
-        return None if place is None else self.spark.read.parquet(place)
+        places = self.places(name, version)
+        return self.spark.read.parquet(*places) if places else None
 
     def staged(self, df: DataFrame) -> DataFrame:
         """A table of a version in the making, written once so that it is not computed for every use."""
@@ -118,12 +142,21 @@ class Snapshots:
         return Snapshots(self.spark, target).write({t: self.read(t) for t in tables}) if tables else 0
 
     def restore(self, source: str) -> int:
-        """Make the newest version of a backup the newest version here."""
+        """Make the newest version of a backup the newest version here; an index is no part of it (see `Engine.restore`)."""
         other = Snapshots(self.spark, source)
         note = other.meta()
         if note is None:
             raise ValueError("the backup is empty")
-        return self.write({t: other.read(t) for t in note["tables"] if t != "index"}, {"restored": source})
+        version = self.reserve()
+        for name in [t for t in note["tables"] if t != "index"]:
+            other.read(name).write.mode("overwrite").parquet(self.folder(version, name))
+        held = {t: version for t in note["tables"] if t != "index"}
+        fs, p = self._fs(self.folder(version, "_DONE"))
+        out = fs.create(p, False)
+        # What was here before, its index too, is not part of the version that was restored.
+        out.write(bytearray(json.dumps({**note, "at": time.time(), "restored": source, "tables": held}).encode()))
+        out.close()
+        return version
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply, every: str | None = "2 seconds", schema: str = "path string, modificationTime timestamp, length long, content binary"):

@@ -75,14 +75,80 @@ def test_incremental_index_and_model_switch(spark, engine):
     assert engine.reindex_if_model_changed() and not engine.reindex_if_model_changed()
 
 
+def hits(engine, frame, **more):
+    return [tuple(r) for r in engine.search(frame, k=8, **more).select("query_id", "path", "rank", "fused").orderBy("query_id", "rank").collect()]
+
+
+def test_segments_equal_a_full_build(spark, tmp_path, monkeypatch):
+    """After edits, new notes and deletions every search gives what an index built anew gives, and only a segment was written."""
+    from lodestone.engine import Engine
+    from lodestone.operators.search import SearchIndex
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    words = "harbour pier lighthouse orchard apple tea café größe well-known walking walked 3.14".split()
+    for i in range(12):
+        (root / f"n{i}.md").write_text(f"Note {i} " + " ".join(words[(i * 5 + j) % len(words)] for j in range(3 + i)))
+    one = Engine(spark, f"file://{root}", f"file://{tmp_path}/a", clock=lambda: 1.7e9)
+    one.index()
+    (root / "n3.md").write_text("A cafe by the pier, well known, and well-known at that.")
+    (root / "n5.md").unlink()
+    (root / "new.md").write_text("Lighthouses and orchards; pi is 3.14 here.")
+    assert one.index() == {"added": 1, "updated": 1, "removed": 1, "unchanged": 10}
+    (root / "n3.md").write_text("Apples, apples and one more apple.")
+    one.index()
+    index = one._index()
+    assert [s["n"] for s in index.note["segments"]] == [12, 2, 1] and sum(m["n"] for m in index.note["minus"]) == 3
+    two = Engine(spark, f"file://{root}", f"file://{tmp_path}/b", clock=lambda: 1.7e9)
+    two.index()
+    frame = spark.createDataFrame([(i, q) for i, q in enumerate(["cafe", "größe", "well-known", "apple pier", "walk", "3.14", "the lighthouse of the orchard", "n5"])], "query_id long, text string")
+    assert hits(one, frame) == hits(two, frame) and hits(one, frame, mode="bm25") == hits(two, frame, mode="bm25")
+    other = two._index()
+    assert (index.n, round(index.mean_len, 9)) == (other.n, round(other.mean_len, 9))
+    assert sorted(map(tuple, index.frequencies.select("term", "df").collect())) == sorted(map(tuple, other.frequencies.select("term", "df").collect()))
+    assert sorted(map(tuple, index.lexicon.select("term", "n").collect())) == sorted(map(tuple, other.lexicon.select("term", "n").collect()))
+    # More segments than are allowed become one.
+    (root / "n1.md").write_text("A version of an orchard.")
+    with monkeypatch.context() as m:
+        m.setattr(SearchIndex, "MOST_SEGMENTS", 3)
+        one.index()
+    assert [s["n"] for s in one._index().note["segments"]] == [12]
+    two.index()
+    assert hits(one, frame, mode="bm25") == hits(two, frame, mode="bm25")
+
+
+def test_phrases_marks_and_stems(spark, engine):
+    (engine.root / "daily/2023-11-15.md").write_text("The Café was well-known for pi, 3.14, and walking.")
+    (engine.root / "daily/2023-11-16.md").write_text("It is known to all who fare well that 14 is not 3.")
+    engine.index()
+    assert ask(spark, engine, "cafe", mode="bm25") == ["daily/2023-11-15.md"]
+    assert ask(spark, engine, "well-known", mode="bm25") == ["daily/2023-11-15.md"]
+    assert ask(spark, engine, "3.14", mode="bm25") == ["daily/2023-11-15.md"]
+    assert set(ask(spark, engine, "walked", mode="bm25")) == {"daily/2023-11-13.md", "daily/2023-11-15.md"}
+
+
 def test_backup_and_restore(spark, engine, tmp_path):
-    from lodestone.streaming.sync import Snapshots
+    """A restored store searches its own notes, whatever was indexed there before."""
+    from lodestone.engine import Engine
 
     there = f"file://{tmp_path}/copy"
-    assert engine._snapshots.backup(there) == 1
-    other = Snapshots(spark, f"file://{tmp_path}/new")
-    other.restore(there)
-    assert other.read("notes").count() == engine.table("notes").count()
+    assert engine.backup(there) == 1
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/old.md").write_text("An old harbour note that goes.")
+    for used in (False, True):
+        other = Engine(spark, f"file://{tmp_path}/v", f"file://{tmp_path}/new{used}", clock=engine.clock)
+        if used:
+            other.index()
+        other.restore(there)
+        assert other.table("notes").count() == engine.table("notes").count()
+        assert ask(spark, other, "harbour project") == ask(spark, engine, "harbour project")
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from lodestone.streaming.sync import Snapshots
+
+    one, two = (Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    assert (one.reserve(), two.reserve(), one.reserve()) == (1, 2, 3) and one.versions() == []
 
 
 def test_memory_notes_outlive_an_index(spark, engine):
@@ -98,7 +164,7 @@ def test_memory_notes_outlive_an_index(spark, engine):
     engine.change("restore", spark.createDataFrame([(".trash/Pier.md",)], "path string"))
     assert engine.memory_notes().count() == 2 and engine.memory_notes("trash").count() == 0
     block = engine.context().first()["block"]
-    assert "5 notes" in block and "## Recent notes" in block and engine.repair_prompt() == "Nothing has drifted."
+    assert f"{engine.table('notes').count()} notes" in block and "## Recent notes" in block and engine.repair_prompt() == "Nothing has drifted."
 
 
 def test_consolidation_moves_its_cursor(spark, engine):
