@@ -1,14 +1,12 @@
 """Line dedup by site-relative frequency.
 
-Per host, the pages that contain a line are divided by all pages of the host; lines above a ratio are boilerplate
-and are dropped from that host's pages. The ratio is that of the other pages, seen from a page that has the line:
-a line on k of n pages is dropped if (k - 1) > ratio * (n - 1 + prior). `prior` counts as pages without the line,
-so on hosts of few pages chance repeats don't decide, and a line on one page only is never dropped; with prior 0
-the rule is the plain ratio among the other pages. It is one formula for hosts of all sizes.
+Per host, the pages that contain a line are divided by all pages of the host; lines above a ratio are boilerplate and are
+dropped from that host's pages. It is one formula for hosts of all sizes; a line on one page only is no repetition and stays.
 
-Counting is a map-side combined aggregation over (host, line hash); the boilerplate lines of a host number at most
-(mean distinct lines a page) / ratio and come back as one array a host, whose measured size decides whether it is
-broadcast; beyond the bound hosts are salted, so a hot one is dealt over tasks. Lines are told apart by a 64-bit hash.
+Counting is a map-side combined aggregation over (host, line hash), joined to the pages of each host, a table whose
+measured size decides whether it is broadcast or repeated over salts. The boilerplate lines of a host number at most
+(mean distinct lines a page) / ratio and come back as one array a host, which is joined the same way, so a hot host is
+dealt over tasks. Lines are told apart by a 64-bit hash.
 
 Edge cases: a null text stays null and counts as a page without lines; blank lines are neither counted nor
 dropped; a line is compared without the white space around it and counts once a page, however often it is
@@ -25,7 +23,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import join_measured, materialize, table
 
 RATIO = 0.08
-PRIOR = 20
 _EDGES = " \t\r\x0b\x0c"
 
 
@@ -33,15 +30,15 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(_EDGES)))
 
 
-def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, prior: int = PRIOR) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO) -> DataFrame:
     """One row per host that has boilerplate: host, drop (hashes of its boilerplate lines)."""
     pages = pages.select(F.col(_quoted(host)).alias("host"), F.col("text").cast("string").alias("text"))
     lines = F.array_distinct(F.transform(F.split("text", "\n"), _key))
     found = pages.select("host", F.explode(lines).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
     per_line = found.groupBy("host", "line").agg(F.count("*").alias("on_pages")).where("on_pages > 1")
-    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"))
-    common = per_line.join(totals, F.col("host").eqNullSafe(F.col("of")))
-    common = common.where(F.col("on_pages") - 1 > ratio * (F.col("pages") - 1 + prior))
+    totals = materialize(pages.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages")))
+    common = join_measured(per_line, totals, F.col("host").eqNullSafe(F.col("of")), "inner", salt=F.col("line"))
+    common = common.where(F.col("on_pages") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("drop"))
 
 
@@ -80,7 +77,7 @@ WITH lines AS (
   SELECT l.source, l.line
   FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
   WHERE l.line <> '' GROUP BY l.source, l.line, t.pages
-  HAVING count(*) - 1 > {RATIO}::DOUBLE * (t.pages - 1 + {PRIOR})
+  HAVING count(*) > 1 AND count(*) > {RATIO}::DOUBLE * t.pages
 ), gone AS (SELECT source, list(line) AS lines FROM common GROUP BY source),
 parts AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS all_lines, coalesce(g.lines, []) AS gone

@@ -125,13 +125,13 @@ def join_measured(rows: DataFrame, side: DataFrame, match: Column | list[str], h
     return salted.join(spread, match, how).drop("_salt", of)
 
 
-def join_hot(rows: DataFrame, classes: DataFrame, key: str, copies: str, same: Column | None = None, hot: int = HOT_ROWS) -> DataFrame:
-    """Left join of `rows` with one row a class on `key` (and `same`), where `copies` rows of a class may be any share of all.
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, copies: str, same: Column | None = None, hot: int = HOT_ROWS, inner: bool = False) -> DataFrame:
+    """Left (or inner) join of `rows` with one row a class on `key` (and `same`), where `copies` rows of a class may be any share of all.
 
     Classes of more than `hot` rows are at most 1 in `hot` of the rows. They are joined on a salt too, so the rows of
     each meet in several tasks; the others shuffle by key. The columns of `classes` other than the key are added.
     """
-    split = F.col(copies) > hot
+    split, how = F.col(copies) > hot, "inner" if inner else "left"
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
     big = materialize(classes.where(split).select(key).distinct())
     few = big.count()
@@ -139,12 +139,12 @@ def join_hot(rows: DataFrame, classes: DataFrame, key: str, copies: str, same: C
     match = match if same is None else match & same
     side = classes.withColumnRenamed(key, "_key").drop(copies)
     if not few:
-        return rows.join(side, match, "left").drop("_key")
+        return rows.join(side, match, how).drop("_key")
     marked = join_measured(rows, big.select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot")), F.col(key) == F.col("_hot")).drop("_hot")
     marked = marked.withColumn("_salt", F.when(F.col("_is_hot"), salt).otherwise(F.lit(0)))
     spread = F.when(split, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     side = classes.withColumn("_salt_of", F.explode(spread)).withColumnRenamed(key, "_key").drop(copies)
-    return marked.join(side, match & (F.col("_salt") == F.col("_salt_of")), "left").drop("_key", "_salt", "_salt_of", "_is_hot")
+    return marked.join(side, match & (F.col("_salt") == F.col("_salt_of")), how).drop("_key", "_salt", "_salt_of", "_is_hot")
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -260,17 +260,28 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    )
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges"))
+    moved = join_hot(both.where("v > u"), least, "u", "edges")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them; edges point from large u to small v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct()
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")))
+    moved = join_hot(edges, least, "u", "edges").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def labelled_components(classes: DataFrame, edges: DataFrame, key: str, label: str) -> DataFrame:
+    """`classes` with component_id: the smallest `label` of the classes that `edges` (a, b of their keys) connect.
+
+    Keys are unique, labels need not be: two classes of one label are joined by edges only. A component of any share
+    of the classes is split over tasks.
+    """
+    parts = connected_components(edges)
+    held = materialize(classes.join(parts, F.col(key) == F.col("node"), "left").drop("node"))
+    least = materialize(held.where("component is not null").groupBy("component").agg(F.min(label).alias("least"), F.count("*").alias("members")))
+    return join_hot(held, least, "component", "members").withColumn("component_id", F.coalesce("least", label)).drop("component", "least")
 
 
 def blocked_buckets(members: DataFrame, key: list[str], order: str, block: int = BLOCK) -> DataFrame:
@@ -281,12 +292,15 @@ def blocked_buckets(members: DataFrame, key: list[str], order: str, block: int =
     is cut. Rows are repeated once for each block of their bucket. Two rows of a task are to be compared
     if they are of different blocks, or if the task is a block with itself (see `run_pairs`).
     """
-    sizes = members.groupBy(*key).agg(F.count("*").alias("bucket_n")).where("bucket_n > 1")
-    dealt = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("bucket_n") / block).cast("int"))
+    # Buckets are told apart by a hash: two that share one are compared as one, which costs and changes nothing.
+    members = members.withColumn("bucket_key", F.xxhash64(*key))
+    sizes = materialize(members.groupBy("bucket_key").agg(F.count("*").alias("bucket_n")).where("bucket_n > 1"))
+    sizes = sizes.withColumn("bucket_rows", F.col("bucket_n"))
+    dealt = join_hot(members, sizes, "bucket_key", "bucket_rows", inner=True).withColumn("blocks", F.ceil(F.col("bucket_n") / block).cast("int"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), F.col(order)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("task", F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other"))).drop(
-        "bucket_n", "blocks"
+    return dealt.withColumn("task", F.xxhash64("bucket_key", F.least("mine", "other"), F.greatest("mine", "other"))).drop(
+        "bucket_n", "blocks", "bucket_key"
     )
 
 

@@ -9,7 +9,7 @@ candidate is looked for; buckets are compared in blocks and give back spanning l
 
 Edge cases: a null text counts as empty; texts without a word have fingerprint zero and link like any
 other; texts of one or two words use the whole sequence as their only shingle; a bit set in exactly half the
-shingles is 0; repeated rows are kept; null ids get a component only through their fingerprint, and ids keep all 64
+shingles is 0; repeated rows are kept; rows are what is linked, so an id under two texts is in the component of each; null ids get a component only through their fingerprint, and ids keep all 64
 bits beside them; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, join_hot, map_batches, materialize, run_pairs, stars, table
+from lodestone.llm.shared import blocked_buckets, by_sorted_key, join_hot, labelled_components, map_batches, materialize, run_pairs, stars, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -102,10 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, seed: int = SEED
 
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Spanning links (a, b) between the representatives of distinct fingerprints at most two bits apart.
-
-    `classes` has one row per distinct fingerprint: fp, rep.
-    """
+    """Spanning links (a, b) between distinct fingerprints (fp) at most two bits apart."""
     if max_bits != 2:
         raise ValueError("the ring of five segments is laid out for two bits")
     masks = [((1 << width) - 1) << low for low, width in SEGMENTS]
@@ -116,7 +113,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             for i in range(5)
         )
     )
-    members = classes.select("fp", "rep", F.explode(starts).alias("s")).select("fp", "rep", "s.start", "s.pair")
+    members = classes.select("fp", F.explode(starts).alias("s")).select("fp", "s.start", "s.pair")
     dealt = blocked_buckets(members, ["start", "pair"], "fp")
 
     def compare(rows):
@@ -125,15 +122,15 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
         rows = rows.sort_values("task", kind="stable")
         fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        rep, start = rows["rep"].to_numpy(np.int64), rows["start"].to_numpy()
+        own, start = fp.view(np.int64), rows["start"].to_numpy()
         ring = np.array(masks, dtype=np.uint64)
         a, b = [], []
         for i, j in run_pairs(*(rows[c].to_numpy() for c in ("task", "mine", "other"))):
             apart = fp[i] ^ fp[j]
             good = within_ring(np.bitwise_count(apart[:, None] & ring).astype(np.int64), start[i], max_bits)
             good &= np.bitwise_count(apart) <= max_bits
-            a.append(rep[i[good]])
-            b.append(rep[j[good]])
+            a.append(own[i[good]])
+            b.append(own[j[good]])
         if not a or not sum(map(len, a)):
             return None
         node, root = stars(np.concatenate(a), np.concatenate(b))
@@ -146,8 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row of `docs`."""
     prints = materialize(fingerprints(docs))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    parts = connected_components(links(classes.where("rep is not null")))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    named = labelled_components(classes, links(classes), "fp", "rep").select("fp", "copies", "component_id")
     return join_hot(prints, named, "fp", "copies")
 
 

@@ -10,7 +10,8 @@ together only; what comes back is a count per vector and spanning links, never a
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label
 or id, link with nothing and keep themselves; vectors of different lengths never link; equal vectors link;
-equal rows count as separate vectors of one component, while different vectors are expected to have different ids;
+rows are what is linked, so equal rows count as separate vectors of one component, and rows of one id with different
+vectors are separate too, each with its own links and component;
 a pair at exactly the threshold links; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import blocked_buckets, by_sorted_key, connected_components, join_hot, map_batches, materialize, run_pairs, stars, table
+from lodestone.llm.shared import blocked_buckets, by_sorted_key, join_hot, labelled_components, map_batches, materialize, run_pairs, stars, table
 
 COSINE = 0.98
 TABLES = 20
@@ -71,7 +72,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """a, b, n: spanning links (b not null), and for each vector a the linked vectors n that one task found.
 
-    `classes` has one row per distinct vector of a label: rep, label, embedding (array of double), copies.
+    `classes` has one row per distinct vector of a label: rep (its number), label, embedding (array of double), copies.
     """
     signed = materialize(_hashed(classes))
     members = classes.select("rep", "label", F.size("embedding").alias("dims")).join(signed, "rep")
@@ -137,22 +138,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # -0.0 and 0.0 are the same component.
     rows = rows.withColumns({"good": good, "embedding": F.transform("embedding", lambda v: v + F.lit(0.0))})
     rows = rows.withColumn("class_key", F.when(F.col("good"), F.xxhash64("label", F.size("embedding"), "embedding")))
-    classes = materialize(
-        rows.where("good").groupBy("class_key", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    )
+    # Classes are numbered: a vec_id may name several of them.
+    classes = rows.where("good").groupBy("class_key", "label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     found = materialize(links(classes, cosine))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("b is not null").select("a", "b"))
+    edges = found.where("b is not null").select("a", "b")
     named = (
-        classes.join(counts, "rep", "left")
-        .join(parts, F.col("rep") == F.col("node"), "left")
+        labelled_components(classes, edges, "rep", "least_id")
+        .join(counts, "rep", "left")
         .select(
             "class_key",
             F.col("label").alias("_label"),
             F.col("embedding").alias("_embedding"),
             "copies",
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            "component_id",
         )
     )
     same = (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))

@@ -270,7 +270,7 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
         for r in mine:
             for line in {x.strip() for x in (r[1] or "").split("\n")} - {""}:
                 seen[line] = seen.get(line, 0) + 1
-        drop = {x for x, k in seen.items() if k - 1 > lines.RATIO * (len(mine) - 1 + lines.PRIOR)}
+        drop = {x for x, k in seen.items() if k > 1 and k > lines.RATIO * len(mine)}
         kept = [r if r[3] != host or r[1] is None else (r[0], "\n".join(x for x in r[1].split("\n") if x.strip() not in drop), *r[2:]) for r in kept]
     kept.sort(key=lambda r: (r[0] is None, r[0] or 0))
     firsts = [kept[g[0]] for g in plain_groups([r[1] for r in kept])]
@@ -304,3 +304,52 @@ def test_chunk_encoder_equals_the_tokenizer():
         texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(50)]
         want = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_lines_of_small_hosts(spark):
+    """The plain ratio decides on hosts of all sizes."""
+    from lodestone.llm import lines
+
+    rows = [(i, f"footer\nown {i}" if i % 4 == 0 else f"own {i}", "c") for i in range(12)]
+    rows += [(20, "same\none", "two"), (21, "same\nother", "two"), (30, "alone", "one")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source").collect()}
+    assert got[0] == "own 0" and got[20] == "one" and got[21] == "other" and got[30] == "alone" and got[1] == "own 1"
+
+
+def test_one_id_with_different_vectors(spark):
+    from lodestone.llm import vectors
+
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    apart = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(apart).collect()) == [(1, 0, 1), (1, 1, 1), (5, 1, 1)]
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows are linked, not ids: document 5 is in the component of each of its texts, and joins nothing."""
+    from lodestone.llm import simhash
+
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (2, "x y z u v w q"), (5, "x y z u v w q"), (5, "l m n o p")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 5)]
+
+
+def test_one_key_of_all_rows_is_split(spark, monkeypatch):
+    """A bucket and a hub that hold everything are joined over salts, with the same result."""
+    from lodestone.llm import shared
+
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(500, 501)], "a long, b long")
+    members = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 7), (3, 8), (3, 9)], "key long, id long")
+    plain = sorted(map(tuple, shared.connected_components(edges).collect()))
+    dealt = sorted(map(tuple, shared.blocked_buckets(members, ["key"], "id", 64).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    join = shared.join_hot
+    monkeypatch.setattr(shared, "join_hot", lambda *a, **b: join(*a, **{**b, "hot": 20}))
+    try:
+        assert sorted(map(tuple, shared.connected_components(edges).collect())) == plain
+        assert sorted(map(tuple, shared.blocked_buckets(members, ["key"], "id", 64).collect())) == dealt
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {c for _, c in plain} == {0, 500} and {r[0] for r in dealt} == {1, 3}
