@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -17,8 +15,6 @@ NEIGHBOR_CEILING = 48
 EXPAND_BUDGET = 8
 SIM_FLOOR = 0.25
 MENTION_WEIGHT = 0.85
-#: Titles that one Aho-Corasick automaton holds; larger title sets are searched in several passes.
-AUTOMATON_TITLES = 200_000
 
 
 def title_map(notes: DataFrame) -> DataFrame:
@@ -34,43 +30,45 @@ def wiki_edges(notes: DataFrame) -> DataFrame:
     return found.select("src", "dst").distinct().select("src", "dst", F.lit("wiki").alias("kind"), F.lit(1.0).alias("weight"))
 
 
-def mention_edges(notes: DataFrame, body: str = "body") -> DataFrame:
+def _anchors(text: Column) -> Column:
+    """What of a lower-case text an equality join can find: whole runs of Latin letters and digits, and pairs of other neighbouring signs.
+
+    Wherever a name stands on its boundaries, all anchors of the name are anchors of the text around it.
+    """
+    runs = F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0))
+    others = F.regexp_extract_all(text, F.lit(r"[^a-z0-9_\s]+"), F.lit(0))
+    pairs = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+    ones = F.flatten(F.transform(others, lambda r: F.split(r, "")))
+    return F.array_distinct(F.filter(F.concat(runs, pairs, ones), lambda x: x != ""))
+
+
+def _stands_in(name: Column, body: Column) -> Column:
+    """Whether a body holds a name that no Latin letter or digit continues at an end that is one itself."""
+    word = "[a-z0-9_]"
+    quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    front = F.when(name.rlike(f"^{word}"), F.lit(f"(?<!{word})")).otherwise(F.lit(""))
+    back = F.when(name.rlike(f"{word}$"), F.lit(f"(?!{word})")).otherwise(F.lit(""))
+    return F.contains(body, name) & F.rlike(body, F.concat(front, quoted, back))
+
+
+def mention_edges(notes: DataFrame, body: str = "body", names: DataFrame | None = None) -> DataFrame:
     """src, dst, kind, weight where a body names a title on word boundaries (4 characters, 6 for single words).
 
-    Titles go to the tasks as automata of at most AUTOMATON_TITLES names each, one pass over the bodies per
-    automaton, so memory is bounded and no body is compared with every title.
+    Titles (`names`: name, doc_id; by default those of the notes) and bodies meet by equality on the anchor of a title that fewest bodies hold, so
+    neither side is brought to the driver and no body is compared with every title; what meets is verified on the whole
+    body, all candidates of a note at once.
     """
-    names = title_map(notes).where((F.length("name") >= 6) | ((F.length("name") >= 4) & F.col("name").contains(" ")))
-    pages = max(1, -(-names.count() // AUTOMATON_TITLES))
-    out = None
-    for page in range(pages):
-        part = [(r["name"], r["doc_id"]) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(pages)) == page).toLocalIterator()]
-        found = notes.select(F.col("doc_id").cast("long").alias("src"), F.lower(F.col(body)).alias("body")).mapInPandas(_mentions(part), "src long, dst long")
-        out = found if out is None else out.unionByName(found)
-    return out.where("src <> dst").distinct().select("src", "dst", F.lit("mention").alias("kind"), F.lit(MENTION_WEIGHT).alias("weight"))
-
-
-def _mentions(names: list[tuple[str, int]]):
-    def run(batches: Iterator) -> Iterator:
-        import ahocorasick
-        import pandas as pd
-
-        machine = ahocorasick.Automaton()
-        for name, doc in names:
-            machine.add_word(name, (len(name), doc))
-        if names:
-            machine.make_automaton()
-        word = lambda c: c.isascii() and (c.isalnum() or c == "_")
-        for batch in batches:
-            rows = set()
-            for src, body in zip(batch["src"].tolist(), batch["body"].tolist(), strict=True):
-                for end, (n, dst) in machine.iter(body or "") if names else ():
-                    start = end + 1 - n
-                    if not (start and word(body[start - 1]) and word(body[start])) and not (end + 1 < len(body) and word(body[end + 1]) and word(body[end])):
-                        rows.add((src, dst))
-            yield pd.DataFrame(sorted(rows), columns=["src", "dst"]).astype("int64")
-
-    return run
+    names = title_map(notes) if names is None else names
+    names = names.where((F.length("name") >= 6) | ((F.length("name") >= 4) & F.col("name").contains(" ")))
+    parts = names.select("name", F.col("doc_id").cast("long").alias("dst"), F.explode(_anchors(F.col("name"))).alias("anchor"))
+    bodies = notes.select(F.col("doc_id").cast("long").alias("src"), F.lower(F.col(body)).alias("body")).where("body is not null")
+    held = bodies.select("src", F.explode(_anchors(F.col("body"))).alias("anchor")).join(parts.select("anchor").distinct(), "anchor", "left_semi")
+    rare = held.groupBy("anchor").agg(F.count("*").alias("n"))
+    best = parts.join(rare, "anchor", "left").groupBy("name", "dst").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("a"))
+    met = held.join(best.where("a.n > 0").select(F.col("a.anchor").alias("anchor"), "name", "dst"), "anchor").where("src <> dst")
+    wanted = met.groupBy("src").agg(F.collect_set(F.struct("name", "dst")).alias("names"))
+    found = bodies.join(wanted, "src").select("src", F.explode(F.filter("names", lambda x: _stands_in(x["name"], F.col("body")))).alias("x"))
+    return found.select("src", F.col("x.dst").alias("dst")).distinct().select("src", "dst", F.lit("mention").alias("kind"), F.lit(MENTION_WEIGHT).alias("weight"))
 
 
 def links(notes: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ FIRST = 1_600_000_000
 
 # Notes made of documents: titles and aliases are numbered, links and mentions name numbers, some of which no note has.
 _NOTES = f"""notes AS (SELECT doc_id, source || '/note-' || doc_id || '.md' AS path, 'note ' || doc_id AS title, 'alias ' || doc_id AS alias, source, lang,
-  ['Note ' || ((doc_id * 7) % 1500), 'ALIAS ' || ((doc_id * 3) % 1500)] AS wikilinks, left(coalesce(text, ''), 200) || ' See note ' || ((doc_id * 11) % 1500) || '.' AS body,
+  ['Note ' || ((doc_id * 7) % 1500), 'ALIAS ' || ((doc_id * 3) % 1500)] AS wikilinks, coalesce(text, '') || ' See note ' || ((doc_id * 11) % 1500) || '.' AS body,
   ({FIRST} + doc_id * 3600)::DOUBLE AS mtime, ({FIRST} + doc_id * 86400)::DOUBLE AS doc_date FROM documents),
 names AS (SELECT name, max(doc_id) AS doc_id FROM (SELECT title AS name, doc_id FROM notes UNION ALL SELECT alias, doc_id FROM notes) GROUP BY name),
 wiki AS (SELECT DISTINCT n.doc_id AS src, t.doc_id AS dst FROM (SELECT doc_id, lower(unnest(wikilinks)) AS name FROM notes) n JOIN names t USING (name) WHERE n.doc_id <> t.doc_id),
@@ -44,7 +44,7 @@ def _notes(spark, d) -> DataFrame:
         F.array("lang", "source").alias("tags"),
         F.array(number("Note ", 7), number("ALIAS ", 3)).alias("wikilinks"),
         front.alias("frontmatter"),
-        F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(200)), F.lit(" See "), number("note ", 11), F.lit(".")).alias("body"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" See "), number("note ", 11), F.lit(".")).alias("body"),
         (F.lit(FIRST) + F.col("doc_id") * 3600).cast("double").alias("mtime"),
         (F.lit(FIRST) + F.col("doc_id") * 86400).cast("double").alias("doc_date"),
     )
@@ -56,6 +56,16 @@ def note_links(spark, d):
     return graph.links(_notes(spark, d))
 
 
+@query(r"""WITH names AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[2:4], ' ') AS name FROM benchmark),
+met AS (SELECT d.doc_id AS src, n.name FROM documents d JOIN (SELECT DISTINCT name FROM names WHERE length(name) >= 6) n ON contains(lower(d.text), n.name) WHERE regexp_matches(lower(d.text), '(^|[^a-z0-9_])' || n.name || '($|[^a-z0-9_])'))
+SELECT DISTINCT src, -1 - item_id AS dst FROM met JOIN (SELECT name, max(item_id) AS item_id FROM names GROUP BY name) USING (name)""")
+def passage_mentions(spark, d):
+    """Whole texts of documents that name words of a benchmark item on word boundaries."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 2, 3)
+    names = load(spark, d, "benchmark").groupBy(F.array_join(words, " ").alias("name")).agg((-1 - F.max("item_id")).alias("doc_id"))
+    return graph.mention_edges(load(spark, d, "documents"), "text", names).select("src", "dst")
+
+
 @query(f"WITH {_NOTES} SELECT src AS doc_id, 'out' AS direction, dst AS other, title, kind FROM links JOIN notes ON doc_id = dst UNION ALL SELECT dst, 'in', src, title, kind FROM links JOIN notes ON doc_id = src")
 def linked_notes(spark, d):
     """A note's links out and in with the titles at their ends."""

@@ -172,6 +172,55 @@ def ring(events: DataFrame, size: int = RING, key: str = "event_id") -> DataFram
     return events.orderBy(F.desc(key)).limit(size)
 
 
+def ring_stream(events: DataFrame, size: int = RING, key: str = "event_id", parts: int = 16) -> DataFrame:
+    """part and the columns of a stream's events: after each batch the newest `size` of every part that it touched.
+
+    Events are dealt into `parts` by key, each a state of at most `size` events that is trimmed as it grows; the ring is
+    among them (see `write_ring`). An event that comes again replaces itself. Needs the RocksDB state store.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    schema, names = events.schema, events.columns
+
+    class Ring(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.held = handle.getListState("ring", schema)
+
+        def handleInputRows(self, part, rows, timers):
+            known = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+            both = pd.concat([pd.DataFrame(known, columns=names), *(r[names] for r in rows)], ignore_index=True)
+            both = both.drop_duplicates(key, keep="last").sort_values(key, ascending=False).head(size)
+            rows_out = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in both.itertuples(index=False, name=None)]
+            self.held.put(rows_out)
+            yield both.assign(part=part[0])[["part", *names]]
+
+        def close(self) -> None:
+            return None
+
+    dealt = events.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    out = "part int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return dealt.groupBy("part").transformWithStateInPandas(statefulProcessor=Ring(), outputStructType=out, outputMode="Update", timeMode="None")
+
+
+def write_ring(events: DataFrame, snapshots: Snapshots, checkpoint: str, size: int = RING, key: str = "event_id", every: str | None = None):
+    """Keep the table `ring` of a store at the newest `size` events of a stream; a batch that comes again writes nothing new."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        note = snapshots.meta() or {}
+        if note.get("ring_batch", -1) >= batch_id:
+            return
+        before = snapshots.read("ring_parts")
+        touched = batch.select("part").distinct()
+        parts = batch if before is None else before.join(touched, "part", "left_anti").unionByName(batch)
+        parts = snapshots.staged(parts)
+        snapshots.write({"ring_parts": parts, "ring": ring(parts.drop("part"), size, key)}, {"ring_batch": batch_id})
+        snapshots.unstage()
+
+    writer = ring_stream(events, size, key).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def runs(events: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
     """by, run, value, n: stretches of successive rows with one value, numbered from 1."""
     w = Window.partitionBy(by).orderBy(*order)
