@@ -316,15 +316,22 @@ def run_pairs(task, mine, other, heads=None) -> Iterator:
         return
     last = np.flatnonzero(np.append(task[1:] != task[:-1], True))
     ends = last[np.searchsorted(last, np.arange(n))]
-    alive, step = np.arange(n) if heads is None else np.asarray(heads), 1
+    alive = np.arange(n) if heads is None else np.asarray(heads)
+    end, step = ends[alive], 1
+    # Where every task is a block with itself all its pairs are compared.
+    whole = bool((np.asarray(mine) == np.asarray(other)).all())
     while True:
-        alive = alive[alive + step <= ends[alive]]
+        inside = alive + step <= end
+        alive, end = alive[inside], end[inside]
         if not len(alive):
             return
         to = alive + step
-        use = (mine[alive] != mine[to]) | (mine[alive] == other[alive])
-        if use.any():
-            yield alive[use], to[use]
+        if whole:
+            yield alive, to
+        else:
+            use = (mine[alive] != mine[to]) | (mine[alive] == other[alive])
+            if use.any():
+                yield alive[use], to[use]
         step += 1
 
 

@@ -136,13 +136,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
         start = np.cumsum(size) - size
         codes = np.frombuffer("".join(names).encode("utf-32-le", errors="surrogatepass"), dtype="<u4")
         # One edit adds and takes one letter at most: which letters (modulo 64) a word holds differs in two bits at most.
-        held = np.bitwise_or.reduceat(np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), start)
+        held = np.bitwise_or.reduceat(np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), start)[number]
         a, b = [], []
         owners = np.flatnonzero(~rows["guest"].to_numpy())
         for i, j in run_pairs(*(rows[c].to_numpy() for c in ("task", "mine", "other")), heads=owners):
-            i, j = number[i], number[j]
             alike = np.bitwise_count(held[i] ^ held[j]) <= 2
-            i, j = i[alike], j[alike]
+            i, j = number[i[alike]], number[j[alike]]
             near = one_apart(codes, start, size, i, j)
             a.append(i[near])
             b.append(j[near])
