@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,45 @@ class Engine:
         seen = filters.visible(nt.parse_notes(nt.read_paths(self.spark, self.vault, paths)))
         return self._apply(self._snapshots.staged(seen), False, gone)
 
+    def watch_step(self, batch_id: int, quiet: float = 2.0, many: int = 200) -> dict[str, int] | None:
+        """Index what has changed in the vault and been still for `quiet` seconds, and take away what is gone.
+
+        What is pending lies in the store: by path, the time and length last seen and since when. Up to `many` paths are
+        read by name, more by a whole scan. A step that was interrupted and comes again under its number finds what it had
+        indexed unchanged and writes nothing twice; a number that is done does nothing.
+        """
+        if (self._snapshots.meta() or {}).get("watched", -1) >= batch_id:
+            return None
+        now = float(self.clock())
+        seen = nt.listing(self.spark, self.vault, self.kinds).select("path", "mtime", "length")
+        state = self._snapshots.read("watch")
+        state = self.spark.createDataFrame([], "path string, mtime double, length long, since double, done boolean") if state is None else state
+        before = state.select("path", *(F.col(c).alias(f"_{c}") for c in ("mtime", "length", "since", "done")))
+        same = F.coalesce((F.col("mtime") == F.col("_mtime")) & (F.col("length") == F.col("_length")), F.lit(False))
+        held = seen.join(before, "path", "left").select("path", "mtime", "length", F.when(same, F.col("_since")).otherwise(F.lit(now)).alias("since"), (same & F.coalesce("_done", F.lit(False))).alias("done"))
+        stored = self._snapshots.read("notes")
+        if stored is not None:
+            held = held.join(stored.select("path", F.col("mtime").alias("_at")), "path", "left").withColumn("done", F.col("done") | F.coalesce(F.col("_at") == F.col("mtime"), F.lit(False))).drop("_at")
+        held = self._snapshots.staged(held, "_watched")
+        ready = held.where(~F.col("done") & (F.lit(now) - F.col("since") >= quiet)).select("path")
+        gone = held.select("path").limit(0) if stored is None else stored.select("path").join(held.select("path"), "path", "left_anti")
+        fresh, away = ([r["path"] for r in t.limit(many + 1).collect()] for t in (ready, gone))
+        counts = None
+        if len(fresh) > many or len(away) > many:
+            counts = self.index()
+        elif fresh or away:
+            counts = self.sync_paths(fresh, away)
+        after = held.withColumn("done", F.col("done") | (F.lit(now) - F.col("since") >= quiet))
+        self._snapshots.write({"watch": after}, {"watched": batch_id})
+        self._snapshots.unstage("_watched")
+        return counts
+
+    def watch(self, checkpoint: str, every: str = "2 seconds", quiet: float = 2.0):
+        """A stream that looks at the vault at every tick (see `watch_step`); stop it as any other query."""
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        step = lambda _, batch_id: self.watch_step(batch_id, quiet)
+        return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
     def _apply(self, seen: DataFrame, full: bool, gone: list[str] | None = None) -> dict[str, int]:
         stored = None if full else self._snapshots.read("notes")
         empty = seen.limit(0)
@@ -230,7 +270,8 @@ class Engine:
         known = self.spark.createDataFrame([], SCENES) if known is None else known
         placed = self._snapshots.staged(memory.assign_scenes(atoms.select("group"), known.select(F.col("title").alias("group"), "heat", "mtime")))
         fresh = atoms.join(placed, "group").groupBy(F.col("scene").alias("title")).agg(F.count("*").alias("more"), F.max("mtime").alias("at"))
-        bodies = memory.scene_bodies(atoms, placed).withColumnsRenamed({"scene": "title", "body": "fresh"})
+        day = datetime.fromtimestamp(self.clock(), UTC).date().isoformat()
+        bodies = memory.scene_bodies(atoms, placed, known=known.select(F.col("title").alias("scene"), "body"), day=day).withColumnsRenamed({"scene": "title", "body": "fresh"})
         rows = known.join(fresh, "title", "full").join(bodies, "title", "left")
         scenes = rows.select(
             F.concat(F.lit("scenes/"), agent.safe_file(F.col("title")), F.lit(".md")).alias("path"),

@@ -98,18 +98,28 @@ def assign_scenes(groups: DataFrame, scenes: DataFrame, cap: int = SCENES) -> Da
     return rows.select("group", F.when(own, F.col("group")).otherwise(F.col("coldest")).alias("scene"), F.coalesce("opens", F.lit(False)).alias("created"))
 
 
-def scene_bodies(atoms: DataFrame, scenes: DataFrame, each: int = 12, trail: int = 8) -> DataFrame:
-    """scene, body: sections of preferences, facts and decisions (at most twelve lines each), then the last eight atoms."""
+def scene_bodies(atoms: DataFrame, scenes: DataFrame, each: int = 12, trail: int = 8, known: DataFrame | None = None, day: str = "") -> DataFrame:
+    """scene, body: sections of preferences, facts and decisions (at most twelve lines each), then the trail.
+
+    The sections are those of the new atoms. The trail has a line for every run that took atoms up, with its day and their number;
+    it is carried forward from the body that is known (scene, body), and the last eight lines stay.
+    """
     part = F.when(F.col("type").isin("preference", "digest"), 1).when(F.col("type").isin("fact", "relation", "belief"), 2).otherwise(3)
     rows = atoms.join(scenes.select("group", "scene"), "group").withColumn("part", part)
     order = Window.partitionBy("scene", "part").orderBy(F.desc("mtime"), "doc_id", "text")
-    last = Window.partitionBy("scene").orderBy(F.desc("mtime"), F.desc("doc_id"), F.desc("text"))
-    rows = rows.withColumns({"n": F.row_number().over(order), "m": F.row_number().over(last)})
+    rows = rows.withColumn("n", F.row_number().over(order))
     lines = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: F.concat(F.lit("- "), x["text"]))
     out = rows.groupBy("scene").agg(
         *(F.array_join(lines(F.when((F.col("part") == p) & (F.col("n") <= each), F.struct("n", "text"))), "\n").alias(f"s{p}") for p in (1, 2, 3)),
-        F.array_join(lines(F.when(F.col("m") <= trail, F.struct((-F.col("m")).alias("o"), "text"))), "\n").alias("trail"),
+        F.concat(F.lit(f"- {day}: " if day else "- "), F.count("*").cast("string"), F.lit(" taken up")).alias("run"),
     )
+    before = F.array().cast("array<string>")
+    if known is not None:
+        out = out.join(known.select("scene", F.col("body").alias("known")), "scene", "left")
+        held = F.regexp_extract(F.coalesce("known", F.lit("")), r"(?s)## Trail\n(.*?)(?:\n\n## .*)?$", 1)
+        before = F.filter(F.split(held, "\n"), lambda x: F.trim(x) != "")
+    runs = F.concat(before, F.array("run"))
+    out = out.withColumn("trail", F.array_join(F.slice(runs, F.greatest(F.size(runs) - trail + 1, F.lit(1)), trail), "\n"))
     titled = [F.when(F.col(c) != "", F.concat(F.lit(f"## {t}\n"), F.col(c))) for c, t in (("s1", "Preferences"), ("s2", "Facts"), ("s3", "Decisions"), ("trail", "Trail"))]
     return out.select("scene", F.concat_ws("\n\n", *titled).alias("body"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vector as vx
 from lodestone.operators.lexical import top_k
+from lodestone.sources.tables import folder_for
 
 #: Most bytes of query vectors that go to every task in one piece; larger sets are dealt into blocks.
 QUERY_BYTES = 16 << 20
@@ -144,24 +146,64 @@ def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame
 
 
 class InvertedLists:
-    """Approximate search: spherical k-means lists, signed-byte vectors, probing of the nearest lists, exact rescoring."""
-
-    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 25_600, seed: int = 1337, key: str = "chunk_id", vec: str = "vec"):
-        n = vectors.where(F.col(vec).isNotNull()).count()
-        self.lists = lists or int(min(4096, max(64, 4 * n**0.5)))
-        self.lists = max(1, min(self.lists, n))
-        rows = vectors.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), vx.normalized(vx.as_double(F.col(vec))).alias("v"))
-        fitted = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n)))).select(array_to_vector("v").alias("features"))
-        model = KMeans(k=self.lists, seed=seed, maxIter=8, distanceMeasure="cosine").fit(fitted)
-        self.model = model
-        assigned = model.transform(rows.withColumn("features", array_to_vector("v"))).withColumnRenamed("prediction", "list")
-        scale = 127.0
-        self.rows = assigned.select("key", "list", "v", vx.quantized(F.col("v"), scale).alias("code"))
-        self.key = key
+    """Approximate search over stored inverted lists: spherical k-means lists, signed-byte codes, exact rescoring.
+
+    The table of rows (key, code, vector) is partitioned by list, so a search reads the lists it probes and no others;
+    the centres lie beside it with a fingerprint of the vectors. `of` opens what is stored as long as the fingerprint is that of
+    the vectors, and builds anew when it is not.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 25_600, seed: int = 1337, key: str = "chunk_id", vec: str = "vec", folder: str | None = None):
+        spark = vectors.sparkSession
+        self.folder = folder or folder_for(spark, "lists")
+        held = vectors.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), vx.normalized(vx.as_double(F.col(vec))).alias("v"))
+        told = self.fingerprint(vectors, key, vec)
+        n = told["n"]
+        count = max(1, min(lists or int(min(4096, max(64, 4 * n**0.5))), n))
+        fitted = held.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n)))).select(array_to_vector("v").alias("features"))
+        model = KMeans(k=count, seed=seed, maxIter=8, distanceMeasure="cosine").fit(fitted)
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        # A new folder each time: who reads the old lists is not disturbed.
+        self.place = f"{self.folder}/lists-{uuid.uuid4().hex}"
+        assigned = model.transform(held.withColumn("features", array_to_vector("v"))).withColumnRenamed("prediction", "list")
+        assigned = assigned.select("key", "list", "v", vx.quantized(F.col("v"), 127.0).alias("code")).hint("rebalance", "list")
+        assigned.write.mode("overwrite").partitionBy("list").parquet(f"{self.place}/rows")
+        spark.createDataFrame(centres, "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.place}/centres")
+        note = spark.createDataFrame([(self.place, key, told["n"], told["last"], told["mark"])], "place string, key string, n long, last long, mark string")
+        note.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/note")
+        self._open(spark, key)
+
+    def _open(self, spark, key: str) -> None:
+        self.rows, self.key = spark.read.parquet(f"{self.place}/rows"), key
+        # At most 4,096 centres.
+        self.centres = [r["centre"] for r in spark.read.parquet(f"{self.place}/centres").orderBy("list").collect()]
+        self.lists = len(self.centres)
+
+    @staticmethod
+    def fingerprint(vectors: DataFrame, key: str = "chunk_id", vec: str = "vec") -> dict:
+        """n, last (largest key) and mark (a sum of hashes) of the vectors; another vector, key or length is another mark."""
+        held = vectors.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("v"))
+        row = held.agg(F.count("*").alias("n"), F.max("key").alias("last"), F.sum(F.xxhash64("key", "v").cast("decimal(38,0)")).cast("string").alias("mark")).first()
+        return row.asDict()
+
+    @classmethod
+    def of(cls, vectors: DataFrame, folder: str, key: str = "chunk_id", vec: str = "vec", **more) -> InvertedLists:
+        """The lists stored in a folder if they are of these vectors, else new ones stored there."""
+        spark = vectors.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/note/_SUCCESS")
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            note = spark.read.parquet(f"{folder}/note").first()
+            told = cls.fingerprint(vectors, key, vec)
+            if note is not None and (note["key"], note["n"], note["last"], note["mark"]) == (key, told["n"], told["last"], told["mark"]):
+                found = cls.__new__(cls)
+                found.folder, found.place = folder, note["place"]
+                found._open(spark, key)
+                return found
+        return cls(vectors, key=key, vec=vec, folder=folder, **more)
 
     def _nearest(self, queries: DataFrame, probes: int) -> DataFrame:
         """query_id, list, q: the lists to search for every query; only the centres go to the tasks."""
-        centers = [[float(x) for x in c] for c in self.model.clusterCenters()]
+        centers = self.centres
 
         @F.pandas_udf("array<int>")
         def places(vectors: pd.Series) -> pd.Series:
@@ -175,9 +217,16 @@ class InvertedLists:
         asked = queries.select("query_id", vx.normalized(vx.as_double(F.col("vec"))).alias("q")).where("q is not null")
         return asked.withColumn("list", F.explode(places("q")))
 
+    def probed(self, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
+        """The lists to search for every query, and the stored rows of just these lists: other partitions are not read."""
+        near = self._nearest(queries, min(probes, self.lists))
+        wanted = [r["list"] for r in near.select("list").distinct().collect()]
+        return near, self.rows.where(F.col("list").isin(wanted))
+
     def search(self, queries: DataFrame, k: int, probes: int = 256) -> DataFrame:
         """query_id, key, score, rank; byte codes pick max(k + 16, 2k) candidates, doubles decide."""
-        scan = self.rows.join(self._nearest(queries, min(probes, self.lists)), "list").withColumn("score", vx.dot(F.col("q"), vx.as_double(F.col("code"))))
+        near, rows = self.probed(queries, probes)
+        scan = rows.join(near, "list").withColumn("score", vx.dot(F.col("q"), vx.as_double(F.col("code"))))
         rough = top_k(scan, max(k + 16, 2 * k), "key")
         exact = rough.withColumn("score", F.round(vx.dot(F.col("q"), F.col("v")), 9)).select("query_id", "key", "score")
         return top_k(exact, k, "key").withColumnRenamed("key", self.key)

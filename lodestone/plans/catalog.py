@@ -509,6 +509,16 @@ def ann_topk(spark, d):
     return similarity.InvertedLists(v, lists=16).search(v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), 10, probes=ANN_PROBES).select("query_id", "chunk_id", "score", "rank")
 
 
+@query(f"""WITH {_E}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 6) AS score FROM e q, e c WHERE q.vec_id % 100 = 0)
+SELECT query_id, count(*) AS n, count(*) FILTER (r = 1) AS firsts, round(sum(score), 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r <= 10 GROUP BY query_id""")
+def ann_all_lists(spark, d):
+    """K3, K4, H2: with all lists probed byte codes and rescoring give the scores of the exact nearest vectors."""
+    v = _vectors(spark, d)
+    lists = similarity.InvertedLists(v, lists=16)
+    found = lists.search(v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), 10, probes=16)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 0).alias("firsts"), F.round(F.sum(F.round("score", 6)), 4).alias("total"))
+
+
 @query()
 def curriculum(spark, d):
     """Reading order of the hits of each query vector."""

@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.search import SearchIndex
 from lodestone.sources import notes
-from lodestone.sources.tables import load
+from lodestone.sources.tables import folder_for, load
 
 _BUILT: dict[tuple, SearchIndex] = {}
 #: Seconds that building took, by folder.
 BUILD_SECONDS: dict[str, float] = {}
 
 
-def folder_for(spark: SparkSession) -> str:
-    """A new folder that all executors can read, deleted when the driver ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lodestone-index-')}"
-    folder = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: their id is the chunk's, their source the document's and its title."""
     docs = load(spark, d, "documents")

@@ -125,14 +125,14 @@ class Snapshots:
         places = self.places(name, version)
         return self.spark.read.parquet(*places) if places else None
 
-    def staged(self, df: DataFrame) -> DataFrame:
+    def staged(self, df: DataFrame, place: str = "_staged") -> DataFrame:
         """A table of a version in the making, written once so that it is not computed for every use."""
-        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        path = f"{self.root}/{place}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def unstage(self) -> None:
-        fs, p = self._fs(f"{self.root}/_staged")
+    def unstage(self, place: str = "_staged") -> None:
+        fs, p = self._fs(f"{self.root}/{place}")
         fs.delete(p, True)
 
     def backup(self, target: str) -> int:
@@ -160,7 +160,7 @@ class Snapshots:
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, apply, every: str | None = "2 seconds", schema: str = "path string, modificationTime timestamp, length long, content binary"):
-    """A stream of new and changed note files; `apply(batch, id)` gets each micro-batch. Without `every` it stops when caught up."""
+    """A stream of new note files (changed ones: see `Engine.watch`); `apply(batch, id)` gets each micro-batch. Without `every` it stops when caught up."""
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
     rows = files.select("path", F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").cast("double").alias("mtime"))
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

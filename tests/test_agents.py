@@ -53,7 +53,12 @@ def test_scene_bodies_cap_their_sections(spark):
     body = memory.scene_bodies(atoms, spark.createDataFrame([("g", "s")], "group string, scene string")).first()["body"]
     parts = dict(p.split("\n", 1) for p in body.split("\n\n"))
     assert parts["## Facts"].split("\n") == [f"- t{i:02d}" for i in range(39, 16, -2)]
-    assert parts["## Trail"].split("\n") == [f"- t{i:02d}" for i in range(32, 40)]
+    assert parts["## Trail"] == "- 40 taken up"
+    for day in range(10):
+        known = spark.createDataFrame([("s", body)], "scene string, body string")
+        body = memory.scene_bodies(atoms, spark.createDataFrame([("g", "s")], "group string, scene string"), known=known, day=f"day {day}").first()["body"]
+    trail = body.split("## Trail\n")[1].split("\n")
+    assert trail == [f"- day {day}: 40 taken up" for day in range(2, 10)]
 
 
 def test_free_names_fill_gaps(spark):

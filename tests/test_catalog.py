@@ -59,3 +59,29 @@ def test_inverted_lists_recall_at_few_probes(spark):
     exact = {tuple(r) for r in similarity.vector_topk(v, asked, 10).select("query_id", "chunk_id").collect()}
     near = {tuple(r) for r in similarity.InvertedLists(v, lists=100).search(asked, 10, probes=5).select("query_id", "chunk_id").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_stored_lists_are_pruned_and_reused(spark, tmp_path):
+    """A tenth of the lists is read from their partitions alone, with recall 0.95; other vectors make other lists."""
+    import numpy as np
+
+    from lodestone.operators import similarity
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    points = centres[np.arange(1200) % 40] + 0.25 * rng.normal(size=(1200, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "chunk_id long, vec array<double>")
+    folder = f"file://{tmp_path}/lists"
+    lists = similarity.InvertedLists.of(v, folder, lists=40)
+    asked = v.where("chunk_id % 60 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(r["query_id"], r["chunk_id"]) for r in similarity.vector_topk(v, asked, 10).collect()}
+    found = {(r["query_id"], r["chunk_id"]) for r in lists.search(asked, 10, probes=4).collect()}
+    assert len(found & exact) >= 0.95 * len(exact)
+    _, rows = lists.probed(asked.where("query_id = 60"), 4)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan and rows.select("list").distinct().count() == 4
+    again = similarity.InvertedLists.of(v, folder, lists=40)
+    assert again.place == lists.place
+    other = similarity.InvertedLists.of(v.where("chunk_id <> 7"), folder, lists=40)
+    assert other.place != lists.place and other.rows.count() == 1199

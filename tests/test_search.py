@@ -178,6 +178,13 @@ def test_consolidation_moves_its_cursor(spark, engine):
     assert scenes["tea"][0] == 2 and "## Preferences" in scenes["tea"][1] and scenes["pier"][0] == 1
     assert engine._snapshots.read("persona").first()["persona"] == "Atom number 0."
     assert "## Scenes" in engine.context().first()["block"]
+    # A second run replaces the sections and adds a line to the trail.
+    assert scenes["tea"][1].endswith("## Trail\n- 2096-10-02: 2 taken up")
+    (engine.root / "memories/m9.md").write_text("---\ntype: fact\ntopic: tea\n---\nAtom number 9.")
+    engine.index()
+    assert engine.consolidate(force=True) == 1
+    tea = {r["title"]: r["body"] for r in engine._snapshots.read("scenes").collect()}["tea"]
+    assert "Atom number 9." in tea and tea.endswith("## Trail\n- 2096-10-02: 2 taken up\n- 2096-10-02: 1 taken up")
     engine.clock = old
 
 

@@ -36,3 +36,40 @@ def test_mentions_on_boundaries(spark):
     names = spark.createDataFrame([(t.lower(), i) for i, t in enumerate(titles)], "name string, doc_id long")
     got = {(r["src"], r["dst"]) for r in graph.mention_edges(notes, names=names).collect()}
     assert got == {(10, 0), (11, 1), (12, 2), (14, 4)} | ({(13, 3)} if len("größe") >= 6 else set())
+
+
+def test_a_watched_vault(spark, tmp_path, monkeypatch):
+    """Changes are indexed when they are still, deletions too; a step killed between index and state is repeated without harm."""
+    from lodestone.engine import Engine
+
+    root, clock = tmp_path / "v", [1000.0]
+    root.mkdir()
+    (root / "a.md").write_text("The harbour.")
+    (root / "b [x].md").write_text("The pier.")
+    e = Engine(spark, f"file://{root}", f"file://{tmp_path}/s", clock=lambda: clock[0])
+    assert e.watch_step(0) is None and e._snapshots.read("notes") is None
+    clock[0] += 3
+    assert e.watch_step(1)["added"] == 2 and e.watch_step(1) is None
+    (root / "a.md").write_text("The orchard now.")
+    (root / "b [x].md").unlink()
+    clock[0] += 1
+    assert e.watch_step(2)["removed"] == 1
+    clock[0] += 3
+    write, calls = e._snapshots.write, []
+
+    def killed(tables, *a, **b):
+        if "watch" in tables:
+            raise KeyboardInterrupt
+        calls.append(tables)
+        return write(tables, *a, **b)
+
+    monkeypatch.setattr(e._snapshots, "write", killed)
+    with pytest.raises(KeyboardInterrupt):
+        e.watch_step(3)
+    monkeypatch.setattr(e._snapshots, "write", write)
+    again = Engine(spark, f"file://{root}", f"file://{tmp_path}/s", clock=lambda: clock[0])
+    versions = len(again._snapshots.versions())
+    assert again.watch_step(3) is None and len(again._snapshots.versions()) == versions + 1 and len(calls) == 1
+    assert [tuple(r) for r in again.table("notes").select("path", "body").collect()] == [("a.md", "The orchard now.")]
+    frame = spark.createDataFrame([(1, "orchard"), (2, "pier")], "query_id long, text string")
+    assert [r["path"] for r in again.search(frame, mode="bm25").collect()] == ["a.md"]
