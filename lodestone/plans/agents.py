@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import agent, evaluation, graph, memory
-from lodestone.plans.catalog import _E, _RANKED, _ranked, _vectors, query
+from lodestone.plans.catalog import _asked, _E, _RANKED, _ranked, _vectors, query
 from lodestone.plans.vault import _NOTES, FIRST, NOW, _notes, _orders
 from lodestone.sources import connectors
 from lodestone.sources.tables import load
@@ -85,11 +85,13 @@ def boot_context(spark, d):
     return agent.context_block(sections)
 
 
-@query("""SELECT * FROM (VALUES (0, 'refunds go to the queue'), (1, NULL), (2, '환불은 큐로'), (3, '회의는 월요일 아침이다'), (4, NULL)) v(turn, keep)""")
+@query("""WITH t AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS said FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND length(said) >= 4 THEN said WHEN turn % 3 = 1 AND length(said) >= 8 THEN said END AS keep FROM t""")
 def remember_intents(spark, d):
-    """What a chat turn asks to keep."""
-    said = ["remember: refunds go to the queue", "remember x", "기억해줘: 환불은 큐로", "회의는 월요일 아침이다 라고 기억해줘", "what is this"]
-    return spark.createDataFrame(list(enumerate(said)), "turn int, text string").select("turn", agent.remember_intent(F.col("text")).alias("keep"))
+    """What turns of conversations ask to keep, with a leading verb, a closing one, or none."""
+    turns = load(spark, d, "conversations").where("text is not null")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Remember: "), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" 라고 기억해 줘."))).otherwise(F.col("text"))
+    return turns.select("conv_id", "turn", agent.remember_intent(said).alias("keep"))
 
 
 @query("""WITH t AS (SELECT *, coalesce(max(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS answered, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
@@ -112,12 +114,15 @@ def streamed_answers(spark, d):
     return agent.reassembled(lines.unionByName(ends))
 
 
-@query("""SELECT * FROM (VALUES (0, 1, 'first part'), (0, 2, 'second'), (1, 0, 'other words')) v(query_id, at, text)""".replace("at, text)", "place, text)"))
+@query("""WITH a AS (SELECT item_id AS query_id, regexp_extract(lower(text), '[a-z0-9]+') AS word FROM benchmark WHERE item_id % 3 < 2)
+SELECT query_id, unnest([1, 2]) AS place, unnest(['about ' || word, 'second ' || query_id]) AS text FROM a""")
 def query_variants(spark, d):
-    """Further phrasings read from a model's loose answer."""
-    asked = spark.createDataFrame([(0, "Whole"), (1, "plain"), (2, "none")], "query_id int, text string")
-    answers = {0: '```json\n{"queries": ["whole", "first part", "second", "third"]}\n```', 1: 'Sure: {"queries": ["other words", " "]} there', 2: "no idea"}
-    told = spark.createDataFrame(list(answers.items()), "query_id int, answer string")
+    """Further phrasings of benchmark items read from a model's loose answers, some of which cannot be read."""
+    asked = _asked(spark, d)
+    word = F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0)
+    parts = F.to_json(F.struct(F.array(F.col("text"), F.concat(F.lit("about "), word), F.concat(F.lit("second "), F.col("query_id").cast("string")), F.lit("third")).alias("queries")))
+    answer = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), parts, F.lit("\n```"))).when(F.col("query_id") % 3 == 1, F.concat(F.lit("Sure: "), parts, F.lit(" there"))).otherwise("no idea")
+    told = asked.select("query_id", answer.alias("answer"))
     return agent.variants(asked, lambda q: q.join(told, "query_id"), 2).select("query_id", F.col("at").alias("place"), "text")
 
 

@@ -9,7 +9,8 @@ from lodestone.functions import temporal as tm
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
 from lodestone.operators import context, filters, fusion, graph, memory, search, similarity, states
-from lodestone.plans.catalog import _CONTENT, _E, _TERMS, _asked, _vectors, query
+from lodestone.plans.catalog import _CONTENT, _E, _TERMS, _TOK, _asked, _vectors, query
+from lodestone.plans.stems import stem_ctes
 from lodestone.plans.store import index_of
 from lodestone.sources.tables import load
 from lodestone.streaming import sync
@@ -176,17 +177,18 @@ def window_leg(spark, d):
     return filters.window_leg(_notes(spark, d).select("doc_id", "doc_date"), windows, 8).select("query_id", "doc_id", "rank")
 
 
-_SAID = ["what did I do yesterday", "notes of last week", "3 days ago we met", "plans in march", "this month", "lately I read", "nothing about time", "the last 10 days", "2 weeks ago"]
-
-
-@query(f"""WITH t AS (SELECT DATE '2023-11-14' AS today), r AS (
-SELECT 0 AS query_id, true AS recent, epoch(today - 1) AS lo, epoch(today) AS hi FROM t UNION ALL SELECT 1, true, epoch(date_trunc('week', today) - INTERVAL 7 DAY), epoch(date_trunc('week', today)) FROM t
-UNION ALL SELECT 2, true, epoch(today - 4), epoch(today - 1) FROM t UNION ALL SELECT 3, true, epoch(DATE '2023-03-01'), epoch(DATE '2023-04-01') FROM t
-UNION ALL SELECT 4, true, epoch(DATE '2023-11-01'), epoch(today + 1) FROM t UNION ALL SELECT 5, true, NULL, NULL FROM t UNION ALL SELECT 6, false, NULL, NULL FROM t
-UNION ALL SELECT 7, true, epoch(today - 10), epoch(today + 1) FROM t UNION ALL SELECT 8, true, epoch(today - 17), epoch(today - 10) FROM t) SELECT query_id, recent, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM r""")
+@query(f"""WITH o AS (SELECT o_orderkey AS query_id, (o_orderkey % 50)::INTEGER AS n, (o_orderkey % 6)::INTEGER AS kind, DATE '2023-11-14' AS today, (1 + o_orderkey % 12)::INTEGER AS m FROM orders),
+s AS (SELECT query_id, kind <> 4 AS recent, make_date(2023 - (m > 11)::INTEGER, m, 1) AS begins, *,
+  CASE kind WHEN 0 THEN today - (n + 1) WHEN 1 THEN today - (7 * n + 3) WHEN 2 THEN today - n WHEN 3 THEN make_date(2023 - (m > 11)::INTEGER, m, 1) WHEN 5 THEN today - 1 END AS a,
+  CASE kind WHEN 0 THEN today + 1 - greatest(0, n - 1) WHEN 1 THEN today + 1 - greatest(0, 7 * n - 3) WHEN 2 THEN today + 1 WHEN 3 THEN least(CAST(make_date(2023 - (m > 11)::INTEGER, m, 1) + INTERVAL 1 MONTH AS DATE), today + 1) WHEN 5 THEN today END AS b FROM o)
+SELECT query_id, recent, epoch(a)::DOUBLE AS lo, epoch(b)::DOUBLE AS hi FROM s""")
 def temporal_intents(spark, d):
-    """What a question says about time, on 14 November 2023."""
-    asked = spark.createDataFrame(list(enumerate(_SAID)), "query_id int, text string")
+    """What questions about orders say about time, on 14 November 2023."""
+    o = load(spark, d, "orders")
+    n, kind = (F.col("o_orderkey") % 50).cast("string"), F.col("o_orderkey") % 6
+    month = F.lower(F.date_format(F.make_date(F.lit(2020), (1 + F.col("o_orderkey") % 12).cast("int"), F.lit(1)), "MMMM"))
+    shapes = [F.concat(n, F.lit(" days ago we met")), F.concat(F.lit("notes of "), n, F.lit(" weeks ago")), F.concat(F.lit("the last "), n, F.lit(" days")), F.concat(F.lit("plans in "), month), F.lit("nothing about time"), F.lit("what did I do yesterday")]
+    asked = o.select(F.col("o_orderkey").alias("query_id"), F.coalesce(*(F.when(kind == i, t) for i, t in enumerate(shapes))).alias("text"))
     return asked.select("query_id", tm.temporal_intent(F.col("text"), F.lit(NOW)).alias("i")).select("query_id", "i.recent", "i.lo", "i.hi")
 
 
@@ -219,33 +221,44 @@ def query_tokens(spark, d):
     return load(spark, d, "benchmark").select("item_id", F.array_join(F.sort_array(tx.coverage_tokens(t)), " ").alias("tokens"), tx.is_keyword_query(t).alias("keyword"))
 
 
-@query("""SELECT * FROM (VALUES (0, true, 16), (1, false, 8), (2, true, 16), (3, true, 16), (4, false, 8), (5, true, 16)) v(query_id, listed, k)""")
+_LISTS = "|".join(q.replace(" ", r"\W+") for q in tx.QUANTIFIERS)
+
+
+@query(rf"""SELECT item_id AS query_id, item_id % 3 = 1 OR regexp_matches(lower(text), '\b({_LISTS})\b') AS listed, CASE WHEN item_id % 3 = 1 OR regexp_matches(lower(text), '\b({_LISTS})\b') THEN 16 ELSE 8 END AS k FROM benchmark""")
 def enumeration_intent(spark, d):
-    """Questions that ask for lists, and how many hits they get."""
-    said = ["list my projects", "what is the plan", "how many books did I read", "which small projects failed", "what does he think", "모두 알려줘"]
-    rows = spark.createDataFrame(list(enumerate(said)), "query_id int, text string")
+    """Benchmark items, some behind the opening of a question, that ask for lists, and how many hits they get."""
+    opening = F.when(F.col("query_id") % 3 == 1, "which projects ").when(F.col("query_id") % 3 == 2, "what does ").otherwise("about ")
+    rows = _asked(spark, d).withColumn("text", F.concat(opening, "text"))
     return rows.select("query_id", tx.is_enumeration(F.col("text")).alias("listed"), tx.adaptive_k(F.col("text"), 8).cast("int").alias("k"))
 
 
-@query("""SELECT * FROM (VALUES (0, '회 의 록 회의 의록', '회의 의록'), (1, '나 는 나는', '나는 나'), (2, '東 京 東京', '東京'), (3, '', '')) v(query_id, indexed, asked)""")
+@query(f"""WITH t AS (SELECT doc_id, translate(CAST(doc_id AS VARCHAR), '0123456789', '가나다라마바사아자차') AS s FROM documents),
+g AS (SELECT doc_id, s, string_split(s, '') AS ones, list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) AS pairs FROM t)
+SELECT doc_id, array_to_string(list_concat(ones, pairs), ' ') AS indexed,
+  array_to_string(CASE WHEN length(s) = 1 THEN [s] WHEN length(s) = 2 AND contains('{tx.SINGLE_PARTICLES}', substr(s, 2, 1)) THEN list_concat(pairs, [substr(s, 1, 1)]) ELSE pairs END, ' ') AS asked FROM g""")
 def cjk_grams(spark, d):
-    """Grams of CJK runs as indexed and as asked for."""
-    rows = spark.createDataFrame(list(enumerate(["회의록", "나는", "東京", "none"])), "query_id int, text string")
-    return rows.select("query_id", F.array_join(tx.index_grams(F.col("text")), " ").alias("indexed"), F.array_join(tx.query_grams(F.col("text")), " ").alias("asked"))
+    """Grams of Hangul runs that spell the documents' numbers, as indexed and as asked for."""
+    spelled = F.concat(F.lit("no. "), F.translate(F.col("doc_id").cast("string"), "0123456789", "가나다라마바사아자차"), F.lit(" end"))
+    rows = load(spark, d, "documents").select("doc_id", spelled.alias("text"))
+    return rows.select("doc_id", F.array_join(tx.index_grams(F.col("text")), " ").alias("indexed"), F.array_join(tx.query_grams(F.col("text")), " ").alias("asked"))
 
 
-@query("""SELECT * FROM (VALUES ('teh', 'the', 1), ('가나', '나가', 1), ('abcdef', 'abdcfe', 2), ('kitten', 'sitting', 3), ('a', 'abcdefgh', 4)) v(a, b, distance)""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(list_filter({_CONTENT.format('text')}, lambda t: length(t) >= 4)) AS a FROM benchmark)
+SELECT a, substr(a, 1, 1) || substr(a, 3, 1) || substr(a, 2, 1) || substr(a, 4) AS b, CASE WHEN substr(a, 2, 1) = substr(a, 3, 1) THEN 0 ELSE 1 END AS distance FROM w
+UNION ALL SELECT a, reverse(a), CAST(least(damerau_levenshtein(a, reverse(a)), 2) AS INTEGER) FROM w""")
 def swap_distance(spark, d):
-    """Edit distance with swaps of neighbours, capped at three."""
-    rows = spark.createDataFrame([("teh", "the"), ("가나", "나가"), ("abcdef", "abdcfe"), ("kitten", "sitting"), ("a", "abcdefgh")], "a string, b string")
-    return rows.select("a", "b", tx.osa("a", "b", F.lit(3)).cast("int").alias("distance"))
+    """Edit distance with swaps of neighbours, capped at one: of words with two letters swapped, and turned round."""
+    words = load(spark, d, "benchmark").select(F.explode(tx.content_tokens(F.col("text"))).alias("a")).where(F.length("a") >= 4).distinct()
+    turned = words.withColumn("b", F.concat(F.substring("a", 1, 1), F.substring("a", 3, 1), F.substring("a", 2, 1), F.expr("substring(a, 4)")))
+    far = words.withColumn("b", F.reverse("a"))
+    return turned.unionByName(far).select("a", "b", tx.osa("a", "b", F.lit(1)).cast("int").alias("distance"))
 
 
-@query("""SELECT * FROM (VALUES ('caresses', 'caress'), ('ponies', 'poni'), ('agreed', 'agre'), ('plastered', 'plaster'), ('motoring', 'motor'), ('hopping', 'hop'), ('filing', 'file'), ('happy', 'happi'), ('relational', 'relat'), ('generalizations', 'gener'), ('회의', '회의')) v(word, stem)""")
+@query(f"""WITH words AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS w FROM documents), {stem_ctes('words')} SELECT w AS word, stem FROM stems""")
 def english_stems(spark, d):
-    """Stems as Porter's paper gives them."""
-    words = "caresses ponies agreed plastered motoring hopping filing happy relational generalizations 회의".split()
-    return spark.createDataFrame([(w,) for w in words], "word string").select("word", tx.stemmed("word").alias("stem"))
+    """Stems of all tokens of the documents, against Porter's rules stated in SQL."""
+    words = load(spark, d, "documents").select(F.explode(tx.all_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", tx.stemmed("word").alias("stem"))
 
 
 @query("SELECT doc_id, sha256('hashed|64|document|' || 'note ' || doc_id || ' > ' || lang || chr(10) || chr(10) || left(text, 100)) AS key FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
