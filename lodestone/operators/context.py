@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
+from lodestone.sources.tables import folder_for
 
 BUDGET = 14_000
 
@@ -22,10 +23,33 @@ def context_blocks(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
     return rows.withColumn("used", run).where(F.col("used") <= budget).select("query_id", "rank", "block", "used")
 
 
+def running_total(rows: DataFrame, group: list[str], order: list[str], size: str, out: str = "used", slices: int | None = None) -> DataFrame:
+    """`rows` with a running sum of `size` in each group, the row itself included; a group of any share of the rows is dealt over slices.
+
+    Rows are cut by range into slices of about equal size, which are written. Sums of slices, a few rows a group, say what comes
+    before each slice, and windows run inside slices only. Rows of equal order are summed in any order.
+    """
+    spark = rows.sparkSession
+    number = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{folder_for(spark, 'runs')}/rows"
+    rows.repartitionByRange(number, *group, *order).withColumn("_slice", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = held.groupBy(*group, "_slice").agg(F.sum(size).alias("_sum"))
+    ahead = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("_ahead", F.sum("_sum").over(ahead)).select(*(F.col(g).alias(f"_{g}") for g in group), F.col("_slice").alias("_of"), "_ahead")
+    match = F.col("_slice") == F.col("_of")
+    for g in group:
+        match &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    whole = held.withColumn(out, F.sum(size).over(inside)).join(before, match, "left")
+    # A running sum is null as long as every size is.
+    total = F.when(F.col("_ahead").isNull(), F.col(out)).otherwise(F.col("_ahead") + F.coalesce(out, F.lit(0)))
+    return whole.withColumn(out, total).drop("_slice", "_of", "_ahead", *(f"_{g}" for g in group))
+
+
 def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """The rows of each group before its running size first exceeds the budget."""
-    run = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", run).where(F.col("used") <= budget)
+    return running_total(rows, [group], [order], size).where(F.col("used") <= budget)
 
 
 def prompts(blocks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.temporal import DAY
-from lodestone.operators import similarity
+from lodestone.operators import context, similarity
 
 # The types of a fragment.
 TYPES = ("fact", "decision", "error", "preference", "procedure", "relation", "episode", "belief")
@@ -202,8 +202,9 @@ def eligible_skills(fragments: DataFrame, least: int = 2) -> DataFrame:
 def _in_batches(notes: DataFrame, chars: int) -> DataFrame:
     month = F.coalesce(F.nullif(F.regexp_extract(F.concat_ws(" ", "path", "title"), r"((?:19|20)\d{2}-(?:0[1-9]|1[0-2]))", 1), F.lit("")), F.lit("undated"))
     rows = notes.withColumn("group", F.concat_ws("/", F.regexp_replace("path", "/[^/]*$", ""), month))
-    run = F.sum(F.length("body")).over(Window.partitionBy("group").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("batch", F.floor(F.coalesce(run, F.lit(0)) / chars).cast("int"))
+    rows = context.running_total(rows.withColumn("_size", F.length("body")), ["group"], ["path"], "_size", "_used")
+    before = F.coalesce(F.col("_used") - F.coalesce("_size", F.lit(0)), F.lit(0))
+    return rows.withColumn("batch", F.floor(before / chars).cast("int")).drop("_size", "_used")
 
 
 def distill_batches(notes: DataFrame, chars: int = 12_000) -> DataFrame:
