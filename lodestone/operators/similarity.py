@@ -96,36 +96,128 @@ def _blocked(held: DataFrame, asked: DataFrame, k: int, dims: int, n_asked: int)
     return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(run, "query_id long, key long, score double")
 
 
+#: Vectors at most that order the others for a join, and blocks whose summaries are compared in one task.
+PIVOTS, SUMMARIES = 256, 2048
+
+
+def ordered_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (id, grp, v) with the number b of a block of about `block` rows that are near the same pivot; written."""
+    spark = rows.sparkSession
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, 2 * PIVOTS / max(1, n))))).orderBy(F.xxhash64("id")).limit(PIVOTS)
+    pivots = _tour([r["v"] for r in some.select("v").collect()] or [[0.0]])
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        c = _padded(pivots)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        x = _padded(vectors.tolist(), c.shape[1])
+        return pd.Series((x[:, : c.shape[1]] @ c.T).argmax(axis=1).astype("int32"))
+
+    path = f"{folder_for(spark, 'blocks')}/rows"
+    ranged = rows.withColumn("near", nearest("v")).repartitionByRange(max(1, -(-n // block)), "near", F.xxhash64("id"))
+    ranged.select("id", "grp", "v", F.spark_partition_id().alias("b")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _tour(pivots: list) -> list:
+    """Pivots in an order in which each is followed by the nearest that is left, so that neighbours in number are near."""
+    import numpy as np
+
+    c = _padded(pivots)
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    alike, order = c @ c.T, [0]
+    alike[:, 0] = -np.inf
+    while len(order) < len(pivots):
+        order.append(int(alike[order[-1]].argmax()))
+        alike[:, order[-1]] = -np.inf
+    return [pivots[i] for i in order]
+
+
+def _padded(vectors: list, least: int = 0):
+    """A matrix of vectors; shorter ones end in zeros."""
+    import numpy as np
+
+    out = np.zeros((len(vectors), max([least, *map(len, vectors)])))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def block_pairs(held: DataFrame, threshold: float) -> DataFrame:
+    """x <= y: the blocks of which some rows may have a dot product of the threshold.
+
+    A block is summed up by its mean direction, the widest angle of a row to it and the longest row. No two rows are
+    nearer in angle than the directions are without both widths, so other pairs of blocks are never brought together.
+    """
+
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x = _padded(rows["v"].tolist())
+        norm = np.linalg.norm(x, axis=1)
+        unit = x / np.maximum(norm, 1e-12)[:, None]
+        centre = unit.sum(axis=0)
+        centre /= max(np.linalg.norm(centre), 1e-12)
+        # A row without a direction has products of zero, which no positive threshold lets through; others bring all blocks together.
+        wide = np.where(norm > 0, np.arccos(np.clip(unit @ centre, -1, 1)), 0).max()
+        return pd.DataFrame([{"b": rows["b"].iloc[0], "centre": centre, "wide": wide, "most": norm.max()}])
+
+    sums = held.groupBy("b").applyInPandas(summary, "b int, centre array<double>, wide double, most double")
+    path = f"{folder_for(held.sparkSession, 'blocks')}/sums"
+    sums.write.parquet(path)
+    sums = held.sparkSession.read.parquet(path)
+    chunks = (sums.agg(F.max("b")).first()[0] or 0) // SUMMARIES + 1
+    dealt = sums.withColumn("mine", F.floor(F.col("b") / SUMMARIES).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(int(chunks) - 1))))
+    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        left, right = rows[rows["mine"] == rows["lo"].iloc[0]].drop_duplicates("b"), rows[rows["mine"] == rows["hi"].iloc[0]].drop_duplicates("b")
+        size = max(map(len, rows["centre"]))
+        angle = np.arccos(np.clip(_padded(left["centre"].tolist(), size) @ _padded(right["centre"].tolist(), size).T, -1, 1))
+        gap = np.clip(angle - left["wide"].to_numpy()[:, None] - right["wide"].to_numpy()[None, :], 0, np.pi)
+        most = left["most"].to_numpy()[:, None] * right["most"].to_numpy()[None, :] * np.where(np.cos(gap) > 0, np.cos(gap), 0 if threshold > 0 else 1)
+        i, j = np.nonzero(most >= threshold - 1e-9) if threshold > 0 else np.nonzero(np.ones_like(most))
+        x, y = left["b"].to_numpy()[i], right["b"].to_numpy()[j]
+        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
+
+    path = f"{folder_for(held.sparkSession, 'blocks')}/pairs"
+    dealt.groupBy("lo", "hi").applyInPandas(meet, "x int, y int").write.parquet(path)
+    return held.sparkSession.read.parquet(path)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", group: str = "doc_id", vec: str = "vec", block: int = 512, index: InvertedLists | None = None, probes: int = 8) -> DataFrame:
     """a, b, score: pairs a < b of different groups with dot product of at least the threshold.
 
-    Exact without an `index`: vectors are dealt into blocks by hash, and each pair of blocks is one task whose product
-    is filtered before it leaves; block pairs grow with the square of the table. With inverted lists over the same
-    vectors each vector meets those of its nearest `probes` lists only, which misses some pairs.
+    Exact without an `index`: vectors are put in order by pivots and cut into blocks, and only blocks that may hold a
+    pair (see `block_pairs`) become a task, whose product is filtered before it leaves. Vectors in clusters leave most
+    blocks apart; where they fill all directions, and at low thresholds, block pairs grow with the square of the table. With
+    inverted lists over the same vectors each vector meets those of its nearest `probes` lists only, which misses some pairs.
     """
     if index is not None:
         return index.pairs(vectors.select(F.col(key).alias("key"), F.col(group).alias("grp")), threshold, probes)
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    dealt = vectors.select(F.col(key).alias("id"), F.col(group).alias("grp"), vx.as_double(F.col(vec)).alias("v")).where("v is not null")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), vx.as_double(F.col(vec)).alias("v")).where("v is not null")
+    held = ordered_blocks(rows, block)
+    pairs = block_pairs(held, threshold)
+    sides = pairs.select(F.col("x").alias("b"), "x", "y").unionByName(pairs.where("x < y").select(F.col("y").alias("b"), "x", "y"))
 
-    def pairs(rows):
+    def compare(found: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
-        import pandas as pd
 
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        left, right = rows[rows["mine"] == lo], rows[rows["mine"] == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        scores = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        x, y = found["x"].iloc[0], found["y"].iloc[0]
+        left, right = found[found["b"] == x], found[found["b"] == y]
+        size = max(map(len, found["v"]))
+        scores = _padded(left["v"].tolist(), size) @ _padded(right["v"].tolist(), size).T
         i, j = np.nonzero(scores >= threshold)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        good = (left["grp"].to_numpy()[i] != right["grp"].to_numpy()[j]) & ((a < b) | (lo != hi))
+        good = (left["grp"].to_numpy()[i] != right["grp"].to_numpy()[j]) & ((a < b) | (x != y))
         return pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good], "score": np.round(scores[i, j][good], 9)})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(pairs, "a long, b long, score double")
+    return held.join(sides, "b").groupBy("x", "y").applyInPandas(compare, "a long, b long, score double")
 
 
 def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame | None = None, bonus: float = 0.05, index: InvertedLists | None = None, probes: int = 32, wide: int | None = None) -> DataFrame:

@@ -85,3 +85,28 @@ def test_stored_lists_are_pruned_and_reused(spark, tmp_path):
     assert again.place == lists.place
     other = similarity.InvertedLists.of(v.where("chunk_id <> 7"), folder, lists=40)
     assert other.place != lists.place and other.rows.count() == 1199
+
+
+def test_blocks_apart_are_not_compared(spark):
+    """The exact join equals all products, and blocks of far clusters never meet."""
+    import numpy as np
+
+    from lodestone.operators import similarity
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = centres[np.arange(480) % 12] + 0.1 * rng.normal(size=(480, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1.5
+    x[9] = 0
+    rows = [(i, i % 5, v) for i, v in enumerate(x.tolist())]
+    v = spark.createDataFrame(rows, "chunk_id long, doc_id long, vec array<double>")
+    got = {(r["a"], r["b"]) for r in similarity.similar_pairs(v, 0.95, block=20).collect()}
+    scores = x @ x.T
+    assert got == {(i, j) for i in range(480) for j in range(i + 1, 480) if scores[i, j] >= 0.95 and i % 5 != j % 5} and got
+    held = similarity.ordered_blocks(v.selectExpr("chunk_id id", "doc_id grp", "vec v"), 20)
+    blocks = held.select("b").distinct().count()
+    assert similarity.block_pairs(held, 0.95).count() < 0.4 * blocks * (blocks + 1) / 2
+    low = {(r["a"], r["b"]) for r in similarity.similar_pairs(v, -0.1, block=100).collect()}
+    assert low == {(i, j) for i in range(480) for j in range(i + 1, 480) if scores[i, j] >= -0.1 and i % 5 != j % 5}
+    assert similarity.similar_pairs(v.limit(0), 0.9).count() == 0
