@@ -163,9 +163,22 @@ class Engine:
         """
         notes = self.table("notes").where(~F.col("path").startswith(states.TRASH))
         index = self._index()
+        if self.settings.usage > 0:
+            more.setdefault("hits", self.hits())
         hits = sr.search(index, queries, k, mode, notes=notes, edges=self.table("links"), embed=self.embed, now=self.clock(), settings=self.settings, **more)
         return hits.join(notes.select("doc_id", "path", "doc_date", "mtime"), "doc_id").join(index.chunks.select("chunk_id", "title", "heading", "text"), "chunk_id")
 
+    def record_hits(self, found: DataFrame) -> None:
+        """Count the notes of a search result (query_id, doc_id), each once a query, as used now; later searches and the boot context know."""
+        rows = found.select("query_id", "doc_id").distinct().select("doc_id", F.lit(float(self.clock())).alias("ts"))
+        self._snapshots.write({}, more={"hits": rows})
+
+    def hits(self) -> DataFrame:
+        """doc_id, hits of the notes that were used."""
+        rows = self._snapshots.read("hits")
+        rows = self.spark.createDataFrame([], "doc_id long, ts double") if rows is None else rows
+        return memory.hit_stats(rows).select("doc_id", "hits")
+
     def adaptive_search(self, queries: DataFrame, k: int = 8) -> DataFrame:
         """Like `search`, with more hits for questions that ask for lists and counts."""
         wide = queries.withColumn("k", tx.adaptive_k(F.col("text"), k))
@@ -301,7 +314,7 @@ class Engine:
         scenes = empty(SCENES) if scenes is None else scenes
         persona = self.spark.createDataFrame([("",)], "persona string") if persona is None else persona
         cases = empty("`case` string, open_errors long, last_touched double")
-        sections = agent.boot_sections(self.table("notes"), self.table("links"), empty("doc_id long, hits long"), scenes, cases, persona, self.clock())
+        sections = agent.boot_sections(self.table("notes"), self.table("links"), self.hits(), scenes, cases, persona, self.clock())
         return agent.context_block(sections, chars)
 
     def repair_prompt(self) -> str:

@@ -167,6 +167,15 @@ def test_memory_notes_outlive_an_index(spark, engine):
     assert f"{engine.table('notes').count()} notes" in block and "## Recent notes" in block and engine.repair_prompt() == "Nothing has drifted."
 
 
+def test_recorded_hits_reach_the_boot_context(spark, engine):
+    found = engine.search(spark.createDataFrame([(1, "orchard"), (2, "pear trees")], "query_id long, text string"), mode="bm25", k=1)
+    found = engine._snapshots.staged(found)
+    engine.record_hits(found)
+    engine.record_hits(found)
+    assert sorted(r["hits"] for r in engine.hits().collect()) == [4]
+    assert "Orchard, 4 times" in engine.context().first()["block"]
+
+
 def test_consolidation_moves_its_cursor(spark, engine):
     (engine.root / "memories").mkdir(exist_ok=True)
     for i, (kind, topic) in enumerate([("preference", "tea"), ("fact", "tea"), ("decision", "pier")]):
