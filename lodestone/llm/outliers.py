@@ -8,10 +8,10 @@ distance; after two steps the start of least determinant is kept and goes on unt
 the consistency factor of that share at the normal law. Texts beyond the chi-square quantile of tail `TAIL` on five
 degrees are rejected; the tail is that small because the statistics have heavier tails than a normal law.
 
-The same is done per language and over all texts, and each estimate is drawn to the next wider one as by `PRIOR`
-texts of it against the group's own: in a group of thousands this does next to nothing, a small one is judged mostly by
-its language, a small language by all texts, and the weight passes without a jump and without a least group size from
-the one to the other. Every text with a word gets a verdict.
+The same is done per language and over all texts, and each estimate is drawn to the next wider one: its weight is
+n^2 / (n^2 + `PRIOR`^2), half at `PRIOR` texts. In a group of thousands this does nothing, a small one, whose own
+estimate is not robust, is judged by its language, a small language by all texts, and the weight passes without a jump
+and without a least group size from the one to the other. Every text with a word gets a verdict.
 
 All moments and quantiles are map-side combined aggregates over a narrow table of statistics, so a source with a third
 of all rows costs no more than others. The estimates (one row a group) are joined back by broadcast if their measured
@@ -41,7 +41,7 @@ DRAWN = 12
 STARTS = (0, 1, 2)
 #: Steps of all starts, the most steps that are made, and the fall of a log determinant that calls for another.
 FIRST_STEPS, STEPS, FALL = 2, 10, 0.01
-#: An estimate counts by its texts, against `PRIOR` texts of the next wider group.
+#: Texts at which an estimate counts as much as that of the next wider group.
 PRIOR = 40
 #: Least standard deviation of a statistic, and the chi-square tail beyond which a text is rejected.
 FLOOR = 0.15
@@ -270,7 +270,8 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
 def _drawn_to_wider(estimates: DataFrame) -> DataFrame:
     """Estimates of languages and sources, drawn to those of the language and of all texts; scaled for consistency."""
     names = _moment_names()
-    share = F.col("n") / (F.col("n") + PRIOR)
+    square = F.col("n").cast("double") * F.col("n")
+    share = square / (square + PRIOR * PRIOR)
     mixed = [(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in names]
     wide = lambda df, *key: df.select(*key, *(F.col(c).alias(f"w_{c}") for c in names))
     level = lambda i: estimates.where(F.col("level") == i).select("lang_key", "source_key", "n", *names)
