@@ -17,6 +17,8 @@ from lodestone.sources.tables import folder_for
 
 #: Most bytes of query vectors that go to every task in one piece; larger sets are dealt into blocks.
 QUERY_BYTES = 16 << 20
+#: Queries that are scored at once against a batch of a list.
+SCANNED = 512
 #: Bytes of the vectors of one block, of queries or of what is searched.
 BLOCK_BYTES = 32 << 20
 
@@ -237,6 +239,55 @@ def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame
     return top_k(best, k, "doc_id")
 
 
+def _scanned(rows: list, wide: int):
+    """Candidates of each query (query_id, q, lists) among batches of list rows (key, list, v, code), `wide` at most for all of them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        sizes: dict[int, list] = {}
+        for row in rows:
+            sizes.setdefault(len(row[1]), []).append(row)
+        sets = {}
+        for n, part in sizes.items():
+            of: dict[int, list] = {}
+            for i, (_, _, lists) in enumerate(part):
+                for x in lists:
+                    of.setdefault(int(x), []).append(i)
+            sets[n] = np.array([i for i, _, _ in part], dtype=np.int64), np.array([q for _, q, _ in part], dtype=np.float64), {x: np.array(y) for x, y in of.items()}
+        kept = {n: [] for n in sets}
+
+        def best(found: pd.DataFrame) -> pd.DataFrame:
+            found = found.sort_values(["query", "rough", "key"], ascending=[True, False, True], kind="stable")
+            return found[found.groupby("query").cumcount() < wide]
+
+        for batch in batches:
+            lengths = batch["v"].map(len).to_numpy()
+            for n, (_, matrix, of) in sets.items():
+                for x, part in batch[lengths == n].sort_values("key", kind="stable").groupby("list"):
+                    asked = of.get(int(x), np.empty(0, dtype=np.int64))
+                    if not len(asked):
+                        continue
+                    keys, codes, v = part["key"].to_numpy(), np.stack(part["code"].to_numpy()), np.stack(part["v"].to_numpy())
+                    for at in range(0, len(asked), SCANNED):
+                        some = asked[at : at + SCANNED]
+                        rough = np.round(matrix[some] @ codes.T, 9)
+                        rough[np.isnan(rough)] = -np.inf
+                        floor = (np.partition(rough, -wide, axis=1)[:, -wide] if len(keys) > wide else np.full(len(some), -np.inf))[:, None]
+                        # Of equals at the cut the smallest keys, however many there are.
+                        over, level = rough > floor, rough == floor
+                        i, j = np.nonzero(over | (level & (np.cumsum(level, axis=1) <= wide - over.sum(axis=1, keepdims=True))))
+                        score = np.round(np.einsum("ij,ij->i", matrix[some[i]], v[j]), 9)
+                        kept[n].append(pd.DataFrame({"query": some[i], "key": keys[j], "rough": rough[i, j], "score": score}))
+                if sum(map(len, kept[n])) > 4 * wide * len(matrix):
+                    kept[n] = [best(pd.concat(kept[n]))]
+        out = [best(pd.concat(x)).assign(query_id=lambda f, ids=sets[n][0]: ids[f["query"]]) for n, x in kept.items() if x]
+        none = pd.DataFrame({"query_id": [], "key": [], "rough": [], "score": []}).astype({"query_id": "int64", "key": "int64"})
+        yield pd.concat([none, *out])[["query_id", "key", "rough", "score"]].astype({"query_id": "int64", "key": "int64"})
+
+    return run
+
+
 class InvertedLists:
     """Approximate search over stored inverted lists: spherical k-means lists, signed-byte codes, exact rescoring.
 
@@ -316,12 +367,35 @@ class InvertedLists:
         return near, self.rows.where(F.col("list").isin(wanted))
 
     def search(self, queries: DataFrame, k: int, probes: int = 256) -> DataFrame:
-        """query_id, key, score, rank; byte codes pick max(k + 16, 2k) candidates, doubles decide."""
+        """query_id, key, score, rank; byte codes pick max(k + 16, 2k) candidates, doubles decide.
+
+        Queries of a checked size go to the tasks, and each keeps the candidates of what it has read so far, so as many rows
+        a query leave it as there are candidates. A larger set is dealt into blocks that meet those of the lists.
+        """
+        wide = max(k + 16, 2 * k)
         near, rows = self.probed(queries, probes)
-        scan = rows.join(near, "list").withColumn("score", vx.dot(F.col("q"), vx.as_double(F.col("code"))))
-        rough = top_k(scan, max(k + 16, 2 * k), "key")
-        exact = rough.withColumn("score", F.round(vx.dot(F.col("q"), F.col("v")), 9)).select("query_id", "key", "score")
-        return top_k(exact, k, "key").withColumnRenamed("key", self.key)
+        asked = near.groupBy("query_id", "q").agg(F.collect_list("list").alias("lists"))
+        size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dims")).first()
+        held = rows.select("key", F.col("list").cast("int").alias("list"), "v", F.col("code").cast("array<double>").alias("code"))
+        schema = "query_id long, key long, rough double, score double"
+        if size["n"] * size["dims"] * 8 <= QUERY_BYTES:
+            sent = [tuple(r) for r in asked.select("query_id", "q", "lists").collect()]
+            found = held.mapInPandas(_scanned(sent, wide), schema)
+        else:
+            each = max(1, BLOCK_BYTES // (8 * size["dims"]))
+            of_queries, of_rows = -(-size["n"] // each), max(1, -(-held.count() // each))
+            deal = lambda c, n: F.pmod(F.xxhash64(F.lit("block"), F.col(c)), F.lit(n)).cast("int")
+            all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            left = held.withColumn("r", deal("key", of_rows)).withColumn("b", all_of(of_queries))
+            right = asked.withColumn("b", deal("query_id", of_queries)).withColumn("r", all_of(of_rows))
+
+            def run(here, there):
+                rows = list(zip(there["query_id"].tolist(), there["q"], there["lists"], strict=True))
+                return pd.concat(list(_scanned(rows, wide)([here])))
+
+            found = left.groupBy("r", "b").cogroup(right.groupBy("r", "b")).applyInPandas(run, schema)
+        rough = top_k(found, wide, "key", by="rough")
+        return top_k(rough.select("query_id", "key", "score"), k, "key").withColumnRenamed("key", self.key)
 
     def pairs(self, groups: DataFrame, threshold: float, probes: int) -> DataFrame:
         """a, b, score: pairs of different groups (key, grp) at the threshold or above, met in a list near either of them."""

@@ -11,3 +11,25 @@ def test_drift_prompt_is_null_without_broken_links(spark, tmp_path):
     some.write.parquet(f"{tmp_path}/some/documents.parquet")
     prompt = agents.drift_prompt(spark, f"{tmp_path}/some").first()["prompt"]
     assert "## Links to notes that do not exist" in prompt and "## Memories still flagged" in prompt
+
+
+def test_inverted_lists_join_no_rows_and_miss_none(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import similarity
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[100:160] = x[7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "chunk_id long, vec array<double>").repartition(5)
+    asked = v.where("chunk_id % 20 = 7").selectExpr("chunk_id as query_id", "vec")
+    lists = similarity.InvertedLists(v, lists=6)
+    scores = np.round(x @ x.T, 9)
+    want = {(q, i) for q in range(7, 300, 20) for i in sorted(range(300), key=lambda i: (-scores[q, i], i))[:10]}
+    found = lists.search(asked, 10, probes=6)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["query_id"], r["chunk_id"]) for r in found.collect()} == want
+    monkeypatch.setattr(similarity, "QUERY_BYTES", 0)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 8 * 8 * 50)
+    assert {(r["query_id"], r["chunk_id"]) for r in lists.search(asked, 10, probes=6).collect()} == want
