@@ -98,6 +98,8 @@ def _blocked(held: DataFrame, asked: DataFrame, k: int, dims: int, n_asked: int)
     return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(run, "query_id long, key long, score double")
 
 
+#: Groups at least into which the blocks of a join are put; more where a group would pass `BLOCK_BYTES`.
+GROUPS = 24
 #: Vectors at most that order the others for a join, and blocks whose summaries are compared in one task.
 PIVOTS, SUMMARIES = 256, 2048
 
@@ -196,7 +198,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
     """a, b, score: pairs a < b of different groups with dot product of at least the threshold.
 
     Exact without an `index`: vectors are put in order by pivots and cut into blocks, and only blocks that may hold a
-    pair (see `block_pairs`) become a task, whose product is filtered before it leaves. Vectors in clusters leave most
+    pair (see `block_pairs`) are multiplied, those of two groups of blocks in one task, whose products are filtered before they leave. Vectors in clusters leave most
     blocks apart; where they fill all directions, and at low thresholds, block pairs grow with the square of the table. With
     inverted lists over the same vectors each vector meets those of its nearest `probes` lists only, which misses some pairs.
     """
@@ -205,21 +207,36 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "chunk_id", g
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), vx.as_double(F.col(vec)).alias("v")).where("v is not null")
     held = ordered_blocks(rows, block)
     pairs = block_pairs(held, threshold)
-    sides = pairs.select(F.col("x").alias("b"), "x", "y").unionByName(pairs.where("x < y").select(F.col("y").alias("b"), "x", "y"))
-
-    def compare(found: pd.DataFrame) -> pd.DataFrame:
+    # Neighbouring blocks travel together, a group of them as often as there are groups; within a pair of groups only block pairs meet.
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dims"), F.coalesce(F.max("b"), F.lit(0)).alias("last")).first()
+    groups = max(GROUPS, -(-size["n"] * size["dims"] * 8 // BLOCK_BYTES))
+    span = max(1, -(-(size["last"] + 1) // groups))
+    of = lambda c: F.floor(F.col(c) / span).cast("int")
+    told = pairs.withColumns({"gx": of("x"), "gy": of("y")}).groupBy("gx", "gy").agg(F.collect_list(F.struct("x", "y")).alias("met"))
+    path = f"{folder_for(held.sparkSession, 'blocks')}/groups"
+    told.write.parquet(path)
+    told, listed = held.sparkSession.read.parquet(path), held.sparkSession.read.parquet(path)
+    of_block = F.explode(F.array_distinct(F.concat(F.transform("met", lambda p: p["x"]), F.transform("met", lambda p: p["y"]))))
+    sides = told.select("gx", "gy", of_block.alias("b"))
+
+    def compare(found: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        x, y = found["x"].iloc[0], found["y"].iloc[0]
-        left, right = found[found["b"] == x], found[found["b"] == y]
-        size = max(map(len, found["v"]))
-        scores = _padded(left["v"].tolist(), size) @ _padded(right["v"].tolist(), size).T
-        i, j = np.nonzero(scores >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        good = (left["grp"].to_numpy()[i] != right["grp"].to_numpy()[j]) & ((a < b) | (x != y))
-        return pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good], "score": np.round(scores[i, j][good], 9)})
-
-    return held.join(sides, "b").groupBy("x", "y").applyInPandas(compare, "a long, b long, score double")
+        none = pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
+        size, out = max(map(len, found["v"]), default=0), [none]
+        parts = {b: (rows["id"].to_numpy(), rows["grp"].to_numpy(), _padded(rows["v"].tolist(), size)) for b, rows in found.groupby("b")}
+        for met in listed["met"]:
+            for x, y in ((p["x"], p["y"]) for p in met):
+                (left, own, u), (right, other, w) = parts[x], parts[y]
+                scores = u @ w.T
+                i, j = np.nonzero(scores >= threshold)
+                a, b = left[i], right[j]
+                good = (own[i] != other[j]) & ((a < b) | (x != y))
+                out.append(pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good], "score": np.round(scores[i, j][good], 9)}))
+        return pd.concat(out)
+
+    brought = held.join(sides, "b").groupBy("gx", "gy").cogroup(listed.groupBy("gx", "gy"))
+    return brought.applyInPandas(compare, "a long, b long, score double")
 
 
 def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame | None = None, bonus: float = 0.05, index: InvertedLists | None = None, probes: int = 32, wide: int | None = None) -> DataFrame:

@@ -33,3 +33,21 @@ def test_inverted_lists_join_no_rows_and_miss_none(spark, monkeypatch):
     monkeypatch.setattr(similarity, "QUERY_BYTES", 0)
     monkeypatch.setattr(similarity, "BLOCK_BYTES", 8 * 8 * 50)
     assert {(r["query_id"], r["chunk_id"]) for r in lists.search(asked, 10, probes=6).collect()} == want
+
+
+def test_similar_pairs_brings_groups_of_blocks(spark, monkeypatch):
+    """Rows travel once for each group, not for each block, and no pair is lost."""
+    import numpy as np
+
+    from lodestone.operators import similarity
+
+    monkeypatch.setattr(similarity, "GROUPS", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, i % 9, r.tolist()) for i, r in enumerate(x)], "chunk_id long, doc_id long, vec array<double>")
+    scores = x @ x.T
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if a % 9 != b % 9 and scores[a, b] >= 0.3}
+    rows = similarity.similar_pairs(v, 0.3, block=10)
+    assert [(r["a"], r["b"]) for r in rows.orderBy("a", "b").collect()] == sorted(want)
+    assert rows.rdd.getNumPartitions() and "gx" in rows._jdf.queryExecution().optimizedPlan().toString()
