@@ -51,3 +51,21 @@ def test_similar_pairs_brings_groups_of_blocks(spark, monkeypatch):
     rows = similarity.similar_pairs(v, 0.3, block=10)
     assert [(r["a"], r["b"]) for r in rows.orderBy("a", "b").collect()] == sorted(want)
     assert rows.rdd.getNumPartitions() and "gx" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_read_bodies_once(spark):
+    """Links come from files: queries that use them twice don't search the bodies twice; anchors are whole runs, signs and pairs."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import graph
+
+    row = spark.range(1).select(graph._anchors(F.lit("ab_1 c-d 한국어 x")).alias("a")).first()
+    assert sorted(row["a"]) == sorted(["ab_1", "c", "d", "x", "-", "한", "국", "어", "한국", "국어"])
+    notes = spark.createDataFrame(
+        [(1, "first note", [], ["Second Note"], "see second note and 세번째 노트."), (2, "second note", ["nr two"], [], "of the first note"), (3, "세번째 노트", [], ["nr two"], None)],
+        "doc_id long, title string, aliases array<string>, wikilinks array<string>, body string",
+    )
+    edges = graph.links(notes)
+    assert {tuple(r)[:3] for r in edges.collect()} == {(1, 2, "wiki"), (3, 2, "wiki"), (1, 3, "mention"), (2, 1, "mention")}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
