@@ -36,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: A span is added if every token of it has this marginal probability.
 SURE = 0.9
 ROUNDS = 12
+#: Characters of texts whose graphs are held at once, or one text.
+CHARS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -292,7 +294,21 @@ def added_spans(text: str, spans, found, marginal) -> list[tuple[str, int, int]]
 
 
 def find_all(texts: list[str | None], model: SkipChainCRF) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text; one message passing over the graphs of all of them."""
+    """(base spans, added spans) of each text; one message passing over the graphs of some `CHARS` of text at a time.
+
+    Graphs of different texts share nothing, so the portions change no result; they bound what the messages take.
+    """
+    out, part, size = [], [], 0
+    for text in texts:
+        if part and size + len(text or "") > CHARS:
+            out += _find_some(part, model)
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    return out + _find_some(part, model)
+
+
+def _find_some(texts: list[str | None], model: SkipChainCRF) -> list[tuple[list, list]]:
     p, find = patterns(), re.compile(TOKEN).finditer
     has = re.compile("[0-9@]").search
     bases, founds, features, chain, skip, starts = [], [], [], [], [], []
