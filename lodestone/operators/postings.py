@@ -1,7 +1,8 @@
 """Positional postings dealt by document, and the ranking that runs where they lie.
 
 Chunks belong to shards of at most `SHARD` chunks. A posting row holds, for one term and one shard, the chunks with the
-term, its weighted frequency and places in each, and the chunks' lengths. A batch of queries visits every shard once:
+term, its weighted frequency and places in each, and the chunks' lengths, each as the bytes of an array: nothing outside the
+tasks that count and rank looks at their elements. A batch of queries visits every shard once:
 the rows of its terms meet the queries there, all scores are sums over arrays, and only the k best of a shard leave it.
 Postings of a common term are therefore spread over as many tasks as there are shards, and nothing is repeated a query.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,14 +22,17 @@ K1, B = 1.2, 0.75
 #: Decimals to which scores are rounded before ranking, so that summation order cannot decide a tie.
 DIGITS = 9
 SHARD = 4096
-#: Chunks that one step of indexing holds.
-STEP = 2048
+#: Chunks that one step of indexing holds, and bytes of their texts.
+STEP, STEP_BYTES = 4096, 64 << 20
 #: Queries that visit a shard at once.
 SLICE = 2000
 #: Places are numbered from here on in each further field, so that no phrase crosses fields.
 _FIELD = 1 << 40
+#: What the bytes of a posting row hold.
+KINDS = {"ids": "<i8", "len": "<f8", "counts": "<i4", "places": "<i8"}
 JOINT = "\x01"
-SCHEMA = "term string, shard long, ids array<long>, tf array<double>, len array<double>, counts array<int>, places array<long>"
+#: df and n (weighted occurrences) are those of the row; arrays are of 64 bits, counts of 32.
+SCHEMA = "term string, shard long, df long, n double, ids binary, tf binary, len binary, counts binary, places binary"
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -42,27 +47,20 @@ def inverted(chunks: DataFrame, fields: dict[str, float], stems: bool, keep: str
 
     With keep = "sums" only term, df and n (weighted occurrences) of each step.
     """
-    import numpy as np
     import pyarrow as pa
 
     names = list(fields)
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    schema = pa.schema([("term", pa.string()), ("shard", pa.int64()), *zip(("ids", "tf", "len", "counts", "places"), kinds, strict=True)])
 
     def invert(batch: pd.DataFrame) -> pa.RecordBatch | None:
-        terms, rows, places, weights = [], [], [], []
-        for at, values in enumerate(batch[names].itertuples(index=False, name=None)):
-            for field, (value, weight) in enumerate(zip(values, fields.values(), strict=True)):
-                found = tk.indexed(value, stems)
-                terms += found
-                rows.append(np.full(len(found), at))
-                places.append(np.arange(len(found)) + field * _FIELD)
-                weights.append(np.full(len(found), weight))
-        if not terms:
+        code, sizes, distinct = tk.coded((v for values in batch[names].itertuples(index=False, name=None) for v in values), stems)
+        if not len(code):
             return None
-        row, place, weight = np.concatenate(rows), np.concatenate(places), np.concatenate(weights)
+        # Fields follow each other in a chunk, and places start anew in each.
+        field = np.repeat(np.tile(np.arange(len(names)), len(batch)), sizes)
+        row = np.repeat(np.repeat(np.arange(len(batch)), len(names)), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + field * _FIELD
+        weight = np.array(list(fields.values()), dtype=float)[field]
         length = np.bincount(row, weights=weight, minlength=len(batch))
-        code, distinct = pd.factorize(np.array(terms, dtype=object))
         shard, shards = pd.factorize(batch["shard"].to_numpy())
         key = (code * len(shards) + shard[row]) * len(batch) + row
         order = np.argsort(key, kind="stable")
@@ -70,41 +68,40 @@ def inverted(chunks: DataFrame, fields: dict[str, float], stems: bool, keep: str
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         chunk, list_key = row[order][first], key[first] // len(batch)
         head = np.flatnonzero(np.append(True, list_key[1:] != list_key[:-1]))
+        tf = np.add.reduceat(weight[order], first)
         # Offsets of lists: of chunks in a posting row, and of places in it.
-        cuts = np.append(head, len(first)).astype(np.int32)
-        spots = np.append(first[head], len(key)).astype(np.int32)
-        lists = lambda values, offsets, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(distinct[list_key[head] // len(shards)], pa.string()),
-                pa.array(shards[list_key[head] % len(shards)], pa.int64()),
-                lists(batch["chunk_id"].to_numpy()[chunk], cuts, pa.int64()),
-                lists(np.add.reduceat(weight[order], first), cuts, pa.float64()),
-                lists(length[chunk], cuts, pa.float64()),
-                lists(np.diff(np.append(first, len(key))), cuts, pa.int32()),
-                lists(place[order], spots, pa.int64()),
-            ],
-            schema=schema,
-        )
+        cuts, spots = np.append(head, len(first)), np.append(first[head], len(key))
+        columns = {"term": pa.array(distinct[list_key[head] // len(shards)], pa.string()), "shard": pa.array(shards[list_key[head] % len(shards)], pa.int64())}
+        columns |= {"df": pa.array(np.diff(cuts), pa.int64()), "n": pa.array(np.add.reduceat(tf, head))}
+        if keep == "ids":
+            counts = np.diff(np.append(first, len(key))).astype(np.int32)
+            lists = {"ids": batch["chunk_id"].to_numpy(np.int64)[chunk], "tf": tf, "len": length[chunk], "counts": counts}
+            columns |= {c: _bytes(v, cuts) for c, v in lists.items()} | {"places": _bytes(place[order], spots)}
+        else:
+            del columns["shard"]
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                out = invert(batch.slice(at, STEP).to_pandas())
-                if out is None:
-                    continue
-                if keep == "sums":
-                    counts = out.column("ids").value_lengths().cast(pa.int64())
-                    offsets = out.column("tf").offsets.to_numpy()
-                    n = np.add.reduceat(out.column("tf").values.to_numpy(), offsets[:-1])
-                    yield pa.RecordBatch.from_arrays([out.column("term"), counts, pa.array(n)], names=["term", "df", "n"])
-                else:
+            step = max(1, min(STEP, int(batch.num_rows * STEP_BYTES / max(batch.nbytes, 1))))
+            for at in range(0, batch.num_rows, step):
+                out = invert(batch.slice(at, step).to_pandas())
+                if out is not None:
                     yield out
 
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "shard", *(F.col(f).cast("string").alias(f) for f in names))
     return rows.mapInArrow(run, SCHEMA if keep == "ids" else "term string, df long, n double")
 
 
+def _bytes(values: np.ndarray, offsets: np.ndarray):
+    """Slices of an array, from one offset to the next, as bytes."""
+    import pyarrow as pa
+
+    values = np.ascontiguousarray(values)
+    ends = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
 def bucket(buckets: int, term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -117,16 +114,15 @@ def terms_of(queries: DataFrame, stems: bool, leg: str | None = None) -> DataFra
 
 
 def phrase_postings(postings: DataFrame, phrases: DataFrame, shards: list[int], weights: list[float]) -> DataFrame:
-    """Postings of phrases (distinct joined terms) as rows of their own: chunks where their tokens stand side by side."""
+    """Postings of phrases (distinct joined terms) as rows of their own, with `chunks`: where their tokens stand side by side."""
     asked = phrases.select(F.col("term").alias("phrase"))
     tokens = asked.select(F.explode(F.split("phrase", JOINT)).alias("term")).distinct()
     held = postings.join(F.broadcast(tokens), "term", "left_semi").select("term", "shard", "ids", "len", "counts", "places")
     spread = asked.withColumn("shard", F.explode(F.array(*(F.lit(s).cast("long") for s in shards))))
 
     def find(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         out = []
+        rows = rows.assign(**{c: [np.frombuffer(x, kind) for x in rows[c]] for c, kind in KINDS.items()})
         by_term: dict[str, list] = {}
         for r in rows.itertuples(index=False):
             by_term.setdefault(r.term, []).append(r)
@@ -147,10 +143,11 @@ def phrase_postings(postings: DataFrame, phrases: DataFrame, shards: list[int],
             for r in by_term[tokens[0]]:
                 length |= dict(zip(r.ids.tolist(), r.len.tolist(), strict=True))
             ids = names[at]
-            out.append((phrase, int(wanted["shard"].iloc[0]), ids, tf[at], np.array([length[i] for i in ids.tolist()])))
-        return pd.DataFrame(out, columns=["term", "shard", "ids", "tf", "len"])
+            lens = np.array([length[i] for i in ids.tolist()])
+            out.append((phrase, int(wanted["shard"].iloc[0]), ids.tobytes(), tf[at].tobytes(), lens.tobytes(), ids))
+        return pd.DataFrame(out, columns=["term", "shard", "ids", "tf", "len", "chunks"])
 
-    schema = "term string, shard long, ids array<long>, tf array<double>, len array<double>"
+    schema = "term string, shard long, ids binary, tf binary, len binary, chunks array<long>"
     return held.groupBy("shard").cogroup(spread.groupBy("shard")).applyInPandas(find, schema)
 
 
@@ -183,12 +180,10 @@ def ranked(postings: DataFrame, asked: DataFrame, side: DataFrame, shards: list[
 
 def _score_shard(rows: pd.DataFrame, right: pd.DataFrame, k: int, mean_len: float, both: bool) -> list[tuple]:
     """(query_id, leg, whole, chunk_id, score, full) of the k best chunks of one shard, by any word and by all words."""
-    import numpy as np
-
     asked = right[right["query_id"].notna()] if len(right) else right
     if not len(rows) or not len(asked):
         return []
-    names = np.unique(np.concatenate(rows["ids"].to_list()))
+    names = np.unique(np.frombuffer(b"".join(rows["ids"]), "<i8"))
     alive, scopes = np.ones(len(names), dtype=bool), {}
     for scope, ids in right.loc[right["query_id"].isna(), ["scope", "ids"]].itertuples(index=False, name=None):
         inside = np.isin(names, ids)
@@ -198,8 +193,9 @@ def _score_shard(rows: pd.DataFrame, right: pd.DataFrame, k: int, mean_len: floa
             scopes[int(scope)] = scopes.get(int(scope), False) | inside
     by_term: dict[str, list] = {}
     for r in rows.itertuples(index=False):
-        long = K1 * (1 - B + B * r.len / mean_len)
-        by_term.setdefault(r.term, []).append((np.searchsorted(names, r.ids), r.tf * (K1 + 1) / (r.tf + long)))
+        ids, tf, length = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.tf, "<f8"), np.frombuffer(r.len, "<f8")
+        long = K1 * (1 - B + B * length / mean_len)
+        by_term.setdefault(r.term, []).append((np.searchsorted(names, ids), tf * (K1 + 1) / (tf + long)))
     out: list[tuple] = []
 
     def best(places, scores):

@@ -114,6 +114,13 @@ class SearchIndex:
         _write_json(self.spark, f"{folder}/manifest.json", note)
         return SearchIndex(self.spark, folder, note)
 
+    def embed(self, embed: Callable) -> None:
+        """Give the chunks of an index that was built without vectors theirs, written once beside it."""
+        path = f"{self.folder}/vectors"
+        # Unfiltered: a filter on vec would be pushed to where the vectors are made, and make them twice.
+        embed(self.chunks.select("chunk_id", "doc_id", "text")).select("chunk_id", "doc_id", "vec").write.mode("overwrite").parquet(path)
+        self.vectors = self.spark.read.parquet(path).where("vec is not null")
+
     def settle(self, df: DataFrame) -> DataFrame:
         """A table of a few rows a query, written below the index and read back, so that plans on it start anew."""
         path = f"{self.folder}/work/{uuid.uuid4().hex}"
@@ -145,10 +152,10 @@ class SearchIndex:
         counts = self.frequencies.join(single.select("term").distinct(), "term", "left_semi").select("term", "df")
         if (told["size"] or 0) > 1:
             made = self.settle(postings.phrase_postings(held, phrases, self.shards, list(self.fields.values())))
-            each = made.select("term", "shard", F.explode("ids").alias("chunk_id"))
+            each = made.select("term", "shard", F.explode("chunks").alias("chunk_id"))
             each = each if self.dead is None else each.join(self.dead.select("chunk_id", "shard"), ["chunk_id", "shard"], "left_anti")
             counts = counts.unionByName(each.groupBy("term").agg(F.count("*").alias("df")))
-            found = found.unionByName(made)
+            found = found.unionByName(made.drop("chunks"))
         idf = F.greatest(F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         return terms.join(counts, "term", "left").withColumn("idf", idf).drop("df", "size"), found, told["n"]
 
@@ -228,9 +235,9 @@ def _write_segment(spark: SparkSession, folder: str, number: int, chunks: DataFr
     buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, n // CHUNKS_A_BUCKET))
     inverted = postings.inverted(stored, fields, stem).withColumn("bucket", postings.bucket(buckets))
     inverted = inverted.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "shard")
-    inverted.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    inverted.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     lists = spark.read.parquet(f"{folder}/postings")
-    sums = lists.groupBy("term").agg(F.sum(F.size("ids")).cast("long").alias("df"), F.sum(F.expr("aggregate(tf, 0D, (a, x) -> a + x)")).alias("total"))
+    sums = lists.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("total"))
     sums.write.mode("overwrite").parquet(f"{folder}/frequencies")
     lexical.lexicon(stored).write.mode("overwrite").parquet(f"{folder}/lexicon")
     total = spark.read.parquet(f"{folder}/frequencies").agg(F.sum("total")).first()[0]

@@ -69,3 +69,54 @@ def test_links_read_bodies_once(spark):
     assert {tuple(r)[:3] for r in edges.collect()} == {(1, 2, "wiki"), (3, 2, "wiki"), (1, 3, "mention"), (2, 1, "mention")}
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_texts_are_coded_as_they_are_indexed():
+    import numpy as np
+
+    from lodestone.functions import text as tx
+    from lodestone.functions import tokens as tk
+
+    texts = ["Naïve " * 40 + "café cafés running", None, "", "한국어 텍스트 " * 12, "日本語 ひらがな Ünï " * 9, "plain words, running words"]
+    for stems in (True, False):
+        code, sizes, terms = tk.coded(texts, stems)
+        cuts = np.cumsum(sizes)[:-1]
+        assert [list(x) for x in np.split(terms[code], cuts)] == [tk.indexed(t, stems) for t in texts]
+    marked = "áb̂ " * 50
+    assert tk.fold(marked) == "ab " * 50 and tk.grams("año " * 30) == []
+    assert [tx.english_stem(w) for w in ("relational", "hopping", "box", "año", "generalizations", "controll")] == ["relat", "hop", "box", "año", "gener", "control"]
+
+
+def test_postings_are_bytes_with_their_sums(spark, monkeypatch):
+    """Rows carry their counts, so nothing is summed over elements outside the tasks that rank; large texts go by small steps."""
+    import numpy as np
+
+    from lodestone.operators import postings
+
+    texts = [(i, 0, f"w{i % 3} w{i % 2} common", f"w{i % 3}") for i in range(20)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, shard long, text string, title string").coalesce(1)
+    fields = {"text": 1.0, "title": 0.5}
+    whole = postings.inverted(chunks, fields, True).collect()
+    monkeypatch.setattr(postings, "STEP_BYTES", 200)
+    parts = postings.inverted(chunks, fields, True).collect()
+    assert len(parts) > len(whole) == 4
+    for rows in (whole, parts):
+        df, n, ids = {}, {}, {}
+        for r in rows:
+            assert len(np.frombuffer(r["ids"], "<i8")) == len(np.frombuffer(r["len"], "<f8")) == r["df"]
+            assert np.frombuffer(r["counts"], "<i4").sum() == len(np.frombuffer(r["places"], "<i8"))
+            df[r["term"]] = df.get(r["term"], 0) + r["df"]
+            n[r["term"]] = n.get(r["term"], 0) + r["n"]
+            ids.setdefault(r["term"], set()).update(np.frombuffer(r["ids"], "<i8").tolist())
+        assert df["common"] == n["common"] == 20 and ids["common"] == set(range(20))
+        assert df["w2"] == 6 and n["w2"] == 9.0 and ids["w2"] == set(range(2, 20, 3))
+
+
+def test_vectors_are_made_when_they_are_asked_for(spark, tmp_path):
+    from lodestone.plans import store
+
+    rows = [(i, f"text number {i} of words", "en", "src0", 9) for i in range(30)] + [(30, "", "en", "src0", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    index = store.index_of(spark, str(tmp_path))
+    assert index.vectors.count() == 0
+    assert store.index_of(spark, str(tmp_path), dense=True) is index and index.vectors.count() == 30
