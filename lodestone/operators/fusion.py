@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources.tables import written
 
 RRF_K = 60
 PER_DOC = 3
@@ -50,11 +51,15 @@ def usage_factor(hits: Column, most: Column, prior: float) -> Column:
 def rare_share(hits: DataFrame, frequencies: Callable, n_chunks: int, keys: list[str]) -> DataFrame:
     """keys, rare: the share of a text's distinct content tokens that are in at most 0.8 % of chunks (two at least).
 
-    `frequencies` gives a table with the named column of tokens a column df; tokens in no chunk are rare too.
+    `frequencies` gives a table with the named column of tokens a column df; tokens in no chunk are rare too. Only distinct
+    tokens are looked up, and texts meet the few that are not rare, so no token of a text is shuffled.
     """
     ceiling = max(2.0, 0.008 * n_chunks)
-    tokens = frequencies(hits.select(*keys, F.explode_outer(tx.content_tokens(F.col("text"))).alias("term")), "term")
-    return tokens.groupBy(*keys).agg((F.count_if(F.col("term").isNotNull() & (F.col("df") <= ceiling)) / F.greatest(F.count("term"), F.lit(1))).alias("rare"))
+    tokens = hits.select(*keys, F.explode_outer(tx.content_tokens(F.col("text"))).alias("term"))
+    distinct = written(tokens.where("term is not null").select("term").distinct(), "tokens")
+    common = written(frequencies(distinct, "term").where(F.col("df") > ceiling).select("term", F.lit(True).alias("common")), "common")
+    told = tokens.join(common, "term", "left")
+    return told.groupBy(*keys).agg((F.count_if(F.col("term").isNotNull() & F.col("common").isNull()) / F.greatest(F.count("term"), F.lit(1))).alias("rare"))
 
 
 def informativeness(hits: DataFrame, frequencies: Callable, n_chunks: int, prior: float = 0.6, score: str = "score") -> DataFrame:

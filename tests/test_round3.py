@@ -120,3 +120,34 @@ def test_vectors_are_made_when_they_are_asked_for(spark, tmp_path):
     index = store.index_of(spark, str(tmp_path))
     assert index.vectors.count() == 0
     assert store.index_of(spark, str(tmp_path), dense=True) is index and index.vectors.count() == 30
+
+
+def test_rare_share_looks_up_distinct_tokens(spark):
+    """Frequencies are asked for distinct tokens, and texts meet only those that are not rare."""
+    from lodestone.operators import fusion
+
+    rows = [(i, "shared " + " ".join(f"t{i}x{j}" for j in range(i % 4)), ) for i in range(40)] + [(40, ""), (41, "the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+
+    def frequencies(tokens, token):
+        seen.append(tokens.count())
+        held = spark.createDataFrame([("shared", 40), ("t1x0", 1)], "term string, df long")
+        return tokens.join(held, "term", "left").fillna(0, ["df"])
+
+    found = {r["doc_id"]: r["rare"] for r in fusion.rare_share(docs, frequencies, 42, ["doc_id"]).collect()}
+    assert found == {**{i: (i % 4) / (i % 4 + 1) for i in range(40)}, 40: 0.0, 41: 0.0}
+    assert seen == [1 + sum(i % 4 for i in range(40))]
+
+
+def test_terms_of_tokens_are_worked_out_once_for_each(spark):
+    """No filter on the terms goes below the `distinct`."""
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import tokens as tk
+
+    words = spark.createDataFrame([("Running",), ("running",), ("Running",)], "w string")
+    plan = words.distinct().withColumn("t", F.array(tk.folded(F.col("w")), tk.folded_stem(F.col("w")))).select("w", F.explode("t").alias("x"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("ArrowEvalPython") < text.index("Aggregate") and text.count("ArrowEvalPython") == 1
+    assert {(r["w"], r["x"]) for r in plan.collect()} == {("Running", "running"), ("Running", "run"), ("running", "running"), ("running", "run")}
