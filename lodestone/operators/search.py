@@ -405,7 +405,7 @@ def search(
     asked = asked.select("query_id", "text", "vec", "scope_id")
 
     if mode in ("vector", "bm25"):
-        one = vector_leg(index, asked, s.leg_k, allowed) if mode == "vector" else index.bm25(asked, s.leg_k, allowed)
+        one = index.settle(vector_leg(index, asked, s.leg_k, allowed) if mode == "vector" else index.bm25(asked, s.leg_k, allowed))
         fused = fusion.rrf(canonical(one, index.chunks).withColumn("weight", F.lit(1.0)), s.rrf_k)
         out = fusion.capped_top_k(fused.join(index.chunks.select("chunk_id", "doc_id"), "chunk_id"), k, 1 << 30)
         return _with(out, listed)
@@ -427,9 +427,11 @@ def search(
     legs = [lists.select("query_id", "chunk_id", "rank", F.lit("bm25").alias("name"), (F.lit(s.bm25) * share).alias("weight")).withColumnRenamed("name", "leg")]
 
     def vectors(of: DataFrame, factor: float) -> DataFrame:
-        near = vector_leg(index, of, s.leg_k, allowed)
+        # Tables of known size meet the chunks without a shuffle of the texts, and each text is read once.
+        near = index.settle(vector_leg(index, of, s.leg_k, allowed))
         gate = asked.select("query_id", (F.col("all_common") | F.col("none_telling")).alias("gate"))
-        near = fusion.informativeness(near.join(index.chunks.select("chunk_id", "text"), "chunk_id").join(gate, "query_id"), index.term_frequencies, index.n, s.prior)
+        near = index.settle(near.join(index.chunks.select("chunk_id", "text"), "chunk_id"))
+        near = fusion.informativeness(near.join(gate, "query_id"), index.term_frequencies, index.n, s.prior)
         return canonical(near, index.chunks).select("query_id", "chunk_id", "rank", F.lit("vector").alias("leg"), F.lit(s.vector * factor).alias("weight"))
 
     if mode == "hybrid":
@@ -452,7 +454,7 @@ def search(
     if mode == "hybrid":
         meta = found.where(F.col("rank") < (8 if timed is None else 24)).join(index.chunks.select("chunk_id", "text", "title", "doc_date"), "chunk_id")
         recent = timed.where("lo is null").select("query_id", "recent") if timed is not None else asked.limit(0).select("query_id", F.lit(True).alias("recent"))
-        meta = meta.join(recent, "query_id", "left")
+        meta = index.settle(meta.join(recent, "query_id", "left"))
         unsure = asked.where("not all_common").select("query_id", F.col("lexical").alias("text"), tx.is_keyword_query(F.col("text")).alias("keyword")).where("not keyword")
         cover = fusion.coverage(unsure, meta, index.lexicon)
         told = choose_pins(cover, meta.select("query_id", "chunk_id", "rank", "recent", F.coalesce("doc_date", F.lit(0.0)).alias("doc_date")), s, newest)
@@ -465,9 +467,10 @@ def search(
         head = found.where(F.col("rank") < s.pin_head).join(sure.select("query_id"), "query_id").select("query_id", "chunk_id", (2 + 1 / (1 + F.col("rank"))).alias("pin"))
         pins = head.unionByName(sure.select("query_id", F.col("pinned").alias("chunk_id"), F.lit(3.5).alias("pin"))).groupBy("query_id", "chunk_id").agg(F.max("pin").alias("pin"))
 
-    fused = index.settle(fusion.rrf(tickets, s.rrf_k))
+    fused = fusion.rrf(tickets, s.rrf_k)
     if pins is not None:
         fused = fused.join(pins, ["query_id", "chunk_id"], "left").withColumn("fused", F.coalesce("pin", "fused")).drop("pin")
+    fused = index.settle(fused)
     meta = index.chunks.select("chunk_id", "doc_id", "kind", "title", "text", "doc_date")
     rows = fused.join(meta, "chunk_id").join(asked.select("query_id", F.col("text").alias("asked"), "lexical"), "query_id")
     if timed is not None:
@@ -486,7 +489,7 @@ def search(
         if judge is not None and mode == "hybrid":
             rows = _reranked(rows, judge, s, blend)
             break
-    return _with(fusion.final_hits(rows, k, s.per_doc), listed)
+    return _with(fusion.final_hits(index.settle(rows), k, s.per_doc), listed)
 
 
 def _with(out: DataFrame, listed: DataFrame | None) -> DataFrame:
