@@ -151,3 +151,22 @@ def test_terms_of_tokens_are_worked_out_once_for_each(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("ArrowEvalPython") < text.index("Aggregate") and text.count("ArrowEvalPython") == 1
     assert {(r["w"], r["x"]) for r in plan.collect()} == {("Running", "running"), ("Running", "run"), ("running", "running"), ("running", "run")}
+
+
+def test_co_mentions_are_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from lodestone.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 100)
+    rows = [(e, (e * 7 + j * j) % 50) for e in range(120) for j in range(5)] + [(0, 7), (0, 7)]
+    mentions = spark.createDataFrame(rows, "e long, d long")
+    groups = {}
+    for e, d in rows:
+        groups.setdefault(e, set()).add(d)
+    want = Counter(p for g in groups.values() for p in combinations(sorted(g), 2))
+    out = graph.co_mention_edges(mentions, "e", "d", least=2)
+    assert {(r["src"], r["dst"]): r["shared"] for r in out.collect()} == {p: n for p, n in want.items() if n >= 2}
+    assert out.rdd.getNumPartitions() == -(-sum(want.values()) // 100)
+    assert graph.co_mention_edges(mentions.limit(0), "e", "d").count() == 0
