@@ -29,6 +29,13 @@ def quantized(v: Column, scale: float) -> Column:
     return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.bround(x * scale))).cast("tinyint"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half away from zero in double arithmetic, as the SQL's engine does; `round` decides by the decimal that is printed."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.floor(y).cast("double")
+    return F.when(F.isnan(x), x).otherwise(F.signum(x) * F.when(y - whole >= 0.5, whole + 1).otherwise(whole) / 10.0**digits)
+
+
 def mean_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
     """key, centroid: mean of the vectors of each key, by dimension, map-side combined."""
     flat = df.where(F.col(vec).isNotNull()).select(key, F.posexplode(as_double(F.col(vec))).alias("dim", "value"))

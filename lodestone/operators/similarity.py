@@ -19,6 +19,8 @@ from lodestone.sources.tables import folder_for
 QUERY_BYTES = 16 << 20
 #: Queries that are scored at once against a batch of a list.
 SCANNED = 512
+#: What a component of one is in a code of signed bytes.
+CODE_SCALE = 127.0
 #: Bytes of the vectors of one block, of queries or of what is searched.
 BLOCK_BYTES = 32 << 20
 
@@ -256,8 +258,12 @@ def related(vectors: DataFrame, centroids: DataFrame, k: int, linked: DataFrame
     return top_k(best, k, "doc_id")
 
 
-def _scanned(rows: list, wide: int):
-    """Candidates of each query (query_id, q, lists) among batches of list rows (key, list, v, code), `wide` at most for all of them."""
+def _scanned(rows: list, k: int, digits: int = 9):
+    """The k best of each query (query_id, q, lists) among batches of list rows (key, list, v, code), exact in its lists.
+
+    A product with a code is off by no more than the length of what the code leaves of its vector, times the query's. Rows
+    whose product may reach the k-th best by that are scored by their vectors, however many there are.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -265,7 +271,7 @@ def _scanned(rows: list, wide: int):
         sizes: dict[int, list] = {}
         for row in rows:
             sizes.setdefault(len(row[1]), []).append(row)
-        sets = {}
+        sets, slack = {}, 2 * 10.0**-digits
         for n, part in sizes.items():
             of: dict[int, list] = {}
             for i, (_, _, lists) in enumerate(part):
@@ -273,34 +279,43 @@ def _scanned(rows: list, wide: int):
                     of.setdefault(int(x), []).append(i)
             sets[n] = np.array([i for i, _, _ in part], dtype=np.int64), np.array([q for _, q, _ in part], dtype=np.float64), {x: np.array(y) for x, y in of.items()}
         kept = {n: [] for n in sets}
+        floors = {n: np.full(len(matrix), -np.inf) for n, (_, matrix, _) in sets.items()}
 
-        def best(found: pd.DataFrame) -> pd.DataFrame:
-            found = found.sort_values(["query", "rough", "key"], ascending=[True, False, True], kind="stable")
-            return found[found.groupby("query").cumcount() < wide]
+        def best(found: pd.DataFrame, floor: np.ndarray) -> pd.DataFrame:
+            # As in Spark's order, NaN is the largest.
+            turn = np.lexsort((found["key"], -found["score"].fillna(np.inf), found["query"]))
+            found = found.iloc[turn]
+            nth = found.groupby("query").cumcount().to_numpy()
+            last = found[nth == k - 1]
+            floor[last["query"]] = last["score"].fillna(np.inf)
+            return found[nth < k]
 
         for batch in batches:
             lengths = batch["v"].map(len).to_numpy()
             for n, (_, matrix, of) in sets.items():
-                for x, part in batch[lengths == n].sort_values("key", kind="stable").groupby("list"):
+                for x, part in batch[lengths == n].groupby("list"):
                     asked = of.get(int(x), np.empty(0, dtype=np.int64))
                     if not len(asked):
                         continue
-                    keys, codes, v = part["key"].to_numpy(), np.stack(part["code"].to_numpy()), np.stack(part["v"].to_numpy())
+                    keys, codes, v = part["key"].to_numpy(), np.stack(part["code"].to_numpy()) / CODE_SCALE, np.stack(part["v"].to_numpy())
+                    off = np.linalg.norm(v - codes, axis=1)
                     for at in range(0, len(asked), SCANNED):
                         some = asked[at : at + SCANNED]
-                        rough = np.round(matrix[some] @ codes.T, 9)
-                        rough[np.isnan(rough)] = -np.inf
-                        floor = (np.partition(rough, -wide, axis=1)[:, -wide] if len(keys) > wide else np.full(len(some), -np.inf))[:, None]
-                        # Of equals at the cut the smallest keys, however many there are.
-                        over, level = rough > floor, rough == floor
-                        i, j = np.nonzero(over | (level & (np.cumsum(level, axis=1) <= wide - over.sum(axis=1, keepdims=True))))
-                        score = np.round(np.einsum("ij,ij->i", matrix[some[i]], v[j]), 9)
-                        kept[n].append(pd.DataFrame({"query": some[i], "key": keys[j], "rough": rough[i, j], "score": score}))
-                if sum(map(len, kept[n])) > 4 * wide * len(matrix):
-                    kept[n] = [best(pd.concat(kept[n]))]
-        out = [best(pd.concat(x)).assign(query_id=lambda f, ids=sets[n][0]: ids[f["query"]]) for n, x in kept.items() if x]
-        none = pd.DataFrame({"query_id": [], "key": [], "rough": [], "score": []}).astype({"query_id": "int64", "key": "int64"})
-        yield pd.concat([none, *out])[["query_id", "key", "rough", "score"]].astype({"query_id": "int64", "key": "int64"})
+                        rough, wide = matrix[some] @ codes.T, np.linalg.norm(matrix[some], axis=1)[:, None] * off
+                        least = np.nan_to_num(rough - wide, nan=-np.inf)
+                        floor = np.partition(least, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(some), -np.inf)
+                        # Not "at or above", so that NaN stays.
+                        i, j = np.nonzero(~(rough + wide < np.maximum(floor, floors[n][some])[:, None] - slack))
+                        step = max(1, BLOCK_BYTES // (8 * max(1, n)))
+                        for cut in range(0, len(i), step):
+                            q, r = some[i[cut : cut + step]], j[cut : cut + step]
+                            score = np.round(np.einsum("ij,ij->i", matrix[q], v[r]), digits)
+                            kept[n].append(pd.DataFrame({"query": q, "key": keys[r], "score": score}))
+                            if sum(map(len, kept[n])) > 4 * k * len(matrix):
+                                kept[n] = [best(pd.concat(kept[n]), floors[n])]
+        out = [best(pd.concat(x), floors[n]).assign(query_id=lambda f, ids=sets[n][0]: ids[f["query"]]) for n, x in kept.items() if x]
+        none = pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64"})
+        yield pd.concat([none, *out])[["query_id", "key", "score"]].astype({"query_id": "int64", "key": "int64"})
 
     return run
 
@@ -326,7 +341,7 @@ class InvertedLists:
         # A new folder each time: who reads the old lists is not disturbed.
         self.place = f"{self.folder}/lists-{uuid.uuid4().hex}"
         assigned = model.transform(held.withColumn("features", array_to_vector("v"))).withColumnRenamed("prediction", "list")
-        assigned = assigned.select("key", "list", "v", vx.quantized(F.col("v"), 127.0).alias("code")).hint("rebalance", "list")
+        assigned = assigned.select("key", "list", "v", vx.quantized(F.col("v"), CODE_SCALE).alias("code")).hint("rebalance", "list")
         assigned.write.mode("overwrite").partitionBy("list").parquet(f"{self.place}/rows")
         spark.createDataFrame(centres, "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.place}/centres")
         note = spark.createDataFrame([(self.place, key, told["n"], told["last"], told["mark"])], "place string, key string, n long, last long, mark string")
@@ -383,21 +398,20 @@ class InvertedLists:
         wanted = [r["list"] for r in near.select("list").distinct().collect()]
         return near, self.rows.where(F.col("list").isin(wanted))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 256) -> DataFrame:
-        """query_id, key, score, rank; byte codes pick max(k + 16, 2k) candidates, doubles decide.
+    def search(self, queries: DataFrame, k: int, probes: int = 256, digits: int = 9) -> DataFrame:
+        """query_id, key, score, rank: the k nearest in the lists probed; byte codes leave out what can't be among them, doubles decide.
 
-        Queries of a checked size go to the tasks, and each keeps the candidates of what it has read so far, so as many rows
-        a query leave it as there are candidates. A larger set is dealt into blocks that meet those of the lists.
+        Queries of a checked size go to the tasks, and each keeps the k best of what it has read so far, so as many rows
+        a query leave it. A larger set is dealt into blocks that meet those of the lists. Scores have so many digits.
         """
-        wide = max(k + 16, 2 * k)
         near, rows = self.probed(queries, probes)
         asked = near.groupBy("query_id", "q").agg(F.collect_list("list").alias("lists"))
         size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("dims")).first()
         held = rows.select("key", F.col("list").cast("int").alias("list"), "v", F.col("code").cast("array<double>").alias("code"))
-        schema = "query_id long, key long, rough double, score double"
+        schema = "query_id long, key long, score double"
         if size["n"] * size["dims"] * 8 <= QUERY_BYTES:
             sent = [tuple(r) for r in asked.select("query_id", "q", "lists").collect()]
-            found = held.mapInPandas(_scanned(sent, wide), schema)
+            found = held.mapInPandas(_scanned(sent, k, digits), schema)
         else:
             each = max(1, BLOCK_BYTES // (8 * size["dims"]))
             of_queries, of_rows = -(-size["n"] // each), max(1, -(-held.count() // each))
@@ -408,11 +422,10 @@ class InvertedLists:
 
             def run(here, there):
                 rows = list(zip(there["query_id"].tolist(), there["q"], there["lists"], strict=True))
-                return pd.concat(list(_scanned(rows, wide)([here])))
+                return pd.concat(list(_scanned(rows, k, digits)([here])))
 
             found = left.groupBy("r", "b").cogroup(right.groupBy("r", "b")).applyInPandas(run, schema)
-        rough = top_k(found, wide, "key", by="rough")
-        return top_k(rough.select("query_id", "key", "score"), k, "key").withColumnRenamed("key", self.key)
+        return top_k(found, k, "key").withColumnRenamed("key", self.key)
 
     def pairs(self, groups: DataFrame, threshold: float, probes: int) -> DataFrame:
         """a, b, score: pairs of different groups (key, grp) at the threshold or above, met in a list near either of them."""
