@@ -106,9 +106,9 @@ def bucket(buckets: int, term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def terms_of(queries: DataFrame, stems: bool, leg: str | None = None) -> DataFrame:
+def terms_of(queries: DataFrame, stems: bool, leg: str | None = None, whole: bool = True) -> DataFrame:
     """query_id, leg, term, gram, size (tokens of the phrase) of queries (query_id, text): a phrase is one term, joined."""
-    found = (tk.query_terms if stems else tk.plain_query_terms)(F.col("text"))
+    found = tk.query_terms(F.col("text"), stems, whole)
     rows = queries.select("query_id", (F.col(leg) if leg else F.lit(0)).cast("int").alias("leg"), F.explode(found).alias("t"))
     return rows.select("query_id", "leg", F.array_join("t.tokens", JOINT).alias("term"), "t.gram", F.size("t.tokens").alias("size"))
 

@@ -140,9 +140,9 @@ class SearchIndex:
         found = asked.select(token, F.explode("terms").alias("_term")).join(held, "_term").groupBy(token).agg(F.max("df").alias("df"))
         return tokens.join(found, token, "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
-    def _terms(self, queries: DataFrame, leg: str | None) -> tuple[DataFrame, DataFrame, int]:
+    def _terms(self, queries: DataFrame, leg: str | None, whole: bool) -> tuple[DataFrame, DataFrame, int]:
         """Terms of queries with their idf, the postings of just these terms (phrases have postings made here), and the number of queries."""
-        terms = self.settle(postings.terms_of(queries, self.stems, leg))
+        terms = self.settle(postings.terms_of(queries, self.stems, leg, whole))
         single, phrases = terms.where("size = 1"), terms.where("size > 1").select("term").distinct()
         tokens = terms.select("query_id", "size", F.explode(F.split("term", postings.JOINT)).alias("term"))
         # Buckets without a term of these queries are not read.
@@ -159,13 +159,14 @@ class SearchIndex:
         idf = F.greatest(F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
         return terms.join(counts, "term", "left").withColumn("idf", idf).drop("df", "size"), found, told["n"]
 
-    def bm25(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, two_phase: bool = True, leg: str | None = None) -> DataFrame:
+    def bm25(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, two_phase: bool = True, leg: str | None = None, whole: bool = False) -> DataFrame:
         """query_id, chunk_id, score, rank of the k best chunks, of the allowed documents where a query has a scope.
 
+        With `whole` all words of a query are looked up, else its first 16 (`tokens.MOST_WORDS`).
         With `leg`, the name of a column of numbers, several texts of a query are ranked apart and told by it.
         `allowed` are documents by scope (see `allowed_documents`); then queries have a column scope_id.
         """
-        terms, found, n = self._terms(queries, leg)
+        terms, found, n = self._terms(queries, leg, whole)
         side = self.spark.createDataFrame([], "shard long, scope long, ids array<long>")
         if self.dead is not None:
             side = side.unionByName(self.dead.groupBy("shard").agg(F.collect_list("chunk_id").alias("ids")).select("shard", F.lit(None).cast("long").alias("scope"), "ids"))
