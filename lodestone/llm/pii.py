@@ -38,6 +38,8 @@ SURE = 0.9
 ROUNDS = 12
 #: Characters of texts whose graphs are held at once, or one text.
 CHARS = 1 << 16
+#: Messages that are worked out at once, also within one text.
+MESSAGES = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -206,15 +208,17 @@ class SkipChainCRF:
         m = len(edges)
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(m) + m, np.arange(m)])
-        pair = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        message = np.zeros((2 * m, 5))
+        pair = np.array([self.chain, self.skip, self.chain.T, self.skip.T])
+        kind = np.repeat(np.arange(4, dtype=np.int8), [len(chain), len(skip)] * 2)
+        message, fresh = np.zeros((2 * m, 5)), np.empty((2 * m, 5))
         for _ in range(rounds):
             belief = own.copy()
             np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + pair
-            top = out.max(axis=1, keepdims=True)
-            fresh = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0]
+            for at in range(0, 2 * m, MESSAGES):
+                some = slice(at, at + MESSAGES)
+                out = (belief[source[some]] - message[back[some]])[:, :, None] + pair[kind[some]]
+                top = out.max(axis=1, keepdims=True)
+                fresh[some] = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0]
             fresh -= fresh.max(axis=1, keepdims=True)
             message = 0.5 * message + 0.5 * fresh
         belief = own.copy()
